@@ -99,16 +99,18 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = REPEATS, weights: tup
 
     Returns doc_id, size (words), source_size, target (of its source) and taken
     (words, repeats counted: a document is taken 0 to ``most`` times, always
-    whole). Sources sort by code point, null last, and weigh ``weights`` in
+    whole; rows of one id, size and source that tie with the last one drawn are
+    taken with it). Sources sort by code point, null last, and weigh ``weights`` in
     turn. Null and empty texts have size 0 and nothing is taken of them. Rows
-    of one id count one by one. A null doc_id draws like any other. An empty
+    of one id count one by one in all sums. A null doc_id draws like any other. An empty
     table gives no rows. ``carry`` names columns to return besides (those of
     other names than the five). The sources' names and sizes go through the driver,
     their documents don't.
     """
     more = [c for c in carry if c not in ("doc_id", "source", "size", "source_size", "target", "taken")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), *[F.col(c).alias(f"_of_{c}") for c in more])
-    rows = rows if more else settle(rows)
+    draw = F.xxhash64(F.lit(seed).cast("long"), "doc_id")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), *[F.col(c).alias(f"_of_{c}") for c in more])
+    rows = settle(named.select("doc_id", "size", "source"))
     counts = settle(rows.groupBy("source", "size").count())
     by_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("total")).collect()
     by_source.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
@@ -122,24 +124,29 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = REPEATS, weights: tup
     plan_rows = spark.createDataFrame([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in plan.astype(object).itertuples(index=False)], kind)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(batches), ignore_index=True)
+        parts = list(batches)
+        if not parts:
+            return
+        got = pd.concat(parts, ignore_index=True)
         for _, g in got.groupby("source", dropna=False, sort=False):
             g = g.assign(take=fit_lengths(g["size"].to_numpy(), g["count"].to_numpy(), int(g["budget"].iloc[0])))
             yield g[["source", "size", "take"]]
 
     lengths = counts.join(F.broadcast(plan_rows.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "count", "budget")
     take = settle(lengths.repartition("source").mapInPandas(fit, "source string, size long, take long"))
-    lane = F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), "doc_id"), 56).cast("int")
-    drawn = rows.withColumn("lane", lane)
+    lane = F.shiftrightunsigned(draw, 56).cast("int")
     ahead = Window.partitionBy("source", "size").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    lanes = drawn.groupBy("source", "size", "lane").count().withColumn("ahead", F.coalesce(F.sum("count").over(ahead), F.lit(0)))
+    lanes = rows.groupBy("source", "size", lane.alias("lane")).count().withColumn("ahead", F.coalesce(F.sum("count").over(ahead), F.lit(0)))
     take = take.select(F.col("source").alias("s"), F.col("size").alias("z"), "take")
     wanted = F.least("count", F.greatest(F.col("take") - F.col("ahead"), F.lit(0))).alias("wanted")
-    lanes = lanes.join(take, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select("s", "z", F.col("lane").alias("l"), wanted, "count")
-    full = drawn.join(lanes, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("lane") == F.col("l"))).drop("s", "z", "l")
-    ranked = F.row_number().over(Window.partitionBy("source", "size", "lane").orderBy(F.xxhash64(F.lit(seed).cast("long"), "doc_id"), "doc_id"))
-    sure = full.where("wanted = 0 or wanted = count").withColumn("more", (F.col("wanted") > 0).cast("long"))
-    edge = full.where("wanted > 0 and wanted < count").withColumn("more", (ranked <= F.col("wanted")).cast("long"))
-    both = sure.unionByName(edge)
+    lanes = settle(lanes.join(take, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select("s", "z", F.col("lane").alias("l"), wanted, "count"))
+    meets = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("lane") == F.col("l"))
+    # where a draw ends inside a lane, its last document
+    ranked = F.row_number().over(Window.partitionBy("source", "size", "lane").orderBy("draw", "doc_id"))
+    edge = rows.withColumn("draw", draw).withColumn("lane", lane).join(lanes.where("wanted > 0 and wanted < count"), meets)
+    last = edge.withColumn("rank", ranked).where("rank = wanted").select(F.col("s").alias("es"), F.col("z").alias("ez"), F.col("l").alias("el"), F.col("draw").alias("last"))
+    lanes = lanes.join(last, F.col("s").eqNullSafe(F.col("es")) & (F.col("z") == F.col("ez")) & (F.col("l") == F.col("el")), "left").select("s", "z", "l", "last", (F.col("wanted") == F.col("count")).alias("all"))
+    again = named if more else rows
+    both = again.withColumn("draw", draw).withColumn("lane", lane).join(lanes, meets).withColumn("more", (F.col("all") | F.coalesce(F.col("draw") <= F.col("last"), F.lit(False))).cast("long")).drop("s", "z", "l")
     out = both.join(F.broadcast(plan_rows.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken"), "source", *[F.col(f"_of_{c}").alias(c) for c in more])
