@@ -69,58 +69,54 @@ def _top(index: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return index[order], score[order]
 
 
+#: Postings at the head of a query's highest terms that are scored for a first threshold.
+HEADS, HEAD_TERMS = 24, 12
+
+
 def maxscore(q: np.ndarray, own: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The k highest integer inner products of each query with the shard's vectors but its own.
 
     Each dimension is two terms, one posting its positive and one its negative
-    components, by falling weight. A query's terms are those whose sign agrees
-    with it; they alone can raise a score, so the sum of query weight times a
-    term's highest posting bounds it. Terms are split by these bounds: the
-    essential ones are those without which the remaining bounds sum to less
-    than the k-th score so far. Essential postings are traversed; a vector met
-    there is probed in the other terms, by falling bound, while its score so
-    far and the bounds left can still reach the k-th score. Terms of the other
-    sign only lower a score and are probed last.
+    components. A query's terms are those whose sign agrees with it; they alone
+    can raise a score, so the sum of query weight times a term's highest
+    posting bounds it. Terms are split by these bounds: the essential ones are
+    those without which the remaining bounds sum to less than the k-th score so
+    far (at first that of the heads of the highest terms' postings). Essential
+    postings are traversed; a vector met there is probed dimension by
+    dimension, by falling bound, while its score so far and the bounds left can
+    still reach the k-th score.
     """
     n, dims = d.shape
-    high = {1: np.maximum(d.max(axis=0), 0), -1: np.maximum(-d.min(axis=0), 0)}
-    by_weight = np.argsort(-d, axis=0, kind="stable")
-    n_pos, n_neg = (d > 0).sum(axis=0), (d < 0).sum(axis=0)
+    column = np.ascontiguousarray(d.T)
+    posted = {1: column > 0, -1: column < 0}
+    high = {1: np.maximum(column.max(axis=1), 0), -1: np.maximum(-column.min(axis=1), 0)}
+    heads = min(HEADS, n)
+    head = {s: np.argpartition(-s * column, heads - 1, axis=1)[:, :heads] for s in (1, -1)}
     out = []
-    first = np.arange(min(n, 8 * k + 1))
     for x, self_id in zip(q, own, strict=True):
-        # a start value for the k-th score: exact scores of a few vectors
-        start = first[ids[first] != self_id]
-        seed = np.sort(d[start] @ x)[::-1]
-        least = seed[k - 1] if len(seed) >= k else None
-        sign = np.sign(x).astype(int)
+        sign = np.where(x < 0, -1, 1)
         bound = np.abs(x) * np.where(sign > 0, high[1], high[-1])
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
         left = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # left[j]: bounds of the terms from j on
+        start = np.unique(np.concatenate([head[sign[t]][t] for t in order[:HEAD_TERMS]]))
+        start = start[ids[start] != self_id]
+        least = np.sort(d[start] @ x)[-k] if len(start) >= k else None
         if least is None or least <= 0:
             hit = np.arange(n)  # a vector that no term posts can still be among the best
         else:
-            essential = int(np.searchsorted(-left, -least, side="right"))
             met = np.zeros(n, bool)
-            for t in order[:essential]:
-                posting = by_weight[: n_pos[t], t] if sign[t] > 0 else by_weight[n - n_neg[t] :, t]
-                met[posting] = True
+            for t in order[: int(np.searchsorted(-left, -least, side="right"))]:
+                met |= posted[sign[t]][t]
             hit = np.flatnonzero(met)
         hit = hit[ids[hit] != self_id]
         score = np.zeros(len(hit), d.dtype)
         for j, t in enumerate(order):
-            v = d[hit, t]
-            score += np.abs(x[t]) * np.maximum(sign[t] * v, 0)
-            if least is not None and j % 4 == 3:
+            if x[t]:
+                score += x[t] * column[t][hit]
+            if least is not None and j & 3 == 3:
                 ok = score + left[j + 1] >= least
-                hit, score = hit[ok], score[ok]
-        for j, t in enumerate(np.flatnonzero(x)):
-            v = np.minimum(sign[t] * d[hit, t], 0)
-            score += np.abs(x[t]) * v
-            if least is not None and j % 8 == 7:
-                ok = score >= least
-                hit, score = hit[ok], score[ok]
+                if not ok.all():
+                    hit, score = hit[ok], score[ok]
         out.append(_top(hit, score, k))
     return out
 
