@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.common import settle, small_batches, unsettle
 from llm.components import connected_components
@@ -151,7 +152,7 @@ def signatures(docs: DataFrame, width: int, num: int, den: int, heavy: tuple[np.
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, digest binary, grp binary, prefix binary")
 
 
-_POSTING = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<i8")])
+_POSTING = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<u4")])
 
 
 def candidate_edges(groups: DataFrame, num: int, den: int, parts: int) -> DataFrame:
@@ -193,7 +194,7 @@ def candidate_edges(groups: DataFrame, num: int, den: int, parts: int) -> DataFr
             i, j = np.triu_indices(m, 1)
             for some in np.array_split(s, max(1, len(s) * len(i) // 200_000)):
                 x, y = p[(some[:, None] + i).ravel()], p[(some[:, None] + j).ravel()]
-                low, high = np.minimum(x["n"], y["n"]), np.maximum(x["n"], y["n"])
+                low, high = np.minimum(x["n"], y["n"]).astype(np.int64), np.maximum(x["n"], y["n"]).astype(np.int64)
                 ok = (den * low >= num * high) & (x["gid"] != y["gid"])
                 x, y, low = x[ok], y[ok], low[ok]
                 yield row(np.maximum(x["gid"], y["gid"]), np.minimum(x["gid"], y["gid"]), np.zeros(len(x), bool), np.minimum(COMMON, -(-num * low // den)))
@@ -206,22 +207,23 @@ def candidate_edges(groups: DataFrame, num: int, den: int, parts: int) -> DataFr
     return pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.max("far").alias("far"), F.min("need").alias("need")).where("far or common >= need").select("a", "b")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id may be among ids: a filter of fixed size that lets no wanted row go."""
+def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs with the boolean _maybe: whether its doc_id may be among ids. A filter of fixed size that misses none of them."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toPandas()
     bits = np.zeros(BITS // 64, np.int64)
     bits[words["word"].to_numpy(int)] = words["mask"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    kind = T.StructType([*docs.schema.fields, T.StructField("_maybe", T.BooleanType())])
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for batch in batches:
-            b = batch.column(2).to_numpy()
+            b = batch.column(batch.num_columns - 1).to_numpy()
             ok = (have[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
-            yield batch.select(["doc_id", "text"]).filter(pa.array(ok.astype(bool)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ok.astype(bool))], names=[*batch.schema.names[:-1], "_maybe"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text", bit.alias("bit")).mapInArrow(keep, "doc_id long, text string")
+    return docs.withColumn("_bit", bit).mapInArrow(flag, kind)
 
 
 def _links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -266,7 +268,7 @@ def verified_links(docs: DataFrame, members: DataFrame, width: int, num: int, de
     """Links a, b between the members (doc_id, family, n) whose texts are alike."""
     blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
     placed = settle(members.join(blocks, "family").select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block")))
-    texts = _only(docs, placed.select("doc_id")).join(placed, "doc_id")
+    texts = _flagged(docs.where("doc_id is not null").select("doc_id", "text"), placed.select("doc_id")).where("_maybe").join(placed, "doc_id")
     pairs = texts.select("doc_id", "text", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     sent = pairs.select("doc_id", "text", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
     # a document meets its own block where low = high
@@ -308,13 +310,15 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
     Of rows that share that doc_id one stays (that of the lowest text hash).
     Rows of a null doc_id all stay.
     """
-    found = ngram_jaccard_components(docs, width, num, den).where("doc_id = component_id").groupBy("doc_id").count()
-    repeated = settle(found.where("count > 1").select("doc_id"))
-    out = docs.join(found.where("count = 1"), "doc_id", "left_semi")
-    if not repeated.isEmpty():
+    found = ngram_jaccard_components(docs, width, num, den).where("doc_id is not null")
+    # most rows are in no mark; they pass a filter and needn't be shuffled with their texts
+    marks = settle(found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(F.col("doc_id") != F.col("component_id")).alias("_drop")).where("_drop or _n > 1"))
+    flagged = _flagged(docs, marks)
+    rest = flagged.where("_maybe").join(marks, "doc_id", "left").where("not coalesce(_drop, false)")
+    if not marks.where("not _drop").isEmpty():
         rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-        out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
-    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+        rest = rest.withColumn("_rank", F.when(F.col("_n").isNotNull(), rank).otherwise(1)).where("_rank = 1")
+    return flagged.where("not _maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
