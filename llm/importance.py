@@ -81,20 +81,20 @@ def fit(docs: DataFrame, target: np.ndarray) -> np.ndarray:
     return np.log(p[0]) - np.log(p[1]) if len(target) else np.zeros(BUCKETS)
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
-    """docs with log_weight and gumbel_key added."""
+def log_weights(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, weight: str = "log_weight", key: str = "gumbel_key") -> DataFrame:
+    """docs with the columns ``weight`` and ``key`` added."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     at_text = docs.columns.index("text")
-    kind = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType())])
+    kind = T.StructType([*docs.schema.fields, T.StructField(weight, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.append(shared.value, 0.0)  # bucket -1 weighs nothing
         for batch in batches:
             one, two, at = _ngrams(batch.column(at_text).to_pylist())
             total = np.concatenate([[0.0], np.cumsum(r[one] + r[two])])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(total[at[1:]] - total[at[:-1]], 6))], names=[*batch.schema.names, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(total[at[1:]] - total[at[:-1]], 6))], names=[*batch.schema.names, weight])
 
-    return docs.mapInArrow(score, kind).withColumn("gumbel_key", F.round(F.col("log_weight") + gumbel(F.col("doc_id"), seed), 6))
+    return docs.mapInArrow(score, kind).withColumn(key, F.round(F.col(weight) + gumbel(F.col("doc_id"), seed), 6))
 
 
 def gumbel(doc_id: Column, seed: int) -> Column:
@@ -139,7 +139,7 @@ def keep_sampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     unsettle(weighed)
     if lowest is None:
         return docs
-    return log_weights(docs, ratio, options.get("seed", SEED)).where(F.col("gumbel_key") >= F.lit(lowest)).select(*docs.columns)
+    return log_weights(docs, ratio, options.get("seed", SEED), "__weight", "__key").where(F.col("__key") >= F.lit(lowest)).select(*docs.columns)
 
 
 def decide(docs: DataFrame, labels: DataFrame, seed: int = SEED, labelled: int = LABELLED, missed: float = MISSED, k: int | None = None) -> tuple[DataFrame, float | None, np.ndarray]:

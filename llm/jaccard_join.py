@@ -208,22 +208,22 @@ def candidate_edges(groups: DataFrame, num: int, den: int, parts: int) -> DataFr
 
 
 def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs with the boolean _maybe: whether its doc_id may be among ids. A filter of fixed size that misses none of them."""
+    """docs with the boolean __maybe: whether its doc_id may be among ids. A filter of fixed size that misses none of them."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toPandas()
     bits = np.zeros(BITS // 64, np.int64)
     bits[words["word"].to_numpy(int)] = words["mask"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
-    kind = T.StructType([*docs.schema.fields, T.StructField("_maybe", T.BooleanType())])
+    kind = T.StructType([*docs.schema.fields, T.StructField("__maybe", T.BooleanType())])
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for batch in batches:
             b = batch.column(batch.num_columns - 1).to_numpy()
             ok = (have[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ok.astype(bool))], names=[*batch.schema.names[:-1], "_maybe"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ok.astype(bool))], names=[*batch.schema.names[:-1], "__maybe"])
 
-    return docs.withColumn("_bit", bit).mapInArrow(flag, kind)
+    return docs.withColumn("__bit", bit).mapInArrow(flag, kind)
 
 
 def _links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -268,7 +268,7 @@ def verified_links(docs: DataFrame, members: DataFrame, width: int, num: int, de
     """Links a, b between the members (doc_id, family, n) whose texts are alike."""
     blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
     placed = settle(members.join(blocks, "family").select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block")))
-    texts = _flagged(docs.where("doc_id is not null").select("doc_id", "text"), placed.select("doc_id")).where("_maybe").join(placed, "doc_id")
+    texts = _flagged(docs.where("doc_id is not null").select("doc_id", "text"), placed.select("doc_id")).where("__maybe").join(placed, "doc_id")
     pairs = texts.select("doc_id", "text", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     sent = pairs.select("doc_id", "text", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
     # a document meets its own block where low = high
@@ -312,13 +312,13 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
     """
     found = ngram_jaccard_components(docs, width, num, den).where("doc_id is not null")
     # most rows are in no mark; they pass a filter and needn't be shuffled with their texts
-    marks = settle(found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(F.col("doc_id") != F.col("component_id")).alias("_drop")).where("_drop or _n > 1"))
+    marks = settle(found.groupBy("doc_id").agg(F.count("*").alias("__n"), F.max(F.col("doc_id") != F.col("component_id")).alias("__drop")).where("__drop or __n > 1"))
     flagged = _flagged(docs, marks)
-    rest = flagged.where("_maybe").join(marks, "doc_id", "left").where("not coalesce(_drop, false)")
-    if not marks.where("not _drop").isEmpty():
+    rest = flagged.where("__maybe").join(marks, "doc_id", "left").where("not coalesce(__drop, false)")
+    if not marks.where("not __drop").isEmpty():
         rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-        rest = rest.withColumn("_rank", F.when(F.col("_n").isNotNull(), rank).otherwise(1)).where("_rank = 1")
-    return flagged.where("not _maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
+        rest = rest.withColumn("__rank", F.when(F.col("__n").isNotNull(), rank).otherwise(1)).where("__rank = 1")
+    return flagged.where("not __maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:

@@ -202,9 +202,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     """
     found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
     has = F.col(text).rlike("[0-9@]") & F.col(text).rlike(ANY)
-    held = docs.withColumn("_old", F.when(has, found)).withColumn("_new", F.transform("_old", lambda m: pseudonym(m, key)))
+    held = docs.withColumn("__pii_found", F.when(has, found)).withColumn("__pii_new", F.transform("__pii_found", lambda m: pseudonym(m, key)))
     gaps = F.split(F.col(text), ANY, -1)
-    woven = F.zip_with(gaps, F.concat(F.col("_new"), F.array(F.lit(""))), lambda g, n: F.concat(g, n))
-    changed = F.size(F.filter(F.zip_with("_old", "_new", lambda a, b: a != b), lambda x: x))
-    held = held.withColumn("n_private", F.when(F.col("_old").isNull(), 0).otherwise(changed)).withColumn(text, F.when(F.col("_old").isNull(), F.col(text)).otherwise(F.array_join(woven, "")))
-    return held.drop("_old", "_new")
+    woven = F.zip_with(gaps, F.concat(F.col("__pii_new"), F.array(F.lit(""))), lambda g, n: F.concat(g, n))
+    changed = F.size(F.filter(F.zip_with("__pii_found", "__pii_new", lambda a, b: a != b), lambda x: x))
+    held = held.withColumn("n_private", F.when(F.col("__pii_found").isNull(), 0).otherwise(changed)).withColumn(text, F.when(F.col("__pii_found").isNull(), F.col(text)).otherwise(F.array_join(woven, "")))
+    return held.drop("__pii_found", "__pii_new")
