@@ -33,9 +33,13 @@ def private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources come near their targets."""
-    mixed = mixing.mix(docs, carry=tuple(docs.columns))
+    # other columns travel under names that can't clash with the operator's
+    named = {c: f"of {c}" for c in docs.columns if c not in ("doc_id", "text", "source")} | {"text": "of text"}
+    held = docs.select("doc_id", "source", "text", *[F.col(c).alias(n) for c, n in named.items()])
+    mixed = mixing.mix(held, carry=tuple(named.values()))
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    return mixed.withColumn("_times", times).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    repeated = mixed.withColumn("times", times).where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return repeated.select(*[F.col(named.get(c, c)).alias(c) for c in docs.columns])
 
 
 def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
