@@ -3,6 +3,7 @@
 import pytest
 
 import compare
+from noema.plans import more  # noqa: F401
 from noema.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
