@@ -12,9 +12,10 @@ CJK = "一-鿿"
 
 def tokens(text: Column) -> Column:
     """Each CJK character, then each word of the lower-cased text; repeats stay."""
-    clean = F.regexp_replace(F.lower(text), rf"(?U)[^{CJK}\w]", " ")
-    chars = F.regexp_extract_all(clean, F.lit(f"[{CJK}]"), F.lit(0))
-    return F.concat(chars, F.filter(F.split(clean, r"\s+"), lambda x: x != ""))
+    low = F.lower(text)
+    chars = F.when(low.rlike(f"[{CJK}]"), F.regexp_extract_all(low, F.lit(f"[{CJK}]"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.filter(F.split(low, r"[^\p{L}\p{N}\p{M}_]+"), lambda x: x != "")
+    return F.when(text.isNotNull(), F.concat(chars, found))
 
 
 def words(text: Column, stop: list[str]) -> Column:
