@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 KEY = "corpus-pseudonyms-1"
 
+#: Every repeated group is bounded, as Java's matcher recurses into groups and very long texts would exhaust its stack.
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,9}[A-Za-z]{2,63}"
 CARD = rf"{_B}(?:[0-9]{{13,19}}|[0-9]{{4}}([ -])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{1,7}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_E}"
 PHONE = rf"(?<![0-9A-Za-z+])(?:\+1[ .-]?\(?[0-9]{{3}}\)?[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|\+[2-9][0-9]{{0,2}}(?:[ .-]?\(?[0-9]{{2,5}}\)?){{2,5}}|\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[ .-][0-9]{{4}}){_E}"
 SSN = rf"(?<![0-9A-Za-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z-])"

@@ -21,7 +21,7 @@ QUERIES = 1024
 
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
-    """vec_id and v, the vector in double precision, of rows whose components are all there and finite; ``zero`` keeps null vectors' opposite, all-zero ones."""
+    """vec_id and v, the vector in double precision, of rows whose components are all there and finite; all-zero vectors only with ``zero``."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)))

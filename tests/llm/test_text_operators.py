@@ -91,6 +91,14 @@ def test_pseudonyms_keep_formats_links_and_the_rest(spark):
     assert by[1].n_private == 8 and len(got) == 6
 
 
+def test_pseudonyms_in_very_long_and_odd_texts(spark, docs):
+    odd = ["1" * 300000, "a@" + "b." * 100000, "a." * 100000 + "@x.org", "1234 " * 60000, "+1 " * 60000, "DE89 " + "ABCD " * 60000, "10." * 80000, "x" * 500000 + " 4961143020124266"]
+    got = pseudonymise(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [len(r.text) for r in got] == [len(t) for t in odd] and got[-1].n_private == 1
+    out = pseudonymise(docs)
+    assert set(out.columns) == {*docs.columns, "n_private"} and out.count() == docs.count()
+
+
 def test_pseudonyms_are_one_to_one_and_keyed(spark):
     import datetime
 
