@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noema.functions.scores import cosine
+from noema.operators.blocks import small, within
 
 
 def tree(nodes: DataFrame, depth: int = 8) -> DataFrame:
@@ -23,7 +26,7 @@ def tree(nodes: DataFrame, depth: int = 8) -> DataFrame:
 
 def near_best(points: DataFrame, centroids: DataFrame, margin: float) -> DataFrame:
     """For each point (id, v) all centroids (label, c) within the margin of its best; only points that have more than one."""
-    scored = points.join(F.broadcast(centroids)).select("id", "label", cosine(F.col("v"), F.col("c")).alias("sim"))
+    scored = points.join(small(centroids)).select("id", "label", cosine(F.col("v"), F.col("c")).alias("sim"))
     w = Window.partitionBy("id")
     kept = scored.withColumn("best", F.max("sim").over(w)).where(F.col("best") - F.col("sim") < margin)
     return kept.withColumn("n", F.count("*").over(w)).where("n > 1").select("id", "label", F.round("sim", 6).alias("sim"))
@@ -58,3 +61,41 @@ def kmeans(points: DataFrame, min_size: int, seed: int = 42) -> DataFrame:
     vec = Normalizer(inputCol="raw", outputCol="features").transform(points.select("id", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("raw")))
     model = KMeans(k=max(2, min(n // min_size, 15)), seed=seed).fit(vec)
     return model.transform(vec).select("id", F.col("prediction").alias("cluster"))
+
+
+def compare_sources(facts: DataFrame) -> DataFrame:
+    """For each two sources (source_a < source_b) the pairs of facts that agree and that conflict.
+
+    facts: source, fact, confidence; without a source or fact a row takes no
+    part. Facts of over 0.5 character-set similarity, both over 0.7 sure, agree;
+    of over 0.15 to 0.4, with confidences over 0.2 apart, they conflict. Rows of
+    one source, character set and confidence count as one with a weight; all
+    others meet in blocks, of which only counts come back. The work grows with
+    the square of the distinct rows, as every pair counts.
+    """
+    chars = F.array_join(F.array_sort(F.array_distinct(F.split("fact", ""))), "")
+    sets = facts.where("source is not null and fact is not null and confidence is not null").groupBy("source", "confidence", chars.alias("chars")).agg(F.count("*").alias("n"))
+
+    def count(g: pd.DataFrame, second: np.ndarray) -> pd.DataFrame:
+        source, name = pd.factorize(g["source"], sort=True)
+        flat = np.array([ord(c) for t in g["chars"] for c in t], np.int64)
+        size = g["chars"].map(len).to_numpy()
+        member = np.zeros((len(g), len(np.unique(flat))), np.float32)
+        member[np.repeat(np.arange(len(g)), size), np.unique(flat, return_inverse=True)[1]] = 1
+        a, b = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(g)),) * 2
+        both = (member[a] @ member[b].T).astype(np.float64)
+        union = size[a][:, None] + size[b][None] - both
+        sim = np.where(union > 0, both / np.maximum(union, 1), 0)
+        conf, n = g["confidence"].to_numpy(), g["n"].to_numpy()
+        ca, cb = conf[a][:, None], conf[b][None]
+        # within one block every pair is met twice; the side of the smaller source counts
+        apart = source[a][:, None] < source[b][None] if not second.any() else source[a][:, None] != source[b][None]
+        weight = n[a][:, None] * n[b][None] * apart
+        low, high = np.minimum(source[a][:, None], source[b][None]), np.maximum(source[a][:, None], source[b][None])
+        pair, k = (low * len(name) + high).ravel(), len(name) ** 2
+        found = [np.bincount(pair, (weight * x).ravel(), k) for x in (np.ones_like(sim), (sim > 0.5) & (ca > 0.7) & (cb > 0.7), (sim > 0.15) & (sim <= 0.4) & (np.abs(ca - cb) > 0.2))]
+        at = np.flatnonzero(found[0])
+        return pd.DataFrame({"source_a": name[at // len(name)], "source_b": name[at % len(name)], "agreeing": found[1][at].astype(np.int64), "conflicting": found[2][at].astype(np.int64)})
+
+    dealt = sets.withColumn("h", F.xxhash64("source", "confidence", "chars"))
+    return within(dealt, count, "source_a string, source_b string, agreeing long, conflicting long").groupBy("source_a", "source_b").agg(F.sum("agreeing").alias("agreeing"), F.sum("conflicting").alias("conflicting"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def groups(rows: DataFrame, day: str, granularity: str) -> DataFrame:
@@ -36,21 +40,33 @@ def sessions(rows: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
 def capped_segments(rows: DataFrame, key: str, pause: float, cap: float) -> DataFrame:
     """Segments (key, start, stop, text) put together until a pause is longer or the length would pass the cap.
 
-    The cap makes each step depend on the one before, so a key's segments are folded in order.
+    The cap makes each step depend on the one before, but never across a pause:
+    a key is split at its pauses, and each run is folded in order, one row at a time.
     """
-    seq = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "text"))).alias("s"))
-    empty = F.expr("cast(array() as array<struct<start:double,stop:double,text:string,length:double>>)")
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        own = x["stop"] - x["start"]
-        joins = (F.size(acc) > 0) & (x["start"] - last["stop"] <= pause) & (last["length"] + own <= cap)
-        merged = F.struct(last["start"].alias("start"), x["stop"].alias("stop"), F.concat_ws(" ", last["text"], x["text"]).alias("text"), (last["length"] + own).alias("length"))
-        fresh = F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["text"].alias("text"), own.alias("length"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(acc, F.array(fresh)))
-
-    folded = seq.select(key, F.aggregate("s", empty, step, lambda acc: acc).alias("s"))
-    return folded.select(key, F.posexplode("s").alias("segment", "x")).select(key, "segment", "x.start", "x.stop", "x.text", F.round("x.length", 6).alias("length"))
+    order = Window.partitionBy(key).orderBy("start", "stop", "text")
+    fresh = F.coalesce((F.col("start") - F.lag("stop").over(order) > pause).cast("int"), F.lit(1))
+    runs = rows.select(key, "start", "stop", "text").withColumn("run", fresh).withColumn("run", F.sum("run").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, out = None, []
+        for b in batches:
+            for k, run, start, stop, text in b.itertuples(index=False):
+                text, own = "" if text is None else text, stop - start
+                if now and now[:2] == [k, run] and now[5] + own <= cap:
+                    now[3], now[4], now[5] = stop, [*now[4], text], now[5] + own
+                    continue
+                if now:
+                    out.append((now[0], now[2], now[3], " ".join(now[4]), now[5]))
+                now = [k, run, start, stop, [text], own]
+            yield pd.DataFrame(out, columns=[key, "start", "stop", "text", "length"])
+            out = []
+        if now:
+            yield pd.DataFrame([(now[0], now[2], now[3], " ".join(now[4]), now[5])], columns=[key, "start", "stop", "text", "length"])
+
+    kind = T.StructType([rows.schema[key], *[T.StructField(c, T.StringType() if c == "text" else T.DoubleType()) for c in ("start", "stop", "text", "length")]])
+    dealt = runs.select(key, "run", "start", "stop", "text").repartition(key, "run").sortWithinPartitions(key, "run", "start", "stop", "text")
+    number = F.row_number().over(Window.partitionBy(key).orderBy("start", "stop", "text")) - 1
+    return dealt.mapInPandas(fold, kind).select(key, number.alias("segment"), "start", "stop", "text", F.round("length", 6).alias("length"))
 
 
 def as_of(points: DataFrame, bounds: DataFrame, key: str) -> DataFrame:

@@ -6,26 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noema.functions import scores, text
-from noema.operators import dedup, graph, memory, timeline
+from noema.operators import categories, dedup, graph, memory, timeline
 from noema.plans.queries import _COS, _query_vector, _r, _texts, _vectors, query
 from noema.plans.views import EDGES, KP, OPS
 from noema.sources.tables import edges, knowledge, memory_ops, read
 
 # comparisons and similarity
 
-_PAIR = "a.lang = b.lang AND a.source < b.source"
-
-
-@query(f"""WITH {KP}, t AS (SELECT id, source, lang, confidence, list_distinct(string_split(substring(fact, 1, 60), '')) AS c FROM kp WHERE id < 150),
-p AS (SELECT a.id AS a, b.id AS b, a.confidence AS ca, b.confidence AS cb, len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))) AS sim FROM t a JOIN t b ON {_PAIR})
-SELECT a, b, CASE WHEN sim > 0.5 AND ca > 0.7 AND cb > 0.7 THEN 'agree' WHEN sim > 0.15 AND sim <= 0.4 AND abs(ca - cb) > 0.2 THEN 'conflict' END AS verdict FROM p WHERE verdict IS NOT NULL""")
+@query(f"""WITH {KP}, t AS (SELECT source, confidence, list_distinct(string_split(substring(fact, 1, 60), '')) AS c FROM kp),
+p AS (SELECT a.source AS source_a, b.source AS source_b, a.confidence AS ca, b.confidence AS cb, len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))) AS sim FROM t a JOIN t b ON a.source < b.source)
+SELECT source_a, source_b, count(*) FILTER (sim > 0.5 AND ca > 0.7 AND cb > 0.7) AS agreeing, count(*) FILTER (sim > 0.15 AND sim <= 0.4 AND abs(ca - cb) > 0.2) AS conflicting FROM p GROUP BY ALL""")
 def ctg_source_comparison(s, d):
-    t = knowledge(s, d).where("id < 150").select("id", "source", "lang", "confidence", F.substring("fact", 1, 60).alias("t"))
-    a, b = (t.select("lang", *[F.col(c).alias(c + n) for c in ("id", "source", "confidence", "t")]) for n in ("_a", "_b"))
-    pairs = a.join(b, "lang").where("source_a < source_b").withColumn("sim", text.char_jaccard(F.col("t_a"), F.col("t_b")))
-    both = (F.col("confidence_a") > 0.7) & (F.col("confidence_b") > 0.7)
-    verdict = F.when((F.col("sim") > 0.5) & both, "agree").when((F.col("sim") > 0.15) & (F.col("sim") <= 0.4) & (F.abs(F.col("confidence_a") - F.col("confidence_b")) > 0.2), "conflict")
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), verdict.alias("verdict")).where("verdict is not null")
+    return categories.compare_sources(knowledge(s, d).select("source", "confidence", F.substring("fact", 1, 60).alias("fact")))
 
 
 @query(f"WITH {_COS}, hits AS (SELECT id, label, score FROM vs WHERE score > 0.2 ORDER BY 1 - score, id LIMIT 15) SELECT id, round(score, 6) AS similarity FROM hits")
@@ -40,10 +32,10 @@ def agg_category_mix(s, d):
     return knowledge(s, d).where("status = 'active'").orderBy(F.desc("confidence"), "id").limit(5).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {KP}, v AS (SELECT id, fact FROM kp UNION ALL SELECT id, fact FROM kp WHERE id % 3 = 0) SELECT id, fact FROM v INTERSECT SELECT id, fact FROM kp WHERE id % 2 = 0")
+@query(f"WITH {KP}, v AS (SELECT id, fact FROM kp UNION ALL SELECT id, fact FROM kp WHERE status = 'active') SELECT id, fact FROM v INTERSECT SELECT id, fact FROM kp WHERE confidence >= 0.5")
 def set_operations(s, d):
-    k = knowledge(s, d).select("id", "fact")
-    return k.unionByName(k.where("id % 3 = 0")).intersect(k.where("id % 2 = 0"))
+    k, cols = knowledge(s, d), ("id", "fact")
+    return k.select(*cols).unionByName(k.where("status = 'active'").select(*cols)).intersect(k.where("confidence >= 0.5").select(*cols))
 
 
 @query(f"WITH {KP} SELECT id FROM kp WHERE category = 'fact' EXCEPT SELECT id FROM kp WHERE confidence < 0.5")
@@ -144,9 +136,9 @@ def gra_evidence_chain(s, d):
     return a.join(e.where("rel = 'PART_OF'").select(F.col("src").alias("chunk"), F.col("dst").alias("doc")), "chunk")
 
 
-@query("""WITH w AS (SELECT doc_id AS id, list_filter(string_split(substring(text, 1, 60), ' '), lambda x: x <> '') AS w FROM documents) SELECT id, i AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM w)""")
+@query("""WITH w AS (SELECT doc_id AS id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents) SELECT id, i AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM w)""")
 def gra_consecutive_triples(s, d):
-    w = F.filter(F.split(F.substring("text", 1, 60), " "), lambda x: x != "")
+    w = F.filter(F.split("text", " "), lambda x: x != "")
     held = _texts(s, d).select("id", w.alias("w")).where("size(w) > 1")
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     return held.select("id", F.posexplode(pairs).alias("p", "x")).select("id", (F.col("p") + 1).cast("long").alias("pos"), "x.a", "x.b")
@@ -171,9 +163,9 @@ def ctg_personal_order(s, d):
     return v.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("visits"), "event_type")))
 
 
-@query(f"WITH {KP}, n AS (SELECT unnest(['A','B','C']) AS name) SELECT DISTINCT id, name FROM kp, n WHERE id < 40 AND status = 'active'")
+@query(f"WITH {KP}, n AS (SELECT unnest(['A','B','C']) AS name) SELECT DISTINCT id, name FROM kp, n WHERE status = 'active'")
 def ctg_bulk_assignment(s, d):
-    return knowledge(s, d).where("id < 40 and status = 'active'").select("id", F.explode(F.array(*map(F.lit, "ABC"))).alias("name"))
+    return knowledge(s, d).where("status = 'active'").select("id", F.explode(F.array(*map(F.lit, "ABC"))).alias("name"))
 
 
 @query(f"WITH {KP} SELECT CASE category WHEN 'concept' THEN 'theory' WHEN 'method' THEN 'practice' ELSE 'other' END AS grp, count(*) AS n FROM kp GROUP BY 1 HAVING count(*) >= 3")
@@ -240,7 +232,7 @@ def med_speech_report(s, d):
 
 @query()
 def med_capped_segments(s, d):
-    e = read(s, d, "events").where("user_id < 20").select("user_id", (F.unix_seconds(F.col("ts").cast("timestamp")).cast("double") / 3600).alias("start"), F.col("event_type").alias("text"))
+    e = read(s, d, "events").select("user_id", (F.unix_seconds(F.col("ts").cast("timestamp")).cast("double") / 3600).alias("start"), F.col("event_type").alias("text"))
     return timeline.capped_segments(e.withColumn("stop", F.col("start") + 0.5), "user_id", 2.0, 60.0)
 
 

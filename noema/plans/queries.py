@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noema.functions import scores, text
 from noema.operators import categories, dedup, graph, listing, memory, retrieval, timeline
+from noema.operators.blocks import small
 from noema.plans.views import EDGES, KP, OPS, TOKENS, VECTORS
 from noema.sources import parsers
 from noema.sources.tables import edges, knowledge, memory_ops, read
@@ -292,9 +293,10 @@ def dup_prefix(s, d):
     return dedup.first_by_prefix(_texts(s, d), "text").select("id", F.substring("text", 1, 50).alias("prefix"))
 
 
-@query(f"WITH {VECTORS} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 4) AS sim FROM vec a JOIN vec b ON a.label = b.label AND a.id < b.id WHERE round(list_cosine_similarity(a.v, b.v), 4) >= 0.85")
+@query(f"WITH {VECTORS} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 4) AS sim FROM vec a JOIN vec b ON a.id % 20 = 0 AND a.id <> b.id WHERE round(list_cosine_similarity(a.v, b.v), 4) >= 0.85")
 def dup_similar(s, d):
-    return dedup.similar_pairs(_vectors(s, d), 0.85, "label")
+    v = _vectors(s, d)
+    return dedup.similar_pairs(v.where("id % 20 = 0"), v, 0.85)
 
 
 @query(f"WITH {KP} SELECT id, CASE WHEN id % 7 = 0 OR confidence >= 0.95 THEN 'skip' WHEN confidence >= 0.85 THEN 'warn' ELSE 'proceed' END AS strict, CASE WHEN id % 7 = 0 THEN 'skip' WHEN confidence >= 0.85 THEN 'warn' ELSE 'proceed' END AS loose, CASE WHEN id % 7 = 0 OR confidence >= 0.85 THEN 'warn' ELSE 'proceed' END AS manual FROM kp")
@@ -313,11 +315,12 @@ def dup_stats(s, d):
     return dedup.exact(_texts(s, d), "text").agg(F.count("*").alias("tracked"), F.count_if(F.col("version") > 1).alias("repeated"), F.sum(F.col("version") - 1).alias("surplus"))
 
 
-@query("""WITH t AS (SELECT doc_id AS id, source, list_distinct(string_split(substring(text, 1, 60), '')) AS c FROM documents WHERE doc_id < 120)
-SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))), 6) AS sim FROM t a JOIN t b ON a.source = b.source AND a.id < b.id""")
+@query("""WITH t AS (SELECT doc_id AS id, list_distinct(string_split(text, '')) AS c FROM documents)
+SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))), 6) AS sim FROM t a JOIN t b ON b.id = a.id + 1""")
 def set_char_jaccard(s, d):
-    t = read(s, d, "documents").where("doc_id < 120").select(F.col("doc_id").alias("id"), "source", F.substring("text", 1, 60).alias("t"))
-    pairs = t.select(F.col("id").alias("a"), "source", F.col("t").alias("ta")).join(t.select(F.col("id").alias("b"), "source", F.col("t").alias("tb")), "source").where("a < b")
+    # each document with the next by id
+    t = _texts(s, d)
+    pairs = t.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), F.col("b") == F.col("a") + 1)
     return pairs.select("a", "b", _r(text.char_jaccard(F.col("ta"), F.col("tb"))).alias("sim"))
 
 
@@ -432,10 +435,11 @@ def gra_community_sizes(s, d):
     return graph.label_propagation(edges(s, d)).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(20)
 
 
-@query("SELECT concat('p', p_partkey) AS node FROM part WHERE p_partkey <= 50")
+@query(f"WITH {EDGES}, nodes AS (SELECT concat('p', p_partkey) AS node FROM part UNION ALL SELECT concat('s', s_suppkey) FROM supplier) SELECT node FROM nodes WHERE node NOT IN (SELECT src FROM both_ways)")
 def gra_orphans(s, d):
-    nodes = read(s, d, "part").where("p_partkey <= 50").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
-    return graph.orphans(nodes, edges(s, d))
+    part = read(s, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
+    supplier = read(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    return graph.orphans(part.unionByName(supplier), edges(s, d))
 
 
 @query(f"WITH {EDGES} SELECT src, dst, conf FROM edges WHERE rel = 'CONFLICTS_WITH' AND (src = 'n1' OR dst = 'n1')")
@@ -477,7 +481,7 @@ def ctg_merge_suggestions(s, d):
     n = read(s, d, "nation").select("n_nationkey", "n_name")
     a, b = n.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("a")), n.select(F.col("n_nationkey").alias("j"), F.col("n_name").alias("b"))
     la, lb = F.lower("a"), F.lower("b")
-    return a.join(F.broadcast(b), (F.col("i") < F.col("j")) & (la.contains(lb) | lb.contains(la))).select("a", "b", F.when(la == lb, 1.0).otherwise(0.9).alias("sim"))
+    return a.join(small(b), (F.col("i") < F.col("j")) & (la.contains(lb) | lb.contains(la))).select("a", "b", F.when(la == lb, 1.0).otherwise(0.9).alias("sim"))
 
 
 # time

@@ -1,6 +1,6 @@
 """The derived views as SQL, for the oracle."""
 
-KP = """kp AS (SELECT doc_id AS id, substring(text,1,200) AS fact, CASE doc_id % 5 WHEN 0 THEN 'concept' WHEN 1 THEN 'fact' WHEN 2 THEN 'method' WHEN 3 THEN 'opinion' ELSE 'pending' END AS category, source, lang, CAST((doc_id * 37) % 101 AS DOUBLE) / 100 AS confidence, CAST(2 + doc_id % 4 AS DOUBLE) AS feedback_alpha, CAST(2 + doc_id % 3 AS DOUBLE) AS feedback_beta, CAST(doc_id % 9 AS INT) AS interaction_count, DATE '2024-01-01' + CAST((doc_id * 13) % 365 AS INT) AS created_on, CASE WHEN doc_id % 17 = 0 THEN 'replaced' WHEN doc_id % 23 = 0 THEN 'error' ELSE 'active' END AS status FROM documents)"""
+KP = """kp AS (SELECT doc_id AS id, text AS fact, CASE doc_id % 5 WHEN 0 THEN 'concept' WHEN 1 THEN 'fact' WHEN 2 THEN 'method' WHEN 3 THEN 'opinion' ELSE 'pending' END AS category, source, lang, CAST((doc_id * 37) % 101 AS DOUBLE) / 100 AS confidence, CAST(2 + doc_id % 4 AS DOUBLE) AS feedback_alpha, CAST(2 + doc_id % 3 AS DOUBLE) AS feedback_beta, CAST(doc_id % 9 AS INT) AS interaction_count, DATE '2024-01-01' + CAST((doc_id * 13) % 365 AS INT) AS created_on, CASE WHEN doc_id % 17 = 0 THEN 'replaced' WHEN doc_id % 23 = 0 THEN 'error' ELSE 'active' END AS status FROM documents)"""
 
 EDGES = """edges AS (SELECT concat('n', n_nationkey) AS src, concat('r', n_regionkey) AS dst, 'PART_OF' AS rel, CAST(0.9 AS DOUBLE) AS conf FROM nation
 UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey), 'BELONGS_TO', CAST(c_custkey % 50 AS DOUBLE) / 100 + 0.5 FROM customer
