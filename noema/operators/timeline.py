@@ -82,3 +82,19 @@ def events_in(text: F.Column) -> F.Column:
     """Year-month pairs that a text names as YYYY-MM or YYYY年M月, distinct and in order."""
     found = F.concat(F.regexp_extract_all(text, F.lit(r"(?<![0-9])([12][0-9]{3})-(0[1-9]|1[0-2])(?![0-9])"), F.lit(0)), F.transform(F.regexp_extract_all(text, F.lit(r"([12][0-9]{3})年(1[0-2]|[1-9])月"), F.lit(0)), lambda m: F.concat_ws("-", F.regexp_extract(m, r"^([0-9]{4})", 1), F.lpad(F.regexp_extract(m, r"年([0-9]+)月", 1), 2, "0"))))
     return F.array_sort(F.array_distinct(found))
+
+
+def anchor(said: F.Column, today: F.Column) -> F.Column:
+    """The first day that a relative expression means; null for others. Weeks begin on Monday."""
+    monday = F.trunc(today, "week")
+    names = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+    days = {"today": today, "yesterday": F.date_sub(today, 1), "tomorrow": F.date_add(today, 1)}
+    for unit, start in (("week", monday), ("month", F.trunc(today, "month")), ("quarter", F.trunc(today, "quarter")), ("year", F.trunc(today, "year"))):
+        step = {"week": lambda x, n: F.date_add(x, 7 * n), "month": F.add_months, "quarter": lambda x, n: F.add_months(x, 3 * n), "year": lambda x, n: F.add_months(x, 12 * n)}[unit]
+        days |= {f"last {unit}": step(start, -1), f"this {unit}": start, f"next {unit}": step(start, 1)}
+    for k, name in enumerate(names):
+        days |= {f"last {name}": F.date_add(monday, k - 7), f"this {name}": F.date_add(monday, k), f"next {name}": F.date_add(monday, k + 7)}
+    out, low = F.lit(None).cast("date"), F.lower(F.trim(said))
+    for name, day in days.items():
+        out = F.when(low == name, day).otherwise(out)
+    return out

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from noema.functions import scores, text
-from noema.operators import dedup, graph, listing, retrieval, timeline
+from noema.operators import categories, dedup, graph, listing, retrieval, timeline
 from noema.sources import parsers
 
 
@@ -119,3 +119,49 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = events.window_counts(src.withColumn("ts", F.col("ts").cast("timestamp")))
     assert sorted(map(str, rows(spark.table("wc").select("start", "event_type", "n")))) == sorted(map(str, rows(batch.select("start", "event_type", "n"))))
+
+
+def test_compare_sources_in_many_blocks(spark, monkeypatch):
+    from noema.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    facts = [(f"s{k % 3}", None if k == 5 else "abcdefghij"[k % 4 : k % 9 + 2] + "xyz"[: k % 3], (k * 37 % 101) / 100) for k in range(60)] + [(None, "abc", 0.9)]
+    want = {}
+    for a, x, p in facts:
+        for b, y, q in facts:
+            if a and b and x is not None and y is not None and a < b:
+                union = set(x) | set(y)
+                sim = len(set(x) & set(y)) / len(union) if union else 0
+                n = want.setdefault((a, b), [0, 0])
+                n[0] += sim > 0.5 and p > 0.7 and q > 0.7
+                n[1] += 0.15 < sim <= 0.4 and abs(p - q) > 0.2
+    got = categories.compare_sources(spark.createDataFrame(facts, "source string, fact string, confidence double")).collect()
+    assert {(r.source_a, r.source_b): [r.agreeing, r.conflicting] for r in got} == want
+
+
+def test_similar_pairs_in_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from noema.operators import blocks, dedup
+
+    monkeypatch.setattr(blocks, "BLOCK", 9)
+    v = np.random.default_rng(3).normal(size=(40, 3))
+    v[7] = 0
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    got = {(r.a, r.b): r.sim for r in dedup.similar_pairs(df.where("id % 4 = 0"), df, 0.8).collect()}
+    want = {(a, b): round(float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b])), 4) for a in range(0, 40, 4) for b in range(40) if a != b and b != 7}
+    assert got == {k: s for k, s in want.items() if s >= 0.8}
+
+
+def test_capped_segments_split_at_pauses(spark):
+    rows_ = [("a", 0.0, 1.0, "x"), ("a", 1.5, 3.0, "y"), ("a", 9.0, 10.0, "z"), ("b", 0.0, 40.0, "p"), ("b", 40.0, 80.0, "q"), (None, 0.0, 1.0, None)]
+    got = timeline.capped_segments(spark.createDataFrame(rows_, "key string, start double, stop double, text string"), "key", 2.0, 60.0)
+    assert sorted((r.key or "", r.segment, r.text, r.length) for r in got.collect()) == [("", 0, "", 1.0), ("a", 0, "x y", 2.5), ("a", 1, "z", 1.0), ("b", 0, "p", 40.0), ("b", 1, "q", 40.0)]
+
+
+def test_small_only_broadcasts_what_is_small(spark):
+    from noema.operators.blocks import small
+
+    few = spark.range(5)
+    assert "broadcast" in small(few)._jdf.queryExecution().logical().toString()
+    assert "broadcast" not in small(few, most=4)._jdf.queryExecution().logical().toString()
