@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noema.functions.scores import norm
@@ -17,9 +17,9 @@ def exact(docs: DataFrame, text: str) -> DataFrame:
 
 
 def first_by_prefix(docs: DataFrame, text: str, chars: int = 50) -> DataFrame:
-    """The row of the smallest id for each prefix."""
-    rank = F.row_number().over(Window.partitionBy(F.substring(text, 1, chars)).orderBy("id"))
-    return docs.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The row of the smallest id for each prefix; an aggregate, so a frequent prefix is reduced before the shuffle."""
+    row = F.struct(*docs.columns)
+    return docs.groupBy(F.substring(text, 1, chars).alias("_prefix")).agg(F.min_by(row, F.struct("id", text)).alias("_row")).select("_row.*")
 
 
 def similar_pairs(asked: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:

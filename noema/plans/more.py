@@ -111,8 +111,9 @@ def cnf_source_trust(s, d):
 
 @query(f"WITH {KP} SELECT id, round(0.216 * confidence + 0.784 * avg(confidence) OVER (PARTITION BY source), 6) AS conf FROM kp")
 def cnf_closed_form(s, d):
-    m = F.avg("confidence").over(Window.partitionBy("source"))
-    return knowledge(s, d).select("id", _r(0.216 * F.col("confidence") + 0.784 * m).alias("conf"))
+    k = knowledge(s, d).select("id", "source", "confidence")
+    m = k.groupBy(F.col("source").alias("of")).agg(F.avg("confidence").alias("m"))
+    return k.join(m, F.col("source").eqNullSafe(F.col("of"))).select("id", _r(0.216 * F.col("confidence") + 0.784 * F.col("m")).alias("conf"))
 
 
 # graph
@@ -178,8 +179,9 @@ def ctg_structural(s, d):
 
 @query("SELECT user_id, event_id, arg_max(event_type, (value, event_id)) OVER (PARTITION BY user_id) AS best FROM events")
 def win_best_by_key(s, d):
-    best = F.max_by("event_type", F.struct("value", "event_id")).over(Window.partitionBy("user_id"))
-    return read(s, d, "events").select("user_id", "event_id", best.alias("best"))
+    e = read(s, d, "events").select("user_id", "event_id", "event_type", "value")
+    best = e.groupBy("user_id").agg(F.max_by("event_type", F.struct("value", "event_id")).alias("best"))
+    return e.join(best, "user_id").select("user_id", "event_id", "best")
 
 
 @query(f"WITH {KP} SELECT CAST(created_on AS VARCHAR)[1:7] AS key, category, count(*) AS n FROM kp WHERE category IN ('fact','method') GROUP BY ALL")

@@ -272,8 +272,10 @@ def agg_multi_source_merge(s, d):
 def agg_version_chains(s, d):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("category")
-    return knowledge(s, d).select("category", "id", F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(F.desc("created_on"), "id")).alias("rank")).where("rank <= 3 and n >= 2")
+    k = knowledge(s, d).select("category", "id", "created_on")
+    # the first three are cut before the shuffle, and the counts are combined before theirs
+    newest = k.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("created_on"), "id"))).where("rank <= 3")
+    return newest.join(k.groupBy("category").agg(F.count("*").alias("n")).where("n >= 2"), "category").select("category", "id", "n", "rank")
 
 
 @query(f"WITH {KP} SELECT category, source, count(*) AS n FROM kp GROUP BY ROLLUP (category, source)")
