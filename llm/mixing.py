@@ -30,6 +30,8 @@ SEED = 29
 REST = 1 << 16
 #: Hash ranges of a length's documents; only the one in which a draw ends is ranked.
 LANES = 256
+#: Sources up to which their plan is broadcast; more are joined by hash.
+SENT = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = REPEATS) -> list[float]:
@@ -121,6 +123,7 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = REPEATS, weights: tup
     plan["passes"] = [min(most, int(t // s)) if s else 0 for t, s in zip(goal, sizes, strict=True)]
     plan["budget"] = [int(round(t - p * s)) for t, s, p in zip(goal, sizes, plan.passes, strict=True)]
     kind = "source string, source_size long, target double, passes long, budget long"
+    sent = F.broadcast if len(by_source) <= SENT else lambda df: df
     plan_rows = spark.createDataFrame([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in plan.astype(object).itertuples(index=False)], kind)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +135,7 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = REPEATS, weights: tup
             g = g.assign(take=fit_lengths(g["size"].to_numpy(), g["count"].to_numpy(), int(g["budget"].iloc[0])))
             yield g[["source", "size", "take"]]
 
-    lengths = counts.join(F.broadcast(plan_rows.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "count", "budget")
+    lengths = counts.join(sent(plan_rows.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "count", "budget")
     take = settle(lengths.repartition("source").mapInPandas(fit, "source string, size long, take long"))
     lane = F.shiftrightunsigned(draw, 56).cast("int")
     ahead = Window.partitionBy("source", "size").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,5 +151,5 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = REPEATS, weights: tup
     lanes = lanes.join(last, F.col("s").eqNullSafe(F.col("es")) & (F.col("z") == F.col("ez")) & (F.col("l") == F.col("el")), "left").select("s", "z", "l", "last", (F.col("wanted") == F.col("count")).alias("all"))
     again = named if more else rows
     both = again.withColumn("draw", draw).withColumn("lane", lane).join(lanes, meets).withColumn("more", (F.col("all") | F.coalesce(F.col("draw") <= F.col("last"), F.lit(False))).cast("long")).drop("s", "z", "l")
-    out = both.join(F.broadcast(plan_rows.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
+    out = both.join(sent(plan_rows.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken"), "source", *[F.col(f"_of_{c}").alias(c) for c in more])

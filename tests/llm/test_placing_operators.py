@@ -120,6 +120,14 @@ def test_pipeline_stages_do_their_work(spark, tmp_path):
     assert most <= 2 and kept[5].select("doc_id").distinct().count() == kept[4].select("doc_id").distinct().count()
 
 
+def test_mix_of_many_sources_needs_no_broadcast(docs, monkeypatch):
+    from llm import mixing
+
+    want = sorted(map(str, mix(docs).collect()))
+    monkeypatch.setattr(mixing, "SENT", 0)
+    assert sorted(map(str, mix(docs).collect())) == want
+
+
 def test_mixing_stage_survives_clashing_columns(spark, docs):
     import corpus_pipeline as p
 
