@@ -15,6 +15,10 @@ The plan, over documents reduced to their sets of distinct word shingles:
    prefix shingles and compatible sizes stay; longer lists (large families of
    near copies) give one edge from each group to the list's first group, never
    all pairs. What is connected is a family.
+   ``refined``: shingles that are too frequent for short lists and too rare for
+   the summary can chain unlike documents into one large family. Families of
+   more than ``REFINED`` blocks are filtered once more, in the exact order of
+   counts within the family, which lets go of all but what is alike.
 4. ``verified_links``: the families' members are expanded and verified on
    their whole texts, in blocks of bounded size, every pair of blocks of a
    family in a task of its own. A task only returns the links that connect
@@ -47,6 +51,8 @@ COMMON = 4
 SHORT = 32
 #: Shingles of a family's block, about; two blocks meet in a task.
 BLOCK = 1 << 19
+#: Blocks of a family above which its exact order is worth two more shuffles of its shingles.
+REFINED = 8
 #: Bits of the filter that spares most texts the way to the families.
 BITS = 1 << 24
 
@@ -119,26 +125,34 @@ def _prefix(s: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
     return s[np.sort(np.concatenate([rare, rest]))]
 
 
+def _weighed(flat: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The summary's count of each shingle, 0 for those that it doesn't have."""
+    high, count = heavy
+    if not len(high) or not len(flat):
+        return np.zeros(len(flat), np.int64)
+    at = np.minimum(np.searchsorted(high, flat), len(high) - 1)
+    return np.where(high[at] == flat, count[at], 0)
+
+
+def _prefix_length(n: int, num: int, den: int) -> int:
+    need = -(-num * n // den)
+    return n - need + min(COMMON, need)
+
+
 def signatures(docs: DataFrame, width: int, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n, digest of the set, group (digest of prefix and size), prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        high, count = shared.value
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            weight = np.zeros(len(flat), np.int64)
-            if len(high) and len(flat):
-                at = np.minimum(np.searchsorted(high, flat), len(high) - 1)
-                weight = np.where(high[at] == flat, count[at], 0)
+            weight = _weighed(np.concatenate(sets) if sets else np.zeros(0, np.uint64), shared.value)
             n, digest, group, prefix, begin = [], [], [], [], 0
             for s in sets:
                 m = len(s)
                 n.append(m)
                 if m:
-                    need = -(-num * m // den)
-                    p = _prefix(s, weight[begin : begin + m], m - need + min(COMMON, need)).tobytes()
+                    p = _prefix(s, weight[begin : begin + m], _prefix_length(m, num, den)).tobytes()
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     group.append(hashlib.blake2b(p + m.to_bytes(8, "little"), digest_size=16).digest())
                     prefix.append(p)
@@ -155,6 +169,15 @@ def signatures(docs: DataFrame, width: int, num: int, den: int, heavy: tuple[np.
 _POSTING = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<u4")])
 
 
+def _dealt(records: np.ndarray, key: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The records in one packed row for each part that their keys fall into."""
+    part = (key % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    records, part = records[order], part[order]
+    found, at = np.unique(part, return_index=True)
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([x.tobytes() for x in np.split(records, at[1:])], pa.binary())], names=["part", "postings"])
+
+
 def candidate_edges(groups: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     """Edges a, b between the groups (gid, n, prefix) that may hold documents alike."""
 
@@ -168,11 +191,7 @@ def candidate_edges(groups: DataFrame, num: int, den: int, parts: int) -> DataFr
             all_["token"] = np.frombuffer(b"".join(prefix), np.uint64)
             all_["gid"] = np.repeat(np.array(gid, np.int64), length)
             all_["n"] = np.repeat(np.array(n, np.int64), length)
-            part = (all_["token"] % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            all_, part = all_[order], part[order]
-            found, at = np.unique(part, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([x.tobytes() for x in np.split(all_, at[1:])], pa.binary())], names=["part", "postings"])
+            yield _dealt(all_, all_["token"], parts)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [np.frombuffer(x, _POSTING) for batch in batches for x in batch.column(1).to_pylist()]
@@ -226,6 +245,84 @@ def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.withColumn("__bit", bit).mapInArrow(flag, kind)
 
 
+#: spare: how many of the document's most frequent shingles its prefix does without; df: 0 where it is to be counted.
+_COUNTED = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<u4"), ("spare", "<u4"), ("df", "<u4")])
+_FIXED = np.iinfo(np.uint32).max
+
+
+def refined(docs: DataFrame, members: DataFrame, width: int, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
+    """members (doc_id, family, n) in the smaller families that remain of theirs; those without a candidate are left out.
+
+    Within a family, the shingles that the summary doesn't have are counted
+    exactly and come first, rare ones first; then those of the summary. A
+    shingle that only one member has meets nothing and is only numbered. What
+    the summary has never goes to its counting task, so no task's lists are
+    longer than the summary's error.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    kind = "part long, postings binary"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, family = (x.to_pylist() for x in batch.columns)
+            sets = shingle_sets(texts, width)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            if not len(flat):
+                continue
+            weight, length = _weighed(flat, shared.value), np.array([len(s) for s in sets])
+            all_ = np.empty(len(flat), _COUNTED)
+            # a token of the family's own, so that families don't meet
+            all_["token"] = mix(flat ^ np.repeat(mix(np.array(family, np.int64).view(np.uint64)), length))
+            all_["gid"] = np.repeat(np.array(ids, np.int64), length)
+            all_["n"] = np.repeat(length, length)
+            all_["df"] = np.where(weight > 0, _FIXED, 0)
+            keep, begin = weight == 0, 0
+            for m in length.tolist():
+                some, want = slice(begin, begin + m), _prefix_length(m, num, den)
+                rare = int(keep[some].sum())
+                all_["spare"][some] = max(0, rare - want)
+                if want > rare:  # all rare ones are in the prefix, and of the others the first
+                    rest = begin + np.flatnonzero(weight[some])
+                    keep[rest[np.argsort(weight[rest], kind="stable")][: want - rare]] = True
+                begin += m
+            all_ = all_[keep]
+            yield _dealt(all_, np.where(all_["df"] > 0, all_["gid"].view(np.uint64), all_["token"]), parts)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, _COUNTED), *[np.frombuffer(x, _COUNTED) for batch in batches for x in batch.column(1).to_pylist()]])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = gathered(batches)
+        fixed, p = p[p["df"] > 0], p[p["df"] == 0]
+        p = p[np.argsort(p["token"], kind="stable")]
+        edge = np.flatnonzero(np.r_[True, p["token"][1:] != p["token"][:-1], True]) if len(p) else np.zeros(1, np.int64)
+        size = np.diff(edge)
+        p["df"] = np.repeat(np.minimum(size, _FIXED - 1), size)
+        p = np.concatenate([fixed, p[p["df"] > 1]])
+        for some in np.array_split(p, len(p) // 1_000_000 + 1):
+            if len(some):
+                yield _dealt(some, some["gid"].view(np.uint64), parts)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = gathered(batches)
+        p = p[np.lexsort((p["token"], p["df"], p["spare"], p["n"], p["gid"]))]
+        owner = p[["gid", "n", "spare"]]
+        edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(p) else np.zeros(1, np.int64)
+        # of the shingles met elsewhere, those before the spare ones; texts of one doc_id and size only make the prefix longer
+        rows = [(int(p["gid"][a]), int(p["n"][a]), p["token"][a : b - int(p["spare"][a])].tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > int(p["spare"][a])]
+        for at in range(0, len(rows), 10_000):
+            gid, n, found = zip(*rows[at : at + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array(n, pa.int64()), pa.array(found, pa.binary())], names=["gid", "n", "prefix"])
+
+    texts = _flagged(docs.where("doc_id is not null").select("doc_id", "text"), members.select("doc_id")).where("__maybe").join(members.select("doc_id", "family").distinct(), "doc_id")
+    counted = texts.select("doc_id", "text", "family").mapInArrow(deal, kind).repartition(parts, "part").mapInArrow(count, kind)
+    prefixes = settle(counted.repartition(parts, "part").mapInArrow(prefix, "gid long, n long, prefix binary"))
+    found = connected_components(candidate_edges(prefixes, num, den, parts))
+    out = settle(members.join(found, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("family"), "n").distinct())
+    unsettle(prefixes)
+    return out
+
+
 def _links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect documents alike; within one block (all sides 0) any pair counts, else pairs across sides."""
     token, inverse = np.unique(np.concatenate(sets), return_inverse=True)
@@ -264,9 +361,9 @@ def _links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int,
     return out
 
 
-def verified_links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def verified_links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """Links a, b between the members (doc_id, family, n) whose texts are alike."""
-    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
     placed = settle(members.join(blocks, "family").select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block")))
     texts = _flagged(docs.where("doc_id is not null").select("doc_id", "text"), placed.select("doc_id")).where("__maybe").join(placed, "doc_id")
     pairs = texts.select("doc_id", "text", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -321,7 +418,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
     return flagged.where("not __maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
-def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, block: int = BLOCK, counters: int = COUNTERS) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of word shingles of at least num / den.
 
     docs: doc_id (long), text; other columns are ignored. Returns one row per
@@ -330,11 +427,13 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den:
     and no link. A text shorter than ``width`` words is one shingle. Rows of a
     null doc_id come back with a null component and link with nothing; rows of
     one doc_id share a component. An empty table gives an empty result.
+    ``block`` and ``counters`` change the work, never the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settle(signatures(docs, width, num, den, heavy_shingles(docs, width)))
+    heavy = heavy_shingles(docs, width, counters)
+    signed = settle(signatures(docs, width, num, den, heavy))
     named = signed.where("n > 0 and doc_id is not null")
     groups = settle(named.groupBy("grp").agg(F.min("doc_id").alias("gid"), F.min("n").alias("n"), F.min("prefix").alias("prefix"), (F.min("digest") != F.max("digest")).alias("mixed")))
     postings = groups.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
@@ -343,13 +442,22 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den:
     near = groups.join(families, groups.gid == families.node, "left").where("mixed or component is not null").select("grp", F.coalesce("component", "gid").alias("family"))
     # one member for each distinct set; equal sets are linked without looking
     sets = named.groupBy("grp", "digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    members = sets.join(near, "grp").select(F.col("rep").alias("doc_id"), "family", "n").distinct()
-    links = settle(verified_links(docs, members, width, num, den))
+    members = settle(sets.join(near, "grp").select(F.col("rep").alias("doc_id"), "family", "n").distinct())
+    loads = members.groupBy("family").agg(F.sum("n").alias("load"), F.count("*").alias("size")).where("size > 1")
+    large = settle(loads.where(F.col("load") > REFINED * block).select("family", "load"))
+    wide = large.agg(F.sum("load")).first()[0]
+    spent = [signed, groups, families, members, large]
+    if wide:
+        more = max(parts, int(wide // 2_000_000) + 1)
+        fine = refined(docs, members.join(large, "family", "left_semi"), width, num, den, heavy, more)
+        spent.append(fine)
+        members = members.join(large, "family", "left_anti").unionByName(fine)
+    links = settle(verified_links(docs, members, width, num, den, block))
     copies = named.join(sets.select("digest", "rep"), "digest")
     ids = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = connected_components(links.unionByName(ids))
     sized = signed.select("doc_id", F.col("n").alias("n_shingles"))
     out = settle(sized.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
-    for used in (signed, groups, families, links):
+    for used in (*spent, links):
         unsettle(used)
     return out

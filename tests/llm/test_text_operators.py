@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm.importance import kth_highest, keep_sampled, resample, threshold
-from llm.jaccard_join import keep_one_of_each, ngram_jaccard_components
+from llm.jaccard_join import heavy_shingles, keep_one_of_each, ngram_jaccard_components, refined
 from llm.ppm import Trees, identify
 from llm.pseudonyms import pseudonymise
 from llm.shingles import PIECE, shingle_sets, words_of_batch
@@ -31,8 +31,8 @@ def test_words_of_pieces_are_those_of_the_whole():
     assert at.tolist() == [0, PIECE // 3 + 1, PIECE // 3 + 3] and set(h[:-2]) == set(h[-2:])
 
 
-@pytest.mark.parametrize(("width", "num", "den"), [(3, 90, 100), (5, 8, 10)])
-def test_jaccard_join_is_brute_force(docs, rows, width, num, den):
+@pytest.mark.parametrize(("width", "num", "den", "work"), [(3, 90, 100, {}), (5, 8, 10, {}), (3, 90, 100, {"block": 16}), (5, 8, 10, {"block": 16, "counters": 8}), (3, 1, 2, {"block": 16, "counters": 64})])
+def test_jaccard_join_is_brute_force(docs, rows, width, num, den, work):
     sets = [(i, shingles(t, width)) for i, t in rows if i is not None]
     root = {i: i for i, _ in sets}
 
@@ -45,7 +45,7 @@ def test_jaccard_join_is_brute_force(docs, rows, width, num, den):
         if x and y and den * len(x & y) >= num * len(x | y):
             p, q = find(a), find(b)
             root[max(p, q)] = min(p, q)
-    got = ngram_jaccard_components(docs, width, num, den).collect()
+    got = ngram_jaccard_components(docs, width, num, den, **work).collect()
     assert len(got) == len(rows)
     assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == sorted((i, find(i)) for i, _ in sets)
     assert sorted(r.n_shingles for r in got) == sorted(len(shingles(t, width)) for _, t in rows)
@@ -55,6 +55,22 @@ def test_jaccard_join_is_brute_force(docs, rows, width, num, den):
     assert sorted(ids) == sorted({find(i) for i, _ in sets})
 
 
+@pytest.mark.parametrize("counters", [8, 1 << 18])
+def test_refined_family_keeps_only_what_is_alike(spark, counters):
+    """Texts chained by passages that every one of them has, with a pair of near copies among each ten."""
+    shared = [" ".join(f"s{p}x{k}" for k in range(9)) for p in range(4)]
+    own = [[f"o{i}x{k}" for k in range(40)] for i in range(120)]
+    for i in range(1, 120, 10):
+        own[i] = [*own[i - 1][:39], f"o{i}"]
+    rows = [(i, " ".join([*own[i], *shared])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    members = docs.selectExpr("doc_id", "0L as family", "74L as n")
+    got = refined(docs, members, 3, 90, 100, heavy_shingles(docs, 3, counters), 6).collect()
+    assert sorted((r.doc_id, r.family) for r in got) == sorted((i + k, i) for i in range(0, 120, 10) for k in (0, 1))
+    found = ngram_jaccard_components(docs, 3, 90, 100, block=64, counters=counters).where("doc_id <> component_id").collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(i + 1, i) for i in range(0, 120, 10)]
+
+
 def test_large_family_and_long_lists(spark):
     base = [f"w{k}" for k in range(200)]
     rows = [(k, " ".join(base[:k] + [f"own{k}"] + base[k + 1 :])) for k in range(80)]
