@@ -45,6 +45,12 @@ def _vectors(s, d):
     return read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
+def _context_lines(s, d, fact):
+    t = knowledge(s, d).where("status = 'active'").orderBy(F.desc("confidence"), "id").limit(12)
+    old = F.when(F.datediff(F.lit("2025-06-01").cast("date"), "created_on") > 365, " (old)").otherwise("")
+    return t.select("id", F.when(F.col("confidence") >= 0.4, 0).otherwise(1).alias("part"), F.concat(F.lit("["), "category", F.lit("] "), fact, old).alias("line"))
+
+
 # retrieval
 
 _BM25 = f"""{TOKENS}, st AS (SELECT count(*) AS total, avg(len(t)) AS avgdl FROM tok),
@@ -133,9 +139,12 @@ def ret_gap_check(s, d):
 
 @query(f"WITH {KP}, t AS (SELECT * FROM kp WHERE status = 'active' ORDER BY confidence DESC, id LIMIT 12) SELECT id, CASE WHEN confidence >= 0.4 THEN 0 ELSE 1 END AS part, concat('[', category, '] ', substring(fact, 1, 40), CASE WHEN date_diff('day', created_on, DATE '2025-06-01') > 365 THEN ' (old)' ELSE '' END) AS line FROM t")
 def ret_context_lines(s, d):
-    t = knowledge(s, d).where("status = 'active'").orderBy(F.desc("confidence"), "id").limit(12)
-    old = F.when(F.datediff(F.lit("2025-06-01").cast("date"), "created_on") > 365, " (old)").otherwise("")
-    return t.select("id", F.when(F.col("confidence") >= 0.4, 0).otherwise(1).alias("part"), F.concat(F.lit("["), "category", F.lit("] "), F.substring("fact", 1, 40), old).alias("line"))
+    return _context_lines(s, d, F.substring("fact", 1, 40))
+
+
+@query()
+def ret_context_lines_whole(s, d):
+    return _context_lines(s, d, F.col("fact"))
 
 
 @query(f"WITH {TOKENS} SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(t, lambda x: length(x) >= 2 AND x NOT IN ('the','and','of','to'))) AS word FROM tok) GROUP BY word ORDER BY n DESC, word LIMIT 20")
