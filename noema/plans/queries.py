@@ -446,6 +446,16 @@ def gra_community_sizes(s, d):
     return graph.label_propagation(edges(s, d)).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(20)
 
 
+@query()
+def gra_communities_5_rounds(s, d):
+    return graph.label_propagation(edges(s, d), 5)
+
+
+@query()
+def gra_community_sizes_5_rounds(s, d):
+    return graph.label_propagation(edges(s, d), 5).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(20)
+
+
 @query(f"WITH {EDGES}, nodes AS (SELECT concat('p', p_partkey) AS node FROM part UNION ALL SELECT concat('s', s_suppkey) FROM supplier) SELECT node FROM nodes WHERE node NOT IN (SELECT src FROM both_ways)")
 def gra_orphans(s, d):
     part = read(s, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
