@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import settle, small_batches, unsettle
+from llm.common import WORD, settle, small_batches, unsettle
 from llm.components import connected_components
 from llm.shingles import mix, shingle_sets
 
@@ -226,9 +226,9 @@ def candidate_edges(groups: DataFrame, num: int, den: int, parts: int) -> DataFr
     return pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.max("far").alias("far"), F.min("need").alias("need")).where("far or common >= need").select("a", "b")
 
 
-def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs with the boolean __maybe: whether its doc_id may be among ids. A filter of fixed size that misses none of them."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+def _flagged(docs: DataFrame, ids: DataFrame, by: str = "doc_id") -> DataFrame:
+    """docs with the boolean __maybe: whether its doc_id (or column ``by``) may be among ids. A filter of fixed size that misses none of them."""
+    bit = F.pmod(F.xxhash64(by), F.lit(BITS))
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toPandas()
     bits = np.zeros(BITS // 64, np.int64)
     bits[words["word"].to_numpy(int)] = words["mask"].to_numpy(np.int64)
@@ -401,6 +401,33 @@ def verified_links(docs: DataFrame, members: DataFrame, width: int, num: int, de
     return sent.mapInArrow(verify, "a long, b long")
 
 
+def text_key() -> F.Column:
+    """What tells rows apart by doc_id and text; texts without a word count as none."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.when(F.col("text").rlike(WORD), F.col("text")))
+
+
+def text_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """Classes of ``ngram_jaccard_components`` among rows by their own texts, whatever ids they share or lack.
+
+    Returns one row for each ``text_key`` that is linked to another or that
+    several rows have: key, component (smallest key of its class), n (rows).
+    """
+    keyed = docs.select(text_key().alias("doc_id"), "text")
+    again = settle(keyed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"))
+    repeats = not again.isEmpty()
+    if repeats:
+        # one row of each key, so that rows alike in everything aren't compared among themselves
+        flagged = _flagged(keyed, again)
+        once = flagged.where("__maybe").groupBy("doc_id").agg(F.max("text").alias("text"))
+        keyed = settle(flagged.where("not __maybe").select("doc_id", "text").unionByName(once))
+    found = ngram_jaccard_components(keyed, width, num, den).select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).where("key <> component")
+    linked = found.unionByName(found.select(F.col("component").alias("key"), "component").distinct())
+    if not repeats:
+        return settle(linked.withColumn("n", F.lit(1).cast("long")))
+    both = linked.join(again.withColumnRenamed("doc_id", "key"), "key", "full")
+    return settle(both.select("key", F.coalesce("component", "key").alias("component"), F.coalesce("n", F.lit(1)).cast("long").alias("n")))
+
+
 def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """The rows of docs that stay when each class of ``ngram_jaccard_components`` keeps the document of its smallest doc_id.
 

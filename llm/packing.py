@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import n_words, settle
+from llm.jaccard_join import text_key
 
 #: Words of a bin, documents of a source that may share one, documents of a shard (about).
 CAPACITY = 4096
@@ -58,7 +59,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int = SHARD, cluster: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int = SHARD, cluster: str | None = None, alike: DataFrame | None = None) -> DataFrame:
     """Every row of docs (doc_id, text, source) placed in bins.
 
     A text of more than ``capacity`` words fills bins of its own and its last
@@ -66,15 +67,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     part (from 0), size (words of the part), source, cluster, bin (its shard and
     number), bin_start (words before it in the bin). ``cluster`` names a column
     with the duplicate cluster; without it, texts with the same words (A-Z
-    lower-cased) are one cluster. Null and empty texts have one part of size 0
+    lower-cased) are one cluster. ``alike`` has classes of near copies instead,
+    as ``jaccard_join.text_classes`` gives them. Null and empty texts have one part of size 0
     in no bin (null). A null source is a source of its own. Rows of one id are
     packed one by one; rows alike in everything are each other's copies and so
     never share a bin. An empty table gives no rows.
     """
     spark = docs.sparkSession
     same = F.xxhash64(F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")))
-    rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("words"), (F.xxhash64(cluster) if cluster else same).alias("cluster")))
+    rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("words"), (text_key() if alike is not None else F.xxhash64(cluster) if cluster else same).alias("cluster")))
     total = rows.count()
+    if alike is not None:
+        rows = rows.join(alike, F.col("cluster") == F.col("key"), "left").select("doc_id", "source", "words", F.coalesce("component", "cluster").alias("cluster"))
     shards = max(1, -(-total // shard))
     parts = F.greatest(F.ceil(F.col("words") / capacity), F.lit(1)).cast("int")
     split = rows.select("doc_id", "source", "cluster", "words", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))

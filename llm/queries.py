@@ -15,9 +15,11 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.jaccard_join import text_classes
     from llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, alike=text_classes(docs))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
