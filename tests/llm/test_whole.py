@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+from llm.mixing import mix
 from llm.queries import QUERIES
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -25,3 +26,15 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
     for r in got:
         bins[r.bin].append(r.cluster)
     assert all(len(set(b)) == len(b) for b in bins.values())
+
+
+def test_ties_of_the_last_draw_are_taken_one_by_one(spark):
+    rows = [(None, f"word {k}", "s0") for k in range(400)] + [(7, f"term {k}", "s1") for k in range(300)] + [(k, "a b c d", "s2") for k in range(200)]
+    docs = documents(spark, rows)
+    for carry in ((), ("lang", "n_chars")):
+        got = mix(docs, share=0.5, carry=carry).collect()
+        assert len(got) == len(rows)
+        for s in ("s0", "s1", "s2"):
+            mine = [r for r in got if r.source == s]
+            assert {r.taken for r in mine} == {0, mine[0]["size"]}
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= mine[0]["size"]
