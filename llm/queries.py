@@ -64,13 +64,13 @@ def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from llm.vectors import exact_top_k
+    from llm.maxscore import exact_top_k
 
     return exact_top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
 def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from llm.vectors import nearest
+    from llm.projections import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 

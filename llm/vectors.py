@@ -1,23 +1,15 @@
-"""Operators 9 and 10: exact top-k by MaxScore, and approximate neighbours by stable projections.
-
-Both deal the vectors by hash into shards of about ``SHARD`` rows and send each
-block of queries to every shard; a task holds one shard and one block. The
-shards' answers are merged by a window over each query's few rows.
-"""
+"""What the two vector searches share: usable rows, blocks of queries and the merge of shards."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import settle
-
+#: Vectors of a shard and queries of a block, about; one of each meets in a task.
 SHARD = 4096
-QUERIES = 1024
+QUERIES = 4096
 
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
@@ -28,193 +20,35 @@ def usable(vectors: DataFrame, zero: bool) -> DataFrame:
     return rows if zero else rows.where(F.exists("v", lambda x: x != 0))
 
 
-def _search(rows: DataFrame, every: int, k: int, score_type: str, kernel) -> DataFrame:
-    """kernel(query matrix, shard matrix) -> for each query: indices, scores; run on every block and shard."""
-    rows = settle(rows)
-    n = rows.count()
-    shards = max(1, -(-n // SHARD))
-    queries = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-queries.count() // QUERIES))
-    data = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = queries.select("vec_id", "v", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def task(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(q) and len(d):
-            ids, own = d["vec_id"].to_numpy(), q["vec_id"].to_numpy()
-            width = d["v"].map(len).to_numpy()
-            for w in sorted(set(q["v"].map(len))):  # vectors of other lengths have no inner product
-                at, of = np.flatnonzero(width == w), np.flatnonzero(q["v"].map(len).to_numpy() == w)
-                if not len(at):
-                    continue
-                order = at[np.argsort(ids[at], kind="stable")]  # so that ties go to the smaller id
-                found = kernel(np.stack(q["v"].iloc[of].to_list()), own[of], np.stack(d["v"].iloc[order].to_list()), ids[order])
-                for i, (index, score) in zip(of, found, strict=True):
-                    out["query_id"] += [own[i]] * len(index)
-                    out["vec_id"] += ids[order[index]].tolist()
-                    out["score"] += score.tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "int64" if score_type == "long" else "float64"})
-
-    found = asked.groupBy("shard", "block").cogroup(data.groupBy("shard", "block")).applyInPandas(task, f"query_id long, vec_id long, score {score_type}")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")).alias("rank")
-    return found.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
+def of_equal_ones(rows: DataFrame, k: int) -> DataFrame:
+    """rows (vec_id, v, ...) without those that no ranking of k can hold: of equal vectors, which always tie, the k + 1 smallest ids (one may be the query's own) stay. Spark cuts the groups before it shuffles them."""
+    equal = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
+    return rows.withColumn("nth", F.dense_rank().over(equal)).where(F.col("nth") <= k + 1).drop("nth")
+
+
+def block_of(vec_id: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(vec_id), F.lit(1)), F.lit(blocks)).cast("int")
+
 
+def matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_list())
 
-def _top(index: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores, ties to the lower index."""
+
+def top(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to the smaller id."""
     if len(score) > k:
         keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-        index, score = index[keep], score[keep]
-    order = np.lexsort((index, -score))[:k]
-    return index[order], score[order]
-
-
-#: Postings at the head of a query's highest terms that are scored for a first threshold.
-HEADS, HEAD_TERMS = 24, 12
-
-
-def maxscore(q: np.ndarray, own: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The k highest integer inner products of each query with the shard's vectors but its own.
-
-    Each dimension is two terms, one posting its positive and one its negative
-    components. A query's terms are those whose sign agrees with it; they alone
-    can raise a score, so the sum of query weight times a term's highest
-    posting bounds it. Terms are split by these bounds: the essential ones are
-    those without which the remaining bounds sum to less than the k-th score so
-    far (at first that of the heads of the highest terms' postings). Essential
-    postings are traversed; a vector met there is probed dimension by
-    dimension, by falling bound, while its score so far and the bounds left can
-    still reach the k-th score.
-    """
-    n, dims = d.shape
-    column = np.ascontiguousarray(d.T)
-    posted = {1: column > 0, -1: column < 0}
-    high = {1: np.maximum(column.max(axis=1), 0), -1: np.maximum(-column.min(axis=1), 0)}
-    heads = min(HEADS, n)
-    head = {s: np.argpartition(-s * column, heads - 1, axis=1)[:, :heads] for s in (1, -1)}
-    out = []
-    for x, self_id in zip(q, own, strict=True):
-        sign = np.where(x < 0, -1, 1)
-        bound = np.abs(x) * np.where(sign > 0, high[1], high[-1])
-        order = np.argsort(-bound, kind="stable")
-        left = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # left[j]: bounds of the terms from j on
-        start = np.unique(np.concatenate([head[sign[t]][t] for t in order[:HEAD_TERMS]]))
-        start = start[ids[start] != self_id]
-        least = np.sort(d[start] @ x)[-k] if len(start) >= k else None
-        if least is None or least <= 0:
-            hit = np.arange(n)  # a vector that no term posts can still be among the best
-        else:
-            met = np.zeros(n, bool)
-            for t in order[: int(np.searchsorted(-left, -least, side="right"))]:
-                met |= posted[sign[t]][t]
-            hit = np.flatnonzero(met)
-        hit = hit[ids[hit] != self_id]
-        score = np.zeros(len(hit), d.dtype)
-        for j, t in enumerate(order):
-            if x[t]:
-                score += x[t] * column[t][hit]
-            if least is not None and j & 3 == 3:
-                ok = score + left[j + 1] >= least
-                if not ok.all():
-                    hit, score = hit[ok], score[ok]
-        out.append(_top(hit, score, k))
-    return out
-
-
-def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest integer inner products of each query.
-
-    vectors: vec_id, embedding. A component x counts as floor(scale * x). Rows
-    whose id is divisible by ``every`` are queries; all rows but the query's
-    own are candidates. Ties go to the smaller vec_id. Null vectors and those
-    with null or non-finite components take no part, nor do null ids; vectors
-    of different lengths don't meet. An empty table gives no rows.
-    """
-    rows = usable(vectors, zero=True).select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
-    return _search(rows, every, k, "long", lambda q, own, d, ids: maxscore(q, own, d, ids, k))
-
-
-#: Dimensions of the projection, points of a kd-tree leaf, and the chance at which the chi-square test stops.
-PROJECTED = 8
-LEAF = 64
-SURE = 0.99
-_SEED = 71
-
-
-def chi_square_cdf(x: np.ndarray, dims: int) -> np.ndarray:
-    """P(chi-square of an even number of dimensions <= x)."""
-    half = np.asarray(x, float) / 2
-    term, total = np.ones_like(half), np.ones_like(half)
-    for j in range(1, dims // 2):
-        term = term * half / j
-        total = total + term
-    return 1 - np.exp(-half) * total
-
-
-def kd_leaves(p: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
-    """Leaves of a kd-tree that halves the widest dimension at its median."""
-    todo, out = [np.arange(len(p))], []
-    while todo:
-        i = todo.pop()
-        if len(i) <= leaf:
-            out.append(i)
-            continue
-        wide = int(np.ptp(p[i], axis=0).argmax())
-        order = np.argpartition(p[i, wide], len(i) // 2)
-        todo += [i[order[: len(i) // 2]], i[order[len(i) // 2 :]]]
-    return out
-
-
-def projected_search(q: np.ndarray, own: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int, reach: float, sure: float = SURE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """About the k nearest by inner product, verified on the original vectors.
-
-    ``reach`` is at least every vector's norm. With one more component that
-    fills each vector up to that norm, the largest inner product is the least
-    Euclidean distance. Gaussian (2-stable) projections keep distances: the
-    squared projected distance over the squared distance is chi-square with
-    ``PROJECTED`` degrees. The kd-tree gives leaves by rising projected
-    distance; they are verified until the test holds: a vector nearer than the
-    k-th found would, with chance ``sure``, have been projected nearer than
-    what comes next.
-    """
-    extra = np.sqrt(np.maximum(reach**2 - (d**2).sum(axis=1), 0))
-    axes = np.random.Generator(np.random.PCG64(_SEED)).standard_normal((d.shape[1] + 1, PROJECTED))
-    p = np.column_stack([d, extra]) @ axes
-    leaves = kd_leaves(p)
-    low, high = (np.stack([f(p[i], axis=0) for i in leaves]) for f in (np.min, np.max))
-    projected = q @ axes[:-1]
-    # the least x with cdf(x) >= sure
-    a, b = 0.0, 1000.0
-    for _ in range(60):
-        a, b = ((a + b) / 2, b) if chi_square_cdf((a + b) / 2, PROJECTED) < sure else (a, (a + b) / 2)
-    out = []
-    for x, y, self_id in zip(q, projected, own, strict=True):
-        near = ((np.maximum(low - y, 0) + np.maximum(y - high, 0)) ** 2).sum(axis=1)
-        order = np.argsort(near, kind="stable")
-        base = (x**2).sum() + reach**2
-        index, score, at, step = np.zeros(0, np.int64), np.zeros(0), 0, max(1, -(-2 * k // LEAF))
-        while at < len(order):
-            if len(index) >= k and near[order[at]] >= b * max(base - 2 * score[-1], 0):
-                break
-            new = np.concatenate([leaves[j] for j in order[at : at + step]])
-            new = new[ids[new] != self_id]
-            index, score = _top(np.concatenate([index, new]), np.concatenate([score, (d[new] * x).sum(axis=1)]), k)
-            at += step
-            step = min(16, step * 2)
-        out.append((index, score))
-    return out
-
-
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query by inner product in double precision.
-
-    vectors: vec_id, embedding. Rows whose id is divisible by ``every`` are
-    queries; all rows but the query's own are candidates. Ties go to the
-    smaller vec_id. Null and zero vectors and those with null or non-finite
-    components take no part, nor do null ids; vectors of different lengths
-    don't meet. An empty table gives no rows.
-    """
-    rows = settle(usable(vectors, zero=False))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    reach = math.sqrt(rows.agg(F.max(square)).first()[0] or 0.0) * (1 + 1e-12)
-    return _search(rows, every, k, "double", lambda q, own, d, ids: projected_search(q, own, d, ids, k, reach))
+        ids, score = ids[keep], score[keep]
+    order = np.lexsort((ids, -score))[:k]
+    return ids[order], score[order]
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best of what the shards found; few rows a query and shard, cut before they are shuffled."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")).alias("rank")
+    return found.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
+
+
+def threshold_of(best: DataFrame, k: int) -> DataFrame:
+    """query_id, held: the scores of ``best_of``, highest first."""
+    return best.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("held"))

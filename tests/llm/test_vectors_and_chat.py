@@ -6,8 +6,10 @@ import math
 import numpy as np
 import pytest
 
+from llm import maxscore
+from llm.maxscore import exact_top_k
+from llm.projections import Cuts, Tree, chi_square_cdf, chi_square_quantile, nearest, ordered
 from llm.tool_calls import canonical, link, validate
-from llm.vectors import chi_square_cdf, exact_top_k, kd_leaves, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, shard string, score double"
 
@@ -62,11 +64,90 @@ def test_empty_vectors(spark):
     assert exact_top_k(none).count() == nearest(none).count() == 0
 
 
-def test_chi_square_and_tree():
-    assert abs(float(chi_square_cdf(np.array(15.507), 8)) - 0.95) < 1e-4
-    leaves = kd_leaves(np.random.default_rng(0).standard_normal((1000, 4)), 64)
-    assert sorted(np.concatenate(leaves).tolist()) == list(range(1000)) and max(map(len, leaves)) <= 64
-    assert len(kd_leaves(np.zeros((200, 4)), 64)) == 4
+def test_chi_square_and_trees():
+    assert abs(chi_square_cdf(15.507, 8) - 0.95) < 1e-4 and abs(chi_square_cdf(14.067, 7) - 0.95) < 1e-4
+    assert abs(chi_square_quantile(0.9, 32) - 42.585) < 1e-2
+    p = np.random.default_rng(0).standard_normal((1000, 4))
+    order, small = ordered(p, 64)
+    assert sorted(order.tolist()) == list(range(1000)) and np.bincount(small).max() <= 64
+    q, p = np.zeros(4), p[order]
+    d = (p**2).sum(axis=1)
+    walked = np.concatenate(list(Tree(p, small).walk(q, p, lambda: 2.0)))
+    assert walked.tolist() == [i for i in np.argsort(d, kind="stable").tolist() if d[i] < 2.0]
+    cuts = Cuts(p, 8)
+    leaf = cuts.of(p)
+    assert np.bincount(leaf).tolist() == [125] * 8
+    assert all(cuts.distance(x)[n] == 0 for x, n in zip(p[:50], leaf[:50], strict=True))
+    assert len(Cuts(np.zeros((200, 4)), 8).low) == 1
+
+
+def many(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+
+
+@pytest.fixture(scope="module")
+def sphere(spark):
+    """Three thousand unit vectors without any structure: the hardest table for pruning."""
+    m = np.random.default_rng(8).standard_normal((3000, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m[1:3000:3] = m[1]  # a hot vector
+    return m
+
+
+@pytest.mark.parametrize(("shard", "share"), [(4096, 1 / 3), (512, 1 / 2)])
+def test_projections_stop_early_with_the_recall(spark, sphere, shard, share):
+    m = np.delete(sphere, np.arange(4, 3000, 3), axis=0)
+    got = nearest(many(spark, enumerate(m)), every=20, k=20, shard=shard).toPandas()
+    s = m @ m.T
+    np.fill_diagonal(s, -9)
+    hit = 0
+    for i, x in got.groupby("query_id"):
+        assert x.sort_values("rank")["rank"].tolist() == list(range(1, 21)) and i not in set(x.vec_id)
+        assert np.allclose(x.score, s[i, x.vec_id], atol=1e-12)
+        hit += len(set(np.argsort(-s[i], kind="stable")[:20]) & set(x.vec_id))
+    asked = len(range(0, len(m), 20))
+    assert got.query_id.nunique() == asked and hit / asked / 20 >= 0.9
+    assert got.groupby("query_id").verified.first().mean() < len(m) * share
+
+
+def test_hot_vector_and_repeated_ids(spark, sphere):
+    rows = [*enumerate(sphere), (20, sphere[5]), (1, sphere[1])]
+    got = nearest(many(spark, rows), every=1000, k=20, shard=256).toPandas()
+    hot = got[got.query_id == 1000].sort_values("rank")
+    assert hot.vec_id.tolist() == [1, 1, *range(4, 1 + 3 * 19, 3)] and np.allclose(hot.score, 1)
+    exact = exact_top_k(many(spark, rows), every=1000, k=20, shard=256).toPandas()
+    assert exact[exact.query_id == 1000].sort_values("rank").vec_id.tolist() == hot.vec_id.tolist()
+    twice = exact_top_k(many(spark, [(0, [1.0]), (0, [2.0]), (1, [1.0]), (2, [3.0])]), every=50, k=3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in twice] == [(2, 6 << 16), (2, 3 << 16), (1, 2 << 16)]
+
+
+def test_postings_prune_what_has_few_components(spark):
+    r = np.random.default_rng(4)
+    m = np.where(r.random((4000, 64)) < 0.06, r.exponential(0.3, (4000, 64)), 0.0)
+    m[::50] *= 2
+    df = many(spark, enumerate(m))
+    share = maxscore.work(df, shard=1024)
+    assert share["met"] < 1 / 3 and share["probed"] < 1 / 4
+    d = np.floor(m * 256)
+    s = d @ d.T
+    np.fill_diagonal(s, -1)
+    for i, x in exact_top_k(df, shard=1024).toPandas().groupby("query_id"):
+        assert x.sort_values("rank").score.tolist() == np.sort(s[i])[::-1][:5].tolist()
+
+
+def test_large_components_are_exact_or_an_error(spark):
+    big = [(0, [1e6, 1.0]), (1, [1e6, 2.0]), (2, [1e6, 1.0]), (3, [-1e7, 0.0])]
+    got = exact_top_k(many(spark, big)).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, (256 * 10**6) ** 2 + 2 * 256 * 256), (2, (256 * 10**6) ** 2 + 256 * 256), (3, -(256**2) * 10**13)]
+    with pytest.raises(Exception, match="(?i)overflow|out of range"):
+        exact_top_k(many(spark, [(0, [1e20]), (1, [1e20])])).collect()
+
+
+def test_large_ids_stay_exact(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big * 100, [1.0, 0.5]), (big, [0.5, 1.0]), (None, [1.0, 1.0]), (big + 2, [0.2, 0.1])], "vec_id long, embedding array<double>")
+    for got in (exact_top_k(df), nearest(df)):
+        assert [(r.query_id, r.vec_id) for r in got.orderBy("rank").collect()] == [(big * 100, big), (big * 100, big + 2)]
 
 
 def call(i, name="search", args=None, **more):
