@@ -163,7 +163,7 @@ def _found(vectors: DataFrame, every: int, k: int, scale: int, shard: int) -> Da
                     met, probed = s.n, s.columns.size
                     out += [(own, i, float(v), str(v), 0, 0) for i, v in zip(ids.tolist(), whole, strict=True)]
                 out.append((own, None, None, None, met, probed))
-        got = pd.DataFrame(out, columns=["query_id", "vec_id", "score", "exact", "met", "probed"])
+        got = pd.DataFrame(out, columns=["query_id", "vec_id", "score", "exact", "met", "probed"], dtype=object)
         return got.astype({"query_id": "int64", "vec_id": "Int64", "score": "float64", "met": "int64", "probed": "int64"})
 
     def round_(asked: DataFrame) -> DataFrame:

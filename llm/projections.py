@@ -283,7 +283,7 @@ def _found(vectors: DataFrame, every: int, k: int, shard: int, dims: int, sure:
             for y, z, own, held in zip(project(x, reach[w], dims, False), x, q["query_id"], q["held"], strict=True):
                 got, score, verified = search(tree, p, v, ids, y, z, own, k, np.asarray(held, float), stop[w], reach[w])
                 out += [(own, i, s, 0) for i, s in zip(got.tolist(), score.tolist(), strict=True)] + [(own, None, None, verified)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "verified"]).astype({"query_id": "int64", "vec_id": "Int64", "score": "float64", "verified": "int64"})
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "verified"], dtype=object).astype({"query_id": "int64", "vec_id": "Int64", "score": "float64", "verified": "int64"})
 
     def route(a: int, b: int):
         def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
