@@ -2,9 +2,12 @@
 
 Two generative models over hashed word unigrams and bigrams are counted: one of
 the target text (documents labelled good), one of the raw text (all documents).
-A document's log importance weight is the summed log ratio of the two over its
-n-grams. Seeded Gumbel noise is added and the k highest are kept, which samples
-k documents without replacement in proportion to their weights.
+A document's log importance weight is ``TEMPER`` times the mean log ratio of the
+two over its n-grams (and ``PRIOR`` more of ratio 0, so that a few words can't
+weigh much). The mean, unlike the sum, doesn't grow with the length, so weights
+of like texts differ by about as much as the noise. Seeded Gumbel noise is added
+and the k highest are kept, which samples k documents without replacement in
+proportion to their weights.
 
 Two passes read the text. Each sends only vectors of ``BUCKETS`` counts or one
 number a document. The k-th highest key is found by radix selection on counts,
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +34,9 @@ BUCKETS = 1 << 16
 LABELLED = 50_000
 #: Share of the good labelled documents that the threshold may put among the rejected.
 MISSED = 0.0005
+#: Inverse temperature of the weights, and n-grams of ratio 0 that every document has besides its own.
+TEMPER = 100.0
+PRIOR = 30
 SLICES = 16
 SEED = 17
 
@@ -46,17 +53,20 @@ def _ngrams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return one, two, at
 
 
+def _among(ids: pa.Array, wanted: np.ndarray) -> np.ndarray:
+    """Whether each id is one of ``wanted``; null isn't. Ids stay whole numbers throughout."""
+    return np.isin(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), wanted) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
+
+
 def fit(docs: DataFrame, target: np.ndarray) -> np.ndarray:
-    """Log ratio of each bucket; target: sorted doc_ids of the target documents."""
+    """Counts of each bucket in the target and in all texts; target: doc_ids of the target documents."""
     shared = docs.sparkSession.sparkContext.broadcast(target)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, sums = shared.value, np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             one, two, at = _ngrams(batch.column(1).to_pylist())
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            good = np.isin(ids, wanted) if len(wanted) else np.zeros(len(ids), bool)
-            word = np.repeat(good, np.diff(at))
+            word = np.repeat(_among(batch.column(0), wanted), np.diff(at))
             for row, mask in ((0, word), (1, None)):
                 for grams in (one, two):
                     g = grams if mask is None else grams[mask]
@@ -73,33 +83,51 @@ def fit(docs: DataFrame, target: np.ndarray) -> np.ndarray:
     def _rows(x: dict[int, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int32()), pa.array([v.tobytes() for v in x.values()], pa.binary())], names=["slice", "sums"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(count, "slice int, sums binary").repartition(SLICES, "slice").mapInArrow(merge, "slice int, sums binary").collect()
-    sums = np.zeros((2, BUCKETS))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "slice int, sums binary").repartition(SLICES, "slice").mapInArrow(merge, "slice int, sums binary").collect()
+    sums = np.zeros((2, BUCKETS), np.int64)
     for r in rows:
         sums[:, r.slice * BUCKETS // SLICES : (r.slice + 1) * BUCKETS // SLICES] = np.frombuffer(r.sums, np.int64).reshape(2, -1)
-    p = (sums + 1) / (sums.sum(axis=1, keepdims=True) + BUCKETS)
-    return np.log(p[0]) - np.log(p[1]) if len(target) else np.zeros(BUCKETS)
+    return sums
+
 
+def log_ratio(sums: np.ndarray) -> np.ndarray:
+    """Of each bucket, with one added to its counts; 0 everywhere without a target."""
+    p = np.log(sums + 1.0) - np.log(sums.sum(axis=1, keepdims=True) + float(BUCKETS))
+    return p[0] - p[1] if sums[0].any() else np.zeros(BUCKETS)
 
-def log_weights(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, weight: str = "log_weight", key: str = "gumbel_key") -> DataFrame:
-    """docs with the columns ``weight`` and ``key`` added."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    at_text = docs.columns.index("text")
+
+def log_weights(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], seed: int = SEED, weight: str = "log_weight", key: str = "gumbel_key") -> DataFrame:
+    """docs with the columns ``weight`` and ``key`` added; model: the counts of ``fit`` and the target's doc_ids.
+
+    A document of the target is weighed by the model without its own text, so
+    it is no better off than one alike that nobody has labelled.
+    """
+    sums, target = model
+    shared = docs.sparkSession.sparkContext.broadcast((log_ratio(sums), sums, target))
+    at_text, at_id = docs.columns.index("text"), docs.columns.index("doc_id")
     kind = T.StructType([*docs.schema.fields, T.StructField(weight, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = np.append(shared.value, 0.0)  # bucket -1 weighs nothing
+        ratio, sums, target = shared.value
+        r = np.append(ratio, 0.0)  # bucket -1 weighs nothing
+        n_target, raw = sums[0].sum(), np.log(sums[1] + 1.0) - np.log(sums[1].sum() + float(BUCKETS))
         for batch in batches:
             one, two, at = _ngrams(batch.column(at_text).to_pylist())
             total = np.concatenate([[0.0], np.cumsum(r[one] + r[two])])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(total[at[1:]] - total[at[:-1]], 6))], names=[*batch.schema.names, weight])
+            n, total = np.maximum(2 * np.diff(at) - 1, 0), total[at[1:]] - total[at[:-1]]
+            for i in np.flatnonzero(_among(batch.column(at_id), target) & (n > 0)):
+                g = np.concatenate([one[at[i] : at[i + 1]], two[at[i] : at[i + 1]]])
+                b, c = np.unique(g[g >= 0], return_counts=True)
+                left = np.log(np.maximum(sums[0][b] - c, 0) + 1.0) - np.log(max(0, n_target - n[i]) + float(BUCKETS))
+                total[i] = c @ (left - raw[b])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(TEMPER * total / (n + PRIOR), 6))], names=[*batch.schema.names, weight])
 
     return docs.mapInArrow(score, kind).withColumn(key, F.round(F.col(weight) + gumbel(F.col("doc_id"), seed), 6))
 
 
 def gumbel(doc_id: Column, seed: int) -> Column:
     """Standard Gumbel noise that the id and the seed fix."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), doc_id), 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), doc_id.cast("long")), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
 
 
@@ -135,14 +163,14 @@ def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that ``decide`` samples, with their columns; weighed again rather than joined, so that no text is shuffled."""
-    weighed, lowest, ratio = decide(docs, labels, **options)
+    weighed, lowest, model = decide(docs, labels, **options)
     unsettle(weighed)
     if lowest is None:
         return docs
-    return log_weights(docs, ratio, options.get("seed", SEED), "__weight", "__key").where(F.col("__key") >= F.lit(lowest)).select(*docs.columns)
+    return log_weights(docs, model, options.get("seed", SEED), "__weight", "__key").where(F.col("__key") >= F.lit(lowest)).select(*docs.columns)
 
 
-def decide(docs: DataFrame, labels: DataFrame, seed: int = SEED, labelled: int = LABELLED, missed: float = MISSED, k: int | None = None) -> tuple[DataFrame, float | None, np.ndarray]:
+def decide(docs: DataFrame, labels: DataFrame, seed: int = SEED, labelled: int = LABELLED, missed: float = MISSED, k: int | None = None) -> tuple[DataFrame, float | None, tuple]:
     """The weights (doc_id, log_weight, gumbel_key) of all rows of docs (doc_id, text), the lowest key that is kept (None: all), and the model.
 
     labels: doc_id, quality (1 good, 0 not; other values and nulls are ignored).
@@ -160,23 +188,22 @@ def decide(docs: DataFrame, labels: DataFrame, seed: int = SEED, labelled: int =
     known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = {q: [r.doc_id for r in known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()] for q in (0, 1)}
     good, bad = (np.array(sorted(picked[q]), np.int64) for q in (1, 0))
-    ratio = fit(docs, good)
-    weighed = settle(log_weights(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratio, seed).drop("text"))
+    model = (fit(docs, good), good)
+    weighed = settle(log_weights(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, seed).drop("text"))
     if k is None:
         shared = docs.sparkSession.sparkContext.broadcast((good, bad))
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yes, no = shared.value
             for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                is_good = np.isin(ids, yes)
-                keep = is_good | np.isin(ids, no)
-                yield pa.RecordBatch.from_arrays([pa.array(is_good[keep]), batch.column(1).filter(pa.array(keep))], names=["good", "log_weight"])
+                is_good = _among(batch.column(0), yes)
+                keep = pa.array(is_good | _among(batch.column(0), no))
+                yield pa.RecordBatch.from_arrays([pa.array(is_good).filter(keep), batch.column(1).filter(keep)], names=["good", "weight"])
 
-        sample = weighed.where("doc_id is not null").select("doc_id", "log_weight").mapInArrow(pick, "good boolean, log_weight double").groupBy("good", "log_weight").count().toPandas() if len(good) and len(bad) else None
-        cut = threshold(sample[sample.good].log_weight.to_numpy(), sample[sample.good]["count"].to_numpy(), sample[~sample.good].log_weight.to_numpy(), sample[~sample.good]["count"].to_numpy(), missed) if sample is not None and sample.good.nunique() == 2 else float("-inf")
+        sample = weighed.select("doc_id", "log_weight").mapInArrow(pick, "good boolean, weight double").groupBy("good", "weight").count().toPandas() if len(good) and len(bad) else None
+        cut = threshold(*[x for q in (True, False) for x in (sample[sample.good == q].weight.to_numpy(), sample[sample.good == q]["count"].to_numpy())], missed) if sample is not None and sample.good.nunique() == 2 else float("-inf")
         k = weighed.where(F.col("log_weight") >= F.lit(cut)).count()
-    return weighed, kth_highest(weighed, "gumbel_key", k), ratio
+    return weighed, kth_highest(weighed, "gumbel_key", k), model
 
 
 def threshold(good: np.ndarray, n_good: np.ndarray, bad: np.ndarray, n_bad: np.ndarray, missed: float) -> float:

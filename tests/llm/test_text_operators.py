@@ -1,9 +1,12 @@
 """Operators 1, 6, 7, 8 against brute force and on edge cases."""
 
 import itertools
+import math
 import re
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,17 +149,55 @@ def test_held_out_language_accuracy(spark):
     assert got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
 
 
-def test_quality_keeps_good_and_rejects_bad(spark):
+@pytest.fixture(scope="module")
+def judged(spark):
     d = "/root/testdata/sf0.01"
-    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
-    got = resample(docs, labels)
-    share = {r.quality: r.s for r in got.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("s")).collect()}
-    assert share[1] > 0.98 and share[0] < 0.1
-    assert keep_sampled(docs, labels).select("doc_id").exceptAll(got.where("kept").select("doc_id")).count() == 0
+    return [spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels")]
+
+
+def test_quality_keeps_good_and_rejects_bad_it_has_not_seen(judged):
+    docs, labels = judged
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    got = resample(docs, labels.where(fold != 0)).join(labels.where(fold == 0), "doc_id")
+    share = {r.quality: r.s for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("s")).collect()}
+    assert share[1] > 0.95 and share[0] < 0.15
+    kept = resample(docs, labels)
+    assert keep_sampled(docs, labels).select("doc_id").exceptAll(kept.where("kept").select("doc_id")).count() == 0
     assert resample(docs, labels, k=100).where("kept").count() == 100
     assert resample(docs, labels.where("quality = 1")).where("not kept").count() == 0
 
 
+def test_sampling_is_a_draw_by_weight(judged):
+    docs, labels = judged
+    docs = docs.dropDuplicates(["doc_id"])
+    one, two = (resample(docs, labels, k=300, seed=s).toPandas().set_index("doc_id").sort_index() for s in (1, 2))
+    assert (one.log_weight == two.log_weight).all() and one.kept.sum() == two.kept.sum() == 300
+    assert 60 < (one.kept & ~two.kept).sum() < 290  # another seed, another sample
+    cut = one.log_weight.nlargest(300).min()
+    assert 30 < (one.kept & (one.log_weight < cut)).sum()  # and none is a cut by weight
+    rank = one.log_weight.rank(pct=True)
+    share = [pd.concat([one.kept[rank.between(a, a + 0.25)], two.kept[rank.between(a, a + 0.25)]]).mean() for a in (0, 0.25, 0.5, 0.75)]
+    assert share == sorted(share) and share[0] < 0.15 < share[3]
+
+
+def test_weights_are_those_of_plain_counting(spark):
+    from llm import importance as im
+
+    texts = [(2**53 + 1, "a good plain text"), (2**53 + 3, "bad bad text"), (None, "a text"), (4, None), (5, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(2**53 + 1, 1), (2**53 + 3, 0)], "doc_id long, quality int")
+    got = {r.doc_id: r.log_weight for r in resample(docs, labels).collect()}
+    one, two, at = im._ngrams([t for _, t in texts])
+    grams = [[int(x) for x in [*one[a:b], *two[a:b]] if x >= 0] for a, b in zip(at[:-1], at[1:], strict=True)]
+    count = lambda lists: {g: sum(x.count(g) for x in lists) for x in lists for g in x}
+    target, raw = count(grams[:1]), count(grams)
+    n_target, n_raw = sum(target.values()), sum(raw.values())
+    for k, ((i, _), g) in enumerate(zip(texts, grams, strict=True)):
+        own = 0 if k else 1  # the target's only text is weighed without itself
+        ratio = sum(math.log((0 if own else target.get(x, 0)) + 1) - math.log((0 if own else n_target) + im.BUCKETS) - math.log((raw[x] + 1) / (n_raw + im.BUCKETS)) for x in g)
+        assert abs(got[i] - im.TEMPER * ratio / (len(g) + im.PRIOR)) < 1e-5
+
+
 def test_quality_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (4, 7)], "doc_id long, quality int")
     assert resample(docs, labels).count() == docs.count()
