@@ -29,9 +29,9 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from llm.tool_calls import link
+    from llm.tool_calls import link, with_calls
 
-    return link(table(spark, sf_dir, "conversations"))
+    return link(with_calls(table(spark, sf_dir, "conversations")))
 
 
 def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,20 @@ def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_best_fit_packing, op3_source_mixing, op4_tool_call_linking, op5_kd_sharding, op6_ngram_jaccard_join, op7_language_id, op8_importance_resampling, op9_maxscore, op10_stable_projections)}
 
 SQL = {
+    "op4_tool_call_linking": r"""
+WITH m AS (SELECT *, (conv_id * 7 + turn) % 10 AS k, role = 'assistant' AS calls, role = 'user' AND turn > 0 AS answers FROM conversations),
+c AS (SELECT conv_id, turn, 2 * row_number() OVER (PARTITION BY conv_id, turn // 8 ORDER BY turn) - 1 AS level FROM m WHERE calls),
+text AS (SELECT conv_id, turn, CASE WHEN answers THEN 1 ELSE 0 END AS item, 'text' AS kind, NULL AS call_id, 'ok' AS status, turn AS order_turn, 0 AS level,
+  concat('{"content":', CAST(to_json(text) AS VARCHAR), ',"role":"', role, '","turn":', turn, '}') AS json FROM m WHERE regexp_matches(text, '\S')),
+call AS (SELECT m.conv_id, m.turn, CASE WHEN regexp_matches(text, '\S') THEN 1 ELSE 0 END AS item, 'call' AS kind, concat('c', m.turn) AS call_id,
+  CASE WHEN k % 4 = 3 THEN 'unknown_tool' WHEN k % 4 = 0 AND k * 15 NOT BETWEEN 1 AND 100 OR k % 4 = 1 AND k <= 2 OR k % 4 = 2 THEN 'invalid'
+    WHEN EXISTS (SELECT 1 FROM m AS r WHERE r.answers AND r.conv_id = m.conv_id AND r.turn = m.turn + 1) THEN 'ok' ELSE 'pending' END AS status, m.turn AS order_turn, c.level,
+  concat('{"arguments":{', CASE WHEN k > 5 THEN '"expression":"1+1",' ELSE '' END, CASE WHEN k > 2 THEN '"key":"x",' ELSE '' END, '"limit":', k * 15, ',"query":"assistant"},"id":"c', m.turn, '","name":"', (['search', 'lookup', 'calculate', 'translate'])[k % 4 + 1], '","role":"assistant","turn":', m.turn, ',"type":"call"}') AS json
+  FROM m JOIN c USING (conv_id, turn)),
+result AS (SELECT m.conv_id, m.turn, 0 AS item, 'result' AS kind, concat('c', m.turn - 1) AS call_id, CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'ok' END AS status, m.turn AS order_turn, coalesce(c.level + 1, 0) AS level,
+  concat('{"content":', k, ',"id":"c', m.turn - 1, '","role":"user","turn":', m.turn, ',"type":"result"}') AS json FROM m LEFT JOIN c ON c.conv_id = m.conv_id AND c.turn = m.turn - 1 WHERE answers)
+SELECT conv_id, turn, CAST(item AS INTEGER) AS item, kind, call_id, status, order_turn, CAST(level AS INTEGER) AS level, json FROM (SELECT * FROM text UNION ALL SELECT * FROM call UNION ALL SELECT * FROM result)
+""",
     "op6_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents

@@ -15,11 +15,12 @@ conversation of any length stays spread over many tasks; sorting by
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import settle, unsettle
@@ -35,9 +36,33 @@ SCHEMAS = {
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+#: Whole numbers from here on are written with an exponent where that is exact.
+_LONG = 10**21
+
+
+def _plain(value):
+    """``value`` with one form for each number: 1, 1.0 and 1e0 are 1; what JSON text can't hold is a ValueError."""
+    if isinstance(value, dict):
+        return {_plain(k): _plain(x) for k, x in value.items()}
+    if isinstance(value, list):
+        return [_plain(x) for x in value]
+    if isinstance(value, str):
+        value.encode("utf-8")  # a lone surrogate fails
+    elif isinstance(value, float):
+        if not math.isfinite(value):
+            raise ValueError("not finite")
+        return int(value) if value.is_integer() and abs(value) < _LONG else value
+    elif isinstance(value, int) and not isinstance(value, bool) and abs(value) >= _LONG:
+        try:
+            return float(value) if int(float(value)) == value else value
+        except OverflowError:
+            return value
+    return value
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no spaces, characters as they are and one form for each number."""
+    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def _strict(text: str):
@@ -54,7 +79,7 @@ def validate(value, schema: dict, at: str = "$") -> str | None:
 
     def is_a(kind: str) -> bool:
         if kind in ("number", "integer"):
-            return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+            return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
         return isinstance(value, _TYPES[kind])
 
     if kinds and not any(map(is_a, kinds)):
@@ -81,6 +106,22 @@ def validate(value, schema: dict, at: str = "$") -> str | None:
     return None
 
 
+def _item(kind: str, body, role: str | None, turn, schemas: dict) -> tuple:
+    if not isinstance(body, dict) or not isinstance(body.get("id"), str):
+        raise ValueError("no identifier")
+    call_id, after, status = body["id"], None, "ok"
+    shown = {"id": call_id, "role": role, "turn": turn, "type": kind}
+    if kind == "result":
+        shown["content"] = body.get("content")
+    else:
+        shown |= {"arguments": body.get("arguments"), "name": body.get("name")}
+        after = sorted({x for x in body["after"] if isinstance(x, str)}) if isinstance(body.get("after"), list) else []
+        canonical(after)
+        schema = schemas.get(body.get("name")) if isinstance(body.get("name"), str) else None
+        status = "unknown_tool" if schema is None else "invalid" if validate(body.get("arguments"), schema) else "ok"
+    return kind, call_id, status, after, canonical(shown)
+
+
 def parse(role: str | None, turn, text: str | None, schemas: dict) -> list[tuple]:
     """(kind, call_id, status, after, json) of each item of a message, in its order."""
     out, at, text = [], 0, text or ""
@@ -92,29 +133,36 @@ def parse(role: str | None, turn, text: str | None, schemas: dict) -> list[tuple
         if text[at : m.start()].strip():
             plain(text[at : m.start()])
         at = m.end()
-        kind, body, call_id, after, status = m[1], None, None, None, "ok"
         try:
-            body = _strict(m[2])
-        except ValueError:
-            status = "broken"
-        if not isinstance(body, dict) or not isinstance(body.get("id"), str):
-            out.append((kind, None, "broken", None, canonical({"content": m[2], "role": role, "turn": turn})))
-            continue
-        call_id = body["id"]
-        if kind == "call":
-            after = sorted({x for x in body["after"] if isinstance(x, str)}) if isinstance(body.get("after"), list) else []
-            schema = schemas.get(body.get("name")) if isinstance(body.get("name"), str) else None
-            status = "unknown_tool" if schema is None else "invalid" if validate(body.get("arguments"), schema) else "ok"
-            shown = {"arguments": body.get("arguments"), "id": call_id, "name": body.get("name"), "role": role, "turn": turn, "type": "call"}
-        else:
-            shown = {"content": body.get("content"), "id": call_id, "role": role, "turn": turn, "type": "result"}
-        out.append((kind, call_id, status, after, canonical(shown)))
+            out.append(_item(m[1], _strict(m[2]), role, turn, schemas))
+        except (ValueError, RecursionError, OverflowError):  # not JSON, or such that no canonical text exists
+            out.append((m[1], None, "broken", None, canonical({"content": m[2], "role": role, "turn": turn})))
     if text[at:].strip() or not out:
         plain(text[at:])
     return out
 
 
 _ITEM = "conv_id long, turn long, item int, kind string, call_id string, status string, after array<string>, json string"
+_ARROW = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("item", pa.int32()), ("kind", pa.string()), ("call_id", pa.string()), ("status", pa.string()), ("after", pa.list_(pa.string())), ("json", pa.string())])
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """conversations (conv_id, turn, role, text) with the calls of a made-up assistant, as that table holds none.
+
+    Every assistant message ends with a call whose tool and arguments follow
+    from conv_id and turn; it comes after the call two turns before, with a new
+    beginning every eight turns. Every user message but a conversation's first begins with the result of the call one
+    turn before.
+    """
+    k = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(10)).cast("int")
+    at = lambda back: F.concat(F.lit("c"), (F.col("turn") - back).cast("string"))
+    name = F.element_at(F.array(*map(F.lit, ("search", "lookup", "calculate", "translate"))), k % 4 + 1)
+    arguments = F.struct(F.col("role").alias("query"), (k * 15).alias("limit"), F.when(k > 2, F.lit("x")).alias("key"), F.when(k > 5, F.lit("1+1")).alias("expression"))
+    call = F.to_json(F.struct(name.alias("name"), at(0).alias("id"), F.when(F.col("turn") % 8 >= 2, F.array(at(2))).otherwise(F.array().cast("array<string>")).alias("after"), arguments.alias("arguments")))
+    result = F.to_json(F.struct(at(1).alias("id"), k.alias("content")))
+    text = F.when(F.col("role") == "assistant", F.concat("text", F.lit("<tool_call>"), call, F.lit("</tool_call>")))
+    text = text.when((F.col("role") == "user") & (F.col("turn") > 0), F.concat(F.lit("<tool_result>"), result, F.lit("</tool_result>"), F.col("text")))
+    return conversations.select("conv_id", "turn", "role", text.otherwise(F.col("text")).alias("text"))
 
 
 def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
@@ -132,25 +180,27 @@ def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     earlier than that of what an item follows. A null or empty text is one
     empty text item. A null conv_id or turn stays null and links with nothing.
     Repeated rows give repeated items (of repeated calls all but one are
-    duplicates). An empty table gives no rows.
+    duplicates). What is JSON but has no canonical text (numbers that no double
+    holds, lone surrogates, nesting too deep to read) is broken. The rounds are
+    as many as the longest chain of calls. An empty table gives no rows.
     """
     schemas = SCHEMAS if schemas is None else schemas
 
-    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for conv, turn, role, text in zip(b["conv_id"], b["turn"], b["role"], b["text"], strict=True):
-                turn = None if pd.isna(turn) else int(turn)
-                rows += [(None if pd.isna(conv) else int(conv), turn, k, *x) for k, x in enumerate(parse(role, turn, text, schemas))]
-            out = pd.DataFrame(rows, columns=["conv_id", "turn", "item", "kind", "call_id", "status", "after", "json"])
-            yield out.astype({"conv_id": "Int64", "turn": "Int64"})
+            for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(conv, turn, k, *x) for k, x in enumerate(parse(role, turn, text, schemas))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)] if rows else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
 
     given = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    all_ = settle(given.mapInPandas(items, _ITEM))
+    # numbered once and written, so that of copies one can be told from the others
+    all_ = settle(given.mapInArrow(items, _ITEM).withColumn("row", F.monotonically_increasing_id()))
     linked = F.col("call_id").isNotNull() & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     calls = all_.where(linked & (F.col("kind") == "call"))
-    key = F.struct("turn", "item", F.xxhash64("json").alias("h"))
-    nodes = settle(calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "item", F.xxhash64("json").alias("h"), "after")).alias("first")).select("conv_id", "call_id", F.col("first.turn").alias("turn"), F.struct("first.turn", "first.item", "first.h").alias("first"), "first.after"))
+    # the first by place; of copies at one place, the one of the lowest hash, then of the lowest number
+    lead = F.min(F.struct("turn", "item", F.xxhash64("json").alias("h"), "row", "after")).alias("lead")
+    nodes = settle(calls.groupBy("conv_id", "call_id").agg(lead).select("conv_id", "call_id", F.col("lead.turn").alias("turn"), F.col("lead.row").alias("first"), "lead.after"))
     edges = settle(nodes.select("conv_id", "call_id", F.explode("after").alias("dep")).join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]))
     placed = nodes.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.col("turn").alias("order_turn"), F.lit(1).alias("level"))
     placed = settle(placed)
@@ -169,10 +219,7 @@ def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     known = nodes.select("conv_id", "call_id", "first").join(placed, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
     known = settle(known.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "first", "order_turn", "level", "answers"))
     tied = all_.where(linked).join(known, (F.col("conv_id") == F.col("c")) & (F.col("call_id") == F.col("i")), "left")
-    # copies of one call at one place: one of them is the call
-    call, other = tied.where("kind = 'call'"), tied.where("kind <> 'call'")
-    one = F.row_number().over(Window.partitionBy("conv_id", "call_id", "turn", "item", F.xxhash64("json")).orderBy("json"))
-    call = call.withColumn("main", (key == F.col("first")) & (one == 1))
+    call, other = tied.where("kind = 'call'").withColumn("main", F.col("row") == F.col("first")), tied.where("kind <> 'call'")
     status = F.when(~F.col("main"), "duplicate").when(F.col("level").isNull(), "cycle").when(F.col("status") != "ok", F.col("status")).when(F.col("answers").isNull(), "pending").otherwise("ok")
     cols = ["conv_id", "turn", "item", "kind", "call_id", "status", "order_turn", "level", "json"]
     top = F.coalesce(F.col("level"), F.lit(0))

@@ -185,6 +185,70 @@ def test_hot_conversation_and_repeats(spark):
     assert link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("body", [call("a", args={"query": "q", "limit": "N"}).replace('"N"', "1e999"), call("a", args={"query": "q", "limit": "N"}).replace('"N"', "9" * 5000), call("a", args={"query": "N"}).replace('"N"', "[" * 200_000 + "]" * 200_000), call("a", args={"query": "N"}).replace('"N"', '"\\ud800"'), '<tool_result>{"id": "a", "content": -1e999}</tool_result>', call("a", after=["N"]).replace('"N"', '"\\udfff"'), "<tool_call>[1]</tool_call>", '<tool_call>{"id": 7}</tool_call>', "<tool_call>NaN</tool_call>"])
+def test_what_has_no_canonical_text_is_broken(spark, body):
+    got = link(spark.createDataFrame([(1, 0, "assistant", body), (2, 0, "assistant", call("ok"))], CHAT)).collect()
+    assert {(r.conv_id, r.status) for r in got} == {(1, "broken"), (2, "pending")}
+    assert all(json.loads(r.json) for r in got)
+
+
+def test_numbers_have_one_form():
+    forms = ['{"x":1}', '{"x":1.0}', '{"x":1e0}', '{"x":10E-1}']
+    assert {canonical(json.loads(f)) for f in forms} == {'{"x":1}'}
+    assert canonical(json.loads("[1e22, 10000000000000000000000, -0.0, 0.5, true]")) == "[1e+22,1e+22,0,0.5,true]"
+    big = "1" * 400
+    assert canonical(json.loads(f"[{big}]")) == f"[{big}]" and validate(int(big), {"type": "integer"}) is None
+
+
+def test_large_ids_of_messages_stay_exact(spark):
+    big = 2**53 + 1
+    got = link(spark.createDataFrame([(big, big, "assistant", call("a")), (None, None, "user", "x"), (big, big + 2, "tool", result("a"))], CHAT)).collect()
+    assert sorted((r.conv_id, r.turn, r.status) for r in got if r.conv_id) == [(big, big, "ok"), (big, big + 2, "ok")]
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rows = [(1, 0, "user", "word " * 400_000 + call("a"), "c", 3)]
+    got = link(spark.createDataFrame(rows, CHAT + ", status string, level int")).collect()
+    assert [(r.kind, r.status, r.level) for r in sorted(got, key=lambda r: r.item)] == [("text", "ok", 0), ("call", "pending", 1)]
+
+
+def test_links_of_random_conversations_are_brute_force(spark):
+    import random
+
+    r = random.Random(11)
+    rows, calls, results = [], {}, set()
+    for conv in range(12):
+        names = [f"n{k}" for k in range(14)]
+        for turn in range(14):
+            after = r.sample(names, r.choice([0, 0, 1, 2]))
+            who = r.choice(names)
+            rows.append((conv, turn, "assistant", call(who, r.choice(["search", "nope"]), after=after)))
+            calls.setdefault((conv, who), (turn, sorted(set(after)), "nope" in rows[-1][3]))
+            if r.random() < 0.6:
+                rows.append((conv, turn, "tool", result(w := r.choice(names))))
+                results.add((conv, w))
+    level = {}
+    for _ in calls:
+        for (conv, i), (turn, after, _) in calls.items():
+            deps = [level.get((conv, a)) for a in after if (conv, a) in calls]
+            if (conv, i) not in level and None not in deps:
+                level[conv, i] = max([x + 2 for x in deps], default=1)
+    seen = set()
+    for x in sorted(link(spark.createDataFrame(rows, CHAT)).collect(), key=lambda x: (x.conv_id, x.turn, x.kind)):
+        key = (x.conv_id, x.call_id)
+        if x.kind == "call" and key not in seen:
+            seen.add(key)
+            want = "cycle" if key not in level else "unknown_tool" if calls[key][2] else "ok" if key in results else "pending"
+            assert (x.turn, x.status, x.level) == (calls[key][0], want, level.get(key, 0))
+        elif x.kind == "call":
+            assert (x.status, x.level) == ("duplicate", 0)
+        elif x.kind == "result":
+            assert x.status == ("ok" if key in calls else "orphan") and x.level == (level[key] + 1 if key in level else 0)
+
+
 def test_validate():
     s = {"type": "object", "properties": {"n": {"type": "integer", "minimum": 1}, "k": {"type": ["string", "null"]}, "l": {"type": "array", "items": {"enum": [1, 2]}}}, "required": ["n"], "additionalProperties": False}
     assert validate({"n": 1, "k": None, "l": [1]}, s) is None
