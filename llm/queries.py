@@ -9,9 +9,9 @@ from llm.common import table
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from llm.pseudonyms import pseudonymise
+    from llm.pseudonyms import pseudonymise, session_key
 
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

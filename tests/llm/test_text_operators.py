@@ -1,5 +1,7 @@
 """Operators 1, 6, 7, 8 against brute force and on edge cases."""
 
+import datetime
+import hashlib
 import itertools
 import math
 import re
@@ -84,7 +86,7 @@ def test_large_family_and_long_lists(spark):
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     learn = none.select("lang", "text", F.lit(1).cast("long").alias("pick"))
-    for df in (ngram_jaccard_components(none), keep_one_of_each(none), pseudonymise(none), resample(none, labels), keep_sampled(none, labels), identify(none, learn)):
+    for df in (ngram_jaccard_components(none), keep_one_of_each(none), pseudonymise(none, KEY), resample(none, labels), keep_sampled(none, labels), identify(none, learn)):
         assert df.count() == 0
 
 
@@ -95,7 +97,7 @@ def luhn(s):
 def test_pseudonyms_keep_formats_links_and_the_rest(spark):
     text = "Mail ab.12@x.org, card 4961143020124266 and 4961 1430 2012 4266, bad 4961143020124267, ip 10.2.3.4 not 10.2.3.400, call +1 (375) 555-4393, on 2024-02-29 not 2024-02-30, DE89370400440532013000 123-45-6789"
     rows = [(1, text), (2, "card: 4961143020124266"), (3, None), (4, ""), (5, "nothing here 42"), (1, text)]
-    got = pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
     by = {r.doc_id: r for r in got}
     new = by[1].text
     shape = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", s)))
@@ -110,17 +112,131 @@ def test_pseudonyms_keep_formats_links_and_the_rest(spark):
     assert by[1].n_private == 8 and len(got) == 6
 
 
+KEY = "a key for the tests"
+
+
+def plain_text(value, tag):
+    """The Feistel network over characters, in plain Python."""
+    a, b = value[: len(value) // 2], value[len(value) // 2 :]
+    for r in range(1, 9):
+        h = hashlib.sha256(f"{KEY}|{tag}|{r}|{b}".encode()).hexdigest()
+        out = ""
+        for i, c in enumerate(a):
+            k = int(h[i % 32 * 2 : i % 32 * 2 + 2], 16)
+            first, n = ("0", 10) if c.isdigit() else ("a", 26) if c.islower() else ("A", 26) if c.isupper() else (c, 1)
+            out += chr(ord(first) + (ord(c) - ord(first) + k) % n)
+        a, b = b, out
+    return a + b
+
+
+def plain_pair(a, b, n_a, n_b, tag):
+    for r in range(1, 9):
+        h = lambda x: int(hashlib.sha256(f"{KEY}|{tag}|{r}|{x}".encode()).hexdigest()[:12], 16)  # noqa: B023, E731
+        a, b = ((a + h(b)) % n_a, b) if r % 2 else (a, (b + h(a)) % n_b)
+    return a, b
+
+
+def poured(layout, digits, kind=str.isdigit):
+    it = iter(digits)
+    return "".join(next(it) if kind(c) else c for c in layout)
+
+
+def plain_card(m):
+    body = plain_text(re.sub(r"\D", "", m)[:-1], "card")
+    return poured(m, body + next(d for d in "0123456789" if luhn(body + d)))
+
+
+def plain_ten(d):
+    area, rest = int(d[:3]), int(d[3:])
+    low_a, low_b = 200 * (area >= 200), 2_000_000 * (rest >= 2_000_000)
+    a, b = plain_pair(area - low_a, rest - low_b, 800 if low_a else 200, 8_000_000 if low_b else 2_000_000, "nanp")
+    return f"{a + low_a:03}{b + low_b:07}"
+
+
+def plain_iban(m):
+    solid = m.replace(" ", "")
+    bban = plain_text(solid[4:], "iban")
+    number = int("".join(str(int(c, 36)) for c in bban + solid[:2] + "00"))
+    return poured(m, f"{solid[:2]}{98 - number % 97:02}{bban}", str.isalnum)
+
+
+def plain_date(m):
+    n = (datetime.date.fromisoformat(m) - datetime.date(1900, 1, 1)).days
+    size, base, rows = (292, 0, 250) if n < 73000 else (7, 73000, 7)
+    a, b = plain_pair((n - base) // size, (n - base) % size, rows, size, "date")
+    return str(datetime.date(1900, 1, 1) + datetime.timedelta(base + a * size + b))
+
+
+def plain_ip(m):
+    p = [int(x) for x in m.split(".")]
+    a, b = plain_pair(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ip")
+    return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+
+def plain_ssn(m):
+    area, group, serial = map(int, m.split("-"))
+    a, b = plain_pair((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn")
+    return f"{a // 99 + 1 + (a // 99 + 1 > 665):03}-{a % 99 + 1:02}-{b + 1:04}"
+
+
+def plain_mail(m):
+    local, at, domain = m.partition("@")
+    return "".join(plain_text(local[i : i + 64], f"email{i // 64}") for i in range(0, len(local), 64)) + at + domain
+
+
+def abroad(m, code):
+    digits = re.sub(r"\D", "", m).removeprefix("00")
+    return poured(m, "00" * m.startswith("00") + code + plain_text(digits[len(code) :], f"phone{code}"))
+
+
+def plain_french(m):
+    d = re.sub(r"\D", "", m)
+    a, b = plain_pair(int(d[1]) - 1, int(d[2:]), 9, 10**8, "french")
+    return poured(m, f"0{a + 1}{b:08}")
+
+
+PLAIN = [
+    *[(m, plain_card(m)) for m in ("4961143020124266", "4961 1430 2012 4266", "4961-1430 2012-4266", "378282246310005", "3782-822463-10005")],
+    *[(m, plain_iban(m)) for m in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947")],
+    *[(m, plain_date(m)) for m in ("1999-12-31", "2099-12-30", "1900-01-01", "2024-02-29")],
+    *[(m, plain_ip(m)) for m in ("10.2.3.4", "255.255.255.255", "0.0.0.0")],
+    *[(m, plain_ssn(m)) for m in ("123-45-6789", "899-99-9999", "665-01-0001", "667-01-0001")],
+    *[(m, plain_mail(m)) for m in ("ab.12@x.org", "A@b.c.de", "long" * 40 + ".x@y.org")],
+    *[(m, abroad(m, c)) for m, c in (("+33 1 42 68 53 00", "33"), ("+33 6 12 34 56 78", "33"), ("+353 1 234 5678", "353"), ("+7 495 123-45-67", "7"), ("+44 (0)20 7946 0958", "44"), ("0033 1 42 68 53 00", "33"), ("+4915112345678", "49"))],
+    *[(m, poured(m, plain_ten(re.sub(r"\D", "", m)))) for m in ("(212) 555-0123", "212-555-0123", "142.155.0123", "(999)199-0000")],
+    ("+1 (375) 555-4393", poured("+1 (375) 555-4393", "1" + plain_ten("3755554393"))),
+    ("01 42 68 53 00", plain_french("01 42 68 53 00")),
+]
+
+
+def test_pseudonyms_are_those_of_plain_python(spark):
+    rows = [(k, f"see {m}, and that") for k, (m, _) in enumerate(PLAIN)]
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    for k, (m, want) in enumerate(PLAIN):
+        assert got[k].text == f"see {want}, and that", m
+        assert got[k].n_private == (m != want)
+    tail = pseudonymise(spark.createDataFrame([(0, "DE89 3704 0044 0532 0130 00 THIS STAYS"), (1, "+1 212 555 0123 15 apples")], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    assert tail[0].text == plain_iban("DE89 3704 0044 0532 0130 00") + " THIS STAYS"
+    assert tail[1].text == "+1 " + poured("212 555 0123", plain_ten("2125550123")) + " 15 apples"
+
+
+def test_what_fails_its_test_stays(spark):
+    rows = ["4961143020124267", "10.2.3.400", "2024-02-30", "31.02.2020", "000-12-3456", "666-12-3456", "900-12-3456", "DE89370400440532013001", "+33 1", "12 34 56", "version 1.2.3", "a@b"]
+    got = pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    assert [r.text for r in got] == rows and not any(r.n_private for r in got)
+    with pytest.raises(ValueError, match="key"):
+        pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "")
+
+
 def test_pseudonyms_in_very_long_and_odd_texts(spark, docs):
     odd = ["1" * 300000, "a@" + "b." * 100000, "a." * 100000 + "@x.org", "1234 " * 60000, "+1 " * 60000, "DE89 " + "ABCD " * 60000, "10." * 80000, "x" * 500000 + " 4961143020124266"]
-    got = pseudonymise(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).orderBy("doc_id").collect()
+    got = pseudonymise(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
     assert [len(r.text) for r in got] == [len(t) for t in odd] and got[-1].n_private == 1
-    out = pseudonymise(docs)
+    out = pseudonymise(docs.withColumn("n_private", F.lit("c")), KEY)
     assert set(out.columns) == {*docs.columns, "n_private"} and out.count() == docs.count()
 
 
 def test_pseudonyms_are_one_to_one_and_keyed(spark):
-    import datetime
-
     first = datetime.date(1990, 1, 1)
     days = [(k, str(first + datetime.timedelta(k))) for k in range(2000)]
     df = spark.createDataFrame(days, "doc_id long, text string")
