@@ -53,6 +53,8 @@ SHORT = 32
 BLOCK = 1 << 19
 #: Blocks of a family above which its exact order is worth two more shuffles of its shingles.
 REFINED = 8
+#: Rows of a table of ids up to which it is sent to the texts; beyond, the texts are shuffled to meet it.
+SENT = 500_000
 #: Bits of the filter that spares most texts the way to the families.
 BITS = 1 << 24
 
@@ -245,6 +247,11 @@ def _flagged(docs: DataFrame, ids: DataFrame, by: str = "doc_id") -> DataFrame:
     return docs.withColumn("__bit", bit).mapInArrow(flag, kind)
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """ids, sent to every task of a join if it has at most ``SENT`` rows; ids is a written table, so counting it costs little."""
+    return F.broadcast(ids) if ids.count() <= SENT else ids
+
+
 #: spare: how many of the document's most frequent shingles its prefix does without; df: 0 where it is to be counted.
 _COUNTED = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<u4"), ("spare", "<u4"), ("df", "<u4")])
 _FIXED = np.iinfo(np.uint32).max
@@ -365,7 +372,7 @@ def verified_links(docs: DataFrame, members: DataFrame, width: int, num: int, de
     """Links a, b between the members (doc_id, family, n) whose texts are alike."""
     blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
     placed = settle(members.join(blocks, "family").select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block")))
-    texts = _flagged(docs.where("doc_id is not null").select("doc_id", "text"), placed.select("doc_id")).where("__maybe").join(placed, "doc_id")
+    texts = _flagged(docs.where("doc_id is not null").select("doc_id", "text"), placed.select("doc_id")).where("__maybe").join(_small(placed), "doc_id")
     pairs = texts.select("doc_id", "text", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     sent = pairs.select("doc_id", "text", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
     # a document meets its own block where low = high
@@ -438,7 +445,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
     # most rows are in no mark; they pass a filter and needn't be shuffled with their texts
     marks = settle(found.groupBy("doc_id").agg(F.count("*").alias("__n"), F.max(F.col("doc_id") != F.col("component_id")).alias("__drop")).where("__drop or __n > 1"))
     flagged = _flagged(docs, marks)
-    rest = flagged.where("__maybe").join(marks, "doc_id", "left").where("not coalesce(__drop, false)")
+    rest = flagged.where("__maybe").join(_small(marks), "doc_id", "left").where("not coalesce(__drop, false)")
     if not marks.where("not __drop").isEmpty():
         rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
         rest = rest.withColumn("__rank", F.when(F.col("__n").isNotNull(), rank).otherwise(1)).where("__rank = 1")
