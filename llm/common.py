@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names for checkpoints. Only a session on one machine gets a temporary one where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.llm.ownSharedDir", None)
     if not named:
-        named = spark.conf.get("spark.llm.ownSharedDir", None) or "file://" + tempfile.mkdtemp(prefix="shared-")
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+        named = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.llm.ownSharedDir", named)
     return named
 
 
+_written: list[str] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
@@ -32,19 +39,41 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def unsettle(df: DataFrame) -> None:
     """Deletes what ``settle`` wrote, once nothing reads it any more."""
     path = getattr(df, "_settled_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what is settled inside, failed or not, but for what is given to ``keep``: ``with scratch(spark) as keep: out = keep(settle(df))``."""
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._settled_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _written if p not in before and p not in kept]:
+            _delete(spark, path)
 
 
 def n_words(text: Column) -> Column:

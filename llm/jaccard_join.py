@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import WORD, settle, small_batches, unsettle
+from llm.common import WORD, scratch, settle, small_batches, unsettle
 from llm.components import connected_components
 from llm.shingles import mix, shingle_sets
 
@@ -436,20 +436,24 @@ def text_classes(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of docs that stay when each class of ``ngram_jaccard_components`` keeps the document of its smallest doc_id.
+    """The rows of docs that stay when each class of ``text_classes`` keeps the one of its smallest doc_id.
 
-    Of rows that share that doc_id one stays (that of the lowest text hash).
-    Rows of a null doc_id all stay.
+    Each row is judged by its own text, whatever id it shares or lacks; null ids
+    come last. Of rows alike in id and text one stays. A text without words is
+    like no other, so of such rows only those of one id are each other's copies.
     """
-    found = ngram_jaccard_components(docs, width, num, den).where("doc_id is not null")
+    classes = text_classes(docs, width, num, den)
+    keys = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("id")).join(classes.select("key", "component"), "key")
+    first = keys.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("component", F.col("first.key").alias("stays"))
     # most rows are in no mark; they pass a filter and needn't be shuffled with their texts
-    marks = settle(found.groupBy("doc_id").agg(F.count("*").alias("__n"), F.max(F.col("doc_id") != F.col("component_id")).alias("__drop")).where("__drop or __n > 1"))
-    flagged = _flagged(docs, marks)
-    rest = flagged.where("__maybe").join(_small(marks), "doc_id", "left").where("not coalesce(__drop, false)")
-    if not marks.where("not __drop").isEmpty():
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-        rest = rest.withColumn("__rank", F.when(F.col("__n").isNotNull(), rank).otherwise(1)).where("__rank = 1")
-    return flagged.where("not __maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    marks = settle(classes.join(first, "component").select(F.col("key").alias("__key"), F.col("n").alias("__n"), (F.col("key") != F.col("stays")).alias("__drop")))
+    flagged = _flagged(docs.withColumn("__key", text_key()), marks, "__key")
+    rest = flagged.where("__maybe").join(_small(marks), "__key", "left").where("not coalesce(__drop, false)")
+    out = flagged.where("not __maybe").select(*docs.columns).unionByName(rest.where("coalesce(__n, 1) = 1").select(*docs.columns))
+    if marks.where("__n > 1 and not __drop").isEmpty():
+        return out
+    again = rest.where("__n > 1").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return out.unionByName(again.select("row.*"))
 
 
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, block: int = BLOCK, counters: int = COUNTERS) -> DataFrame:
@@ -466,6 +470,12 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with scratch(spark) as keep:
+        return keep(_components(docs, width, num, den, block, counters))
+
+
+def _components(docs: DataFrame, width: int, num: int, den: int, block: int, counters: int) -> DataFrame:
+    spark = docs.sparkSession
     heavy = heavy_shingles(docs, width, counters)
     signed = settle(signatures(docs, width, num, den, heavy))
     named = signed.where("n > 0 and doc_id is not null")
@@ -480,18 +490,13 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den:
     loads = members.groupBy("family").agg(F.sum("n").alias("load"), F.count("*").alias("size")).where("size > 1")
     large = settle(loads.where(F.col("load") > REFINED * block).select("family", "load"))
     wide = large.agg(F.sum("load")).first()[0]
-    spent = [signed, groups, families, members, large]
     if wide:
         more = max(parts, int(wide // 2_000_000) + 1)
         fine = refined(docs, members.join(large, "family", "left_semi"), width, num, den, heavy, more)
-        spent.append(fine)
         members = members.join(large, "family", "left_anti").unionByName(fine)
     links = settle(verified_links(docs, members, width, num, den, block))
     copies = named.join(sets.select("digest", "rep"), "digest")
     ids = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = connected_components(links.unionByName(ids))
     sized = signed.select("doc_id", F.col("n").alias("n_shingles"))
-    out = settle(sized.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
-    for used in (*spent, links):
-        unsettle(used)
-    return out
+    return settle(sized.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))

@@ -8,8 +8,8 @@ once: their medians come from histograms of byte weights that are refined where
 the median falls, so no node's rows are ever sorted or gathered.
 
 A unit is all rows of one text, so copies stay together; a text whose copies
-weigh more than ``1 / LOOSE`` of a leaf is a hot group, and its rows become units
-of their own. Only DataFrame functions are used.
+weigh more than ``1 / LOOSE`` of a leaf is a hot group, and each of its rows
+becomes a unit of its own. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ LOOSE = 10
 #: Bins of a histogram, and the part of a leaf's bytes that a cut may be off.
 BINS = 512
 CLOSE = 1 / 400
-#: Groups of rows of a shard that are numbered apart.
+#: Rows of a shard that are numbered together, about; groups of a shard at least; and groups of all shards up to which their starts are broadcast.
+LANE = 50_000
 LANES = 64
+SENT = 500_000
 
 DIMENSIONS = ("d_size", "d_source", "d_lang", "d_id")
 _TOP = 1 << 31
@@ -61,15 +63,16 @@ def _cuts(units: DataFrame, nodes: dict[int, tuple], total: float, leaves: int)
     return cut
 
 
-def kd_shards(docs: DataFrame, shards: int = 40, lanes: int = LANES) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int = 40, lanes: int | None = None) -> DataFrame:
     """Every row of docs (doc_id, text, lang, source) with its shard.
 
     Returns doc_id, size (UTF-8 bytes of the text, 0 for null, and 16),
     text_crc32 (0 for null), shard (0 to ``shards`` - 1) and slot (from 0 without
     gaps in each shard). Null texts count as one text; nulls in other columns
     stand before all values of their dimension. Where all rows are one value
-    along every dimension, a hash of the text (of the id for hot groups) parts
-    them; rows alike in all of that stay together. An empty table has no rows.
+    along every dimension, a hash of the text (of the row's number for hot groups)
+    parts them, so repeated rows of any ids, or of none, are spread once their
+    text is hot. An empty table has no rows.
     """
     rows = settle(
         docs.select(
@@ -77,17 +80,19 @@ def kd_shards(docs: DataFrame, shards: int = 40, lanes: int = LANES) -> DataFram
             (n_bytes(F.col("text")) + 16).alias("size"),
             F.coalesce(F.crc32(F.col("text")), F.lit(0)).cast("long").alias("text_crc32"),
             F.xxhash64("text").alias("h"),
+            F.monotonically_increasing_id().alias("row"),
             F.coalesce(F.shiftrightunsigned(F.xxhash64("source"), 33), F.lit(0)).alias("d_source"),
             F.coalesce(F.shiftrightunsigned(F.xxhash64("lang"), 33), F.lit(0)).alias("d_lang"),
         )
     )
     same = ["h", "text_crc32", "size"]
-    total = rows.agg(F.sum("size")).first()[0]
+    total, n = rows.agg(F.sum("size"), F.count("*")).first()
+    lanes = lanes or max(LANES, -(-n // shards // LANE))
     if not total:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     # at most shards * LOOSE texts weigh that much, so this side is small by proof
     hot = rows.groupBy(*same).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > total / shards / LOOSE).select(*same, F.lit(True).alias("hot"))
-    rows = settle(rows.join(F.broadcast(hot), same, "left").withColumn("part", F.when(F.col("hot"), F.struct("doc_id")).otherwise(F.struct(F.lit(None).cast("long").alias("doc_id")))).withColumn("unit", F.xxhash64("h", "text_crc32", "size", "part.doc_id")).drop("part"))
+    rows = settle(rows.join(F.broadcast(hot), same, "left").withColumn("unit", F.xxhash64("h", "text_crc32", "size", F.when(F.col("hot"), F.col("row")))))
     # the metadata of a unit: that of its row with the lowest id
     first = F.min(F.struct("doc_id", "d_source", "d_lang", "size")).alias("first")
     units = rows.groupBy("unit").agg(F.sum("size").cast("double").alias("weight"), first)
@@ -96,7 +101,7 @@ def kd_shards(docs: DataFrame, shards: int = 40, lanes: int = LANES) -> DataFram
     units = units.select(
         "unit", "weight",
         F.least(F.col("first.size"), F.lit(_TOP - 1)).alias("d_size"), F.col("first.d_source").alias("d_source"), F.col("first.d_lang").alias("d_lang"),
-        F.coalesce(F.expr(f"(first.doc_id - {low or 0}L) div {scale}L") + 1, F.lit(0).cast("long")).alias("d_id"),
+        F.coalesce(F.expr(f"(cast(first.doc_id as decimal(20, 0)) - {low or 0}BD) div {scale}BD") + 1, F.lit(0).cast("long")).alias("d_id"),
         F.lit(0).alias("node"),
     )
     leaves = {0: (0, shards)}  # node: its first shard, and how many
@@ -129,9 +134,9 @@ def kd_shards(docs: DataFrame, shards: int = 40, lanes: int = LANES) -> DataFram
         unsettle(units)
         units, leaves = after, new
     shard = F.create_map(*[x for n, (at, _) in leaves.items() for x in (F.lit(n), F.lit(at))])[F.col("node")]
-    placed = settle(rows.join(units.select("unit", shard.alias("shard")), "unit").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(lanes)).cast("int").alias("lane")))
+    placed = settle(rows.join(units.select("unit", shard.alias("shard")), "unit").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("row"), F.lit(lanes)).cast("int").alias("lane")))
     ahead = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     start = placed.groupBy("shard", "lane").count().withColumn("start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
     inside = F.row_number().over(Window.partitionBy("shard", "lane").orderBy("doc_id", "text_crc32"))
-    # shards * lanes rows at most
-    return placed.withColumn("inside", inside).join(F.broadcast(start), ["shard", "lane"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("inside") - 1).alias("slot"))
+    start = F.broadcast(start) if shards * lanes <= SENT else start
+    return placed.withColumn("inside", inside).join(start, ["shard", "lane"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("inside") - 1).alias("slot"))

@@ -101,20 +101,18 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = REPEATS, weights: tup
 
     Returns doc_id, size (words), source_size, target (of its source) and taken
     (words, repeats counted: a document is taken 0 to ``most`` times, always
-    whole; of rows that tie with the last one drawn only as many are taken as are
-    still wanted, in the order of their text hashes). Sources sort by code point, null last, and weigh ``weights`` in
+    whole; of rows that tie with the last one drawn, which are alike in id and
+    text, only as many are taken as are still wanted). Sources sort by code point, null last, and weigh ``weights`` in
     turn. Null and empty texts have size 0 and nothing is taken of them. Rows
-    of one id count one by one in all sums. Null doc_ids all draw alike, so they tie. An empty
-    table gives no rows. ``carry`` names columns to return besides (those of
+    of one id, or of none, count one by one in all sums and draw by their texts.
+    An empty table gives no rows. ``carry`` names columns to return besides (those of
     other names than the five). The sources' names and sizes go through the driver,
     their documents don't.
     """
     more = [c for c in carry if c not in ("doc_id", "source", "size", "source_size", "target", "taken")]
-    draw = F.xxhash64(F.lit(seed).cast("long"), "doc_id")
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), *[F.col(c).alias(f"_of_{c}") for c in more], *[F.col("text").alias("_text")][: len(more)])
-    if more:
-        named = named.withColumn("_tie", F.xxhash64("_text")).drop("_text")
-    rows = settle(named.select("doc_id", "size", "source"))
+    draw = F.xxhash64(F.lit(seed).cast("long"), F.col("doc_id").cast("long"), "text")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), draw.alias("draw"), *[F.col(c).alias(f"_of_{c}") for c in more])
+    rows = settle(named.select("doc_id", "size", "source", "draw"))
     counts = settle(rows.groupBy("source", "size").count())
     by_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("total")).collect()
     by_source.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
@@ -139,7 +137,7 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = REPEATS, weights: tup
 
     lengths = counts.join(sent(plan_rows.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "count", "budget")
     take = settle(lengths.repartition("source").mapInPandas(fit, "source string, size long, take long"))
-    lane = F.shiftrightunsigned(draw, 56).cast("int")
+    lane = F.shiftrightunsigned("draw", 56).cast("int")
     ahead = Window.partitionBy("source", "size").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lanes = rows.groupBy("source", "size", lane.alias("lane")).count().withColumn("ahead", F.coalesce(F.sum("count").over(ahead), F.lit(0)))
     take = take.select(F.col("source").alias("s"), F.col("size").alias("z"), "take")
@@ -149,17 +147,17 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = REPEATS, weights: tup
     # where a draw ends inside a lane, its last document
     among = Window.partitionBy("source", "size", "lane")
     ranked, first, after = F.row_number().over(among.orderBy("draw", "doc_id")), F.rank().over(among.orderBy("draw")), F.lead("draw").over(among.orderBy("draw", "doc_id"))
-    edge = rows.withColumn("draw", draw).withColumn("lane", lane).join(lanes.where("wanted > 0 and wanted < count"), meets)
+    edge = rows.withColumn("lane", lane).join(lanes.where("wanted > 0 and wanted < count"), meets)
     # how many are still wanted of those that tie with it, and whether there are more
     edge = edge.withColumn("rank", ranked).withColumn("first", first).withColumn("after", after).where("rank = wanted")
     last = settle(edge.select(F.col("s").alias("es"), F.col("z").alias("ez"), F.col("l").alias("el"), F.col("draw").alias("last"), (F.col("wanted") - F.col("first") + 1).alias("still"), F.coalesce(F.col("after") == F.col("draw"), F.lit(False)).alias("over")))
     ties = not last.where("over").isEmpty()
     lanes = lanes.join(last, F.col("s").eqNullSafe(F.col("es")) & (F.col("z") == F.col("ez")) & (F.col("l") == F.col("el")), "left").select("s", "z", "l", "last", "still", "over", (F.col("wanted") == F.col("count")).alias("all"))
     again = named if more else rows
-    both = again.withColumn("draw", draw).withColumn("lane", lane).join(lanes, meets).withColumn("more", (F.col("all") | F.coalesce(F.col("draw") <= F.col("last"), F.lit(False))).cast("long")).drop("s", "z", "l")
+    both = again.withColumn("lane", lane).join(lanes, meets).withColumn("more", (F.col("all") | F.coalesce(F.col("draw") <= F.col("last"), F.lit(False))).cast("long")).drop("s", "z", "l")
     if ties:
         tied = F.coalesce(F.col("over") & (F.col("draw") == F.col("last")), F.lit(False))
-        nth = F.row_number().over(among.orderBy("doc_id", *(["_tie"] if more else [])))
+        nth = F.row_number().over(among.orderBy("draw", "doc_id"))
         both = both.where(~tied).unionByName(both.where(tied).withColumn("more", (nth <= F.col("still")).cast("long")))
     out = both.join(sent(plan_rows.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken"), "source", *[F.col(f"_of_{c}").alias(c) for c in more])

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -78,6 +79,73 @@ def test_packing_holds_its_constraints(docs, rows):
             at += r["size"]
 
 
+def test_packed_texts_are_the_words_of_the_table(docs, rows):
+    got = pack(docs, capacity=200, per_source=2, shard=50, text=True).collect()
+    plain = pack(docs, capacity=200, per_source=2, shard=50).collect()
+    cols = ["doc_id", "part", "size", "source", "cluster"]
+    assert sorted(str([r[c] for c in cols]) for r in got) == sorted(str([r[c] for c in cols]) for r in plain)
+    assert all(words(r.text) == r["size"] for r in got)
+    whole = defaultdict(list)
+    for r in got:
+        whole[r.doc_id, r.cluster].append(r)
+    for i, t in rows:
+        if i not in (3, 95):  # repeated ids
+            assert any("".join(x.text or "" for x in sorted(g, key=lambda r: r.part)) == (t or "") for (j, _), g in whole.items() if j == i)
+
+
+def test_ids_of_packed_rows_stay_exact(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b c", "s", "x"), (None, "d e", "s", "x"), (None, "d e", "s", "x"), (big + 2, None, None, "x")], "doc_id long, text string, source string, bin string")
+    got = pack(df).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id) == [big, big + 2] and len(got) == 4
+    assert len({r.bin for r in got if r.doc_id is None}) == 2  # copies never share a bin
+
+
+def test_rows_without_ids_are_spread_over_all_shards(spark):
+    df = spark.createDataFrame([(None, f"word {k % 7}", "s") for k in range(1000)], "doc_id long, text string, source string")
+    assert len({r.bin.split("-")[0] for r in pack(df, shard=100).collect()}) == 10
+
+
+def test_shards_of_repeated_rows_and_extreme_ids_hold_their_law(spark):
+    kind = "doc_id long, text string, lang string, source string"
+    same = [(None, "same text " * 10, "en", "s")] * 400 + [(k, f"other text {k:04}", "en", "s") for k in range(400)]
+    by = {r.shard: r for r in kd_shards(spark.createDataFrame(same, kind), shards=8).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()}
+    size = [r["sum(size)"] for r in by.values()]
+    assert len(size) == 8 and max(size) < 1.2 * min(size)
+    assert all(r["max(slot)"] == r["count(1)"] - 1 for r in by.values())
+    ends = [(-(2**63), "a " * 50, "en", "s"), (2**63 - 1, "b " * 50, "en", "s"), *((k, f"{k:03} " * 25, None, None) for k in range(30))]
+    got = kd_shards(spark.createDataFrame(ends, kind), shards=4).collect()
+    assert len(got) == 32 and len({r.shard for r in got}) == 4
+
+
+def test_long_texts_in_shards(docs, rows):
+    """Whole tables, very long texts and all: a shard is above its target by less than its largest text, or by a tenth."""
+    got = kd_shards(docs, shards=4).collect()
+    total = sum(r["size"] for r in got)
+    for n in range(4):
+        mine = [r["size"] for r in got if r.shard == n]
+        assert len(got) == len(rows) and sum(mine) - total / 4 <= max(max(mine, default=0), total / 40)
+
+
+def test_nothing_stays_in_the_shared_folder(docs, monkeypatch, tmp_path):
+    from types import SimpleNamespace
+
+    from llm import common
+    from llm.jaccard_join import ngram_jaccard_components
+
+    asked = common.shared_dir
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    got = ngram_jaccard_components(docs)
+    assert [f"file://{p}" for p in tmp_path.iterdir()] == [got._settled_path]
+    with common.scratch(docs.sparkSession) as keep:
+        common.settle(docs)
+        kept = keep(common.settle(docs))
+    assert len(list(tmp_path.iterdir())) == 2 and kept.count() == docs.count()
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://somewhere:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        asked(cluster)
+
+
 def test_shards_hold_their_law(docs, rows):
     got = kd_shards(docs.where("doc_id is null or doc_id not in (95, 96)"), shards=4).collect()
     kept = [(i, t) for i, t in rows if i not in (95, 96)]
@@ -118,6 +186,23 @@ def test_pipeline_stages_do_their_work(spark, tmp_path):
     assert kept[3].join(kept[2].select("doc_id", "text"), ["doc_id", "text"], "left_anti").count() >= private
     most = kept[4].groupBy("doc_id").count().agg({"count": "max"}).first()[0]
     assert most <= 2 and kept[5].select("doc_id").distinct().count() == kept[4].select("doc_id").distinct().count()
+    # the bins' words are those of the mixed documents
+    assert Counter(" ".join(r.text or "" for r in kept[5].collect()).split()) == Counter(" ".join(r.text or "" for r in kept[4].collect()).split())
+    end = p.run(spark, d)
+    assert {"bin", "bin_start", "text"} <= set(end.columns) and end.count() == kept[5].count()
+
+
+def test_pipeline_of_odd_rows(spark, docs, none, tmp_path):
+    import corpus_pipeline as p
+
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, rows in (("odd", docs.select(cols)), ("none", none)):
+        d = str(tmp_path / name)
+        rows.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        got = p.run(spark, d).collect()
+        assert (len(got) > 0) == (name == "odd")
+        assert all(words(r.text) == r["size"] for r in got)
 
 
 def test_mix_of_many_sources_needs_no_broadcast(docs, monkeypatch):
