@@ -1,4 +1,4 @@
-"""A training corpus from the table documents, in five stages.
+"""A training corpus, packed texts, from the table documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written and read again before the next. All but the last return the columns of
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import importance, jaccard_join, mixing, packing, pseudonyms
-from llm.common import settle, table
+from llm.common import scratch, settle, table, unsettle
 
 ORACLE_SQL = None
 
@@ -43,17 +43,21 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places the documents in bins; a document that the mix repeats is its own duplicate and never shares a bin with itself."""
-    return packing.pack(docs)
+    """Places the documents, with their texts, in bins; a document that the mix repeats is its own duplicate and never shares a bin with itself."""
+    return packing.pack(docs, text=True)
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("PII", private_values), ("mixing sources", source_mix), ("best-fit packing", bins)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus: doc_id, part, size, source, cluster, bin, bin_start and text. What a stage writes is deleted once the next one has read it; what the last one reads stays with the result."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = settle(docs)
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch(spark) as keep:
+            done = keep(settle(stage(spark, docs, sf_dir)))
+        unsettle(docs)
+        docs = done
     return docs
