@@ -2,44 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noema.operators.blocks import small
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "rel", "conf").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "conf"))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    return both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+def degrees(adjacent: DataFrame) -> DataFrame:
+    """adjacent: each edge from both ends, as ``adjacency`` keeps it."""
+    return adjacent.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def neighbours(edges: DataFrame, node: str) -> DataFrame:
-    return both_ways(edges).where(F.col("src") == node).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("edges"), F.avg("conf").alias("avg_conf"))
+def neighbours(adjacent: DataFrame, node: str) -> DataFrame:
+    return adjacent.where(F.col("src") == node).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("edges"), F.avg("conf").alias("avg_conf"))
 
 
-def explore(edges: DataFrame, node: str, hops: int) -> DataFrame:
-    """Nodes within ``hops`` of the node, with their distance."""
-    two = both_ways(edges).select("src", "dst").distinct()
-    seen = two.sparkSession.createDataFrame([(node, 0)], "node string, hops int")
+def explore(adjacent: DataFrame, node: str, hops: int) -> DataFrame:
+    """Nodes within ``hops`` of the node, with their distance. Only what the frontier touches is read; it is sent to the edges while it is small."""
+    seen = adjacent.sparkSession.createDataFrame([(node, 0)], "node string, hops int")
+    front = None
     for h in range(1, hops + 1):
-        step = seen.where(F.col("hops") == h - 1).join(two, seen.node == two.src).select(F.col("dst").alias("node"), F.lit(h).alias("hops")).distinct()
-        seen = seen.unionByName(step).groupBy("node").agg(F.min("hops").alias("hops"))
-    return seen
-
-
-def paths(edges: DataFrame, start: str, end: str, hops: int, limit: int = 20) -> DataFrame:
-    """Undirected paths that use no edge twice: length, mean confidence (3 places), route; shortest first."""
-    # an edge's number comes from its content; rows alike are numbered apart
-    rank = F.row_number().over(Window.partitionBy("src", "dst", "rel").orderBy("conf"))
-    e = edges.withColumn("eid", F.concat_ws("|", "src", "rel", "dst", rank.cast("string")))
-    two = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "conf", "eid").unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"), "conf", "eid"))
-    now = two.where(F.col("a") == start).select(F.col("b").alias("at"), F.array("eid").alias("used"), F.array("a", "b").alias("route"), F.col("conf").alias("total"), F.lit(1).alias("length"))
-    found = now.where(F.col("at") == end)
-    for _ in range(1, hops):
-        now = now.join(two, now.at == two.a).where(~F.array_contains("used", F.col("eid"))).select(F.col("b").alias("at"), F.concat("used", F.array("eid")).alias("used"), F.concat("route", F.array("b")).alias("route"), (F.col("total") + F.col("conf")).alias("total"), (F.col("length") + 1).alias("length"))
-        found = found.unionByName(now.where(F.col("at") == end))
-    return found.select("length", F.round(F.col("total") / F.col("length"), 3).alias("weight"), F.array_join("route", ">").alias("route")).orderBy("length", F.desc("weight"), "route").limit(limit)
+        step = adjacent.where(F.col("src") == node) if front is None else adjacent.join(small(front), adjacent.src == F.col("node"), "left_semi")
+        front = step.select(F.col("dst").alias("node")).distinct()
+        seen = seen.unionByName(front.withColumn("hops", F.lit(h)))
+    return seen.groupBy("node").agg(F.min("hops").alias("hops"))
+
+
+def paths(adjacent: DataFrame, start: str, end: str, hops: int, limit: int = 20) -> DataFrame:
+    """Undirected paths that use no edge twice: length, mean confidence (3 places), route; shortest first.
+
+    They are walked from both ends and met in the middle, so the rows grow with
+    half the hops.
+    """
+    two = adjacent.select(F.col("src").alias("a"), F.col("dst").alias("b"), "conf", "eid")
+
+    def walks(node: str, steps: int) -> list[DataFrame]:
+        out = [adjacent.sparkSession.createDataFrame([(node, [], [node], 0.0)], "at string, used array<string>, route array<string>, total double")]
+        for k in range(steps):
+            now = two.where(F.col("a") == node).select(F.col("b").alias("at"), F.array("eid").alias("used"), F.array("a", "b").alias("route"), F.col("conf").alias("total")) if not k else None
+            if now is None:
+                now = two.join(small(out[-1]), F.col("a") == F.col("at")).where(~F.array_contains("used", F.col("eid"))).select(F.col("b").alias("at"), F.concat("used", F.array("eid")).alias("used"), F.concat("route", F.array("b")).alias("route"), (F.col("total") + F.col("conf")).alias("total"))
+            out.append(now)
+        return out
+
+    ahead, back = walks(start, (hops + 1) // 2), walks(end, hops // 2)
+    found = None
+    for n in range(1, hops + 1):
+        first, last = ahead[(n + 1) // 2], back[n // 2].select(F.col("at").alias("meet"), F.col("used").alias("used2"), F.col("route").alias("route2"), F.col("total").alias("total2"))
+        met = first.join(last, F.col("at") == F.col("meet")).where(~F.arrays_overlap("used", "used2"))
+        route = F.concat("route", F.slice(F.reverse("route2"), 2, n + 1))
+        one = met.select(F.lit(n).alias("length"), F.round((F.col("total") + F.col("total2")) / n + 1e-9, 3).alias("weight"), F.array_join(route, ">").alias("route"))
+        found = one if found is None else found.unionByName(one)
+    return found.orderBy("length", F.desc("weight"), "route").limit(limit)
 
 
 def infer(edges: DataFrame, first: str, second: list[str], conf: float) -> DataFrame:

@@ -12,7 +12,7 @@ from noema.operators import categories, dedup, graph, listing, memory, retrieval
 from noema.operators.blocks import small
 from noema.plans.views import EDGES, KP, OPS, TOKENS, VECTORS
 from noema.sources import parsers
-from noema.sources.tables import edges, knowledge, memory_ops, read
+from noema.sources.tables import adjacency, edges, knowledge, memory_ops, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -245,7 +245,7 @@ def agg_relation_counts(s, d):
 
 @query(f"WITH {EDGES} SELECT src AS node, count(*) AS degree FROM both_ways GROUP BY src")
 def agg_degree(s, d):
-    return graph.degrees(edges(s, d))
+    return graph.degrees(adjacency(s, d))
 
 
 @query("SELECT count(*) AS items, count(DISTINCT conv_id) AS conversations, count(DISTINCT role) AS roles FROM conversations")
@@ -399,21 +399,20 @@ def cnf_propagation(s, d):
 
 @query(f"WITH {EDGES} SELECT dst AS node, count(*) AS edges, round(avg(conf), 6) AS avg_conf FROM both_ways WHERE src = 'n3' GROUP BY dst")
 def gra_neighbours(s, d):
-    return graph.neighbours(edges(s, d), "n3").select("node", "edges", _r("avg_conf").alias("avg_conf"))
+    return graph.neighbours(adjacency(s, d), "n3").select("node", "edges", _r("avg_conf").alias("avg_conf"))
 
 
 @query(f"""WITH RECURSIVE {EDGES}, t AS (SELECT DISTINCT src, dst FROM both_ways), x(node, hops) AS (SELECT 'r1', 0 UNION SELECT dst, hops + 1 FROM x JOIN t ON src = node WHERE hops < 2) SELECT node, min(hops) AS hops FROM x GROUP BY node""")
 def gra_explore(s, d):
-    return graph.explore(edges(s, d), "r1", 2)
+    return graph.explore(adjacency(s, d), "r1", 2)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT *, concat_ws('|', src, rel, dst, CAST(row_number() OVER (PARTITION BY src, dst, rel ORDER BY conf) AS VARCHAR)) AS eid FROM edges WHERE rel IN ('PART_OF','INDICATES','CONFLICTS_WITH')),
+@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT *, concat_ws('|', src, rel, dst, CAST(row_number() OVER (PARTITION BY src, dst, rel ORDER BY conf) AS VARCHAR)) AS eid FROM edges),
 t AS (SELECT src AS a, dst AS b, conf, eid FROM e UNION ALL SELECT dst, src, conf, eid FROM e),
-p(here, used, route, total, length) AS (SELECT b, [eid], [a, b], conf, 1 FROM t WHERE a = 'n0' UNION ALL SELECT t.b, list_append(used, eid), list_append(route, t.b), total + conf, length + 1 FROM p JOIN t ON p.here = t.a WHERE length < 3 AND NOT list_contains(used, eid))
-SELECT length, round(total / length, 3) AS weight, array_to_string(route, '>') AS route FROM p WHERE here = 'r0' ORDER BY length, weight DESC, route LIMIT 20""")
+p(here, used, route, total, length) AS (SELECT b, [eid], [a, b], conf, 1 FROM t WHERE a = 'n0' UNION ALL SELECT t.b, list_append(used, eid), list_append(route, t.b), total + conf, length + 1 FROM p JOIN t ON p.here = t.a WHERE length < 4 AND NOT list_contains(used, eid))
+SELECT length, round(total / length + 1e-9, 3) AS weight, array_to_string(route, '>') AS route FROM p WHERE here = 'r0' ORDER BY length, weight DESC, route LIMIT 20""")
 def gra_paths(s, d):
-    some = edges(s, d).where(F.col("rel").isin("PART_OF", "INDICATES", "CONFLICTS_WITH"))
-    return graph.paths(some, "n0", "r0", 3)
+    return graph.paths(adjacency(s, d), "n0", "r0", 4)
 
 
 @query(f"WITH {EDGES} SELECT DISTINCT a.src, b.dst, b.rel, CAST(0.5 AS DOUBLE) AS conf FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel = 'IS_A' AND b.rel = 'CAUSES' AND a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = a.src AND e.dst = b.dst AND e.rel = b.rel)")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from noema.sources.store import kept
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,19 +31,49 @@ def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_GRAPH = ("nation", "customer", "supplier", "orders")
+
+
+def _edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, customer, supplier, orders = (read(spark, sf_dir, t) for t in _GRAPH)
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    edge = lambda df, src, dst, rel, conf: df.select(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"), (conf if isinstance(conf, Column) else F.lit(conf)).cast("double").alias("conf"))
+    n, r, c, s, m = named("n", "n_nationkey"), named("r", "n_regionkey"), named("c", "c_custkey"), named("s", "s_suppkey"), named("m", "c_mktsegment")
+    region = Window.partitionBy("n_regionkey")
+    after = F.coalesce(F.lead("n_nationkey").over(region.orderBy("n_nationkey")), F.min("n_nationkey").over(region))
+    causes = customer.join(orders, F.col("c_custkey") == F.col("o_custkey")).select("c_mktsegment", "o_orderpriority").distinct()
+    rows = [
+        edge(nation, n, r, "PART_OF", 0.9),
+        edge(customer, c, named("n", "c_nationkey"), "BELONGS_TO", F.col("c_custkey") % 50 / 100 + 0.5),
+        edge(supplier, s, named("n", "s_nationkey"), "BELONGS_TO", F.col("s_suppkey") % 50 / 100 + 0.5),
+        edge(customer, c, m, "IS_A", 0.8),
+        edge(causes, m, named("p", "o_orderpriority"), "CAUSES", 0.7),
+        edge(nation.where("n_nationkey % 2 = 0"), r, n, "INDICATES", 0.6),
+        edge(nation.withColumn("after", after), n, named("n", "after"), "CONFLICTS_WITH", 0.4),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph, kept: each edge from both ends, dealt and sorted by ``src``, so that what a node touches is read from few places.
+
+    src, dst, rel, conf, forward (whether it is stored the way it points) and
+    eid, the edge's own name; edges alike are numbered apart.
+    """
+
+    def make() -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("src", "dst", "rel").orderBy("conf"))
+        e = _edge_rows(spark, sf_dir).withColumn("eid", F.concat_ws("|", "src", "rel", "dst", rank.cast("string")))
+        back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "conf", F.lit(False).alias("forward"), "eid")
+        both = e.select("src", "dst", "rel", "conf", F.lit(True).alias("forward"), "eid").unionByName(back)
+        return both.repartitionByRange("src").sortWithinPartitions("src", "dst")
+
+    return kept(spark, "graph-1", [f"{sf_dir}/{t}.parquet" for t in _GRAPH], make)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed, weighted edges between regions, nations, customers, suppliers, segments and priorities."""
-    for name in ("nation", "customer", "supplier", "orders"):
-        read(spark, sf_dir, name).createOrReplaceTempView(f"_e_{name}")
-    return spark.sql("""
-SELECT concat('n', n_nationkey) AS src, concat('r', n_regionkey) AS dst, 'PART_OF' AS rel, CAST(0.9 AS DOUBLE) AS conf FROM _e_nation
-UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey), 'BELONGS_TO', CAST(c_custkey % 50 AS DOUBLE) / 100 + 0.5 FROM _e_customer
-UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), 'BELONGS_TO', CAST(s_suppkey % 50 AS DOUBLE) / 100 + 0.5 FROM _e_supplier
-UNION ALL SELECT concat('c', c_custkey), concat('m', c_mktsegment), 'IS_A', CAST(0.8 AS DOUBLE) FROM _e_customer
-UNION ALL SELECT DISTINCT concat('m', c_mktsegment), concat('p', o_orderpriority), 'CAUSES', CAST(0.7 AS DOUBLE) FROM _e_customer JOIN _e_orders ON c_custkey = o_custkey
-UNION ALL SELECT concat('r', n_regionkey), concat('n', n_nationkey), 'INDICATES', CAST(0.6 AS DOUBLE) FROM _e_nation WHERE n_nationkey % 2 = 0
-UNION ALL SELECT concat('n', n_nationkey), concat('n', coalesce(lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), min(n_nationkey) OVER (PARTITION BY n_regionkey))), 'CONFLICTS_WITH', CAST(0.4 AS DOUBLE) FROM _e_nation
-""")
+    return adjacency(spark, sf_dir).where("forward").select("src", "dst", "rel", "conf")
 
 
 def memory_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
