@@ -98,3 +98,24 @@ def anchor(said: F.Column, today: F.Column) -> F.Column:
     for name, day in days.items():
         out = F.when(low == name, day).otherwise(out)
     return out
+
+
+def burst_records(items: DataFrame) -> DataFrame:
+    """For each time key of items (key, category): n, how many times the mean it is (1 place), whether it is over 2.5 times the mean, whether it is recorded as a burst (over the mean and two population deviations, five at least), and its three commonest categories."""
+    by = items.groupBy("key", "category").agg(F.count("*").alias("n"))
+    # a key has few categories, and there are few keys
+    g = by.groupBy("key").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "category"))), 1, 3).alias("some"))
+    m = g.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("dev"))
+    n = F.col("n")
+    return g.join(F.broadcast(m)).select("key", "n", F.round(n / F.greatest("mean", F.lit(1)) + 1e-9, 1).alias("multiplier"), (n > 2.5 * F.col("mean")).alias("is_burst"), ((n > F.col("mean") + 2 * F.col("dev")) & (n >= 5)).alias("recorded"), F.array_join(F.transform("some", lambda x: x["category"]), ",").alias("top"))
+
+
+def of_category(items: DataFrame, category: str, longest: int) -> DataFrame:
+    """The months of items (key, category, confidence) that have the category, counted anew, with the marks of all items' months: a gap of over ``longest`` days to the next month, a burst over 2.5 times the mean."""
+    g = items.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("category") == category).alias("of_category"), F.round(F.avg(F.when(F.col("category") == category, F.col("confidence"))), 6).alias("avg_conf"))
+    day = F.to_date(F.concat("key", F.lit("-01")))
+    # one row a month
+    after = F.lead(day).over(Window.orderBy("key"))
+    marked = g.select("*", F.coalesce(F.datediff(after, day) > longest, F.lit(False)).alias("is_gap"))
+    m = g.agg(F.avg("n").alias("mean"))
+    return marked.join(F.broadcast(m)).where("of_category > 0").select("key", "of_category", "avg_conf", "is_gap", (F.col("n") > 2.5 * F.col("mean")).alias("is_burst"))
