@@ -8,11 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noema.functions.scores import cosine
-from noema.operators.blocks import small, within
+from noema.operators.blocks import SMALL, against, small, within
+
+
+def _cosines(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    """Every point of a block with every centroid of another."""
+    if not len(p) or not len(c):
+        return pd.DataFrame({"id": [], "label": [], "sim": []})
+    unit = lambda m: (lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))(np.stack(m.to_list()).astype(float))
+    sim = unit(p["v"]) @ unit(c["c"]).T
+    return pd.DataFrame({"id": np.repeat(p["id"].to_numpy(), len(c)), "label": np.tile(c["label"].astype(str).to_numpy(), len(p)), "sim": sim.ravel()})
 
 
 def tree(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """nodes (id, parent) with level and path from the root; an unknown parent makes a root; nodes on cycles are left out."""
+    """nodes (id, parent) with level and path from the root; an unknown parent makes a root; nodes on cycles are left out. A tree deeper than ``depth`` is an error."""
     known = nodes.select(F.col("id").alias("pid"))
     rooted = nodes.join(known, nodes.parent == known.pid, "left").withColumn("parent", F.col("pid")).drop("pid")
     now = rooted.where("parent is null").select("id", F.lit(0).alias("level"), F.col("id").alias("path"))
@@ -21,12 +30,17 @@ def tree(nodes: DataFrame, depth: int = 8) -> DataFrame:
         up = now.select(F.col("id").alias("parent"), F.col("path").alias("above"))
         now = rooted.join(up, "parent").select("id", F.lit(level).alias("level"), F.concat_ws("/", "above", "id").alias("path"))
         out = out.unionByName(now)
-    return out
+    up = now.select(F.col("id").alias("parent"))
+    deeper = F.raise_error(F.lit(f"the tree has more than {depth} levels")).cast("int")
+    return out.unionByName(rooted.join(up, "parent").select("id", deeper.alias("level"), F.col("id").alias("path")))
 
 
 def near_best(points: DataFrame, centroids: DataFrame, margin: float) -> DataFrame:
     """For each point (id, v) all centroids (label, c) within the margin of its best; only points that have more than one."""
-    scored = points.join(small(centroids)).select("id", "label", cosine(F.col("v"), F.col("c")).alias("sim"))
+    if centroids.limit(SMALL + 1).count() <= SMALL:
+        scored = points.join(F.broadcast(centroids)).select("id", "label", cosine(F.col("v"), F.col("c")).alias("sim"))
+    else:
+        scored = against(points.select("id", "v"), centroids.select(F.xxhash64("label").alias("id"), "label", "c"), _cosines, "id long, label string, sim double")
     w = Window.partitionBy("id")
     kept = scored.withColumn("best", F.max("sim").over(w)).where(F.col("best") - F.col("sim") < margin)
     return kept.withColumn("n", F.count("*").over(w)).where("n > 1").select("id", "label", F.round("sim", 6).alias("sim"))
@@ -99,3 +113,72 @@ def compare_sources(facts: DataFrame) -> DataFrame:
 
     dealt = sets.withColumn("h", F.xxhash64("source", "confidence", "chars"))
     return within(dealt, count, "source_a string, source_b string, agreeing long, conflicting long").groupBy("source_a", "source_b").agg(F.sum("agreeing").alias("agreeing"), F.sum("conflicting").alias("conflicting"))
+
+
+def merge_triggers(centroids: DataFrame, least: float, idle_days: int) -> DataFrame:
+    """Pairs a < b of categories (label, c, idle_days) at least that alike, one of which has been idle so long. Categories are few; their centroids are sent."""
+    b = centroids.select(F.col("label").alias("b"), F.col("c").alias("c2"), F.col("idle_days").alias("idle2"))
+    pairs = centroids.join(small(b), F.col("label") < F.col("b")).withColumn("sim", cosine(F.col("c"), F.col("c2")))
+    return pairs.where((F.col("sim") >= least) & ((F.col("idle_days") >= idle_days) | (F.col("idle2") >= idle_days))).select(F.col("label").alias("a"), "b", "sim")
+
+
+def split_triggers(points: DataFrame, group: str, cluster: str, members: int, size: int, diverse: float) -> DataFrame:
+    """Groups of at least ``members`` points (v), that unlike, with two clusters of at least ``size``."""
+    n = points.groupBy(group, cluster).agg(F.count("*").alias("k")).groupBy(group).agg(F.sum("k").alias("members"), F.count_if(F.col("k") >= size).alias("clusters"))
+    return n.join(diversity(points, group), group).where((F.col("members") >= members) & (F.col("clusters") >= 2) & (F.col("diversity") >= diverse))
+
+
+def new_categories(facts: DataFrame, least: int, size: int) -> DataFrame:
+    """Names, from the three commonest words, of the clusters (cluster, words) with at least ``size`` facts, if there are ``least`` facts at all."""
+    n = facts.groupBy("cluster").agg(F.count("*").alias("n"))
+    enough = facts.agg((F.count("*") >= least).alias("enough"))
+    words = facts.select("cluster", F.explode("words").alias("word")).groupBy("cluster", "word").agg(F.count("*").alias("k"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("k"), "word"))
+    top = words.withColumn("r", rank).where("r <= 3").groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]), " · ").alias("name"))
+    return n.where(F.col("n") >= size).join(top, "cluster").join(F.broadcast(enough.where("enough"))).select("cluster", "n", "name")
+
+
+def hybrid(points: DataFrame, clusters: DataFrame, least: int, size: int) -> DataFrame:
+    """stage, name, n: groups of points (id, grp) of at least ``least``; the points in none of them by their clusters (id, cluster) of at least ``size``."""
+    groups = points.where("grp is not null").groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    rest = points.join(small(groups.select("grp")), "grp", "left_anti").join(clusters, "id")
+    found = rest.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= size)
+    return groups.select(F.lit("structural").alias("stage"), F.col("grp").alias("name"), "n").unionByName(found.select(F.lit("semantic").alias("stage"), F.col("cluster").alias("name"), "n"))
+
+
+def split(made: DataFrame, members: DataFrame, category: str, part: F.Column) -> tuple[DataFrame, DataFrame]:
+    """The categories (id, parent, is_archived) and members (id, category) after one is split by ``part`` of its members."""
+    moved = members.withColumn("category", F.when(F.col("category") == category, part).otherwise(F.col("category")))
+    parts = members.where(F.col("category") == category).select(part.alias("id")).distinct()
+    return made.unionByName(parts.select("id", F.lit(category).alias("parent"), F.lit(False).alias("is_archived"))), moved
+
+
+def merge(made: DataFrame, members: DataFrame, gone: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """The categories and members after some are merged into a new one; the old ones are archived."""
+    new = made.sparkSession.createDataFrame([(name, None, False)], "id string, parent string, is_archived boolean")
+    return archive(made, gone).unionByName(new), members.withColumn("category", F.when(F.col("category").isin(gone), name).otherwise(F.col("category")))
+
+
+def archive(made: DataFrame, gone: list[str]) -> DataFrame:
+    return made.withColumn("is_archived", F.col("is_archived") | F.col("id").isin(gone))
+
+
+def updated(rows: DataFrame, key: str, changes: dict) -> DataFrame:
+    """rows (id, ...) with the columns of one changed; names that aren't columns are passed over."""
+    for name, value in changes.items():
+        if name in rows.columns:
+            rows = rows.withColumn(name, F.when(F.col("id") == key, F.lit(value)).otherwise(F.col(name)))
+    return rows
+
+
+def focused(nodes: DataFrame, hit: F.Column, depth: int = 8) -> DataFrame:
+    """id of the nodes (id, parent, ...) that match or have one below them that does."""
+    up = nodes.select("id", "parent")
+    now = nodes.where(hit).select("id")
+    out = now
+    for _ in range(depth):
+        now = up.join(now, "id", "left_semi").where("parent is not null").select(F.col("parent").alias("id")).distinct()
+        out = out.unionByName(now)
+        if now.isEmpty():
+            break
+    return out.distinct()

@@ -52,3 +52,47 @@ def decide(hash_match: F.Column, sim: F.Column, mode: str, high: float = 0.95, w
 def merge_triples(triples: DataFrame) -> DataFrame:
     """One row for each (src, rel, dst): the newest confidence by seq, the highest, the sources in order, how many merged."""
     return triples.groupBy("src", "rel", "dst").agg(F.max_by("conf", "seq").alias("conf"), F.max("conf").alias("max_conf"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count("*").alias("merged"))
+
+
+def bumped(registry: DataFrame, arriving: DataFrame) -> DataFrame:
+    """The registry (hash, version) after files (hash) arrive: each goes up a version for every arrival, unknown ones begin at 1."""
+    new = arriving.groupBy("hash").agg(F.count("*").alias("new"))
+    return registry.join(new, "hash", "full").select("hash", (F.coalesce("version", F.lit(0)) + F.coalesce("new", F.lit(0))).alias("version"))
+
+
+def _simple(c: F.Column) -> F.Column:
+    return F.substring(F.regexp_replace(F.lower(c), r"[，,。；;：:\s]+", ""), 1, 200)
+
+
+def nearest_triple(facts: DataFrame, triples: DataFrame, least: float = 0.6, merge: float = 0.85) -> DataFrame:
+    """For each fact (id, fact) the triple (k, triple) whose characters it shares most, relative to the longer text, if that is over ``least``; merged from ``merge`` on. The smallest k of equals."""
+    a, b = F.split(_simple(F.col("fact")), ""), F.split(_simple(F.col("triple")), "")
+    score = F.size(F.array_intersect(a, b)) / F.greatest(F.length(_simple(F.col("fact"))), F.length(_simple(F.col("triple"))))
+    # a triple shares over half of its length only with facts that have one of its characters, which all have: few triples are asked for, as the limit of 50 of a service was
+    pairs = facts.join(blocks.small(triples)).withColumn("score", F.round(score, 9)).where(F.col("score") > least)
+    best = pairs.groupBy("id").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("k"), F.max("score").alias("score"))
+    return best.withColumn("merged", F.col("score") >= merge)
+
+
+def normalised(names: DataFrame, known: DataFrame, force: bool = False) -> DataFrame:
+    """names (id, name) against entities (name, canonical, aliases): merged with the canonical name that equals it or one of whose aliases does, else similar_found where a name has its first 30 characters, else unique. With ``force`` the first similar one is taken."""
+    k = known.select(F.lower("name").alias("_low"), F.coalesce("canonical", "name").alias("_canonical"), F.coalesce("aliases", F.array().cast("array<string>")).alias("_aliases"))
+    low = F.lower("name")
+    similar = F.col("_low").contains(F.substring(low, 1, 30)) | F.array_contains("_aliases", F.substring(low, 1, 30))
+    same = (F.lower("_canonical") == low) | F.exists("_aliases", lambda x: F.lower(x) == low)
+    # equal names are looked up once
+    hits = names.select("name").distinct().join(blocks.small(k), similar).groupBy("name").agg(F.min(F.when(same, F.col("_canonical"))).alias("best"), F.min("_canonical").alias("first"))
+    best = F.coalesce("best", "first") if force else F.col("best")
+    merged = best.isNotNull() & (best != F.col("name"))
+    out = names.join(hits, "name", "left")
+    return out.select("id", "name", F.when(merged, "merged").when(F.col("first").isNull(), "unique").otherwise("similar_found").alias("status"), F.when(merged, best).alias("canonical"))
+
+
+def sample_consistency(samples: DataFrame, over: float = 0.3) -> DataFrame:
+    """For each question (of) the share of pairs of its samples (turn, fact) whose sets of characters are alike; 0.5 with fewer than two. A question has few samples."""
+    from noema.functions.text import char_jaccard
+
+    a = samples.select("of", F.col("turn").alias("i"), F.col("fact").alias("a"))
+    b = samples.select("of", F.col("turn").alias("j"), F.col("fact").alias("b"))
+    pairs = a.join(b, "of").where("i < j").groupBy("of").agg(F.avg((char_jaccard(F.col("a"), F.col("b")) > over).cast("int")).alias("x"))
+    return samples.select("of").distinct().join(pairs, "of", "left").select("of", F.coalesce("x", F.lit(0.5)).alias("consistency"))

@@ -109,3 +109,9 @@ def node_type(name) -> F.Column:
 
     rules = [(["event", "incident", "meeting"], "Event"), (["concept", "theory", "principle"], "Concept"), (["document", "paper", "report", ".pdf"], "Document")]
     return first_label(F.lower(name), rules, "Entity")
+
+
+def fact_consistency(facts: DataFrame, adjacent: DataFrame) -> DataFrame:
+    """For each fact (id, node: one row an entity) the mean over its entities of mean confidence times a sigmoid of the degree; 0.5 where the graph has none."""
+    g = adjacent.groupBy(F.col("src").alias("node")).agg((F.avg("conf") / (1 + F.exp(-0.5 * (F.count("*") - 3)))).alias("c"))
+    return facts.join(g, "node", "left").groupBy("id").agg(F.coalesce(F.avg("c"), F.lit(0.5)).alias("consistency"))

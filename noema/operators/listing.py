@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def matches(rules: dict) -> Column:
-    """All the rules given: category, text, source_contains, status, min, max, since, tier."""
+    """All the rules given: category, text, source_contains, source, status, min, max, since, until, tier, tag (in category or fact), tags (one of them), days_within (days, as of)."""
     made = {
         "category": lambda v: F.col("category").isin(v if isinstance(v, list) else [v]),
         "text": lambda v: F.lower("fact").contains(v.lower()),
@@ -21,6 +21,9 @@ def matches(rules: dict) -> Column:
         "since": lambda v: F.col("created_on") >= F.lit(v).cast("date"),
         "until": lambda v: F.col("created_on") <= F.lit(v).cast("date"),
         "tier": lambda v: tier(F.col("confidence")) == v,
+        "tag": lambda v: F.col("category").contains(v) | F.col("fact").contains(v),
+        "tags": lambda v: F.arrays_overlap("tags", F.array(*map(F.lit, v))),
+        "days_within": lambda v: F.col("created_on") >= F.date_sub(F.lit(v[1]).cast("date"), v[0]),
     }
     out = F.lit(True)
     for name, value in rules.items():
@@ -50,9 +53,27 @@ def cursor(created: str, id_: int) -> str:
     return base64.b64encode(f"{created}|{id_}|0".encode()).decode()
 
 
+def _place(token: str) -> tuple[Column, int] | None:
+    try:
+        created, id_, _ = base64.b64decode(token).decode().split("|")
+        return F.lit(created).cast("date"), int(id_)
+    except ValueError:
+        return None
+
+
 def after(rows: DataFrame, token: str, size: int) -> DataFrame:
-    """The rows next to the cursor, newest first: a filter that reaches the scan, not an offset."""
-    created, id_, _ = base64.b64decode(token).decode().split("|")
-    c, i = F.lit(created).cast("date"), int(id_)
-    older = (F.col("created_on") < c) | ((F.col("created_on") == c) & (F.col("id") < i))
+    """The rows next to the cursor, newest first: a filter that reaches the scan, not an offset. An unknown cursor has an empty page."""
+    at = _place(token)
+    if at is None:
+        return rows.limit(0)
+    older = (F.col("created_on") < at[0]) | ((F.col("created_on") == at[0]) & (F.col("id") < at[1]))
     return rows.where(older).orderBy(F.desc("created_on"), F.desc("id")).limit(size)
+
+
+def before(rows: DataFrame, token: str, size: int) -> DataFrame:
+    """The rows just before the cursor in that order, nearest first."""
+    at = _place(token)
+    if at is None:
+        return rows.limit(0)
+    newer = (F.col("created_on") > at[0]) | ((F.col("created_on") == at[0]) & (F.col("id") > at[1]))
+    return rows.where(newer).orderBy("created_on", "id").limit(size)

@@ -59,3 +59,32 @@ def quality(hits: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keywords(docs: DataFrame, col: Column, n: int) -> DataFrame:
     """The n most frequent words, ties by word."""
     return docs.select(F.explode(col).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(n)
+
+
+def variants(asked: DataFrame, rewrites: Column | None = None, most: int = 4) -> DataFrame:
+    """asked (query, ...) with its variants: the query, then a model's rewrites without repeats, ``most`` in all; without a model the query alone."""
+    all_ = F.array("query") if rewrites is None else F.concat(F.array("query"), F.coalesce(rewrites, F.array().cast("array<string>")))
+    return asked.withColumn("variants", F.slice(F.array_distinct(F.array_compact(all_)), 1, most))
+
+
+def kept_postings(spark, sf_dir: str) -> DataFrame:
+    """The postings of all facts that aren't empty: built once, kept, dealt by term, so that a query reads its terms only."""
+    from noema.sources.store import kept
+    from noema.sources.tables import read
+
+    def make() -> DataFrame:
+        docs = read(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), "text")
+        return postings(docs, "text").repartitionByRange("term").sortWithinPartitions("term", "id")
+
+    return kept(spark, "postings-1", [f"{sf_dir}/documents.parquet"], make)
+
+
+def key_sentences(docs: DataFrame, words: list[str], most: int, longer_than: int = 5) -> DataFrame:
+    """id, p (place in the text), sentence: of each text (id, text) the ``most`` sentences with the most of the words, the first ones where none has any."""
+    from noema.functions.text import count_of
+
+    parts = F.transform(F.split("text", "[。！？\\n]+"), lambda x, p: F.struct((-count_of(F.lower(x), words)).alias("h"), p.alias("p"), F.trim(x).alias("sentence")))
+    long = F.filter(parts, lambda x: F.length(x["sentence"]) > longer_than)
+    hit = F.filter("x", lambda y: y["h"] < 0)
+    best = F.slice(F.array_sort(F.when(F.size(hit) > 0, hit).otherwise(F.col("x"))), 1, most)
+    return docs.select("id", long.alias("x")).select("id", F.explode(best).alias("y")).select("id", "y.p", "y.sentence")
