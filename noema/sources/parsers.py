@@ -10,36 +10,50 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Tags whose text is no content, of a page from the web and of one from a file.
 _DROPPED = ("script", "style", "nav", "footer", "header", "noscript")
+FILE_DROPPED = ("script", "style", "nav", "footer", "header")
+
+
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+TITLE = "页面标题: "
 
 
 class _Lines(HTMLParser):
+    """The texts outside dropped tags; the end of an outer tag ends what stands open inside it."""
+
     def __init__(self, dropped):
         super().__init__()
-        self.dropped, self.deep, self.title, self.in_title, self.lines = dropped, 0, "", False, []
+        self.dropped, self.open, self.deep, self.title, self.lines = dropped, [], 0, None, []
 
     def handle_starttag(self, tag, attrs):
-        self.deep += tag in self.dropped
-        self.in_title = self.in_title or tag == "title"
+        if tag not in _VOID:
+            self.open.append(tag)
+            self.deep += tag in self.dropped
 
     def handle_endtag(self, tag):
-        self.deep = max(0, self.deep - (tag in self.dropped))
-        self.in_title = self.in_title and tag != "title"
+        if tag in self.open:
+            while self.open:
+                last = self.open.pop()
+                self.deep -= last in self.dropped
+                if last == tag:
+                    break
 
     def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif not self.deep:
+        if "title" in self.open:
+            self.title = (self.title or "") + data
+        if not self.deep:
             self.lines += [x.strip() for x in data.splitlines()]
 
 
 def page_text(html: str, shortest: int = 3, with_title: bool = True, dropped=_DROPPED) -> str | None:
-    """Title line and text lines of at least ``shortest`` characters; None when there is neither."""
+    """Text lines of at least ``shortest`` characters, the title's own among them, below a line with the title where there is one; None when there is neither."""
     p = _Lines(dropped)
     p.feed(html or "")
+    p.close()
     lines = [x for x in p.lines if len(x) >= shortest]
-    title = p.title.strip() if with_title else ""
-    return "\n".join([title, *lines] if title else lines) or None
+    title = (p.title or "").strip() if with_title else ""
+    return f"{TITLE}{title}\n\n" + "\n".join(lines) if title else "\n".join(lines) or None
 
 
 def pages(rows: DataFrame, shortest: int = 3, with_title: bool = True) -> DataFrame:

@@ -86,7 +86,7 @@ def test_events_in_texts(spark):
 
 def test_page_text():
     html = "<html><title>T</title><body><nav>menu item</nav><p>Long line</p><p>ab</p><script>var x</script></body></html>"
-    assert parsers.page_text(html) == "T\nLong line" and parsers.page_text(html, 1, False) == "Long line\nab" and parsers.page_text("") is None
+    assert parsers.page_text(html) == "页面标题: T\n\nLong line" and parsers.page_text(html, 1, False) == "T\nLong line\nab" and parsers.page_text("") is None
 
 
 def test_python_facts_and_notebooks(spark):
