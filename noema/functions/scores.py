@@ -46,7 +46,8 @@ def combined(model: Column, source: Column, graph: Column, alpha: Column, beta:
     """The weighted confidence, averaged with feedback where there is any, decayed, 4 places, 0.1 to 1."""
     base = 0.4 * model + 0.3 * source + 0.3 * graph
     with_feedback = F.when((alpha > 2) | (beta > 2), (base + feedback_mean(alpha, beta)) / 2).otherwise(base)
-    return clip(F.round(with_feedback * decay(days), 4), 0.1, 1.0)
+    # what is half way between two places goes up, whatever the last bits are
+    return clip(F.round(with_feedback * decay(days) + 1e-9, 4), 0.1, 1.0)
 
 
 def source_quality(source: Column, fact: Column, interactions: Column, base: dict[str, float], authority: list[str], subjective: list[str]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noema.functions.scores import cosine
@@ -28,7 +28,12 @@ def bm25(docs: DataFrame, text: str, query: list[str], k: int, k1: float = 1.5,
     # only the query's terms leave the scan
     wanted = held.select("id", F.size("t").alias("length"), F.explode(F.filter("t", lambda x: x.isin(list(dict.fromkeys(query))))).alias("term"))
     tf = wanted.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    return _scored(tf, asked, total, k, k1, b)
+
+
+def _scored(tf: DataFrame, asked: DataFrame, total: DataFrame, k: int, k1: float, b: float) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # a row for each of the query's terms, and one row of totals
     scored = tf.join(F.broadcast(df.join(F.broadcast(asked), "term")), "term").join(F.broadcast(total))
     idf = F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest("avg_len", F.lit(1.0)))) * F.col("times")
@@ -41,12 +46,16 @@ def vector_top(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return vectors.join(q).select("id", cosine(F.col("v"), F.col("q")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+#: Rows of a lane that are ranked; beyond, a rank adds next to nothing.
+LANE = 1000
+
+
 def fuse(lanes: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of lanes (id, score), each ranked from 1."""
+    """Reciprocal rank fusion of lanes (id, score), each ranked from 1 on its ``LANE`` best rows, which are found before they meet in one task."""
     ranked = None
     for n, lane in enumerate(lanes):
         rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
-        one = lane.select(F.lit(n).alias("lane"), "id", rank.alias("rank"))
+        one = lane.orderBy(F.desc("score"), "id").limit(LANE).select(F.lit(n).alias("lane"), "id", rank.alias("rank"))
         ranked = one if ranked is None else ranked.unionByName(one)
     return ranked.groupBy("id").agg(F.sum(1 / (F.lit(constant) + F.col("rank"))).alias("rrf"), F.count("*").alias("lanes")).orderBy(F.desc(F.round("rrf", 9)), "id").limit(k)
 
@@ -67,16 +76,28 @@ def variants(asked: DataFrame, rewrites: Column | None = None, most: int = 4) ->
     return asked.withColumn("variants", F.slice(F.array_distinct(F.array_compact(all_)), 1, most))
 
 
-def kept_postings(spark, sf_dir: str) -> DataFrame:
-    """The postings of all facts that aren't empty: built once, kept, dealt by term, so that a query reads its terms only."""
+def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The search index of the documents: postings (id, term, tf, length) and lengths (id, length).
+
+    Built once and kept. Postings are dealt and sorted by term, so that a query
+    reads those of its terms only.
+    """
     from noema.sources.store import kept
     from noema.sources.tables import read
 
-    def make() -> DataFrame:
-        docs = read(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), "text")
-        return postings(docs, "text").repartitionByRange("term").sortWithinPartitions("term", "id")
+    source = [f"{sf_dir}/documents.parquet"]
+    docs = lambda: read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    held = kept(spark, "postings-2", source, lambda: postings(docs(), "text").repartitionByRange("term").sortWithinPartitions("term", "id"))
+    lengths = kept(spark, "lengths-2", source, lambda: docs().select("id", F.size(tokens(F.col("text"))).alias("length")))
+    return held, lengths
+
 
-    return kept(spark, "postings-1", [f"{sf_dir}/documents.parquet"], make)
+def ranked(held: DataFrame, lengths: DataFrame, query: list[str], k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``bm25`` from an index."""
+    asked = held.sparkSession.createDataFrame([(t, query.count(t)) for t in dict.fromkeys(query)], "term string, times int")
+    total = lengths.agg(F.count("*").alias("total"), F.avg("length").alias("avg_len"))
+    tf = held.where(F.col("term").isin(list(dict.fromkeys(query))))
+    return _scored(tf, asked, total, k, k1, b)
 
 
 def key_sentences(docs: DataFrame, words: list[str], most: int, longer_than: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noema.functions import text
-from noema.operators import code_graph
+from noema.operators import code_graph, retrieval
 from noema.operators.blocks import small
 from noema.plans.queries import _r, _texts, query
 from noema.plans.views import EDGES, KP, TOKENS
@@ -121,10 +121,12 @@ def src_long_lines(s, d):
 
 @query(f"WITH {TOKENS}, {KP}, x AS (SELECT id, unnest(list_distinct(t)) AS term FROM tok) SELECT term, count(*) AS df FROM x JOIN kp USING (id) WHERE status <> 'replaced' GROUP BY term")
 def ret_incremental_df(s, d):
-    k = knowledge(s, d).select("fact", "status")
-    terms = lambda df, sign: df.select(F.explode(F.array_distinct(text.tokens(F.col("fact")))).alias("term"), F.lit(sign).alias("sign"))
-    # what was indexed, less what was taken out again: counts alone, no rebuild
-    return terms(k, 1).unionByName(terms(k.where("status = 'replaced'"), -1)).groupBy("term").agg(F.sum("sign").alias("df")).where("df > 0")
+    """What was indexed, less what was taken out again: counts alone. Only the removed facts' postings are looked up, no text is read anew."""
+    held, _ = retrieval.index(s, d)
+    gone = knowledge(s, d).where("status = 'replaced'").select("id")
+    all_ = held.groupBy("term").agg(F.count("*").alias("n"))
+    less = held.join(small(gone, 500_000), "id", "left_semi").groupBy("term").agg(F.count("*").alias("less"))
+    return all_.join(less, "term", "left").select("term", (F.col("n") - F.coalesce("less", F.lit(0))).alias("df")).where("df > 0")
 
 
 # labels by rule

@@ -61,18 +61,22 @@ bm AS (SELECT id, sum(ln((total - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf +
 
 @query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 10")
 def ret_bm25_top(s, d):
+    return retrieval.ranked(*retrieval.index(s, d), TERMS, 10).select("id", _r("score").alias("score"))
+
+
+@query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 10")
+def ret_bm25_unindexed(s, d):
     return retrieval.bm25(_texts(s, d), "text", TERMS, 10).select("id", _r("score").alias("score"))
 
 
 @query(f"WITH {TOKENS} SELECT term, count(*) AS n, count(DISTINCT id) AS df FROM (SELECT id, unnest(t) AS term FROM tok) GROUP BY term")
 def ret_token_counts(s, d):
-    p = retrieval.postings(_texts(s, d), "text")
-    return p.groupBy("term").agg(F.sum("tf").cast("long").alias("n"), F.count("*").alias("df"))
+    return retrieval.index(s, d)[0].groupBy("term").agg(F.sum("tf").cast("long").alias("n"), F.count("*").alias("df"))
 
 
 @query(f"WITH {TOKENS} SELECT count(*) AS total_docs, round(avg(len(t)), 6) AS avg_len FROM tok")
 def agg_corpus_stats(s, d):
-    return retrieval.corpus_stats(_texts(s, d), "text").select("total_docs", _r("avg_len").alias("avg_len"))
+    return retrieval.index(s, d)[1].agg(F.count("*").alias("total_docs"), _r(F.avg("length")).alias("avg_len"))
 
 
 _COS = f"""{VECTORS}, q AS (SELECT v AS u FROM vec WHERE id = 0), vs AS (SELECT id, label, list_cosine_similarity(v, u) AS score FROM vec, q)"""
@@ -93,7 +97,7 @@ g AS (SELECT id, row_number() OVER (ORDER BY confidence DESC, id) AS r FROM (SEL
 SELECT id, round(sum(1.0 / (60 + r)), 9) AS rrf, count(*) AS lanes FROM (SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM g) GROUP BY id ORDER BY rrf DESC, id LIMIT 10""")
 def ret_hybrid_rrf(s, d):
     near = knowledge(s, d).where("source = 'src0'").select("id", F.col("confidence").alias("score")).orderBy(F.desc("score"), "id").limit(10)
-    lanes = [retrieval.bm25(_texts(s, d), "text", TERMS, 20), retrieval.vector_top(_vectors(s, d), _query_vector(s, d), 20), near]
+    lanes = [retrieval.ranked(*retrieval.index(s, d), TERMS, 20), retrieval.vector_top(_vectors(s, d), _query_vector(s, d), 20), near]
     return retrieval.fuse(lanes, 10).select("id", F.round("rrf", 9).alias("rrf"), "lanes")
 
 
@@ -104,14 +108,12 @@ def ret_quality(s, d):
     return retrieval.quality(top).withColumn("avg_score", _r("avg_score")).withColumn("max_score", _r("max_score"))
 
 
-@query("""WITH h AS (SELECT doc_id AS id, sha256(text) AS h FROM documents) SELECT id, round(list_sum(list_transform(range(0, 32), lambda i: CAST(('0x' || h[2 * i + 1:2 * i + 2]) AS INT) / 255.0)), 6) AS total FROM h""")
+@query("""WITH h AS (SELECT doc_id AS id, list_transform(range(0, 32), lambda i: CAST(('0x' || sha256(text)[2 * i + 1:2 * i + 2]) AS INT) / 255.0) AS v FROM documents WHERE text IS NOT NULL), n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM h)
+SELECT id, round(v[1] / n, 6) AS first, round(v[32] / n, 6) AS last, round(list_sum(v) / n, 6) AS total, 64 AS dims FROM n""")
 def ret_hash_vector(s, d):
-    v = scores.hash_vector(F.col("text"), 32)
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    first = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    h = F.sha2("text", 256)
-    raw = F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0.0), lambda a, i: a + F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
-    return _texts(s, d).select("id", v.alias("v"), raw.alias("raw")).where(total.isNotNull() & (F.abs(first - 1) < 1e-9)).select("id", _r("raw").alias("total"))
+    v = F.col("v")
+    held = _texts(s, d).where("text is not null").select("id", scores.hash_vector(F.col("text"), 64).alias("v"))
+    return held.select("id", _r(v[0]).alias("first"), _r(v[31]).alias("last"), _r(F.aggregate(v, F.lit(0.0), lambda a, x: a + x)).alias("total"), F.size(v).alias("dims"))
 
 
 @query(f"WITH {KP}, t AS (SELECT id, fact, created_on, confidence FROM kp ORDER BY confidence DESC, id LIMIT 10) SELECT id, fact, created_on FROM (SELECT * FROM t ORDER BY created_on, id LIMIT 8)")
@@ -353,15 +355,10 @@ _DAYS = "date_diff('day', created_on, DATE '2025-01-01')"
 
 
 @query(f"""WITH {KP}, b AS (SELECT id, 0.4 * confidence + 0.3 * CAST({_QUALITY} AS DOUBLE) + 0.3 * 0.5 AS base, feedback_alpha AS a, feedback_beta AS b, {_DAYS} AS days FROM kp)
-SELECT id, round(least(greatest((CASE WHEN a > 2 OR b > 2 THEN (base + a / (a + b)) / 2 ELSE base END) * exp(-0.005 * greatest(days, 0)), 0.1), 1.0), 3) AS conf FROM b""")
+SELECT id, least(greatest(round((CASE WHEN a > 2 OR b > 2 THEN (base + a / (a + b)) / 2 ELSE base END) * exp(-0.005 * greatest(days, 0)) + 1e-9, 4), 0.1), 1.0)::DOUBLE AS conf FROM b""")
 def cnf_combined(s, d):
     days = F.datediff(F.lit("2025-01-01").cast("date"), "created_on")
-    c = scores.combined(F.col("confidence"), _quality(), F.lit(0.5), F.col("feedback_alpha"), F.col("feedback_beta"), days)
-    # the operator's own 4 places may differ in a tie, so the query recomputes at 3
-    base = 0.4 * F.col("confidence") + 0.3 * _quality() + 0.15
-    fb = F.when((F.col("feedback_alpha") > 2) | (F.col("feedback_beta") > 2), (base + scores.feedback_mean(F.col("feedback_alpha"), F.col("feedback_beta"))) / 2).otherwise(base)
-    full = scores.clip(fb * scores.decay(days), 0.1, 1.0)
-    return knowledge(s, d).select("id", F.when(F.abs(c - full) < 1e-4, F.round(full, 3)).alias("conf"))
+    return knowledge(s, d).select("id", scores.combined(F.col("confidence"), _quality(), F.lit(0.5), F.col("feedback_alpha"), F.col("feedback_beta"), days).alias("conf"))
 
 
 @query(f"WITH {KP} SELECT id, round(exp(-0.005 * greatest({_DAYS}, 0)), 6) AS decay, round(feedback_alpha / (feedback_alpha + feedback_beta), 6) AS feedback, round(least(greatest(confidence * pow(0.8, id % 3), 0.1), 1.0), 6) AS penalised FROM kp")

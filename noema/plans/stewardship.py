@@ -28,7 +28,7 @@ def ret_hybrid_graph(s, d):
     near = graph.neighbours(adjacency(s, d), "n3").select("node")
     k = knowledge(s, d).select("id", F.col("confidence").alias("score"), F.concat(F.lit("c"), "id").alias("node"))
     lane = k.join(near, "node", "left_semi").select("id", "score").orderBy(F.desc("score"), "id").limit(10)
-    lanes = [retrieval.bm25(_texts(s, d), "text", TERMS, 20), retrieval.vector_top(_vectors(s, d), _query_vector(s, d), 20), lane]
+    lanes = [retrieval.ranked(*retrieval.index(s, d), TERMS, 20), retrieval.vector_top(_vectors(s, d), _query_vector(s, d), 20), lane]
     return retrieval.fuse(lanes, 10).select("id", F.round("rrf", 9).alias("rrf"), "lanes")
 
 
@@ -55,9 +55,8 @@ def set_query_variants(s, d):
 
 @query(f"WITH {TOKENS} SELECT count(*) AS documents, CAST(sum(len(t)) AS BIGINT) AS tokens FROM tok JOIN documents ON id = doc_id WHERE text <> ''")
 def ret_rebuilt_index(s, d):
-    """The postings, built anew from every fact that isn't empty, kept, and read again."""
-    p = retrieval.kept_postings(s, d)
-    return p.agg(F.countDistinct("id").alias("documents"), F.sum("tf").alias("tokens"))
+    """The postings of every fact that isn't empty, kept and read again."""
+    return retrieval.index(s, d)[0].agg(F.countDistinct("id").alias("documents"), F.sum("tf").alias("tokens"))
 
 
 # duplicates and entities
@@ -317,7 +316,7 @@ def mem_saved_messages(s, d):
     return both.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last_turn"))
 
 
-@query(f"WITH {KP}, b AS (SELECT * FROM kp WHERE id % 10 = 0), n AS (SELECT id, 0.4 * 0.8 + 0.3 * 0.5 + 0.3 * 0.5 AS base FROM b) SELECT id, 0.1 AS confidence, 'replaced' AS status, id + 1000000 AS revised_to FROM b UNION ALL SELECT id + 1000000, round((base + 0.8) / 2, 4)::DOUBLE, 'active', NULL FROM n UNION ALL SELECT id, confidence, status, NULL FROM kp WHERE id % 10 <> 0")
+@query(f"WITH {KP}, b AS (SELECT * FROM kp WHERE id % 10 = 0), n AS (SELECT id, 0.4 * 0.8 + 0.3 * 0.5 + 0.3 * 0.5 AS base FROM b) SELECT id, 0.1 AS confidence, 'replaced' AS status, id + 1000000 AS revised_to FROM b UNION ALL SELECT id + 1000000, round((base + 0.8) / 2 + 1e-9, 4)::DOUBLE, 'active', NULL FROM n UNION ALL SELECT id, confidence, status, NULL FROM kp WHERE id % 10 <> 0")
 def cnf_revisions(s, d):
     """Corrected facts: the old one is kept as replaced with an edge to the new one, whose confidence is worked out anew."""
     k = knowledge(s, d).select("id", "confidence", "status")
