@@ -119,3 +119,29 @@ def of_category(items: DataFrame, category: str, longest: int) -> DataFrame:
     marked = g.select("*", F.coalesce(F.datediff(after, day) > longest, F.lit(False)).alias("is_gap"))
     m = g.agg(F.avg("n").alias("mean"))
     return marked.join(F.broadcast(m)).where("of_category > 0").select("key", "of_category", "avg_conf", "is_gap", (F.col("n") > 2.5 * F.col("mean")).alias("is_burst"))
+
+
+def scene_chunks(segments: DataFrame, scenes: DataFrame, of: str) -> DataFrame:
+    """One chunk of text for each scene of each recording.
+
+    segments: of, start, stop, text; scenes: of, at (where one begins). A segment
+    belongs to the last scene that begins no later than its middle, or to the
+    first. Returns of, scene (from 1), n, label and content.
+    """
+    mid = (F.col("start") + F.col("stop")) / 2
+    marks = scenes.select(of, F.col("at").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("stop"), F.lit(None).cast("string").alias("text"))
+    both = segments.select(of, mid.cast("double").alias("t"), F.lit(1).alias("kind"), F.col("start").cast("double"), F.col("stop").cast("double"), "text").unionByName(marks.withColumn("t", F.col("t").cast("double")))
+    begun = F.count_if(F.col("kind") == 0).over(Window.partitionBy(of).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("scene", F.greatest(begun, F.lit(1)).cast("int")).where("kind = 1")
+    code = lambda x: F.format_string("%02d:%02d", F.floor(x / 60), F.floor(x) % 60)
+    g = placed.groupBy(of, "scene").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("start", "stop", "text"))).alias("s"))
+    label = F.concat(F.lit("["), code(F.col("s")[0]["start"]), F.lit("-"), code(F.element_at("s", -1)["stop"]), F.lit("]"))
+    said = F.array_join(F.transform("s", lambda x: F.concat(F.lit("["), code(x["start"]), F.lit("] "), F.trim(F.coalesce(x["text"], F.lit(""))))), "\n")
+    return g.select(of, "scene", "n", label.alias("label"), F.concat(F.lit("=== 场景 "), F.col("scene").cast("string"), F.lit(" "), label, F.lit(" ===\n\n[语音转写]\n\n"), said).alias("content"))
+
+
+def segment_chunks(segments: DataFrame, of: str) -> DataFrame:
+    """One chunk for each segment (of, start, stop, text) that says something: its times and its text."""
+    code = lambda x: F.format_string("%02d:%02d", F.floor(x / 60), F.floor(x) % 60)
+    text = F.trim("text")
+    return segments.where(text != "").select(of, "start", F.concat(F.lit("["), code(F.col("start")), F.lit("-"), code(F.col("stop")), F.lit("] "), text).alias("content"))

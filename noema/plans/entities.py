@@ -88,11 +88,10 @@ def gra_function_search(s, d):
 
 @query(f"WITH {EDGES} SELECT rel, count(*) AS n, round(avg(conf), 6) AS mean FROM edges GROUP BY rel")
 def gra_read_query(s, d):
-    wanted = "SELECT rel, count(*) AS n, round(avg(conf), 6) AS mean FROM free_edges GROUP BY rel"
-    if not text.read_only(wanted):
+    wanted = "SELECT rel, count(*) AS n, round(avg(conf), 6) AS mean FROM {edges} GROUP BY rel"
+    if not text.read_only(wanted.format(edges="edges")):
         raise ValueError("not a reading query")
-    edges(s, d).createOrReplaceTempView("free_edges")
-    return s.sql(wanted)
+    return s.sql(wanted, edges=edges(s, d))
 
 
 # sources

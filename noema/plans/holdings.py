@@ -248,3 +248,50 @@ def udf_answers(s, d):
 @query(f"WITH {KP} SELECT id, round(CASE WHEN confidence <= 0.2 THEN 0.1 WHEN confidence <= 0.6 THEN 0.1 + (confidence - 0.2) * 1.0 WHEN confidence <= 0.9 THEN 0.5 + (confidence - 0.6) * 0.4 / 0.3 ELSE 0.9 END, 6)::DOUBLE AS worth FROM kp")
 def udf_calibrated(s, d):
     return knowledge(s, d).select("id", _r(model.calibrated(F.col("confidence"), [(0.2, 0.1), (0.6, 0.5), (0.9, 0.9)])).alias("worth"))
+
+
+_SPOKEN = "sg AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 7 + event_id % 5 AS start, event_type AS text FROM events)"
+_CODE_OF = "concat(lpad(CAST({0} // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST({0} % 60 AS VARCHAR), 2, '0'))"
+
+
+def _spoken(s, d) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    start = nth * 7 + F.col("event_id") % 5
+    return read(s, d, "events").select("user_id", start.cast("double").alias("start"), (start + 5).cast("double").alias("stop"), F.col("event_type").alias("text"))
+
+
+@query(f"""WITH {_SPOKEN}, x AS (SELECT *, CAST(floor((start + 2.5) / 60) AS INT) + 1 AS scene FROM sg), g AS (SELECT user_id, scene, count(*) AS n, min(start) AS a, max(start) + 5 AS b, string_agg(concat('[', {_CODE_OF.format('start')}, '] ', text), chr(10) ORDER BY start, text) AS said FROM x GROUP BY ALL)
+SELECT user_id, scene, n, concat('=== 场景 ', scene, ' [', {_CODE_OF.format('a')}, '-', {_CODE_OF.format('b')}, '] ===', chr(10), chr(10), '[语音转写]', chr(10), chr(10), said) AS content FROM g""")
+def src_scene_chunks(s, d):
+    """Recordings (users) whose scenes change every minute."""
+    from noema.operators import timeline
+
+    said = _spoken(s, d)
+    last = said.groupBy("user_id").agg(F.max("stop").alias("z"))
+    scenes = last.select("user_id", F.explode(F.sequence(F.lit(0), F.col("z").cast("int"), F.lit(60))).alias("at"))
+    return timeline.scene_chunks(said, scenes, "user_id").select("user_id", "scene", "n", "content")
+
+
+@query(f"WITH {_SPOKEN} SELECT user_id, CAST(start AS DOUBLE) AS start, concat('[', {_CODE_OF.format('start')}, '-', {_CODE_OF.format('(start + 5)')}, '] ', text) AS content FROM sg")
+def src_segment_chunks(s, d):
+    from noema.operators import timeline
+
+    return timeline.segment_chunks(_spoken(s, d), "user_id")
+
+
+_CLIQUES = [(a, b) for group in ("abcd", "efgh", "ijkl") for a in group for b in group if a < b] + [("a", "e"), ("h", "i"), ("l", "d")]
+
+
+@query(_values([(x, g[0]) for g in ("abcd", "efgh", "ijkl") for x in g], "node, community"))
+def gra_louvain_cliques(s, d):
+    from noema.operators.communities import louvain
+
+    return louvain(s.createDataFrame(_CLIQUES, "src string, dst string"))
+
+
+@query()
+def gra_louvain(s, d):
+    from noema.operators.communities import louvain
+    from noema.sources.tables import edges
+
+    return louvain(edges(s, d), levels=2, rounds=4)

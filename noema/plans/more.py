@@ -147,8 +147,11 @@ def gra_consecutive_triples(s, d):
 
 @query("SELECT event_type AS kind, count(DISTINCT user_id) AS users, list_sort(list(DISTINCT user_id))[1:10]::VARCHAR AS some FROM events GROUP BY event_type")
 def agg_names_by_kind(s, d):
-    some = F.slice(F.sort_array(F.collect_set("user_id")), 1, 10)
-    return read(s, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.countDistinct("user_id").alias("users"), F.concat(F.lit("["), F.array_join(some, ", "), F.lit("]")).alias("some"))
+    """How many there are of a kind and the first ten; no kind's users are gathered whole."""
+    named = read(s, d, "events").select(F.col("event_type").alias("kind"), "user_id").distinct()
+    first = named.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("user_id"))).where("r <= 10")
+    some = first.groupBy("kind").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("user_id")), ", "), F.lit("]")).alias("some"))
+    return named.groupBy("kind").agg(F.count("*").alias("users")).join(some, "kind")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') OR p_brand = 'Brand#11' ORDER BY p_partkey LIMIT 20")

@@ -369,10 +369,16 @@ def cnf_terms(s, d):
 
 @query("SELECT user_id, CAST(2 + count(*) FILTER (event_type IN ('click','purchase')) AS DOUBLE) AS alpha, CAST(2 + count(*) FILTER (event_type = 'view') AS DOUBLE) AS beta FROM events GROUP BY user_id")
 def cnf_feedback(s, d):
-    kind = F.when(F.col("event_type").isin("click", "purchase"), "positive").when(F.col("event_type") == "view", "negative")
-    seq = read(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", kind.alias("kind")))).alias("s"))
-    folded = scores.fold_feedback(F.transform("s", lambda x: F.coalesce(x["kind"], F.lit("none"))))
-    return seq.select("user_id", folded.alias("f")).select("user_id", F.col("f.a").alias("alpha"), F.col("f.b").alias("beta"))
+    kind = F.when(F.col("event_type").isin("click", "purchase"), "positive").when(F.col("event_type") == "view", "negative").otherwise("none")
+    return memory.feedback(read(s, d, "events").select("user_id", "ts", "event_id", kind.alias("kind")))
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 1.0 WHEN 'error' THEN -0.5 ELSE 0.0 END AS x, (event_type IN ('click', 'purchase', 'error'))::INT AS a FROM events), l AS (SELECT user_id, list_prepend(2.0::DOUBLE, list(x::DOUBLE ORDER BY ts, event_id)) AS xs, sum(a) AS a FROM e GROUP BY user_id)
+SELECT user_id, (2 + a)::DOUBLE AS alpha, list_reduce(xs, lambda b, x: CASE WHEN x = -0.5 THEN greatest(1.0, b - 0.5) ELSE b + x END)::DOUBLE AS beta FROM l""")
+def cnf_feedback_corrected(s, d):
+    """With corrections, for which the order counts."""
+    kind = F.when(F.col("event_type").isin("click", "purchase"), "positive").when(F.col("event_type") == "view", "negative").when(F.col("event_type") == "error", "correct").otherwise("none")
+    return memory.feedback(read(s, d, "events").select("user_id", "ts", "event_id", kind.alias("kind")))
 
 
 @query(f"WITH {KP} SELECT id, confidence, status FROM kp WHERE id % 10 <> 0 UNION ALL SELECT id, 0.1, 'replaced' FROM kp WHERE id % 10 = 0 UNION ALL SELECT id + 1000000, 0.8, 'active' FROM kp WHERE id % 10 = 0")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,3 +124,19 @@ def described(df: DataFrame, rows: int = 100) -> tuple[str, list]:
 def csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file or folder with a header, types inferred."""
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """df written and read again, so that what follows doesn't plan all that came before; ``old``, cut before and read no more, is deleted."""
+    path = f"{folder(df.sparkSession)}/noema-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    drop(old)
+    return out
+
+
+def drop(df: DataFrame | None) -> None:
+    """Deletes what ``cut`` wrote."""
+    if df is not None and getattr(df, "_cut_path", None):
+        remove(df.sparkSession, df._cut_path)
