@@ -104,7 +104,7 @@ def relational(spark: SparkSession, url: str, table: str, column: str | None = N
     """A table of a relational database, filters and columns pushed down; with ``column``, a whole-number key, read in ``parts`` ranges of it at once."""
     reader = spark.read.format("jdbc").option("url", url).options(**options)
     if column:
-        low, high = reader.option("query", f"SELECT min({column}) AS low, max({column}) AS high FROM {table}").load().first()
+        low, high = reader.option("query", f'SELECT min("{column}") AS low, max("{column}") AS high FROM {table}').load().first()
         if low is not None:
             reader = spark.read.format("jdbc").option("url", url).options(**options).option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
     return reader.option("dbtable", table).load()
