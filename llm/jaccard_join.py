@@ -444,9 +444,9 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 1
     """
     classes = text_classes(docs, width, num, den)
     keys = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("id")).join(classes.select("key", "component"), "key")
-    first = keys.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("component", F.col("first.key").alias("stays"))
+    first = settle(keys.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("component", F.col("first.key").alias("stays")))
     # most rows are in no mark; they pass a filter and needn't be shuffled with their texts
-    marks = settle(classes.join(first, "component").select(F.col("key").alias("__key"), F.col("n").alias("__n"), (F.col("key") != F.col("stays")).alias("__drop")))
+    marks = settle(classes.join(_small(first), "component").select(F.col("key").alias("__key"), F.col("n").alias("__n"), (F.col("key") != F.col("stays")).alias("__drop")))
     flagged = _flagged(docs.withColumn("__key", text_key()), marks, "__key")
     rest = flagged.where("__maybe").join(_small(marks), "__key", "left").where("not coalesce(__drop, false)")
     out = flagged.where("not __maybe").select(*docs.columns).unionByName(rest.where("coalesce(__n, 1) = 1").select(*docs.columns))

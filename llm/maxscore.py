@@ -28,8 +28,8 @@ from llm import vectors as V
 from llm.common import settle, unsettle
 
 #: Positions of the first range, after which the threshold is raised; each is twice the one before. Terms between two looks at the threshold.
-RANGE = 64
-LOOK = 8
+RANGE = 256
+LOOK = 16
 _POSTED = "width int, shard int, term int, high double, position binary, value binary"
 _FOUND = "query_id long, vec_id long, score double, exact string, met long, probed long"
 _FLOAT = 1 << 53

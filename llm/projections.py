@@ -42,8 +42,8 @@ RATIO = 1.05
 SAMPLE = 8192
 LEAVES = 16384
 #: Points of a leaf within a task, and points verified between two tests.
-SMALL = 128
-STEP = 64
+SMALL = 256
+STEP = 96
 #: Each round reaches so many times the leaves of the one before.
 WIDER = 16
 _SEED = 71
