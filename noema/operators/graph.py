@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noema.operators.blocks import small
@@ -12,36 +12,46 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "rel", "conf").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "conf"))
 
 
-def degrees(adjacent: DataFrame) -> DataFrame:
-    """adjacent: each edge from both ends, as ``adjacency`` keeps it."""
-    return adjacent.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+def adjacent(edges: DataFrame) -> DataFrame:
+    """Each edge (src, dst, rel, conf) from both ends, with the way it points (forward) and a name (eid); edges alike are named apart. What has names already, such as a kept graph, is returned as it is."""
+    if "eid" in edges.columns:
+        return edges
+    rank = F.row_number().over(Window.partitionBy("src", "dst", "rel").orderBy("conf"))
+    e = edges.withColumn("eid", F.concat_ws("|", "src", "rel", "dst", rank.cast("string")))
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "conf", F.lit(False).alias("forward"), "eid")
+    return e.select("src", "dst", "rel", "conf", F.lit(True).alias("forward"), "eid").unionByName(back)
 
 
-def neighbours(adjacent: DataFrame, node: str) -> DataFrame:
-    return adjacent.where(F.col("src") == node).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("edges"), F.avg("conf").alias("avg_conf"))
+def degrees(edges: DataFrame) -> DataFrame:
+    return adjacent(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def explore(adjacent: DataFrame, node: str, hops: int) -> DataFrame:
+def neighbours(edges: DataFrame, node: str) -> DataFrame:
+    return adjacent(edges).where(F.col("src") == node).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("edges"), F.avg("conf").alias("avg_conf"))
+
+
+def explore(edges: DataFrame, node: str, hops: int) -> DataFrame:
     """Nodes within ``hops`` of the node, with their distance. Only what the frontier touches is read; it is sent to the edges while it is small."""
-    seen = adjacent.sparkSession.createDataFrame([(node, 0)], "node string, hops int")
+    near = adjacent(edges)
+    seen = near.sparkSession.createDataFrame([(node, 0)], "node string, hops int")
     front = None
     for h in range(1, hops + 1):
-        step = adjacent.where(F.col("src") == node) if front is None else adjacent.join(small(front), adjacent.src == F.col("node"), "left_semi")
+        step = near.where(F.col("src") == node) if front is None else near.join(small(front), near.src == F.col("node"), "left_semi")
         front = step.select(F.col("dst").alias("node")).distinct()
         seen = seen.unionByName(front.withColumn("hops", F.lit(h)))
     return seen.groupBy("node").agg(F.min("hops").alias("hops"))
 
 
-def paths(adjacent: DataFrame, start: str, end: str, hops: int, limit: int = 20) -> DataFrame:
+def paths(edges: DataFrame, start: str, end: str, hops: int, limit: int = 20) -> DataFrame:
     """Undirected paths that use no edge twice: length, mean confidence (3 places), route; shortest first.
 
     They are walked from both ends and met in the middle, so the rows grow with
     half the hops.
     """
-    two = adjacent.select(F.col("src").alias("a"), F.col("dst").alias("b"), "conf", "eid")
+    two = adjacent(edges).select(F.col("src").alias("a"), F.col("dst").alias("b"), "conf", "eid")
 
     def walks(node: str, steps: int) -> list[DataFrame]:
-        out = [adjacent.sparkSession.createDataFrame([(node, [], [node], 0.0)], "at string, used array<string>, route array<string>, total double")]
+        out = [two.sparkSession.createDataFrame([(node, [], [node], 0.0)], "at string, used array<string>, route array<string>, total double")]
         for k in range(steps):
             now = two.where(F.col("a") == node).select(F.col("b").alias("at"), F.array("eid").alias("used"), F.array("a", "b").alias("route"), F.col("conf").alias("total")) if not k else None
             if now is None:
@@ -111,7 +121,7 @@ def node_type(name) -> F.Column:
     return first_label(F.lower(name), rules, "Entity")
 
 
-def fact_consistency(facts: DataFrame, adjacent: DataFrame) -> DataFrame:
+def fact_consistency(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """For each fact (id, node: one row an entity) the mean over its entities of mean confidence times a sigmoid of the degree; 0.5 where the graph has none."""
-    g = adjacent.groupBy(F.col("src").alias("node")).agg((F.avg("conf") / (1 + F.exp(-0.5 * (F.count("*") - 3)))).alias("c"))
+    g = adjacent(edges).groupBy(F.col("src").alias("node")).agg((F.avg("conf") / (1 + F.exp(-0.5 * (F.count("*") - 3)))).alias("c"))
     return facts.join(g, "node", "left").groupBy("id").agg(F.coalesce(F.avg("c"), F.lit(0.5)).alias("consistency"))

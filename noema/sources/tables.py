@@ -61,12 +61,10 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     eid, the edge's own name; edges alike are numbered apart.
     """
 
+    from noema.operators.graph import adjacent
+
     def make() -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("src", "dst", "rel").orderBy("conf"))
-        e = _edge_rows(spark, sf_dir).withColumn("eid", F.concat_ws("|", "src", "rel", "dst", rank.cast("string")))
-        back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "conf", F.lit(False).alias("forward"), "eid")
-        both = e.select("src", "dst", "rel", "conf", F.lit(True).alias("forward"), "eid").unionByName(back)
-        return both.repartitionByRange("src").sortWithinPartitions("src", "dst")
+        return adjacent(_edge_rows(spark, sf_dir)).repartitionByRange("src").sortWithinPartitions("src", "dst")
 
     return kept(spark, "graph-1", [f"{sf_dir}/{t}.parquet" for t in _GRAPH], make)
 
