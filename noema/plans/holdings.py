@@ -234,12 +234,12 @@ def med_event_batches(s, d):
 
 # answers of a model, or of a rule
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN upper(text) ELSE substring(text, 1, 20) END AS answer, CASE WHEN length(text) % 3 = 0 THEN 'model' ELSE 'rule' END AS answer_by FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN concat('m: ', text) ELSE substring(text, 1, 20) END AS answer, CASE WHEN length(text) % 3 = 0 THEN 'model' ELSE 'rule' END AS answer_by FROM conversations WHERE role = 'user'")
 def udf_answers(s, d):
     """A model that has no answer to some texts; a rule answers in its place."""
 
     def call(texts: list[str]) -> list[str | None]:
-        return [t.upper() if len(t) % 3 == 0 else None for t in texts]
+        return [f"m: {t}" if len(t) % 3 == 0 else None for t in texts]
 
     asked = read(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
     return model.answered(asked, "text", "answer", F.substring("text", 1, 20), call).select("conv_id", "turn", "answer", "answer_by")
