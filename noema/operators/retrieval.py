@@ -87,7 +87,7 @@ def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     source = [f"{sf_dir}/documents.parquet"]
     docs = lambda: read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    held = kept(spark, "postings-2", source, lambda: postings(docs(), "text").repartitionByRange("term").sortWithinPartitions("term", "id"))
+    held = kept(spark, "postings-4", source, lambda: postings(docs(), "text").repartition(F.col("term"), F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("term", "id"))
     lengths = kept(spark, "lengths-2", source, lambda: docs().select("id", F.size(tokens(F.col("text"))).alias("length")))
     return held, lengths
 

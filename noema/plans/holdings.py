@@ -112,9 +112,9 @@ def code_graph(s, d) -> DataFrame:
     def make() -> DataFrame:
         e = code.code_edges(code_files(s, d)).distinct()
         known = e.where("kind = 'DEFINES_FUNCTION'").select("dst").distinct()
-        return e.where("kind <> 'CALLS'").unionByName(e.where("kind = 'CALLS'").join(known, "dst", "left_semi").select(e.columns)).repartitionByRange("kind", "src")
+        return e.where("kind <> 'CALLS'").unionByName(e.where("kind = 'CALLS'").join(known, "dst", "left_semi").select(e.columns)).repartition("src").sortWithinPartitions("kind", "src")
 
-    return store.kept(s, "code-1", [f"{d}/part.parquet"], make)
+    return store.kept(s, "code-3", [f"{d}/part.parquet"], make)
 
 
 _CODE = """p AS (SELECT p_partkey AS k, CAST(floor(p_partkey / 50) AS BIGINT) AS q FROM part), fl AS (SELECT DISTINCT q FROM p),
