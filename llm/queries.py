@@ -75,7 +75,13 @@ def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_best_fit_packing, op3_source_mixing, op4_tool_call_linking, op5_kd_sharding, op6_ngram_jaccard_join, op7_language_id, op8_importance_resampling, op9_maxscore, op10_stable_projections)}
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.target_resampling import draw
+
+    return draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_best_fit_packing, op3_source_mixing, op4_tool_call_linking, op5_kd_sharding, op6_ngram_jaccard_join, op7_language_id, op8_importance_resampling, op9_maxscore, op10_stable_projections, op12_target_resampling)}
 
 SQL = {
     "op4_tool_call_linking": r"""
@@ -114,6 +120,24 @@ q AS (SELECT vec_id AS query_id, v AS u FROM e WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, CAST(list_sum(list_transform(range(1, len(v) + 1), lambda i: u[i] * v[i])) AS BIGINT) AS score FROM q JOIN e ON query_id <> vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
+""",
+    "op12_target_resampling": r"""
+WITH d AS (SELECT 'd' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 't', NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT side, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])))) AS f FROM d),
+c AS (SELECT side, doc_id, f, count(*) AS n FROM f GROUP BY ALL),
+-- crc32 by its table of 256, each entry made by eight shifts
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(f)), lambda k: CAST(concat('0x', substr(hex(f), 2 * k + 1, 2)) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM c), crc),
+n AS (SELECT bucket, sum(CASE WHEN side = 'd' THEN n ELSE 0 END)::DOUBLE AS s, sum(CASE WHEN side = 't' THEN n ELSE 0 END)::DOUBLE AS t FROM c JOIN h USING (f) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + 10000) / ((s + 1) * ((SELECT sum(t) FROM n) + 10000)))) AS BIGINT) AS gain FROM n),
+x AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain)::DOUBLE / sum(n)) AS BIGINT) AS weight FROM c JOIN h USING (f) JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+y AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('7:', doc_id)), 1, 8)) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM documents LEFT JOIN x USING (doc_id)),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_features >= 39)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM z) * 25 // 100 THEN rank END AS rank FROM y LEFT JOIN z ON z.doc_id = y.doc_id
 """,
 }
 
