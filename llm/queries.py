@@ -81,7 +81,13 @@ def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_best_fit_packing, op3_source_mixing, op4_tool_call_linking, op5_kd_sharding, op6_ngram_jaccard_join, op7_language_id, op8_importance_resampling, op9_maxscore, op10_stable_projections, op12_target_resampling)}
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.fingerprints import edited
+
+    return edited(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_best_fit_packing, op3_source_mixing, op4_tool_call_linking, op5_kd_sharding, op6_ngram_jaccard_join, op7_language_id, op8_importance_resampling, op9_maxscore, op10_stable_projections, op12_target_resampling, op13_document_fingerprints)}
 
 SQL = {
     "op4_tool_call_linking": r"""
