@@ -87,7 +87,13 @@ def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_best_fit_packing, op3_source_mixing, op4_tool_call_linking, op5_kd_sharding, op6_ngram_jaccard_join, op7_language_id, op8_importance_resampling, op9_maxscore, op10_stable_projections, op12_target_resampling, op13_document_fingerprints)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.conversation_repair import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_best_fit_packing, op3_source_mixing, op4_tool_call_linking, op5_kd_sharding, op6_ngram_jaccard_join, op7_language_id, op8_importance_resampling, op9_maxscore, op10_stable_projections, op11_conversation_repair, op12_target_resampling, op13_document_fingerprints)}
 
 SQL = {
     "op4_tool_call_linking": r"""
@@ -126,6 +132,35 @@ q AS (SELECT vec_id AS query_id, v AS u FROM e WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, CAST(list_sum(list_transform(range(1, len(v) + 1), lambda i: u[i] * v[i])) AS BIGINT) AS score FROM q JOIN e ON query_id <> vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
+""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS f FROM conversations),
+h AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(f)), lambda j: CAST(concat('0x', substr(hex(f), 2 * j + 1, 2)) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS h FROM k, crc),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, substr(role, 1, 1) AS u FROM d),
+r AS (SELECT conv_id, turn, role, text, i, u, lead(u) OVER (PARTITION BY conv_id ORDER BY i) AS v,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM o),
+-- the cheapest edits (c), their letters (a) and rows (t) for each state: nothing yet, after s, after u, after a
+dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, [{'c': 0, 'a': '', 't': ''}, {'c': 999999999, 'a': '', 't': ''}, {'c': 999999999, 'a': '', 't': ''}, {'c': 999999999, 'a': '', 't': ''}] AS s FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i + 1, [
+    {'c': s[1].c + 2, 'a': s[1].a || 'D', 't': s[1].t},
+    list_min([{'c': s[2].c + 2, 'a': s[2].a || 'D', 't': s[2].t}, {'c': s[1].c + CASE WHEN u = 's' THEN more ELSE 999999999 END, 'a': s[1].a || 'K', 't': s[1].t || row}]),
+    list_min([{'c': z3.c + 2, 'a': z3.a || 'D', 't': z3.t}, {'c': z.c + CASE WHEN u = 'u' THEN more ELSE 999999999 END, 'a': z.a || 'K', 't': z.t || row}, {'c': z.c + 1 + more, 'a': z.a || 'R', 't': z.t || 'user:' || text || chr(10)}]),
+    list_min([{'c': z4.c + 2, 'a': z4.a || 'D', 't': z4.t}, {'c': z3.c + CASE WHEN u = 'a' THEN more ELSE 999999999 END, 'a': z3.a || 'K', 't': z3.t || row}, {'c': z3.c + 1 + more, 'a': z3.a || 'R', 't': z3.t || 'assistant:' || text || chr(10)}])]
+  FROM (SELECT *, list_min([s[1], s[2], z4]) AS z FROM (SELECT *, list_min([s[4], {'c': z3.c + 5, 'a': z3.a || 'I', 't': z3.t || 'assistant:' || chr(10)}]) AS z4 FROM (
+    SELECT dp.conv_id, dp.i, s, u, text, CASE fault WHEN 't' THEN 5 WHEN '' THEN 0 ELSE 999999999 END AS more, role || ':' || text || chr(10) AS row, list_min([s[3],
+      {'c': s[1].c + 5, 'a': s[1].a || 'I', 't': s[1].t || 'user:' || chr(10)}, {'c': s[2].c + 5, 'a': s[2].a || 'I', 't': s[2].t || 'user:' || chr(10)}, {'c': s[4].c + 5, 'a': s[4].a || 'I', 't': s[4].t || 'user:' || chr(10)}]) AS z3
+    FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1)))
+), n AS (SELECT conv_id, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (v IS NOT NULL AND u || v NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+e AS (SELECT conv_id, i, list_min([s[1], s[4], {'c': s[3].c + 5, 'a': s[3].a || 'I', 't': s[3].t || 'assistant:' || chr(10)}, {'c': s[2].c + 10, 'a': s[2].a || 'II', 't': s[2].t || 'user:' || chr(10) || 'assistant:' || chr(10)}]) AS s FROM dp)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(s.c AS BIGINT) AS cost, s.a AS audit, sha256(CASE WHEN s.t = '' THEN '' ELSE left(s.t, length(s.t) - 1) END) AS repaired_sha256
+FROM e LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.i = coalesce(n.n, 0)
 """,
     "op12_target_resampling": r"""
 WITH d AS (SELECT 'd' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
