@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -29,7 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-_written: list[str] = []
+#: What each open ``scratch`` of this thread has to delete, the innermost last.
+_scopes = threading.local()
+
+
+def _open_scopes() -> list[list[str]]:
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    return _scopes.open
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -39,7 +47,8 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    _written.append(path)
+    for scope in _open_scopes()[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path
@@ -49,8 +58,6 @@ def settle(df: DataFrame) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _written:
-        _written.remove(path)
 
 
 def unsettle(df: DataFrame) -> None:
@@ -62,8 +69,14 @@ def unsettle(df: DataFrame) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes what is settled inside, failed or not, but for what is given to ``keep``: ``with scratch(spark) as keep: out = keep(settle(df))``."""
-    before, kept = set(_written), set()
+    """Deletes what this thread settles inside, failed or not, but for what is given to ``keep``: ``with scratch(spark) as keep: out = keep(settle(df))``.
+
+    What is kept is left to the scope around this one, if there is any.
+    """
+    mine: list[str] = []
+    kept: set[str] = set()
+    scopes = _open_scopes()
+    scopes.append(mine)
 
     def keep(df: DataFrame) -> DataFrame:
         kept.add(df._settled_path)
@@ -72,8 +85,12 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        for path in [p for p in _written if p not in before and p not in kept]:
-            _delete(spark, path)
+        scopes.pop()
+        for path in mine:
+            if path not in kept:
+                _delete(spark, path)
+            elif scopes:
+                scopes[-1].append(path)
 
 
 def n_words(text: Column) -> Column:
