@@ -46,16 +46,12 @@ def vector_top(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return vectors.join(q).select("id", cosine(F.col("v"), F.col("q")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-#: Rows of a lane that are ranked; beyond, a rank adds next to nothing.
-LANE = 1000
-
-
 def fuse(lanes: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of lanes (id, score), each ranked from 1 on its ``LANE`` best rows, which are found before they meet in one task."""
+    """Reciprocal rank fusion of lanes (id, score), each ranked from 1. A lane is a search's list of its best rows, so its ranking is one small window; every row of it gets its rank."""
     ranked = None
     for n, lane in enumerate(lanes):
         rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
-        one = lane.orderBy(F.desc("score"), "id").limit(LANE).select(F.lit(n).alias("lane"), "id", rank.alias("rank"))
+        one = lane.select(F.lit(n).alias("lane"), "id", rank.alias("rank"))
         ranked = one if ranked is None else ranked.unionByName(one)
     return ranked.groupBy("id").agg(F.sum(1 / (F.lit(constant) + F.col("rank"))).alias("rrf"), F.count("*").alias("lanes")).orderBy(F.desc(F.round("rrf", 9)), "id").limit(k)
 
@@ -82,14 +78,10 @@ def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     Built once and kept. Postings are dealt and sorted by term, so that a query
     reads those of its terms only.
     """
-    from noema.sources.store import kept
-    from noema.sources.tables import read
-
-    source = [f"{sf_dir}/documents.parquet"]
-    docs = lambda: read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    held = kept(spark, "postings-4", source, lambda: postings(docs(), "text").repartition(F.col("term"), F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("term", "id"))
-    lengths = kept(spark, "lengths-2", source, lambda: docs().select("id", F.size(tokens(F.col("text"))).alias("length")))
-    return held, lengths
+    from noema.operators.segments import of_documents
+
+    held = of_documents(spark, sf_dir)
+    return held.postings(), held.lengths()
 
 
 def ranked(held: DataFrame, lengths: DataFrame, query: list[str], k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:

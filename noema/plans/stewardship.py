@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noema.functions import scores, text
-from noema.operators import categories, dedup, graph, listing, retrieval
+from noema.operators import categories, dedup, graph, listing, retrieval, segments
 from noema.operators.blocks import small
 from noema.plans.queries import _BM25, _COS, _query_vector, _r, _texts, _vectors, STOP, TERMS, query
 from noema.plans.views import EDGES, KP, OPS, TOKENS, VECTORS
+from noema.sources import store
 from noema.sources.tables import adjacency, edges, knowledge, memory_ops, read
 
 # retrieval
@@ -59,6 +61,29 @@ def ret_rebuilt_index(s, d):
     return retrieval.index(s, d)[0].agg(F.countDistinct("id").alias("documents"), F.sum("tf").alias("tokens"))
 
 
+_CHANGED = TOKENS.replace("tok AS", "tok_all AS").replace("SELECT doc_id AS id", "SELECT id").replace("FROM documents)", "FROM (SELECT doc_id AS id, text FROM documents WHERE doc_id % 10 <> 7 UNION ALL SELECT -1 - 1000 * conv_id - turn, text FROM conversations WHERE role = 'user'))") + ", tok AS (SELECT id, coalesce(t, []) AS t FROM tok_all)"
+
+
+def _changed_index(s, d):
+    """The documents' index, forked: a tenth of the facts goes, what users say in conversations comes. The other facts' texts aren't read."""
+    index = segments.of_documents(s, d).fork(f"{store.folder(s)}/noema-fork-{uuid.uuid4().hex}")
+    index.remove(read(s, d, "documents").where("doc_id % 10 = 7").select(F.col("doc_id").alias("id")))
+    index.add(read(s, d, "conversations").where("role = 'user'").select((-1 - 1000 * F.col("conv_id") - F.col("turn")).alias("id"), "text"))
+    return index
+
+
+@query(f"WITH {_BM25.replace(TOKENS, _CHANGED)} SELECT id, round(score, 6) AS score, total AS total_docs, round(avgdl, 6) AS avg_len FROM bm, st WHERE score > 0 ORDER BY score DESC, id LIMIT 10")
+def ret_changed_index(s, d):
+    index = _changed_index(s, d)
+    n, mean = index.totals()
+    return index.search(TERMS, 10).select("id", _r("score").alias("score"), F.lit(n).cast("long").alias("total_docs"), _r(F.lit(mean)).alias("avg_len"))
+
+
+@query(f"WITH {_CHANGED} SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS n FROM (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(t) AS term FROM tok) GROUP BY ALL) GROUP BY term")
+def ret_changed_terms(s, d):
+    return _changed_index(s, d).postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+
+
 # duplicates and entities
 
 @query(f"WITH {VECTORS}, h AS (SELECT doc_id AS id, doc_id > min(doc_id) OVER (PARTITION BY text) AS known FROM documents), m AS (SELECT a.id, max(list_cosine_similarity(a.v, b.v)) AS sim FROM vec a JOIN vec b ON a.id % 20 = 0 AND a.id <> b.id GROUP BY a.id HAVING max(list_cosine_similarity(a.v, b.v)) >= 0.3), x AS (SELECT h.id, known, round(coalesce(sim, 0), 4) AS sim FROM h LEFT JOIN m USING (id) WHERE h.id % 20 = 0) SELECT id, CASE WHEN known OR sim >= 0.45 THEN 'skip' WHEN sim >= 0.35 THEN 'warn' ELSE 'proceed' END AS strict, CASE WHEN known THEN 'skip' WHEN sim >= 0.35 THEN 'warn' ELSE 'proceed' END AS loose, CASE WHEN known OR sim >= 0.35 THEN 'warn' ELSE 'proceed' END AS manual FROM x")

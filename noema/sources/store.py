@@ -27,11 +27,15 @@ def _path(spark: SparkSession, path: str):
 
 
 def state(spark: SparkSession, paths: list[str]) -> str:
-    """A name for what lies at the paths now: their bytes and times of change."""
+    """A name for what lies at the paths now: every file with its bytes and time of change."""
     seen = []
     for path in paths:
         p, fs = _path(spark, path)
-        seen.append((path, fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()))
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        seen.append((path, len(seen)))
     return hashlib.sha256(repr(seen).encode()).hexdigest()[:24]
 
 
@@ -46,10 +50,20 @@ def remove(spark: SparkSession, path: str) -> bool:
 
 
 def kept(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame]) -> DataFrame:
-    """``make()``, written under a name that follows from its sources' state; a later call, of any session that shares the folder, reads it."""
+    """``make()``, written under a name that follows from its sources' state; a later call, of any session that shares the folder, reads it.
+
+    It is written beside and gets its name when it is whole. Of two sessions that
+    make it at once the first one's stays.
+    """
     path = f"{folder(spark)}/noema-{name}-{state(spark, sources)}"
     if not exists(spark, path):
-        make().write.mode("overwrite").parquet(path)
+        beside = f"{path}-{uuid.uuid4().hex}"
+        make().write.parquet(beside)
+        (old, fs), (new, _) = _path(spark, beside), _path(spark, path)
+        if fs.exists(new) or not fs.rename(old, new) or fs.exists(_path(spark, f"{path}/{old.getName()}")[0]):
+            # another session was first; a rename onto a folder may have put ours inside it
+            fs.delete(old, True)
+            fs.delete(_path(spark, f"{path}/{old.getName()}")[0], True)
     return spark.read.parquet(path)
 
 
