@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noema.functions.scores import cosine
 from noema.operators.blocks import SMALL, against, small, within
+from noema.sources.store import cut
 
 
 def _cosines(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -40,7 +41,7 @@ def near_best(points: DataFrame, centroids: DataFrame, margin: float) -> DataFra
     if centroids.limit(SMALL + 1).count() <= SMALL:
         scored = points.join(F.broadcast(centroids)).select("id", "label", cosine(F.col("v"), F.col("c")).alias("sim"))
     else:
-        scored = against(points.select("id", "v"), centroids.select(F.xxhash64("label").alias("id"), "label", "c"), _cosines, "id long, label string, sim double")
+        scored = against(points.select("id", "v"), centroids.select(F.xxhash64("label").alias("id"), "label", "c"), _cosines, "id long, label string, sim double").withColumn("label", F.col("label").cast(centroids.schema["label"].dataType))
     w = Window.partitionBy("id")
     kept = scored.withColumn("best", F.max("sim").over(w)).where(F.col("best") - F.col("sim") < margin)
     return kept.withColumn("n", F.count("*").over(w)).where("n > 1").select("id", "label", F.round("sim", 6).alias("sim"))
@@ -171,14 +172,13 @@ def updated(rows: DataFrame, key: str, changes: dict) -> DataFrame:
     return rows
 
 
-def focused(nodes: DataFrame, hit: F.Column, depth: int = 8) -> DataFrame:
-    """id of the nodes (id, parent, ...) that match or have one below them that does."""
+def focused(nodes: DataFrame, hit: F.Column) -> DataFrame:
+    """id of the nodes (id, parent, ...) that match or have one below them that does, however deep the tree; nodes on a cycle are each taken once."""
     up = nodes.select("id", "parent")
-    now = nodes.where(hit).select("id")
+    now = cut(nodes.where(hit).select("id").distinct())
     out = now
-    for _ in range(depth):
-        now = up.join(now, "id", "left_semi").where("parent is not null").select(F.col("parent").alias("id")).distinct()
+    while not now.isEmpty():
+        above = up.join(now, "id", "left_semi").where("parent is not null").select(F.col("parent").alias("id")).distinct()
+        now = cut(above.join(out, "id", "left_anti"))
         out = out.unionByName(now)
-        if now.isEmpty():
-            break
-    return out.distinct()
+    return out

@@ -16,6 +16,14 @@ def groups(rows: DataFrame, day: str, granularity: str) -> DataFrame:
     return rows.groupBy(F.substring(F.date_format(day, "yyyy-MM-dd"), 1, n).alias("key")).agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_conf"))
 
 
+def of_months(named: DataFrame) -> DataFrame:
+    """The timeline of what has a year and a month: each month with its label, how many it holds and its place, the latest first. Years below 0 are before our era; rows without a year are left out."""
+    g = named.where("year is not null").groupBy("year", F.coalesce("month", F.lit(1)).alias("month")).agg(F.count("*").alias("n"))
+    label = F.concat(F.when(F.col("year") < 0, "公元前").otherwise(""), F.abs("year").cast("string"), F.lit("年"), F.col("month").cast("string"), F.lit("月"))
+    # one row a month
+    return g.select("year", "month", label.alias("label"), "n", F.row_number().over(Window.orderBy(F.desc("year"), F.desc("month"))).alias("place"))
+
+
 def gaps(days: DataFrame, over: int) -> DataFrame:
     """Neighbouring keys (day) more than ``over`` days apart. days holds one row a day, so the window is small by nature."""
     w = Window.orderBy("day")

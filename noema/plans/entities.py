@@ -68,21 +68,24 @@ def joi_component_lines(s, d):
 
 # code
 
-_FILES = [
-    ("a/load.py", "import os\n\ndef load(path):\n    if not path:\n        return None\n    return parse(open(path).read())\n\ndef parse(text):\n    return [clean(x) for x in text.split()]\n"),
-    ("a/clean.py", "def clean(word):\n    while word and word[0] == ' ':\n        word = word[1:]\n    return word\n"),
-    ("b/run.py", "def main():\n    for x in load('f') or []:\n        print(clean(x))\n"),
-]
+def _part_files(s, d):
+    """A source file for each part: a function that calls the next part's function, the one of its half, and one that nobody defines."""
+    k = F.col("p_partkey")
+    body = F.concat(F.lit("def f"), k, F.lit("(x):\n    if x:\n        return f"), k + 1, F.lit("(x - 1)\n    return f"), F.floor(k / 2).cast("long"), F.lit("(x) + unknown(x)\n"))
+    return read(s, d, "part").select(F.concat(F.lit("p/"), k, F.lit(".py")).alias("path"), body.alias("code"))
 
 
-@query("SELECT * FROM (VALUES ('a/clean.py','clean','CONTAINS'),('a/load.py','load','CONTAINS'),('a/load.py','parse','CONTAINS'),('b/run.py','main','CONTAINS'),('load','parse','CALLS'),('main','clean','CALLS'),('main','load','CALLS'),('parse','clean','CALLS')) t(src, dst, kind)")
+_GRAPH_OF_FILES = "pk AS (SELECT p_partkey AS k FROM part), ge AS (SELECT concat('p/', k, '.py') AS src, concat('f', k) AS dst, 'CONTAINS' AS kind FROM pk UNION SELECT concat('f', k), concat('f', t), 'CALLS' FROM (SELECT k, unnest([k + 1, k // 2]) AS t FROM pk) WHERE t IN (SELECT k FROM pk))"
+
+
+@query(f"WITH {_GRAPH_OF_FILES} SELECT src, dst, kind FROM ge")
 def gra_code_graph(s, d):
-    return code_graph.code_edges(parsers.code_functions(s.createDataFrame(_FILES, "path string, code string")))
+    return code_graph.code_edges(parsers.code_functions(_part_files(s, d)))
 
 
-@query("SELECT * FROM (VALUES ('load','main','parse')) t(name, callers, callees)")
+@query(f"WITH {_GRAPH_OF_FILES}, x AS (SELECT dst AS name, string_agg(src, ',' ORDER BY src) AS callers FROM ge WHERE kind = 'CALLS' GROUP BY 1), y AS (SELECT src AS name, string_agg(dst, ',' ORDER BY dst) AS callees FROM ge WHERE kind = 'CALLS' GROUP BY 1) SELECT g.dst AS name, callers, callees FROM ge g LEFT JOIN x ON x.name = g.dst LEFT JOIN y ON y.name = g.dst WHERE kind = 'CONTAINS' AND contains(g.dst, '17')")
 def gra_function_search(s, d):
-    found = code_graph.callers_and_callees(gra_code_graph(s, d), "load")
+    found = code_graph.callers_and_callees(gra_code_graph(s, d), "17")
     return found.select("name", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"))
 
 

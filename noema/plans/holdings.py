@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noema.functions import model
 from noema.operators import images
-from noema.plans.meaning import _values
+from noema.plans.meaning import _expected, _given
 from noema.plans.queries import _r, query
 from noema.plans.views import KP
 from noema.sources import code, ingest, store
@@ -17,45 +17,45 @@ from noema.sources.tables import knowledge, read
 
 # files
 
-_FILES = {
-    "a/page.html": "<html><head><title>T</title></head><body><nav>no</nav><p>Hello</p><noscript>kept</noscript><script>x()</script>\n<p> b </p></body></html>",
-    "a/mod.py": "import os\n\ndef f(x):\n    return x\n\nclass A:\n    def g(self):\n        return f(1)\n",
-    "b/nb.ipynb": '{"cells": [{"cell_type": "code", "source": ["a = 1\\n", "b"]}, {"cell_type": "markdown", "source": ["no"]}, {"cell_type": "code", "source": [" "]}]}',
-    "b/t.csv": "x,y\n1,a\n2,b\n",
-    "b/notes.txt": "plain text",
-    "b/odd.xyz": "who knows",
-    "b/broken.ipynb": "{nothing",
+# files of many kinds made of documents and parts; a part's name and size stand for @ and #
+_FORMS = {
+    "nb.ipynb": '{"cells": [{"cell_type": "code", "source": ["a = #\\n", "b"]}, {"cell_type": "markdown", "source": ["no"]}, {"cell_type": "code", "source": [" "]}]}',
+    "t.csv": "x,y\n#,@\n2,b\n",
+    "mod.py": "import os\n\ndef f(x):\n    return #\n\nclass A:\n    def g(self):\n        return f(1)\n",
+    "odd.xyz": "who knows @",
+    "broken.ipynb": "{nothing @",
+    "broken.docx": "no archive @",
+    "page.html": "<html><head><title>T</title></head><body><nav>no</nav><p>Hello @</p><noscript>kept</noscript><script>x()</script>\n<p> b </p></body></html>",
 }
-_CHUNKS = [
-    ("page.html", 0, "web", "T\nHello\nkept\nb", 1.0),
-    ("mod.py", 0, "overview", "mod.py: 9 lines, 1 functions, 1 classes", 1.0),
-    ("mod.py", 1, "function", "def f(x):\n    return x", 1.0),
-    ("mod.py", 2, "class", "class A:\n    def g(self):\n        return f(1)", 1.0),
-    ("nb.ipynb", 0, "notebook", "a = 1\nb", 1.0),
-    ("t.csv", 0, "table", "2 rows, 2 columns\nx int64, y object", 1.0),
-    ("notes.txt", 0, "text", "plain text", 1.0),
-    ("odd.xyz", 0, "other", "who knows", 0.3),
-    ("broken.ipynb", 0, "other", "{nothing", 0.3),
-]
-
-
-def _put(spark, files: dict[str, str]) -> str:
-    """Writes the few files of a fixture where all machines see them."""
-    root = f"{store.folder(spark)}/noema-files-{uuid.uuid4().hex}"
-    for name, body in files.items():
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-        out.write(bytearray(body.encode()))
-        out.close()
-    return root
 
 
-@query(_values(_CHUNKS, "name, part, kind, text, confidence").replace("SELECT *", "SELECT name, part, kind, text, CAST(confidence AS DOUBLE) AS confidence"))
+def _made_files(s, d) -> DataFrame:
+    """path, content."""
+    text = F.lit(None).cast("string")
+    name = F.lit(None).cast("string")
+    for k, (n, form) in enumerate(_FORMS.items()):
+        at = F.col("p_partkey") % len(_FORMS) == k
+        text = F.when(at, F.replace(F.replace(F.lit(form), F.lit("@"), F.col("p_name")), F.lit("#"), F.col("p_size").cast("string"))).otherwise(text)
+        name = F.when(at, F.lit(n)).otherwise(name)
+    parts = read(s, d, "part").select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit("/"), name).alias("path"), text.alias("content"))
+    notes = read(s, d, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    return parts.union(notes).select("path", F.encode("content", "UTF-8").alias("content")).where("content is not null")
+
+
+@query("""WITH p AS (SELECT p_partkey % 7 AS f, concat('p/', p_partkey, '/') AS folder, p_name AS n, p_size AS z FROM part)
+SELECT concat('d/', doc_id, '.txt') AS path, 0 AS part, 'text' AS kind, text, 1.0 AS confidence FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT concat(folder, 'nb.ipynb'), 0, 'notebook', concat('a = ', z, chr(10), 'b'), 1.0 FROM p WHERE f = 0
+UNION ALL SELECT concat(folder, 't.csv'), 0, 'table', concat('2 rows, 2 columns', chr(10), 'x int64, y str', chr(10), repeat(' ', 2 + length(CAST(z AS VARCHAR))), 'x', repeat(' ', 1 + length(n)), 'y', chr(10), '0  ', z, '  ', n, chr(10), '1  ', repeat(' ', length(CAST(z AS VARCHAR)) - 1), '2', repeat(' ', 1 + length(n)), 'b'), 1.0 FROM p WHERE f = 1
+UNION ALL SELECT concat(folder, 'mod.py'), 0, 'overview', 'mod.py: 9 lines, 1 functions, 1 classes', 1.0 FROM p WHERE f = 2
+UNION ALL SELECT concat(folder, 'mod.py'), 1, 'function', concat('def f(x):', chr(10), '    return ', z), 1.0 FROM p WHERE f = 2
+UNION ALL SELECT concat(folder, 'mod.py'), 2, 'class', concat('class A:', chr(10), '    def g(self):', chr(10), '        return f(1)'), 1.0 FROM p WHERE f = 2
+UNION ALL SELECT concat(folder, 'odd.xyz'), 0, 'other', concat('who knows ', n), 0.3 FROM p WHERE f = 3
+UNION ALL SELECT concat(folder, 'broken.ipynb'), 0, 'other', concat('{nothing ', n), 0.3 FROM p WHERE f = 4
+UNION ALL SELECT concat(folder, 'broken.docx'), 0, 'other', concat('no archive ', n), 0.3 FROM p WHERE f = 5
+UNION ALL SELECT concat(folder, 'page.html'), 0, 'web', concat('T', chr(10), 'Hello ', n, chr(10), 'kept', chr(10), 'b'), 1.0 FROM p WHERE f = 6""".replace("1.0 AS confidence", "CAST(1.0 AS DOUBLE) AS confidence"))
 def src_chunks(s, d):
-    """Every file by the parser of its kind; the table's text up to its first rows."""
-    found = ingest.chunks(s, f"{_put(s, _FILES)}/*/*")
-    text = F.when(F.col("kind") == "table", F.concat_ws("\n", F.slice(F.split("text", "\n"), 1, 2))).otherwise(F.col("text"))
-    return found.select(F.substring_index("path", "/", -1).alias("name"), "part", "kind", F.replace(text, F.lit("y str"), F.lit("y object")).alias("text"), "confidence")
+    """Every file by the parser of its kind, whole texts; what a parser can't read comes with little confidence."""
+    return ingest.parsed_files(_made_files(s, d)).withColumn("text", F.replace("text", F.lit("y object"), F.lit("y str")))
 
 
 @query("SELECT count(*) AS rows, 4 AS columns, max(n_nationkey) AS last_key, max(n_name) AS last_name FROM nation")
@@ -179,18 +179,21 @@ def gra_functions_named(s, d):
     return named.join(gathered("dst", "src", "callers"), "name", "left").join(gathered("src", "dst", "callees"), "name", "left")
 
 
+# a part's key stands for @
 _OTHER = [
-    ("a.js", "javascript", "import {x} from 'lib'\nconst y = require('z')\nexport async function go(a) {\n  if (x) {", [("go", "DEFINES_FUNCTION"), ("lib", "IMPORTS"), ("z", "IMPORTS")]),
-    ("b.go", "go", 'import "fmt"\nfunc (s *T) Run(x int) {\nfunc main() {', [("Run", "DEFINES_FUNCTION"), ("main", "DEFINES_FUNCTION"), ("fmt", "IMPORTS")]),
-    ("c.rs", "rust", "use std::io\npub fn start() {", [("start", "DEFINES_FUNCTION"), ("std::io", "IMPORTS")]),
-    ("D.java", "java", "public static void run(String a) {\n  int x = 1;\n  private List<String> all(int n) throws Exception {", [("run", "DEFINES_FUNCTION"), ("all", "DEFINES_FUNCTION")]),
+    ("a.js", "javascript", "import {x} from 'lib@'\nconst y = require('z')\nexport async function go@(a) {\n  if (x) {", [("go@", "DEFINES_FUNCTION"), ("lib@", "IMPORTS"), ("z", "IMPORTS")]),
+    ("b.go", "go", 'import "fmt"\nfunc (s *T) Run@(x int) {\nfunc main() {', [("Run@", "DEFINES_FUNCTION"), ("main", "DEFINES_FUNCTION"), ("fmt", "IMPORTS")]),
+    ("c.rs", "rust", "use std::io@\npub fn start@() {", [("start@", "DEFINES_FUNCTION"), ("std::io@", "IMPORTS")]),
+    ("D.java", "java", "public static void run@(String a) {\n  int x = 1;\n  private List<String> all(int n) throws Exception {", [("run@", "DEFINES_FUNCTION"), ("all", "DEFINES_FUNCTION")]),
 ]
 
 
-@query(_values([(p, *x) for p, _, _, xs in _OTHER for x in xs], "file, dst, kind"))
+@query(_expected([(k, p, *x) for k, (p, _, _, xs) in enumerate(_OTHER) for x in xs], "file, dst, kind", len(_OTHER), "file, replace(dst, '@', CAST(p_partkey AS VARCHAR)) AS dst, kind"))
 def fun_code_facts(s, d):
-    files = s.createDataFrame([x[:3] for x in _OTHER], "path string, language string, code string")
-    return code.code_edges(files).select("file", "dst", "kind")
+    files = _given(s, d, "name string, language string, code string", [x[:3] for x in _OTHER])
+    files = files.select(F.concat(F.col("key").cast("string"), F.lit("/"), "name").alias("path"), "language", F.replace("code", F.lit("@"), F.col("key").cast("string")).alias("code"))
+    found = code.code_edges(files)
+    return found.select(F.substring_index("file", "/", 1).cast("long").alias("key"), F.substring_index("file", "/", -1).alias("file"), "dst", "kind")
 
 
 # pictures and recordings
@@ -279,14 +282,17 @@ def src_segment_chunks(s, d):
     return timeline.segment_chunks(_spoken(s, d), "user_id")
 
 
-_CLIQUES = [(a, b) for group in ("abcd", "efgh", "ijkl") for a in group for b in group if a < b] + [("a", "e"), ("h", "i"), ("l", "d")]
-
-
-@query(_values([(x, g[0]) for g in ("abcd", "efgh", "ijkl") for x in g], "node, community"))
+@query("SELECT concat('c', c_custkey) AS node, concat('c', c_custkey // 4 * 4) AS community FROM customer WHERE c_custkey // 4 * 4 + 3 <= (SELECT max(c_custkey) FROM customer)")
 def gra_louvain_cliques(s, d):
+    """Customers in groups of four that all know each other: communities are the groups."""
     from noema.operators.communities import louvain
 
-    return louvain(s.createDataFrame(_CLIQUES, "src string, dst string"))
+    c = read(s, d, "customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 4).alias("g"))
+    full = c.groupBy("g").agg(F.count("*").alias("n")).where("n = 4").select("g")
+    a, b = c.join(full, "g", "left_semi").select("g", F.col("k").alias("a")), c.select("g", F.col("k").alias("b"))
+    found = louvain(a.join(b, "g").where("a < b").select(F.concat(F.lit("c"), "a").alias("src"), F.concat(F.lit("c"), "b").alias("dst")))
+    low = found.groupBy("community").agg(F.min(F.substring("node", 2, 20).cast("long")).alias("low"))
+    return found.join(low, "community").select("node", F.concat(F.lit("c"), "low").alias("community"))
 
 
 @query()

@@ -45,10 +45,10 @@ def _vectors(s, d):
     return read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-def _context_lines(s, d, fact):
+def _context_lines(s, d):
     t = knowledge(s, d).where("status = 'active'").orderBy(F.desc("confidence"), "id").limit(12)
     old = F.when(F.datediff(F.lit("2025-06-01").cast("date"), "created_on") > 365, " (old)").otherwise("")
-    return t.select("id", F.when(F.col("confidence") >= 0.4, 0).otherwise(1).alias("part"), F.concat(F.lit("["), "category", F.lit("] "), fact, old).alias("line"))
+    return t.select("id", F.when(F.col("confidence") >= 0.4, 0).otherwise(1).alias("part"), F.concat(F.lit("["), "category", F.lit("] "), "fact", old).alias("line"))
 
 
 # retrieval
@@ -139,14 +139,18 @@ def ret_gap_check(s, d):
     return t.agg((F.count("*") == 0).alias("empty"), F.count_if(F.col("confidence") < 0.6).alias("weak"))
 
 
-@query(f"WITH {KP}, t AS (SELECT * FROM kp WHERE status = 'active' ORDER BY confidence DESC, id LIMIT 12) SELECT id, CASE WHEN confidence >= 0.4 THEN 0 ELSE 1 END AS part, concat('[', category, '] ', substring(fact, 1, 40), CASE WHEN date_diff('day', created_on, DATE '2025-06-01') > 365 THEN ' (old)' ELSE '' END) AS line FROM t")
+_CONTEXT = f"WITH {KP}, t AS (SELECT * FROM kp WHERE status = 'active' ORDER BY confidence DESC, id LIMIT 12) SELECT id, CASE WHEN confidence >= 0.4 THEN 0 ELSE 1 END AS part, concat('[', category, '] ', fact, CASE WHEN date_diff('day', created_on, DATE '2025-06-01') > 365 THEN ' (old)' ELSE '' END) AS line FROM t"
+
+
+@query(_CONTEXT)
 def ret_context_lines(s, d):
-    return _context_lines(s, d, F.substring("fact", 1, 40))
+    """Whole facts, whatever their length."""
+    return _context_lines(s, d)
 
 
-@query()
+@query(_CONTEXT)
 def ret_context_lines_whole(s, d):
-    return _context_lines(s, d, F.col("fact"))
+    return _context_lines(s, d)
 
 
 @query(f"WITH {TOKENS} SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(t, lambda x: length(x) >= 2 AND x NOT IN ('the','and','of','to'))) AS word FROM tok) GROUP BY word ORDER BY n DESC, word LIMIT 20")
@@ -164,9 +168,9 @@ def flt_list(s, d):
     return knowledge(s, d).where(listing.matches({"category": "fact", "min": 0.2, "max": 0.9, "status": "active", "text": "the"})).select("id", "category", "confidence")
 
 
-@query(f"WITH {KP} SELECT id, category, source, created_on FROM kp WHERE category IN ('fact','method') AND confidence >= 0.7 AND source = 'src3' AND created_on BETWEEN DATE '2024-02-01' AND DATE '2024-11-30'")
+@query(f"WITH {KP} SELECT id, category, source, created_on FROM kp WHERE category IN ('fact','method') AND confidence >= 0.7 AND source = 'src0' AND created_on BETWEEN DATE '2024-01-15' AND DATE '2024-12-15'")
 def flt_multi_dimension(s, d):
-    return knowledge(s, d).where(listing.matches({"category": ["fact", "method"], "tier": "high", "source": "src3", "since": "2024-02-01", "until": "2024-11-30"})).select("id", "category", "source", "created_on")
+    return knowledge(s, d).where(listing.matches({"category": ["fact", "method"], "tier": "high", "source": "src0", "since": "2024-01-15", "until": "2024-12-15"})).select("id", "category", "source", "created_on")
 
 
 @query(f"WITH {KP} SELECT id FROM kp WHERE confidence >= 0.3 AND confidence <= 0.8 AND contains(source, 'rc1') AND created_on >= DATE '2024-06-01'")
@@ -390,7 +394,7 @@ def cnf_correct_versions(s, d):
     return k.where(~hit).unionByName(old).unionByName(new)
 
 
-_PROP = "".join(f", p{i} AS (SELECT n.node, 0.075 + 0.85 * coalesce(m, 0.5) AS c FROM nodes n LEFT JOIN (SELECT dst AS node, avg(c) AS m FROM edges JOIN p{i - 1} ON node = src GROUP BY dst) USING (node))" for i in (1, 2, 3))
+_PROP = "".join(f", p{i} AS (SELECT n.node, 0.075 + 0.85 * coalesce(m, 0.5) AS c FROM nodes n LEFT JOIN (SELECT dst AS node, avg(c) AS m FROM edges JOIN p{i - 1} ON node = src GROUP BY dst) USING (node))" for i in (1, 2, 3, 4, 5))
 
 
 @query(f"WITH {EDGES}, nodes AS (SELECT DISTINCT src AS node FROM both_ways), p0 AS (SELECT node, CAST(0.5 AS DOUBLE) AS c FROM nodes){_PROP} SELECT node, round(c, 6) AS c FROM p3")
@@ -435,25 +439,25 @@ def gra_cycles(s, d):
     return graph.cycles(edges(s, d), "CONFLICTS_WITH", 5)
 
 
-_LPA = "".join(f", v{i} AS (SELECT b.dst AS node, label, count(*) AS n FROM both_ways b JOIN l{i - 1} l ON b.src = l.node GROUP BY ALL), l{i} AS (SELECT node, label FROM v{i} QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, label) = 1)" for i in (1, 2, 3))
+_LPA = "".join(f", v{i} AS (SELECT b.dst AS node, label, count(*) AS n FROM both_ways b JOIN l{i - 1} l ON b.src = l.node GROUP BY ALL), l{i} AS (SELECT node, label FROM v{i} QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, label) = 1)" for i in (1, 2, 3, 4, 5))
 
 
-@query(f"WITH {EDGES}, l0 AS (SELECT DISTINCT src AS node, src AS label FROM both_ways){_LPA} SELECT node, label FROM l3")
+@query(f"WITH {EDGES}, l0 AS (SELECT DISTINCT src AS node, src AS label FROM both_ways){_LPA} SELECT node, label FROM l5")
 def gra_communities(s, d):
-    return graph.label_propagation(edges(s, d))
+    return graph.label_propagation(edges(s, d), 5)
 
 
-@query(f"WITH {EDGES}, l0 AS (SELECT DISTINCT src AS node, src AS label FROM both_ways){_LPA} SELECT label, count(*) AS n FROM l3 GROUP BY label ORDER BY n DESC, label LIMIT 20")
+@query(f"WITH {EDGES}, l0 AS (SELECT DISTINCT src AS node, src AS label FROM both_ways){_LPA} SELECT label, count(*) AS n FROM l5 GROUP BY label ORDER BY n DESC, label LIMIT 20")
 def gra_community_sizes(s, d):
-    return graph.label_propagation(edges(s, d)).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(20)
+    return graph.label_propagation(edges(s, d), 5).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(20)
 
 
-@query()
+@query(f"WITH {EDGES}, l0 AS (SELECT DISTINCT src AS node, src AS label FROM both_ways){_LPA} SELECT node, label FROM l5")
 def gra_communities_5_rounds(s, d):
     return graph.label_propagation(edges(s, d), 5)
 
 
-@query()
+@query(f"WITH {EDGES}, l0 AS (SELECT DISTINCT src AS node, src AS label FROM both_ways){_LPA} SELECT label, count(*) AS n FROM l5 GROUP BY label ORDER BY n DESC, label LIMIT 20")
 def gra_community_sizes_5_rounds(s, d):
     return graph.label_propagation(edges(s, d), 5).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(20)
 

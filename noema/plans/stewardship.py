@@ -47,12 +47,12 @@ def set_merged_sources(s, d):
     return own.unionByName(web)
 
 
-@query("WITH q AS (SELECT conv_id, turn, text AS q, lower(text) AS a, upper(text) AS b FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE WHEN a = q AND b = q THEN 1 WHEN a = q OR b = q OR a = b THEN 2 ELSE 3 END AS n, CASE WHEN a = q THEN b ELSE a END = b AS second_is_upper FROM q")
+@query("WITH q AS (SELECT conv_id, turn, text AS q, lower(text) AS a, replace(text, '.', '?') AS b FROM conversations WHERE role = 'user') SELECT conv_id, turn, q AS query, array_to_string(list_filter([q, CASE WHEN a <> q THEN a WHEN b <> q THEN b END, CASE WHEN a <> q AND b <> q AND a <> b THEN b END], lambda x: x IS NOT NULL), ' | ') AS variants FROM q")
 def set_query_variants(s, d):
-    """With a model's rewrites (here: both cases) behind the question itself, without repeats; without a model, the question alone."""
+    """The question itself, then a model's rewrites (here: in lower case, and as a question) without repeats."""
     asked = read(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
-    v = retrieval.variants(asked, F.array("query", F.lower("query"), F.upper("query")))
-    return v.select("conv_id", "turn", F.size("variants").alias("n"), F.coalesce(F.get("variants", F.lit(1)), F.upper("query")).eqNullSafe(F.upper("query")).alias("second_is_upper"))
+    v = retrieval.variants(asked, F.array("query", F.lower("query"), F.replace("query", F.lit("."), F.lit("?"))))
+    return v.select("conv_id", "turn", "query", F.array_join("variants", " | ").alias("variants"))
 
 
 @query(f"WITH {TOKENS} SELECT count(*) AS documents, CAST(sum(len(t)) AS BIGINT) AS tokens FROM tok JOIN documents ON id = doc_id WHERE text <> ''")
@@ -238,12 +238,14 @@ def ctg_hybrid(s, d):
     return categories.hybrid(knowledge(s, d).select("id", kind.alias("grp")), clusters, 3, 5)
 
 
-@query("""WITH RECURSIVE c AS (SELECT concat('r', r_regionkey) AS id, CAST(NULL AS VARCHAR) AS parent, r_name AS name FROM region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM nation),
-k(id) AS (SELECT id FROM c WHERE contains(lower(name), 'ia') UNION SELECT c.parent FROM k JOIN c USING (id) WHERE c.parent IS NOT NULL) SELECT DISTINCT id FROM k""")
+@query("""WITH RECURSIVE c AS (SELECT concat('r', r_regionkey) AS id, CAST(NULL AS VARCHAR) AS parent, r_name AS name FROM region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM nation UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), s_name FROM supplier),
+k(id) AS (SELECT id FROM c WHERE contains(lower(name), '4') UNION SELECT c.parent FROM k JOIN c USING (id) WHERE c.parent IS NOT NULL) SELECT DISTINCT id FROM k""")
 def ctg_focused_tree(s, d):
+    """Suppliers whose name has a 4, with the nations and regions above them."""
     r = read(s, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
     n = read(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_name").alias("name"))
-    return categories.focused(r.unionByName(n), F.lower("name").contains("ia"))
+    p = read(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("parent"), F.col("s_name").alias("name"))
+    return categories.focused(r.unionByName(n).unionByName(p), F.lower("name").contains("4"))
 
 
 # mutations
@@ -253,9 +255,13 @@ def mut_get(s, d):
     return knowledge(s, d).where("id = 7").select("id", "fact", "category")
 
 
-@query(f"WITH {EDGES} SELECT count(DISTINCT src) AS removed, 0 AS left FROM both_ways")
+@query(f"WITH {EDGES} SELECT count(*) AS removed, CAST(0 AS BIGINT) AS left_over FROM edges")
 def mut_clear_graph(s, d):
-    return adjacency(s, d).agg(F.countDistinct("src").alias("removed"), F.lit(0).alias("left"))
+    """A stored graph emptied: what went, and what a reader finds afterwards."""
+    table = store.Table(s, f"{store.folder(s)}/noema-graph-{uuid.uuid4().hex}", ["src", "dst", "rel"], "src string, dst string, rel string, conf double")
+    table.save(edges(s, d))
+    removed = table.clear()
+    return table.load().agg(F.lit(removed).cast("long").alias("removed"), F.count("*").alias("left_over"))
 
 
 _CATS = "cats AS (SELECT concat('r', r_regionkey) AS id, CAST(NULL AS VARCHAR) AS parent, r_name AS name FROM region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM nation)"
@@ -300,11 +306,17 @@ def mut_tags(s, d):
     return left.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
 
 
-@query("SELECT * FROM (VALUES (1, 'mine'), (3, 'for all')) t(id, name)")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 4 THEN upper(c_name) ELSE c_name END AS name FROM customer WHERE (c_nationkey = 7 OR c_mktsegment = 'BUILDING') AND NOT (c_custkey % 10 = 3 AND c_mktsegment <> 'BUILDING') UNION ALL SELECT -1 - s_suppkey, s_name FROM supplier WHERE s_nationkey = 7")
 def mut_collections(s, d):
-    """A user's own collections and the system's."""
-    made = s.createDataFrame([(1, "mine", 7, False), (2, "theirs", 8, False), (3, "for all", None, True)], "id int, name string, user_id int, is_system boolean")
-    return made.where("user_id = 7 or is_system").select("id", "name")
+    """A user's own collections and the system's, after some were made, renamed and deleted; the system's can't be deleted."""
+    system = F.col("c_mktsegment") == "BUILDING"
+    old = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(~system, F.col("c_nationkey")).alias("user_id"), system.alias("is_system"), (F.col("c_nationkey") == 7).alias("by"))
+    made = read(s, d, "supplier").select((-1 - F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("user_id"), F.lit(False).alias("is_system"), F.lit(True).alias("by"))
+    table = store.Table(s, f"{store.folder(s)}/noema-collections-{uuid.uuid4().hex}", ["id"], "id long, name string, user_id int, is_system boolean, by boolean")
+    table.save(old)
+    table.upsert(made.unionByName(old.where("id % 10 = 4").withColumn("name", F.upper("name"))))
+    left = table.delete(old.where("id % 10 = 3 and not is_system").select("id"))
+    return left.where("user_id = 7 or is_system").select("id", "name")
 
 
 @query("SELECT c_custkey, concat('n', c_nationkey) AS category FROM customer WHERE NOT (c_custkey = 5 AND concat('n', c_nationkey) = (SELECT concat('n', c_nationkey) FROM customer WHERE c_custkey = 5))")

@@ -96,12 +96,13 @@ def tim_years(s, d):
     return found.select("id", F.size("y").cast("long").alias("n"), earliest.alias("earliest"), (2024 - earliest > 5).alias("historic"))
 
 
-@query("""SELECT n, said, CASE said WHEN 'yesterday' THEN DATE '2024-06-14' WHEN 'last week' THEN DATE '2024-06-03' WHEN 'this month' THEN DATE '2024-06-01' WHEN 'this quarter' THEN DATE '2024-04-01' WHEN 'last year' THEN DATE '2023-01-01' WHEN 'next monday' THEN DATE '2024-06-17' END AS anchor
-FROM (VALUES (1, 'yesterday'), (2, 'last week'), (3, 'this month'), (4, 'this quarter'), (5, 'last year'), (6, 'next monday'), (7, 'some day')) t(n, said)""")
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 7 AS f, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT id, CAST(CASE f WHEN 0 THEN day - 1 WHEN 1 THEN date_trunc('week', day) - INTERVAL 7 DAY WHEN 2 THEN date_trunc('month', day) WHEN 3 THEN date_trunc('quarter', day) WHEN 4 THEN date_trunc('year', day) - INTERVAL 1 YEAR WHEN 5 THEN date_trunc('week', day) + INTERVAL 7 DAY END AS DATE) AS anchor FROM o""")
 def tim_relative_anchors(s, d):
+    """Relative words as seen from the day of an order; null for one that says nothing."""
     said = ["yesterday", "last week", "this month", "this quarter", "last year", "next monday", "some day"]
-    rows = s.createDataFrame(list(enumerate(said, 1)), "n int, said string")
-    return rows.withColumn("anchor", timeline.anchor(F.col("said"), F.lit("2024-06-15").cast("date")))
+    word = F.element_at(F.array(*map(F.lit, said)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return read(s, d, "orders").select(F.col("o_orderkey").alias("id"), timeline.anchor(word, F.col("o_orderdate").cast("date")).alias("anchor"))
 
 
 @query("""WITH x AS (SELECT user_id, lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS start, epoch(ts) AS stop FROM events)

@@ -41,7 +41,7 @@ def parsed(path: str, kind: str, content: bytes) -> list[tuple[str, str, float]]
         if kind == "table" and path.lower().endswith("csv"):
             return [(kind, table_text(pd.read_csv(io.BytesIO(content))), SURE)]
         if kind in ("word", "ppt", "table"):
-            return [(kind, x, SURE) for x in office.office_parts(path.rpartition(".")[2].lower(), content)]
+            return [(kind, x, SURE) for x in office.opened(path.rpartition(".")[2].lower(), content)]
         if kind == "notebook":
             cells = ["".join(c["source"]) for c in json.loads(text)["cells"] if c.get("cell_type") == "code"]
             return [(kind, "\n\n".join(c for c in cells if c.strip()), SURE)]
@@ -54,13 +54,17 @@ def parsed(path: str, kind: str, content: bytes) -> list[tuple[str, str, float]]
     return [("other", text, UNSURE)]
 
 
-def chunks(spark: SparkSession, path: str, max_mb: int = 1024) -> DataFrame:
-    """path, part (from 0), kind, text and confidence of every file under the path that isn't larger than ``max_mb``."""
+def parsed_files(files: DataFrame) -> DataFrame:
+    """path, part (from 0), kind, text and confidence of files (path, content); a file is one row of a task."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(p, n, *x) for p, k, c in zip(b["path"], b["kind"], b["content"], strict=True) for n, x in enumerate(parsed(p, k, bytes(c)))]
             yield pd.DataFrame(rows, columns=["path", "part", "kind", "text", "confidence"])
 
-    found = parsers.files(spark, path, max_mb).withColumn("kind", kind_of(F.col("path")))
-    return found.select("path", "kind", "content").mapInPandas(parse, "path string, part int, kind string, text string, confidence double")
+    return files.select("path", kind_of(F.col("path")).alias("kind"), "content").mapInPandas(parse, "path string, part int, kind string, text string, confidence double")
+
+
+def chunks(spark: SparkSession, path: str, max_mb: int = 1024) -> DataFrame:
+    """``parsed_files`` of every file under the path that isn't larger than ``max_mb``."""
+    return parsed_files(parsers.files(spark, path, max_mb))

@@ -85,14 +85,20 @@ def sheet_parts(archive: zipfile.ZipFile) -> list[str]:
 _PARTS = {"docx": word_parts, "pptx": slide_parts, "xlsx": sheet_parts}
 
 
-def office_parts(kind: str | None, content: bytes | None) -> list[str]:
-    """The parts of one file; none for other kinds, nulls and what isn't a whole archive of its kind."""
-    if kind not in _PARTS or content is None:
-        return []
+def opened(kind: str, content: bytes) -> list[str]:
+    """The parts of one file; an error (ValueError) where it isn't a whole archive of its kind."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             return _PARTS[kind](archive)
-    except (zipfile.BadZipFile, KeyError, IndexError, ValueError, ElementTree.ParseError):
+    except (zipfile.BadZipFile, KeyError, IndexError, ElementTree.ParseError) as x:
+        raise ValueError(f"no {kind} file") from x
+
+
+def office_parts(kind: str | None, content: bytes | None) -> list[str]:
+    """The parts of one file; none for other kinds, nulls and what isn't a whole archive of its kind."""
+    try:
+        return opened(kind, content) if kind in _PARTS and content is not None else []
+    except ValueError:
         return []
 
 

@@ -132,7 +132,7 @@ def test_open_tags_end_with_what_holds_them():
 
 def test_code_that_does_not_parse(spark):
     assert code.python_edges("a.py", "def f(:") == [] and code.chunks("a.py", "def f(:") == [("code", "def f(:")]
-    assert ingest.parsed("x/a.docx", "word", b"no archive") == []
+    assert ingest.parsed("x/a.docx", "word", b"no archive") == [("other", "no archive", 0.3)]  # as any file that its parser can't read
     assert ingest.parsed("x/a.csv", "table", b"") == [("other", "", 0.3)]
 
 
