@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noema.functions import scores, text
-from noema.operators import categories, dedup, graph, listing, retrieval, segments
+from noema.operators import categories, dedup, graph, listing, memory, retrieval, segments
 from noema.operators.blocks import small
 from noema.plans.queries import _BM25, _COS, _query_vector, _r, _texts, _vectors, STOP, TERMS, query
 from noema.plans.views import EDGES, KP, OPS, TOKENS, VECTORS
 from noema.sources import store
 from noema.sources.tables import adjacency, edges, knowledge, memory_ops, read
+from noema.streaming import memory_state, registry
 
 # retrieval
 
@@ -435,3 +436,46 @@ def joi_aliases(s, d):
     a = read(s, d, "nation").select(F.col("n_name").alias("name"), F.explode(F.array(F.lower("n_name"), F.concat(F.lit("alias_"), "n_nationkey"))).alias("alias"))
     hits = a.join(F.broadcast(asked), F.col("alias").contains(F.col("q"))).select("q", "name").distinct()
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("name"))).where("r <= 20").select("q", "name")
+
+
+# streams with state
+
+_FADING = f"""{OPS}, o AS (SELECT user_id, memory_type, memory_key, value, ts, event_id, lag(ts) OVER (PARTITION BY user_id, memory_type, memory_key ORDER BY ts, event_id) AS before FROM ops),
+g AS (SELECT *, CAST(greatest(0, date_diff('day', CAST(before + INTERVAL 2 DAY AS DATE), CAST(ts AS DATE))) AS DOUBLE) AS nights FROM o)"""
+
+
+@query(f"""WITH {_FADING}, f AS (SELECT user_id, memory_type, memory_key, arg_max(value, (ts, event_id)) AS value, max(ts) AS last, list_prepend(1.0::DOUBLE, list(nights ORDER BY ts, event_id) FILTER (before IS NOT NULL)) AS n FROM g GROUP BY ALL)
+SELECT user_id, memory_type, memory_key, value, round(list_reduce(coalesce(n, [1.0::DOUBLE]), lambda w, x: least(2.0, w * pow(0.95, x) + 0.1)) * pow(0.95, greatest(0, date_diff('day', CAST(last + INTERVAL 2 DAY AS DATE), CAST((SELECT max(ts) FROM events) AS DATE)))), 6) AS weight FROM f""")
+def mem_fading_stream(s, d):
+    """Writes as a stream in four batches, by day; items fade after two days without one, each midnight that the watermark passes."""
+    root = f"{store.folder(s)}/noema-stream-{uuid.uuid4().hex}"
+    ops = memory_ops(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    cut = ops.select(F.unix_seconds("ts").alias("t")).agg(*[F.percentile_approx("t", q) for q in (0.25, 0.5, 0.75)]).first()
+    part = sum([(F.unix_seconds("ts") > c).cast("int") for c in cut], F.lit(0))
+    for k in range(4):
+        # one file after the other, as they would come
+        ops.where(part == k).coalesce(1).write.mode("append").parquet(f"{root}/ops")
+    given = s.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/ops")
+    table = store.Table(s, f"{root}/items", memory.KEY, memory_state.SCHEMA)
+    left = memory_state.run(s, given, table, f"{root}/checkpoint", 2)
+    return left.select(*memory.KEY, "value", _r("weight").alias("weight"))
+
+
+@query("WITH h AS (SELECT sha256(text) AS hash, count(*) AS version, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1), v AS (SELECT hash, list_transform(range(0, 32), lambda i: CAST(('0x' || hash[2 * i + 1:2 * i + 2]) AS INT) / 255.0) AS v FROM h) SELECT hash, version, first_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM h JOIN v USING (hash)")
+def dup_registry_stream(s, d):
+    """Documents arrive in three batches, one of which comes twice; versions count arrivals once, vectors are kept."""
+    root = f"{store.folder(s)}/noema-registry-{uuid.uuid4().hex}"
+    docs = _texts(s, d)
+    for k in range(3):
+        docs.where(F.pmod("id", F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{root}/docs")
+    held = registry.table(s, f"{root}/registry")
+    put = registry.sink(held)
+
+    def twice(batch, n):
+        put(batch, n)
+        if n == 1:  # as after a failure between the merge and the stream's commit
+            put(batch, n)
+
+    given = s.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/docs")
+    given.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(twice).trigger(availableNow=True).start().awaitTermination()
+    return held.load().select("hash", "version", "first_id", _r(F.col("vector")[0]).alias("first"))
