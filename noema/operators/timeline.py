@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noema.operators import scan
+
 
 def groups(rows: DataFrame, day: str, granularity: str) -> DataFrame:
     """key (year, month or day), count, mean confidence."""
@@ -38,22 +40,27 @@ def bursts(counts: DataFrame) -> DataFrame:
 
 
 def sessions(rows: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
-    """Sessions of a key whose rows are at most ``minutes`` apart: start, end, rows."""
-    w = Window.partitionBy(key).orderBy(ts)
-    new = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp")) > minutes * 60_000_000).cast("int")
-    numbered = rows.withColumn("_new", F.coalesce(new, F.lit(1))).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
+    """Sessions of a key whose rows are at most ``minutes`` apart: start, end, rows. A key's rows are scanned in pieces, not in one window."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    # rows of one time are one step of the sequence
+    steps = rows.groupBy(key, ts).agg(F.count("*").alias("_rows"))
+    spaced = scan.neighbours(steps, key, ts, ts, name="_before")
+    fresh = spaced.withColumn("_new", F.coalesce((micros(ts) - micros("_before") > minutes * 60_000_000).cast("long"), F.lit(1).cast("long")))
+    numbered = scan.running(fresh, key, "_new", ts, name="session")
+    return numbered.groupBy(key, "session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.sum("_rows").alias("n"))
 
 
 def capped_segments(rows: DataFrame, key: str, pause: float, cap: float) -> DataFrame:
     """Segments (key, start, stop, text) put together until a pause is longer or the length would pass the cap.
 
     The cap makes each step depend on the one before, but never across a pause:
-    a key is split at its pauses, and each run is folded in order, one row at a time.
+    a key is split at its pauses, which are found and numbered in pieces of the key,
+    and each run is folded in order, one row at a time.
     """
-    order = Window.partitionBy(key).orderBy("start", "stop", "text")
-    fresh = F.coalesce((F.col("start") - F.lag("stop").over(order) > pause).cast("int"), F.lit(1))
-    runs = rows.select(key, "start", "stop", "text").withColumn("run", fresh).withColumn("run", F.sum("run").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ("start", "stop", "text")
+    spaced = scan.neighbours(rows.select(key, *order), key, "stop", *order, name="_before")
+    fresh = F.coalesce((F.col("start") - F.col("_before") > pause).cast("long"), F.lit(1).cast("long"))
+    runs = scan.running(spaced.withColumn("_fresh", fresh).drop("_before"), key, "_fresh", *order, name="run")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, out = None, []
@@ -73,16 +80,14 @@ def capped_segments(rows: DataFrame, key: str, pause: float, cap: float) -> Data
 
     kind = T.StructType([rows.schema[key], *[T.StructField(c, T.StringType() if c == "text" else T.DoubleType()) for c in ("start", "stop", "text", "length")]])
     dealt = runs.select(key, "run", "start", "stop", "text").repartition(key, "run").sortWithinPartitions(key, "run", "start", "stop", "text")
-    number = F.row_number().over(Window.partitionBy(key).orderBy("start", "stop", "text")) - 1
-    return dealt.mapInPandas(fold, kind).select(key, number.alias("segment"), "start", "stop", "text", F.round("length", 6).alias("length"))
+    found = scan.running(dealt.mapInPandas(fold, kind).withColumn("_one", F.lit(1).cast("long")), key, "_one", *order, name="_n")
+    return found.select(key, (F.col("_n") - 1).cast("int").alias("segment"), *order, F.round("length", 6).alias("length"))
 
 
 def as_of(points: DataFrame, bounds: DataFrame, key: str) -> DataFrame:
-    """Each point (key, t) with the last boundary (key, at) no later than t, else the first; one sort by key and time, no range join."""
+    """Each point (key, t) with the last boundary (key, at) no later than t, else the first; one sort by key and time, no range join, and a key with most rows is many tasks."""
     both = points.select(key, "t", "point", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("at")).unionByName(bounds.select(key, F.col("at").alias("t"), F.lit(None).cast("long").alias("point"), F.lit(0).alias("kind"), "at"))
-    w = Window.partitionBy(key).orderBy("t", "kind")
-    first = F.min("at").over(Window.partitionBy(key))
-    found = both.withColumn("bound", F.coalesce(F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), first))
+    found = scan.last_known(both, key, "at", "t", "kind", name="bound").withColumn("bound", F.coalesce("bound", "least"))
     return found.where("kind = 1").select(key, "point", "t", "bound")
 
 

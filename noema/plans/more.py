@@ -235,7 +235,12 @@ def med_speech_report(s, d):
     return read(s, d, "events").select("user_id", v.alias("v")).groupBy("user_id").agg(F.count("*").alias("words"), F.round(F.avg("v"), 3).alias("mean"), low.alias("low"), F.round(low / F.count("*"), 3).alias("ratio"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, floor(epoch(ts)) / 3600 AS start, floor(epoch(ts)) / 3600 + 0.5 AS stop, event_type AS text FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start, stop, text) AS i FROM e),
+f AS (SELECT user_id, i, CAST(0 AS BIGINT) AS segment, start, stop, text, stop - start AS length FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, CASE WHEN joins THEN segment ELSE segment + 1 END, CASE WHEN joins THEN o.was ELSE o.start END, o.stop, CASE WHEN joins THEN concat(o.said, ' ', o.text) ELSE o.text END, CASE WHEN joins THEN o.length + o.stop - o.start ELSE o.stop - o.start END
+  FROM (SELECT o.*, f.segment, f.start AS was, f.text AS said, f.length, o.start - f.stop <= 2 AND f.length + (o.stop - o.start) <= 60 AS joins FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1) o)
+SELECT user_id, CAST(segment AS INT) AS segment, max(start) AS start, max(stop) AS stop, arg_max(text, i) AS text, round(arg_max(length, i), 6) AS length FROM f GROUP BY user_id, segment""")
 def med_capped_segments(s, d):
     e = read(s, d, "events").select("user_id", (F.unix_seconds(F.col("ts").cast("timestamp")).cast("double") / 3600).alias("start"), F.col("event_type").alias("text"))
     return timeline.capped_segments(e.withColumn("stop", F.col("start") + 0.5), "user_id", 2.0, 60.0)

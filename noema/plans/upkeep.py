@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noema.functions import scores
-from noema.operators import categories, memory, timeline
+from noema.operators import categories, memory, scan, timeline
 from noema.plans.queries import _r, _texts, _vectors, query
 from noema.plans.views import EDGES, KP, OPS, VECTORS
 from noema.sources.tables import edges, knowledge, memory_ops, read
@@ -108,9 +108,8 @@ def tim_relative_anchors(s, d):
 @query("""WITH x AS (SELECT user_id, lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS start, epoch(ts) AS stop FROM events)
 SELECT user_id, round(start, 3) AS start, round(stop, 3) AS stop FROM x WHERE stop - start > 3600""")
 def win_silences(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
-    x = read(s, d, "events").select("user_id", F.lag(t).over(w).alias("start"), t.alias("stop"))
+    x = scan.neighbours(read(s, d, "events").select("user_id", "ts", "event_id", t.alias("stop")), "user_id", "stop", "ts", "event_id", name="start")
     return x.where("stop - start > 3600").select("user_id", F.round("start", 3).alias("start"), F.round("stop", 3).alias("stop"))
 
 
