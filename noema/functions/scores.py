@@ -50,6 +50,11 @@ def combined(model: Column, source: Column, graph: Column, alpha: Column, beta:
     return clip(F.round(with_feedback * decay(days) + 1e-9, 4), 0.1, 1.0)
 
 
+def model_confidence(raw: Column, samples: Column, consistency: Column) -> Column:
+    """A model's raw score, with several samples 0.7 of it and 0.3 of how far they agree; 0.1 to 1."""
+    return clip(F.when(samples > 1, 0.7 * raw + 0.3 * consistency).otherwise(raw), 0.1, 1.0)
+
+
 def source_quality(source: Column, fact: Column, interactions: Column, base: dict[str, float], authority: list[str], subjective: list[str]) -> Column:
     from noema.functions.text import count_of
 

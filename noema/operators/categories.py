@@ -123,6 +123,21 @@ def merge_triggers(centroids: DataFrame, least: float, idle_days: int) -> DataFr
     return pairs.where((F.col("sim") >= least) & ((F.col("idle_days") >= idle_days) | (F.col("idle2") >= idle_days))).select(F.col("label").alias("a"), "b", "sim")
 
 
+def merge_checks(made: DataFrame, least: float, idle_days: int) -> DataFrame:
+    """Pairs a < b of categories (label, c, words, idle_days) at least that alike, one of which has been idle so long.
+
+    Two with vectors (c) are compared by cosine, others by the share of keywords
+    they have in common; without either they are unlike. For the keywords only
+    categories that share one meet.
+    """
+    a, b = (made.select(F.col("label").alias(n), F.col("c").alias(f"c_{n}"), F.array_distinct("words").alias(f"w_{n}"), F.col("idle_days").alias(f"i_{n}")) for n in "ab")
+    by_vector = a.where("c_a is not null").join(small(b.where("c_b is not null")), F.col("a") < F.col("b")).withColumn("sim", cosine(F.col("c_a"), F.col("c_b")))
+    shared = a.select("a", F.explode("w_a").alias("w")).join(b.select("b", F.explode("w_b").alias("w")), "w").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    by_words = shared.join(a, "a").join(b, "b").where("c_a is null or c_b is null").withColumn("sim", F.col("n") / (F.size("w_a") + F.size("w_b") - F.col("n"))).drop("n")
+    both = by_vector.unionByName(by_words.select(by_vector.columns))
+    return both.where((F.col("sim") >= least) & ((F.col("i_a") >= idle_days) | (F.col("i_b") >= idle_days))).select("a", "b", "sim")
+
+
 def split_triggers(points: DataFrame, group: str, cluster: str, members: int, size: int, diverse: float) -> DataFrame:
     """Groups of at least ``members`` points (v), that unlike, with two clusters of at least ``size``."""
     n = points.groupBy(group, cluster).agg(F.count("*").alias("k")).groupBy(group).agg(F.sum("k").alias("members"), F.count_if(F.col("k") >= size).alias("clusters"))

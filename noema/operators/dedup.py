@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noema.functions.scores import norm
-from noema.operators import blocks
+from noema.operators import blocks, cosine_join
 
 
 def exact(docs: DataFrame, text: str) -> DataFrame:
@@ -23,22 +20,8 @@ def first_by_prefix(docs: DataFrame, text: str, chars: int = 50) -> DataFrame:
 
 
 def similar_pairs(asked: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Each asked vector (id, v) with the other vectors whose cosine with it is at least the threshold, 4 places."""
-
-    def unit(m: pd.Series) -> np.ndarray:
-        x = np.stack(m.to_list())
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def near(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        i, j = np.empty(0, int), np.empty(0, int)
-        if len(q) and len(r):
-            sim = unit(q["v"]) @ unit(r["v"]).T
-            i, j = np.nonzero(sim >= threshold - 1e-4)
-        return pd.DataFrame({"a": q["id"].to_numpy()[i], "b": r["id"].to_numpy()[j], "sim": sim[i, j] if len(i) else np.empty(0)})
-
-    some = lambda df: df.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).where(norm(F.col("v")) > 0)
-    found = blocks.against(some(asked), some(vectors), near, "a long, b long, sim double")
-    return found.where("a <> b").select("a", "b", F.round("sim", 4).alias("sim")).where(F.col("sim") >= threshold)
+    """Each asked vector (id, v) with the other vectors whose cosine with it is at least the threshold, 4 places; see ``cosine_join``."""
+    return cosine_join.Plan(asked, vectors, threshold).pairs()
 
 
 def decide(hash_match: F.Column, sim: F.Column, mode: str, high: float = 0.95, warn: float = 0.85) -> F.Column:

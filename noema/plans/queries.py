@@ -310,10 +310,13 @@ def dup_prefix(s, d):
     return dedup.first_by_prefix(_texts(s, d), "text").select("id", F.substring("text", 1, 50).alias("prefix"))
 
 
-@query(f"WITH {VECTORS} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 4) AS sim FROM vec a JOIN vec b ON a.id % 20 = 0 AND a.id <> b.id WHERE round(list_cosine_similarity(a.v, b.v), 4) >= 0.85")
+@query(f"WITH {VECTORS}, c AS (SELECT id, v FROM vec UNION ALL SELECT id + 10000000, list_prepend(v[1] + 0.05, v[2:]) FROM vec WHERE id % 7 = 0) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 4) AS sim FROM c a JOIN c b ON a.id % 20 = 0 AND a.id <> b.id WHERE round(list_cosine_similarity(a.v, b.v), 4) >= 0.85")
 def dup_similar(s, d):
-    v = _vectors(s, d)
-    return dedup.similar_pairs(v.where("id % 20 = 0"), v, 0.85)
+    """The vectors beside near copies of a seventh of them."""
+    v = _vectors(s, d).select("id", "v")
+    changed = F.concat(F.array(F.col("v")[0] + 0.05), F.slice("v", F.lit(2), F.size("v") - 1))
+    both = v.unionByName(v.where("id % 7 = 0").select((F.col("id") + 10_000_000).alias("id"), changed.alias("v")))
+    return dedup.similar_pairs(both.where("id % 20 = 0"), both, 0.85)
 
 
 @query(f"WITH {KP} SELECT id, CASE WHEN id % 7 = 0 OR confidence >= 0.95 THEN 'skip' WHEN confidence >= 0.85 THEN 'warn' ELSE 'proceed' END AS strict, CASE WHEN id % 7 = 0 THEN 'skip' WHEN confidence >= 0.85 THEN 'warn' ELSE 'proceed' END AS loose, CASE WHEN id % 7 = 0 OR confidence >= 0.85 THEN 'warn' ELSE 'proceed' END AS manual FROM kp")

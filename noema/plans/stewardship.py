@@ -199,20 +199,33 @@ def ctg_merge_triggers(s, d):
     return categories.merge_triggers(c, 0.0, 10).select("a", "b", _r("sim").alias("sim"))
 
 
-@query(f"""WITH {VECTORS}, g AS (SELECT *, label % 3 AS grp FROM vec), p AS (SELECT a.grp, avg(list_cosine_similarity(a.v, b.v)) AS m FROM g a JOIN g b ON a.grp = b.grp AND a.id < b.id GROUP BY a.grp), k AS (SELECT grp, label, count(*) AS n FROM g GROUP BY ALL)
-SELECT grp, CAST(sum(n) AS BIGINT) AS members, count(*) FILTER (n >= 8) AS clusters, round(1 - any_value(m), 6) AS diversity FROM k JOIN p USING (grp) GROUP BY grp HAVING sum(n) >= 100 AND count(*) FILTER (n >= 8) >= 2 AND 1 - any_value(m) >= 0.35""")
+_GROUPED = "gv AS (SELECT doc_id AS id, doc_id // 5 % 4 AS grp, doc_id % 3 AS of, [(doc_id // 5 % 4 = 0)::DOUBLE, (doc_id // 5 % 4 = 1)::DOUBLE, (doc_id // 5 % 4 = 2)::DOUBLE, (doc_id // 5 % 4 = 3)::DOUBLE, doc_id % 11 * 0.001] AS v FROM documents)"
+
+
+def _clustered(s, d, which=None) -> DataFrame:
+    """id, v, cluster of the documents' vectors in groups, the clusters found by density among those asked for."""
+    from noema.operators import density
+    from noema.plans.deepened import near_group
+
+    points = near_group(s, d).select("id", "v")
+    points = points if which is None else points.where(which)
+    return points.join(density.clusters(points), "id")
+
+
+@query(f"""WITH {_GROUPED}, p AS (SELECT a.of, avg(list_cosine_similarity(a.v, b.v)) AS m FROM gv a JOIN gv b ON a.of = b.of AND a.id < b.id GROUP BY a.of), k AS (SELECT of, grp, count(*) AS n FROM gv GROUP BY ALL)
+SELECT of AS grp, CAST(sum(n) AS BIGINT) AS members, count(*) FILTER (n >= 8) AS clusters, round(1 - any_value(m), 6) AS diversity FROM k JOIN p USING (of) GROUP BY of HAVING sum(n) >= 60 AND count(*) FILTER (n >= 8) >= 2 AND 1 - any_value(m) >= 0.35""")
 def ctg_split_triggers(s, d):
-    v = _vectors(s, d).withColumn("grp", F.col("label") % 3)
-    return categories.split_triggers(v, "grp", "label", 100, 8, 0.35).select("grp", "members", "clusters", _r("diversity").alias("diversity"))
+    v = _clustered(s, d).withColumn("grp", F.col("id") % 3)
+    return categories.split_triggers(v, "grp", "cluster", 60, 8, 0.35).select("grp", "members", "clusters", _r("diversity").alias("diversity"))
 
 
-@query(f"""WITH {KP}, {TOKENS}, u AS (SELECT id, label FROM kp JOIN embeddings ON vec_id = id WHERE category = 'pending'), c AS (SELECT label, count(*) AS n FROM u GROUP BY 1 HAVING count(*) >= 3),
-w AS (SELECT label, word, count(*) AS k FROM (SELECT label, unnest(list_filter(t, lambda x: length(x) >= 2 AND x NOT IN ('the','and','of','to'))) AS word FROM u JOIN tok USING (id)) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k DESC, word) AS r FROM w)
+@query(f"""WITH {KP}, {TOKENS}, u AS (SELECT id, id // 5 % 4 AS g FROM kp WHERE category = 'pending'), z AS (SELECT g, CAST(row_number() OVER (ORDER BY min(id)) AS INT) - 1 AS label FROM u GROUP BY g), c AS (SELECT label, count(*) AS n FROM u JOIN z USING (g) GROUP BY 1 HAVING count(*) >= 3),
+w AS (SELECT label, word, count(*) AS k FROM (SELECT label, unnest(list_filter(t, lambda x: length(x) >= 2 AND x NOT IN ('the','and','of','to'))) AS word FROM u JOIN z USING (g) JOIN tok USING (id)) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k DESC, word) AS r FROM w)
 SELECT c.label, n, (SELECT string_agg(word, ' · ' ORDER BY r) FROM r WHERE r.label = c.label AND r <= 3) AS name FROM c WHERE (SELECT count(*) FROM u) >= 15""")
 def ctg_new_categories(s, d):
-    """Facts of no category yet, in the clusters of their vectors, named by their three commonest words."""
+    """Facts of no category yet, in the clusters that their vectors form, named by their three commonest words."""
     k = knowledge(s, d).where("category = 'pending'").select("id", "fact")
-    u = k.join(read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster")), "id")
+    u = k.join(_clustered(s, d, "id % 5 = 4").where("cluster >= 0").select("id", "cluster"), "id")
     return categories.new_categories(u.select("cluster", text.words(F.col("fact"), STOP).alias("words")), 15, 3).select(F.col("cluster").alias("label"), "n", "name")
 
 
@@ -231,12 +244,22 @@ def ctg_evolved(s, d):
     return made.join(n, "id", "left").select("id", "parent", "is_archived", F.coalesce("members", F.lit(0)).cast("long").alias("members"))
 
 
-@query(f"WITH {KP}, g AS (SELECT CASE WHEN category IN ('method', 'fact', 'concept') THEN category END AS grp, id FROM kp), k AS (SELECT grp, count(*) AS n FROM g WHERE grp IS NOT NULL GROUP BY 1 HAVING count(*) >= 3) SELECT 'structural' AS stage, grp AS name, n FROM k UNION ALL SELECT 'semantic', CAST(label AS VARCHAR), count(*) FROM g JOIN embeddings ON vec_id = id WHERE grp IS NULL OR grp NOT IN (SELECT grp FROM k) GROUP BY label HAVING count(*) >= 5")
+@query(f"""WITH {KP}, g AS (SELECT CASE WHEN category IN ('method', 'fact', 'concept') THEN category END AS grp, id FROM kp), k AS (SELECT grp, count(*) AS n FROM g WHERE grp IS NOT NULL GROUP BY 1 HAVING count(*) >= 3), u AS (SELECT id, id // 5 % 4 AS c FROM g WHERE grp IS NULL OR grp NOT IN (SELECT grp FROM k)), z AS (SELECT c, CAST(row_number() OVER (ORDER BY min(id)) AS INT) - 1 AS label FROM u GROUP BY c),
+{_GROUPED}, m AS (SELECT grp AS spot, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4]), avg(v[5])] AS m FROM gv WHERE of = 0 GROUP BY grp UNION ALL SELECT 9, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4]), avg(v[5])] FROM gv WHERE of = 0 AND grp = 0 AND id % 2 = 0),
+s AS (SELECT id, spot, list_cosine_similarity(v, m) AS sim FROM gv, m), x AS (SELECT *, max(sim) OVER (PARTITION BY id) AS best FROM s), y AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM x WHERE best - sim < 0.1)
+SELECT 'structural' AS stage, grp AS name, n FROM k UNION ALL SELECT 'semantic', CAST(label AS VARCHAR), count(*) FROM u JOIN z USING (c) GROUP BY label HAVING count(*) >= 5 UNION ALL SELECT 'boundary', CAST(spot AS VARCHAR), count(*) FROM y WHERE n > 1 GROUP BY spot""")
 def ctg_hybrid(s, d):
-    """Groups by category first; what is in none of them, by the clusters of its vectors."""
+    """Groups by category first; what is in none of them, by the clusters that its vectors form; last, the points between categories' centres, by category."""
+    from noema.plans.deepened import near_group
+
     kind = F.when(F.col("category").isin("method", "fact", "concept"), F.col("category"))
-    clusters = read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("cluster"))
-    return categories.hybrid(knowledge(s, d).select("id", kind.alias("grp")), clusters, 3, 5)
+    clusters = _clustered(s, d, "id % 5 > 2").where("cluster >= 0").select("id", F.col("cluster").cast("string").alias("cluster"))
+    found = categories.hybrid(knowledge(s, d).select("id", kind.alias("grp")), clusters, 3, 5)
+    points = near_group(s, d).withColumn("of", F.col("id") % 3)
+    # a category's centre is the mean of some of its members; number 9 has half of those of number 0
+    centres = points.where("of = 0").unionByName(points.where("of = 0 and grp = 0 and id % 2 = 0").withColumn("grp", F.lit(9).cast("long")))
+    between = categories.near_best(points.select("id", "v"), categories.centroids(centres, "grp").withColumnRenamed("grp", "label"), 0.1)
+    return found.unionByName(between.groupBy("label").agg(F.count("*").alias("n")).select(F.lit("boundary").alias("stage"), F.col("label").cast("string").alias("name"), "n"))
 
 
 @query("""WITH RECURSIVE c AS (SELECT concat('r', r_regionkey) AS id, CAST(NULL AS VARCHAR) AS parent, r_name AS name FROM region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM nation UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), s_name FROM supplier),

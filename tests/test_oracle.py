@@ -3,7 +3,7 @@
 import pytest
 
 import compare
-from noema.plans import entities, holdings, meaning, more, stewardship, upkeep  # noqa: F401
+from noema.plans import deepened, entities, holdings, meaning, more, stewardship, upkeep  # noqa: F401
 from noema.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
