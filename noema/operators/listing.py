@@ -53,14 +53,20 @@ def cursor(created: str, id_: int) -> str:
     return base64.b64encode(f"{created}|{id_}|0".encode()).decode()
 
 
-def _place(token: str) -> tuple[Column, int] | None:
+def opened(token: str) -> list | None:
+    """The key that a cursor holds: the day as text and the id; None for what is no cursor."""
     try:
         created, id_, _ = base64.b64decode(token).decode().split("|")
-        return F.lit(created).cast("date"), int(id_)
+        return [created, int(id_)]
     except ValueError:
         return None
 
 
+def _place(token: str) -> tuple[Column, int] | None:
+    at = opened(token)
+    return None if at is None else (F.lit(at[0]).cast("date"), at[1])
+
+
 def after(rows: DataFrame, token: str, size: int) -> DataFrame:
     """The rows next to the cursor, newest first: a filter that reaches the scan, not an offset. An unknown cursor has an empty page."""
     at = _place(token)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from noema.functions import scores, text
 from noema.operators import categories, dedup, graph, listing, memory, retrieval, timeline
 from noema.operators.blocks import small
+from noema.operators.rank_index import RankIndex
 from noema.plans.views import EDGES, KP, OPS, TOKENS, VECTORS
-from noema.sources import parsers
+from noema.sources import parsers, store
 from noema.sources.tables import adjacency, edges, knowledge, memory_ops, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +161,20 @@ def agg_keywords(s, d):
 
 # filters, lists, pages
 
+def _ranked(s, d, name: str, keys, schema: str, rows) -> RankIndex:
+    """A list that is kept for each state of its table."""
+    index = RankIndex(s, f"{store.folder(s)}/noema-list-{name}-{store.state(s, [f'{d}/documents.parquet'])}", keys, schema)
+    return index if index.exists() else index.build(rows())
+
+
+def by_confidence(s, d) -> RankIndex:
+    return _ranked(s, d, "confidence", [("at", True), ("id", False)], "at double, id long, confidence double", lambda: knowledge(s, d).select(listing.sort_key().alias("at"), "id", "confidence"))
+
+
+def by_day(s, d) -> RankIndex:
+    return _ranked(s, d, "day", [("created_on", True), ("id", True)], "created_on date, id long", lambda: knowledge(s, d).select("created_on", "id"))
+
+
 _SORT = "CASE WHEN confidence IS NULL OR confidence = 0 THEN 0.5 ELSE confidence END"
 
 
@@ -210,12 +225,12 @@ def flt_virtual_membership(s, d):
 
 @query(f"WITH {KP} SELECT id, confidence FROM kp ORDER BY {_SORT} DESC, id LIMIT 20 OFFSET 40")
 def top_page_offset(s, d):
-    return listing.page(knowledge(s, d).select("id", "confidence"), [listing.sort_key().desc(), F.col("id")], 3, 20)
+    return by_confidence(s, d).page(3, 20).select("id", "confidence")
 
 
 @query(f"WITH {KP} SELECT id, created_on FROM kp WHERE created_on < DATE '2024-06-01' OR (created_on = DATE '2024-06-01' AND id < 100) ORDER BY created_on DESC, id DESC LIMIT 20")
 def top_page_cursor(s, d):
-    return listing.after(knowledge(s, d).select("id", "created_on"), listing.cursor("2024-06-01", 100), 20)
+    return by_day(s, d).after(listing.opened(listing.cursor("2024-06-01", 100)), 20)
 
 
 @query(f"WITH {KP} SELECT CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS tier, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'good' WHEN confidence >= 0.4 THEN 'fair' ELSE 'critical' END AS shown, count(*) AS n FROM kp GROUP BY ALL")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from noema.functions import scores, text
 from noema.operators import categories, dedup, graph, listing, memory, retrieval, segments
 from noema.operators.blocks import small
-from noema.plans.queries import _BM25, _COS, _query_vector, _r, _texts, _vectors, STOP, TERMS, query
+from noema.plans.queries import by_confidence, by_day, _BM25, _COS, _query_vector, _r, _texts, _vectors, STOP, TERMS, query
 from noema.plans.views import EDGES, KP, OPS, TOKENS, VECTORS
 from noema.sources import store
 from noema.sources.tables import adjacency, edges, knowledge, memory_ops, read
@@ -412,10 +412,20 @@ def flt_meta_membership(s, d):
 
 @query(f"WITH {KP}, n AS (SELECT id, created_on FROM kp WHERE created_on < DATE '2024-06-01' OR (created_on = DATE '2024-06-01' AND id < 100) ORDER BY created_on DESC, id DESC LIMIT 5), p AS (SELECT id, created_on FROM kp WHERE created_on > DATE '2024-06-01' OR (created_on = DATE '2024-06-01' AND id > 100) ORDER BY created_on, id LIMIT 5) SELECT 'next' AS page, id FROM n UNION ALL SELECT 'prev', id FROM p")
 def top_pages_both_ways(s, d):
-    k, at = knowledge(s, d).select("id", "created_on"), listing.cursor("2024-06-01", 100)
+    kept, at = by_day(s, d), listing.opened(listing.cursor("2024-06-01", 100))
     of = lambda rows, page: rows.select(F.lit(page).alias("page"), "id")
-    unknown = listing.after(k, "no cursor", 5)  # an empty page
-    return of(listing.after(k, at, 5), "next").unionByName(of(listing.before(k, at, 5), "prev")).unionByName(of(unknown, "unknown"))
+    unknown = listing.after(knowledge(s, d).select("id", "created_on"), "no cursor", 5)  # an empty page
+    return of(kept.after(at, 5), "next").unionByName(of(kept.before(at, 5), "prev")).unionByName(of(unknown, "unknown"))
+
+
+@query(f"WITH {KP}, r AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN confidence IS NULL OR confidence = 0 THEN 0.5 ELSE confidence END DESC, id) AS r, count(*) OVER () AS n FROM kp) SELECT id, r FROM r WHERE r <= 20 OR (r - 1) // 20 = (n - 1) // 20")
+def top_first_and_last_page(s, d):
+    """The first and the last page of the kept list, each from the file that holds it."""
+    kept = by_confidence(s, d)
+    rows = sum(f["rows"] for f in kept.files())
+    last = -(-rows // 20)
+    numbered = lambda n: kept.page(n, 20).select("id", (F.row_number().over(Window.orderBy(F.desc("at"), "id")) + (n - 1) * 20).cast("long").alias("r"))
+    return numbered(1) if last <= 1 else numbered(1).unionByName(numbered(last))
 
 
 @query(f"WITH {KP} (SELECT 'confidence' AS by, id FROM kp ORDER BY confidence, id LIMIT 5 OFFSET 5) UNION ALL (SELECT 'created_on', id FROM kp ORDER BY created_on DESC, id LIMIT 5) UNION ALL (SELECT 'updated_on', id FROM kp ORDER BY created_on + CAST(id % 30 AS INT) DESC, id LIMIT 5)")
