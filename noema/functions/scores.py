@@ -22,13 +22,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hash_vector(text: Column, dims: int = 1024) -> Column:
     """A vector that only equal texts share: the 32 SHA-256 bytes over 255, zeros after them, of length 1."""
-    h = F.sha2(text, 256)
-    head = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
+    head = digest_vector(F.sha2(text, 256))
     n = F.aggregate(head, F.lit(0.0), lambda s, x: s + x * x)
     unit = F.transform(head, lambda x: F.when(n > 0, x / F.sqrt(n)).otherwise(x))
     return F.concat(unit, F.array_repeat(F.lit(0.0), max(0, dims - 32)))
 
 
+def digest_vector(digest: Column) -> Column:
+    """The 32 bytes of a SHA-256 in hex as numbers from 0 to 1."""
+    return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255)
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

@@ -101,3 +101,39 @@ def key_sentences(docs: DataFrame, words: list[str], most: int, longer_than: int
     hit = F.filter("x", lambda y: y["h"] < 0)
     best = F.slice(F.array_sort(F.when(F.size(hit) > 0, hit).otherwise(F.col("x"))), 1, most)
     return docs.select("id", long.alias("x")).select("id", F.explode(best).alias("y")).select("id", "y.p", "y.sentence")
+
+
+def chunked(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
+    """id, start (characters before it), chunk: overlapping pieces of each text (id, text); a text of up to ``size`` is one, an empty one none."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - overlap - 1, F.lit(0)), F.lit(size - overlap))
+    cut = docs.where("text <> ''").select("id", "text", F.explode(starts).alias("start"))
+    return cut.select("id", "start", F.substring("text", F.col("start") + 1, F.lit(size)).alias("chunk"))
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, start, digest of the chunks of the documents, kept; the digest is all that a chunk's vector is made of."""
+    from noema.sources.store import kept
+    from noema.sources.tables import read
+
+    docs = lambda: read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return kept(spark, "chunks-1", [f"{sf_dir}/documents.parquet"], lambda: chunked(docs()).select("id", "start", F.sha2("chunk", 256).alias("digest")))
+
+
+def nearest_chunks(chunks: DataFrame, question: str) -> DataFrame:
+    """chunks (id, start, digest) with their score, the cosine with the question's vector, 9 places."""
+    from noema.functions.scores import digest_vector
+
+    q = digest_vector(F.sha2(F.lit(question), 256))
+    return chunks.select("id", "start", F.round(cosine(digest_vector(F.col("digest")), q), 9).alias("score"))
+
+
+def with_chunks(fused: DataFrame, scored: DataFrame, most: int = 5) -> DataFrame:
+    """The fused list (id, score) with the place of each fact's best chunk, and beside it the ``most`` best chunks of all.
+
+    kind (fact or chunk), id, start, score. ``scored``: id, start, score of the
+    chunks. Equal chunks are told by the smaller id and place.
+    """
+    best = scored.join(F.broadcast(fused.select("id")), "id", "left_semi").groupBy("id").agg(F.max_by("start", F.struct("score", -F.col("start"))).alias("start"))
+    facts = fused.join(best, "id", "left").select(F.lit("fact").alias("kind"), "id", "start", "score")
+    top = scored.orderBy(F.desc("score"), "id", "start").limit(most)
+    return facts.unionByName(top.select(F.lit("chunk").alias("kind"), "id", "start", "score"))

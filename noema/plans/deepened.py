@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noema.functions import scores
-from noema.operators import categories, dedup, density, entity_classes, graph
+from noema.operators import categories, dedup, density, entity_classes, graph, substrings
 from noema.plans.holdings import _CODE, code_graph
 from noema.plans.queries import _DAYS, _QUALITY, _quality, _r, _vectors, query
 from noema.plans.views import EDGES, KP
+from noema.sources import store
 from noema.sources.tables import adjacency, knowledge, read
 
 # clusters by density
@@ -110,3 +111,20 @@ def agg_algorithms(s, d):
 def agg_modules(s, d):
     e = code_graph(s, d).where("kind = 'IMPORTS'")
     return _counted(e.select(F.col("dst").alias("module"), F.col("src").alias("file")), "module", "file", 5)
+
+
+# substrings
+
+_LOOKED_UP = "n AS (SELECT c_custkey AS id, concat(c_name, ' of ', n_name) AS text FROM customer JOIN nation ON c_nationkey = n_nationkey), a AS (SELECT id AS k, substring(text, CAST(id % 19 + 1 AS INT), CAST(id // 50 % 20 + 1 AS INT)) AS pattern FROM n WHERE id % 50 = 0 UNION ALL SELECT -1 - id, concat(substring(text, 1, 6), 'zz') FROM n WHERE id % 50 = 1)"
+
+
+@query(f"WITH {_LOOKED_UP} SELECT k, count(n.id) AS n, min(n.id) AS first_id FROM a LEFT JOIN n ON contains(lower(n.text), lower(a.pattern)) AND a.pattern <> '' GROUP BY k")
+def joi_substrings(s, d):
+    """Names of customers and nations looked up by pieces of 1 to 20 characters of some of them, and by pieces that none has."""
+    nation = read(s, d, "nation")
+    n = read(s, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(" of "), "n_name").alias("text"))
+    piece = F.substring("text", (F.col("id") % 19 + 1).cast("int"), (F.floor(F.col("id") / 50) % 20 + 1).cast("int"))
+    asked = n.where("id % 50 = 0").select(F.col("id").alias("k"), piece.alias("pattern")).unionByName(n.where("id % 50 = 1").select((-1 - F.col("id")).alias("k"), F.concat(F.substring("text", 1, 6), F.lit("zz")).alias("pattern")))
+    held = store.kept(s, "grams-1", [f"{d}/customer.parquet", f"{d}/nation.parquet"], lambda: substrings.index(n))
+    found = substrings.holding(held, n, asked).groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return asked.select("k").join(found, "k", "left").select("k", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "first_id")

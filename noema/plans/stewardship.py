@@ -62,6 +62,23 @@ def ret_rebuilt_index(s, d):
     return retrieval.index(s, d)[0].agg(F.countDistinct("id").alias("documents"), F.sum("tf").alias("tokens"))
 
 
+_CHUNKS = """cq AS (SELECT list_transform(range(0, 32), lambda i: CAST(('0x' || sha256('the of thing tion and')[2 * i + 1:2 * i + 2]) AS INT) / 255.0) AS u),
+ch AS (SELECT doc_id AS id, text, unnest(range(0, greatest(length(text) - 100, 1), 400)) AS start FROM documents WHERE text <> ''), cs AS (SELECT id, start, sha256(substring(text, CAST(start AS INT) + 1, 500)) AS h FROM ch),
+cv AS (SELECT id, start, round(list_cosine_similarity(list_transform(range(0, 32), lambda i: CAST(('0x' || h[2 * i + 1:2 * i + 2]) AS INT) / 255.0), u), 9) AS score FROM cs, cq)"""
+
+
+@query(f"""WITH {_BM25}, {_COS}, {_CHUNKS}, b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 20)),
+c AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT id, score FROM vs ORDER BY score DESC, id LIMIT 20)),
+fu AS (SELECT id, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY id ORDER BY score DESC, id LIMIT 10)
+SELECT 'fact' AS kind, fu.id, CAST(x.start AS INT) AS start, fu.score FROM fu LEFT JOIN (SELECT id, arg_max(start, (score, -start)) AS start FROM cv GROUP BY id) x USING (id)
+UNION ALL SELECT 'chunk', id, CAST(start AS INT), score FROM (SELECT * FROM cv ORDER BY score DESC, id, start LIMIT 5)""")
+def ret_hybrid_chunks(s, d):
+    """The fused list with the place of each fact's best chunk, and the five best chunks of all beside it."""
+    lanes = [retrieval.ranked(*retrieval.index(s, d), TERMS, 20), retrieval.vector_top(_vectors(s, d), _query_vector(s, d), 20)]
+    fused = retrieval.fuse(lanes, 10).select("id", F.round("rrf", 9).alias("score"))
+    return retrieval.with_chunks(fused, retrieval.nearest_chunks(retrieval.chunk_index(s, d), " ".join(TERMS)))
+
+
 _CHANGED = TOKENS.replace("tok AS", "tok_all AS").replace("SELECT doc_id AS id", "SELECT id").replace("FROM documents)", "FROM (SELECT doc_id AS id, text FROM documents WHERE doc_id % 10 <> 7 UNION ALL SELECT -1 - 1000 * conv_id - turn, text FROM conversations WHERE role = 'user'))") + ", tok AS (SELECT id, coalesce(t, []) AS t FROM tok_all)"
 
 

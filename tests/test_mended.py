@@ -63,3 +63,14 @@ def test_a_label_keeps_its_type_among_many_centroids(spark, monkeypatch):
 def test_a_broken_file_is_taken_as_text():
     for name, kind in (("a.docx", "word"), ("a.pptx", "ppt"), ("a.xlsx", "table"), ("a.ipynb", "notebook")):
         assert ingest.parsed(name, kind, b"no such file") == [("other", "no such file", 0.3)]
+
+
+def test_chunks_cover_each_text(spark):
+    texts = {1: "x" * 100, 2: "".join(chr(97 + k % 26) for k in range(1234)), 3: "", 4: None, 5: "é" * 500, 6: "y" * 501}
+    rows = retrieval.chunked(spark.createDataFrame(list(texts.items()), "id long, text string")).orderBy("id", "start").collect()
+    by = {}
+    for r in rows:
+        assert texts[r.id][r.start : r.start + 500] == r.chunk
+        by.setdefault(r.id, []).append((r.start, r.start + len(r.chunk)))
+    assert {k: v[-1][1] for k, v in by.items()} == {k: len(t) for k, t in texts.items() if t}
+    assert all(a[1] - b[0] == 100 for v in by.values() for a, b in zip(v, v[1:], strict=False)) and len(by[5]) == 1 and len(by[6]) == 2
