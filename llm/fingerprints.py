@@ -150,8 +150,12 @@ def sketches(texts: list[bytes], kept: int = KEPT) -> list[np.ndarray]:
     return out
 
 
-def written(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+def written(sketch: np.ndarray) -> bytes:
+    return sketch.astype(">u4").tobytes()
+
+
+def _in_hex(df: DataFrame) -> DataFrame:
+    return df.select(*[F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c) for c, t in df.dtypes])
 
 
 def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
@@ -171,12 +175,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [written(x) for x in sketches([(t or "").encode() for t in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fingerprint string")
+    return _in_hex(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fingerprint binary"))
 
 
-_DONE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: The result as it is written on the way, digests in bytes.
+_DONE = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _ENDS = "part int, head string, tail_id long, tail string"
 
 
@@ -195,8 +200,8 @@ def _compared(ids: list, texts: list[str], following: list[str]) -> list[pa.Arra
     own, after = [plain[place[x]] for x in texts], [plain[place[x]] for x in following]
     near = lambda pairs: pa.array([round(likeness(a, b), 6) for a, b in pairs], pa.float64())
     return [
-        pa.array(ids, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in changed], pa.string()),
-        pa.array([written(x) for x in own], pa.string()), pa.array([written(x) for x in edited], pa.string()), near(zip(own, edited, strict=True)), near(zip(own, after, strict=True)),
+        pa.array(ids, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in changed], pa.binary()),
+        pa.array([written(x) for x in own], pa.binary()), pa.array([written(x) for x in edited], pa.binary()), near(zip(own, edited, strict=True)), near(zip(own, after, strict=True)),
     ]
 
 
@@ -227,7 +232,7 @@ def edited(docs: DataFrame) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Compares each row with the one after it; leaves the partition's first text and its last row for ``ends``."""
         head = held = part = None
-        none = lambda n: [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+        none = lambda n: [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
         columns = ["ends", *[c.split()[0] for c in _DONE.split(", ")], *[c.split()[0] for c in _ENDS.split(", ")]]
         for batch in batches:
             ids, texts, part = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)[0].as_py()
@@ -256,4 +261,4 @@ def edited(docs: DataFrame) -> DataFrame:
     whole = Window.orderBy("part")
     after = ends.select("part").withColumn("next", F.coalesce(F.lead("part").over(whole), F.min("part").over(whole)))
     pairs = ends.select("part", "tail_id", "tail").join(after, "part").join(ends.select(F.col("part").alias("next"), "head"), "next")
-    return walked.where("not ends").drop("ends", *[c.split()[0] for c in _ENDS.split(", ")]).unionByName(pairs.select("tail_id", "tail", "head").mapInArrow(close, _DONE))
+    return _in_hex(walked.where("not ends").drop("ends", *[c.split()[0] for c in _ENDS.split(", ")]).unionByName(pairs.select("tail_id", "tail", "head").mapInArrow(close, _DONE)))

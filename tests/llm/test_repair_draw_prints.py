@@ -275,7 +275,7 @@ def test_names_are_the_plain_ones():
     name, text = fingerprints.names(texts)
     for k, x in enumerate(texts):
         assert set(name[text == k].tolist()) == plain_names(x), x
-    assert [fingerprints.written(s) for s in fingerprints.sketches(texts)] == ["".join(f"{v:08x}" for v in sorted({n >> 32 for n in plain_names(x)})[: fingerprints.KEPT]) for x in texts]
+    assert [fingerprints.written(s).hex() for s in fingerprints.sketches(texts)] == ["".join(f"{v:08x}" for v in sorted({n >> 32 for n in plain_names(x)})[: fingerprints.KEPT]) for x in texts]
 
 
 def test_equal_substrings_share_names_wherever_they_stand():
