@@ -1,20 +1,24 @@
 """Operator 9: exact top-k search by MaxScore.
 
-The vectors are dealt by hash into shards. Once for each shard, postings are
-written: a dimension makes two terms, one posting its positive and one its
-negative components, each with its highest posting. A query's terms are those
-whose sign agrees with it; they alone can raise a score, so query weight times
+The vectors are dealt by hash into shards, and in a shard ordered by halving
+them along the dimension that spreads most, so that neighbours are alike. Once
+for each shard, postings are written: a dimension makes two terms, one posting
+its positive and one its negative components. A query's terms are those whose
+sign agrees with it; they alone can raise a score, so query weight times
 highest posting bounds what a term can add.
 
-Every query first searches one shard; the k-th score found there is where the
-threshold starts in all others. In a shard, the terms are split by their
-bounds: the essential ones are those without which the other bounds sum to less
-than the threshold. Their posting lists are walked, range after range of the
-shard. A vector met there is probed in the other terms, by falling bound, while
-its score so far and what is left can reach the threshold; what is left is
-bounded by the terms' bounds and by the norms of the components not yet seen.
-Each range raises the threshold, and with it the split. The shards' answers are
-merged by a window over each query's few rows.
+A shard's positions are cut into ranges, each with its own highest and lowest
+component of every dimension. A query takes the ranges by falling bound of what their best vector
+could score, and none once that is below its threshold, the k-th score so far;
+the threshold starts at what a first shard gave and rises with each range. In a
+range, the terms are split by their bounds: the essential ones are those
+without which the other bounds sum to less than the threshold. Their lists are
+walked by falling bound and add up the scores (of an essential dimension also
+the list that disagrees, which lowers them). Once few vectors can still reach
+the threshold they are probed instead, and so they are in the other terms,
+while score so far and what is left can reach it; what is left is bounded by
+the terms' bounds and by the norms of the components not yet seen. The shards'
+answers are merged by a window over each query's few rows.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ from pyspark.sql import functions as F
 from llm import vectors as V
 from llm.common import settle, unsettle
 
-#: Positions of the first range, after which the threshold is raised; each is twice the one before. Terms between two looks at the threshold.
-RANGE = 256
+#: Positions of a range, and terms between two looks at the threshold.
+RANGE = 128
 LOOK = 16
-_POSTED = "width int, shard int, term int, high double, position binary, value binary"
-_FOUND = "query_id long, vec_id long, score double, exact string, met long, probed long"
+#: Vectors of a range are probed rather than met by lists once fewer than this share can reach the threshold.
+FEW = 0.5
+_POSTED = "width int, shard int, term int, position binary, value binary"
+_FOUND = "query_id long, vec_id long, score double, exact string, met long, looked long, ranges long, skipped long"
 _FLOAT = 1 << 53
 _MOST = 10**38 - 1
 
@@ -41,94 +47,129 @@ def scaled(v: np.ndarray, scale: int) -> np.ndarray:
     return np.floor(v * scale)
 
 
+def neighbours(d: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """``order``, rearranged so that each range holds vectors that are near each other: halved along the widest dimension until a range is left."""
+    done, open_ = [], [order]
+    while open_:
+        part = open_.pop()
+        if len(part) <= RANGE:
+            done.append(part)
+            continue
+        half = RANGE * -(-len(part) // (2 * RANGE))
+        wide = d[part].var(axis=0).argmax()
+        part = part[np.argsort(d[part, wide], kind="stable")]
+        open_ += [part[half:], part[:half]]
+    return np.concatenate(done)
+
+
 def postings(ids: np.ndarray, d: np.ndarray) -> list[tuple]:
-    """(term, highest, positions, values) of a shard; term 0 has the ids, term 2t + 1 the positive and 2t + 2 the negative components of dimension t."""
-    out = [(0, 0.0, ids.astype(np.int64).tobytes(), b"")]
+    """(term, positions, values) of a shard; term 0 has the ids, term 2t + 1 the positive and 2t + 2 the negative components of dimension t."""
+    order = neighbours(d, np.argsort(ids, kind="stable"))
+    ids, d = ids[order], d[order]
+    out = [(0, ids.astype(np.int64).tobytes(), b"")]
     for t in range(d.shape[1]):
         for sign in (1, -1):
             at = np.flatnonzero(d[:, t] * sign > 0)
             if len(at):
-                out.append((2 * t + 1 + (sign < 0), float(np.abs(d[at, t]).max()), at.astype(np.int32).tobytes(), d[at, t].tobytes()))
+                out.append((2 * t + 1 + (sign < 0), at.astype(np.int32).tobytes(), d[at, t].tobytes()))
     return out
 
 
 class Shard:
-    """A shard's posting lists, and the columns that they fill for probing."""
+    """A shard's posting lists by range, each range's highest and lowest components, and the columns that are probed."""
 
     def __init__(self, rows: pd.DataFrame, dims: int):
-        self.high = np.zeros(2 * dims)
-        self.lists: list = [None] * (2 * dims)
-        for term, high, position, value in zip(rows["term"], rows["high"], rows["position"], rows["value"], strict=True):
-            if term == 0:
-                self.ids = np.frombuffer(position, np.int64)
+        lists = {term: (np.frombuffer(position, np.int32), np.frombuffer(value, np.float64)) for term, position, value in zip(rows["term"], rows["position"], rows["value"], strict=True) if term}
+        self.ids = np.frombuffer(rows["position"][rows["term"] == 0].iloc[0], np.int64)
         self.n = len(self.ids)
+        self.starts = np.append(np.arange(0, self.n, RANGE), self.n)
         self.columns = np.zeros((dims, self.n))
-        starts = [0]
-        while starts[-1] < self.n:
-            starts.append(min(self.n, starts[-1] + (RANGE << (len(starts) - 1))))
-        self.starts = np.array(starts)
-        for term, high, position, value in zip(rows["term"], rows["high"], rows["position"], rows["value"], strict=True):
-            if term:
-                at = np.frombuffer(position, np.int32)
-                self.columns[(term - 1) // 2, at] = np.frombuffer(value, np.float64)
-                self.high[term - 1] = high
-                self.lists[term - 1] = (at, np.searchsorted(at, self.starts))
+        self.cut = np.zeros((2 * dims, len(self.starts)), np.int64)
+        at, value, before = [np.zeros(0, np.int32)], [np.zeros(0)], 0
+        for term, (p, v) in sorted(lists.items()):
+            self.columns[(term - 1) // 2, p] = v
+            self.cut[term - 1] = before + np.searchsorted(p, self.starts)
+            before += len(p)
+            at.append(p)
+            value.append(v)
+        self.at, self.value = np.concatenate(at), np.concatenate(value)
+        self.high = np.maximum.reduceat(self.columns, self.starts[:-1], axis=1).T
+        self.low = np.minimum.reduceat(self.columns, self.starts[:-1], axis=1).T
         self.square = (self.columns**2).sum(axis=0)
+        self.longest = np.sqrt(np.maximum.reduceat(self.square, self.starts[:-1]))
+
+    def walk(self, terms: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in range r and values that the terms post, term after term, and how many each posts."""
+        a, b = self.cut[terms, r], self.cut[terms, r + 1]
+        spans = [slice(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        return np.concatenate([self.at[x] for x in spans]) - self.starts[r], np.concatenate([self.value[x] for x in spans]), b - a
 
 
-def search(s: Shard, x: np.ndarray, own: int, k: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """ids and scores of the shard's vectors that are among the k best of these and ``held`` (scores found elsewhere), how many were met, and components looked at."""
-    terms = 2 * np.arange(len(x)) + (x < 0)
-    bound = np.abs(x) * s.high[terms]
-    order = np.argsort(-bound, kind="stable")
-    left = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # of the terms from j on
-    norm = np.sqrt(np.append(np.cumsum(x[order][::-1] ** 2)[::-1], 0)) * (1 + 1e-9)
+def search(s: Shard, x: np.ndarray, own: int, k: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int, int]]:
+    """ids and scores of the shard's vectors that are among the k best of these and ``held`` (scores found elsewhere).
+
+    Besides: vectors that essential postings met, postings walked and components probed, ranges, ranges skipped.
+    """
+    agree = 2 * np.arange(len(x)) + (x < 0)
+    bounds = np.where(x > 0, x * s.high, x * s.low)  # below 0 where all vectors of a range disagree
+    most = np.minimum(bounds.sum(axis=1), np.sqrt(x @ x) * s.longest * (1 + 1e-9) + 1e-6)
     best = np.sort(held)[::-1][:k]
-    ids, score, met, probed = np.zeros(0, np.int64), np.zeros(0), 0, 0
-    for r, (a, b) in enumerate(zip(s.starts[:-1].tolist(), s.starts[1:].tolist(), strict=True)):
+    ids, score, met, looked, skipped = np.zeros(0, np.int64), np.zeros(0), 0, 0, 0
+    ranges = np.argsort(-most, kind="stable").tolist()
+    for nth, r in enumerate(ranges):
         least = best[k - 1] if len(best) >= k else -np.inf
-        if least > 0:
-            if left[0] < least:
-                break  # no vector of the shard comes near
-            seen, missing = np.zeros(b - a, bool), b - a
-            for t in order[: int(np.searchsorted(-left, -least, side="right"))]:
-                if s.lists[terms[t]] is not None:
-                    at, start = s.lists[terms[t]]
-                    seen[at[start[r] : start[r + 1]] - a] = True
-                    if missing - (start[r + 1] - start[r]) <= 0 and seen.all():
-                        break
-            hit = a + np.flatnonzero(seen)
-        else:
-            hit = np.arange(a, b)  # a vector that no term posts can still be among the best
-        hit = hit[s.ids[hit] != own]
-        met += len(hit)
-        so_far, rest = np.zeros(len(hit)), s.square[hit]
-        for j in range(0, len(order), LOOK):
-            if not len(hit):
-                break
-            some = order[j : j + LOOK]
-            part = s.columns[some[:, None], hit]
-            probed += part.size
-            so_far = so_far + x[some] @ part
-            if least > -np.inf and j + LOOK < len(order):
+        if most[r] < least:
+            skipped = len(ranges) - nth
+            break
+        a, b = s.starts[r], s.starts[r + 1]
+        order = np.argsort(-bounds[r], kind="stable")
+        left = np.append(np.cumsum(bounds[r][order][::-1])[::-1], 0)  # of the dimensions from j on
+        raised = np.append(np.cumsum(np.maximum(bounds[r][order], 0)[::-1])[::-1], 0)  # by postings alone
+        norm = np.sqrt(np.append(np.cumsum(x[order][::-1] ** 2)[::-1], 0)) * (1 + 1e-9)
+        # without a threshold above 0 every term is essential: a vector that none posts can be among the best
+        essential = int(np.searchsorted(-raised, -least, side="right")) if least > 0 else len(order)
+        hit, seen = np.flatnonzero(s.ids[a:b] != own), np.zeros(b - a, bool)
+        so_far, rest, j = np.zeros(len(hit)), s.square[a + hit], 0
+        while len(hit) and j < len(order):
+            step = order[j : j + LOOK]
+            if j < essential and len(hit) > FEW * (b - a):
+                step = order[j : min(j + LOOK, essential)]
+                at, value, n = s.walk(np.concatenate([agree[step], agree[step] ^ 1]), r)
+                seen[at[: n[: len(step)].sum()]] = True
+                so_far = so_far + np.bincount(at, value * np.repeat(np.tile(x[step], 2), n), b - a)[hit]
+                rest = rest - np.bincount(at, value * value, b - a)[hit]
+                looked += len(at)
+            else:
+                part = s.columns[step[:, None], a + hit]
+                so_far = so_far + x[step] @ part
                 rest = rest - (part * part).sum(axis=0)
-                ok = so_far + np.minimum(left[j + LOOK], norm[j + LOOK] * np.sqrt(np.maximum(rest, 0)) * (1 + 1e-9) + 1e-6) >= least
+                looked += part.size
+            j += len(step)
+            if least > -np.inf:
+                ok = so_far + np.minimum(left[j], norm[j] * np.sqrt(np.maximum(rest, 0)) * (1 + 1e-9) + 1e-6) >= least
                 hit, so_far, rest = hit[ok], so_far[ok], rest[ok]
+        met += int(seen.sum())
         if len(hit):
-            ids, score = V.top(np.concatenate([ids, s.ids[hit]]), np.concatenate([score, so_far]), k)
+            ids, score = V.top(np.concatenate([ids, s.ids[a + hit]]), np.concatenate([score, so_far]), k)
             best = np.sort(np.concatenate([held, score]))[::-1][:k]
     if len(best) >= k:
         keep = score >= best[k - 1]
         ids, score = ids[keep], score[keep]
-    return ids, score, met, probed
+    return ids, score, (met, looked, len(ranges), skipped)
 
 
 def exact_search(s: Shard, x: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int]]:
-    """As ``search``, in Python's whole numbers, for components whose products double precision can't hold: everything is scored."""
-    q = [int(c) for c in x]
+    """As ``search``, where double precision can't hold the products: doubles and a bound of their error choose, Python's whole numbers score what is chosen."""
     at = np.flatnonzero(s.ids != own)
-    rows = [[int(c) for c in s.columns[:, i]] for i in at]
-    found = sorted(zip([-sum(a * b for a, b in zip(q, r, strict=True)) for r in rows], s.ids[at].tolist(), strict=True))[:k]
+    c = s.columns[:, at]
+    with np.errstate(over="ignore", invalid="ignore"):
+        near, off = x @ c, (len(x) + 2) * np.finfo(float).eps * (np.abs(x) @ np.abs(c))
+        sure = np.nan_to_num(near - off, nan=-np.inf)
+        least = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) > k else -np.inf
+        chosen = np.flatnonzero(~(near + off < least))
+    q = [int(v) for v in x]
+    rows = [[int(v) for v in c[:, i]] for i in chosen]
+    found = sorted(zip([-sum(a * b for a, b in zip(q, r, strict=True)) for r in rows], s.ids[at[chosen]].tolist(), strict=True))[:k]
     return np.array([i for _, i in found], np.int64), [max(-_MOST, min(_MOST, -p)) for p, _ in found]
 
 
@@ -137,47 +178,47 @@ def _found(vectors: DataFrame, every: int, k: int, scale: int, shard: int) -> Da
     candidates = settle(V.of_equal_ones(rows, k))
     n, asked = candidates.count(), rows.where(F.col("vec_id") % every == 0).count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // V.QUERIES))
+    alone = max(1, -(-asked // (shards * V.QUERIES)))  # blocks of the queries that begin in one shard
 
     def post(d: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(d["vec_id"].to_numpy(), kind="stable")
-        found = postings(d["vec_id"].to_numpy()[order], scaled(V.matrix(d["v"].iloc[order]), scale))
-        out = pd.DataFrame(found, columns=["term", "high", "position", "value"])
-        return out.assign(width=np.int32(d["width"].iloc[0]), shard=np.int32(d["shard"].iloc[0]))[["width", "shard", "term", "high", "position", "value"]]
+        out = pd.DataFrame(postings(d["vec_id"].to_numpy(), scaled(V.matrix(d["v"]), scale)), columns=["term", "position", "value"])
+        return out.assign(width=np.int32(d["width"].iloc[0]), shard=np.int32(d["shard"].iloc[0]))[["width", "shard", "term", "position", "value"]]
 
     home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     posted = settle(candidates.withColumn("shard", home).groupBy("width", "shard").applyInPandas(post, _POSTED))
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "width", V.block_of("vec_id", blocks).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(shards)).cast("int").alias("first"))
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "width", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(shards)).cast("int").alias("first"))
 
     def task(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(q) and len(d):
             s = Shard(d, int(d["width"].iloc[0]))
             u = scaled(V.matrix(q["v"]), scale)
-            exact = np.abs(u).max(initial=0) * np.abs(s.columns).max(initial=0) * u.shape[1] < _FLOAT and np.square(np.abs(s.columns).max(initial=0)) * u.shape[1] < _FLOAT
+            high = np.abs(s.columns).max(initial=0)
             for x, own, held in zip(u, q["query_id"], q["held"], strict=True):
-                if exact:
-                    ids, score, met, probed = search(s, x, own, k, np.asarray(held, float))
-                    out += [(own, i, float(v), None, 0, 0) for i, v in zip(ids.tolist(), score.tolist(), strict=True)]
+                if max(high, np.abs(x).max(initial=0)) ** 2 * len(x) < _FLOAT:
+                    ids, score, did = search(s, x, own, k, np.asarray(held, float))
+                    out += [(own, i, float(v), None, 0, 0, 0, 0) for i, v in zip(ids.tolist(), score.tolist(), strict=True)]
                 else:
                     ids, whole = exact_search(s, x, own, k)
-                    met, probed = s.n, s.columns.size
-                    out += [(own, i, float(v), str(v), 0, 0) for i, v in zip(ids.tolist(), whole, strict=True)]
-                out.append((own, None, None, None, met, probed))
-        got = pd.DataFrame(out, columns=["query_id", "vec_id", "score", "exact", "met", "probed"], dtype=object)
-        return got.astype({"query_id": "int64", "vec_id": "Int64", "score": "float64", "met": "int64", "probed": "int64"})
-
-    def round_(asked: DataFrame) -> DataFrame:
-        """asked: query_id, v, width, block, shard, held."""
+                    did = (s.n, s.columns.size, len(s.starts) - 1, 0)
+                    out += [(own, i, float(v), str(v), 0, 0, 0, 0) for i, v in zip(ids.tolist(), whole, strict=True)]
+                out.append((own, None, None, None, *did))
+        got = pd.DataFrame(out, columns=["query_id", "vec_id", "score", "exact", "met", "looked", "ranges", "skipped"], dtype=object)
+        return got.astype({"query_id": "int64", "vec_id": "Int64", "score": "float64", "met": "int64", "looked": "int64", "ranges": "int64", "skipped": "int64"})
+
+    def round_(asked: DataFrame, blocks: int) -> DataFrame:
+        """asked: query_id, v, width, shard, held."""
+        asked = asked.withColumn("block", V.block_of("query_id", blocks))
         data = posted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         return settle(asked.groupBy("width", "shard", "block").cogroup(data.groupBy("width", "shard", "block")).applyInPandas(task, _FOUND))
 
     seen = [rows, candidates, posted]
-    first = round_(queries.select("query_id", "v", "width", "block", F.col("first").alias("shard"), F.array().cast("array<double>").alias("held")))
+    first = round_(queries.select("query_id", "v", "width", F.col("first").alias("shard"), F.array().cast("array<double>").alias("held")), alone)
     if shards == 1:
         return _done(first, seen)
     held = V.threshold_of(V.best_of(first.where("vec_id is not null and exact is null"), k), k)
     others = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> first").drop("first")
-    rest = round_(others.join(held, "query_id", "left").select("query_id", "v", "width", "block", "shard", F.coalesce("held", F.array().cast("array<double>")).alias("held")))
+    rest = round_(others.join(held, "query_id", "left").select("query_id", "v", "width", "shard", F.coalesce("held", F.array().cast("array<double>")).alias("held")), blocks)
     return _done(first.unionByName(rest), seen)
 
 
@@ -206,9 +247,9 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 25
 
 
 def work(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, shard: int = V.SHARD) -> dict[str, float]:
-    """Of all pairs of a query and a candidate: the share that essential postings met, and the share of components looked at."""
+    """Of all pairs of a query and a candidate: the share that essential postings met, and the share of components looked at; of all pairs of a query and a range, the share skipped."""
     rows = V.usable(vectors, zero=True)
     n, asked, width = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.avg(F.size("v"))).first()
-    met, probed = _found(vectors, every, k, scale, shard).agg(F.sum("met"), F.sum("probed")).first()
+    met, looked, ranges, skipped = _found(vectors, every, k, scale, shard).agg(F.sum("met"), F.sum("looked"), F.sum("ranges"), F.sum("skipped")).first()
     pairs = max(1, n * asked)
-    return {"met": (met or 0) / pairs, "probed": (probed or 0) / pairs / (width or 1)}
+    return {"met": (met or 0) / pairs, "looked": (looked or 0) / pairs / (width or 1), "skipped": (skipped or 0) / (ranges or 1)}
