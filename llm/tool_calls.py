@@ -8,7 +8,9 @@ in topological order of what they come ``after``, arguments are validated
 against the tools' schemas, and each item is serialised as canonical JSON.
 
 There is one row for each item, never one for a whole conversation, so a
-conversation of any length stays spread over many tasks; sorting by
+conversation of any length stays spread over many tasks. Only identifiers and
+links of a conversation come together to be ordered, as long as they are at
+most ``FOLD``; those of longer ones are placed in rounds of joins. Sorting by
 ``conv_id, order_turn, level, turn, item`` is the order to write it in.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +28,10 @@ from pyspark.sql import functions as F
 
 from llm.common import settle, unsettle
 
-_MARK = re.compile(r"<tool_(call|result)>(.*?)</tool_\1>", re.DOTALL)
+_MARK = re.compile(r"<tool_(call|result)>")
+_SPACE = re.compile(r"\s*")
+#: Calls and links of a conversation that one fold places, at most.
+FOLD = 50_000
 
 #: The tools that the query knows.
 SCHEMAS = {
@@ -34,6 +40,8 @@ SCHEMAS = {
     "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}}, "required": ["query"]},
 }
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+_KEYWORDS = {"type", "enum", "minimum", "maximum", "minLength", "maxLength", "required", "properties", "additionalProperties", "items"}
+_NOTES = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
 
 
 #: Whole numbers from here on are written with an exponent where that is exact.
@@ -65,15 +73,33 @@ def canonical(value) -> str:
     return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def _strict(text: str):
-    def refuse(x):
-        raise ValueError(x)
+def _refuse(x):
+    raise ValueError(x)
 
-    return json.loads(text, parse_constant=refuse)
+
+_JSON = json.JSONDecoder(parse_constant=_refuse)
+
+
+def check_schema(schema, at: str = "$") -> None:
+    """A ValueError for a schema that ``validate`` can't hold arguments against in full: another keyword or type, or one of the wrong form."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema is an object")
+    if unknown := sorted(set(schema) - _KEYWORDS - _NOTES):
+        raise ValueError(f"{at}: unknown keyword {unknown[0]}")
+    kinds = schema.get("type", [])
+    for kind in [kinds] if isinstance(kinds, str) else kinds:
+        if kind not in _TYPES and kind not in ("number", "integer"):
+            raise ValueError(f"{at}: unknown type {kind}")
+    for k, x in schema.get("properties", {}).items():
+        check_schema(x, f"{at}.{k}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        check_schema(schema["additionalProperties"], f"{at}.*")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
 
 
 def validate(value, schema: dict, at: str = "$") -> str | None:
-    """The first thing wrong with ``value``, or None. Knows type, enum, minimum, maximum, required, properties, additionalProperties and items."""
+    """The first thing wrong with ``value``, or None, by a schema that ``check_schema`` lets pass."""
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
 
@@ -84,10 +110,12 @@ def validate(value, schema: dict, at: str = "$") -> str | None:
 
     if kinds and not any(map(is_a, kinds)):
         return f"{at}: not {' or '.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         return f"{at}: not in enum"
     if isinstance(value, int | float) and not isinstance(value, bool) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
         return f"{at}: out of range"
+    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+        return f"{at}: length out of range"
     if isinstance(value, dict):
         known = schema.get("properties", {})
         for k in schema.get("required", []):
@@ -129,19 +157,53 @@ def parse(role: str | None, turn, text: str | None, schemas: dict) -> list[tuple
     def plain(part: str) -> None:
         out.append(("text", None, "ok", None, canonical({"content": part, "role": role, "turn": turn})))
 
-    for m in _MARK.finditer(text):
-        if text[at : m.start()].strip():
-            plain(text[at : m.start()])
-        at = m.end()
+    look, unclosed = 0, set()
+    while len(unclosed) < 2 and (m := _MARK.search(text, look)):
+        kind, close, look = m[1], f"</tool_{m[1]}>", m.end()
+        end = -1 if kind in unclosed else text.find(close, look)
+        if end < 0:  # no mark without its end
+            unclosed.add(kind)
+            continue
         try:
-            out.append(_item(m[1], _strict(m[2]), role, turn, schemas))
+            # what stands in a string of the JSON is no end
+            body, stop = _JSON.raw_decode(text, _SPACE.match(text, look).end())
+            stop = _SPACE.match(text, stop).end()
+            if not text.startswith(close, stop):
+                raise ValueError("more than JSON")
+            end = stop
+            item = _item(kind, body, role, turn, schemas)
         except (ValueError, RecursionError, OverflowError):  # not JSON, or such that no canonical text exists
-            out.append((m[1], None, "broken", None, canonical({"content": m[2], "role": role, "turn": turn})))
+            item = (kind, None, "broken", None, canonical({"content": text[look:end], "role": role, "turn": turn}))
+        if text[at : m.start()].strip():
+            plain(text[at : m.start()])
+        out.append(item)
+        look = at = end + len(close)
     if text[at:].strip() or not out:
         plain(text[at:])
     return out
 
 
+def place(calls: list[tuple[str, int, list[str]]]) -> list[tuple[str, int, int]]:
+    """call_id, order_turn and level of a conversation's calls (call_id, turn, after), each after what it comes after; those on or behind a cycle are left out."""
+    turn = {i: t for i, t, _ in calls}
+    waits, follow, level = {}, {}, {}
+    for i, _, after in calls:
+        deps = [x for x in after if x in turn]
+        waits[i] = len(deps)
+        for x in deps:
+            follow.setdefault(x, []).append(i)
+    ready, out = deque(i for i, n in waits.items() if not n), []
+    while ready:
+        i = ready.popleft()
+        out.append((i, turn[i], level.setdefault(i, 1)))
+        for j in follow.get(i, ()):
+            turn[j], level[j] = max(turn[j], turn[i]), max(level.get(j, 1), level[i] + 2)
+            waits[j] -= 1
+            if not waits[j]:
+                ready.append(j)
+    return out
+
+
 _ITEM = "conv_id long, turn long, item int, kind string, call_id string, status string, after array<string>, json string"
 _ARROW = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("item", pa.int32()), ("kind", pa.string()), ("call_id", pa.string()), ("status", pa.string()), ("after", pa.list_(pa.string())), ("json", pa.string())])
 
@@ -165,6 +227,24 @@ def with_calls(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", text.otherwise(F.col("text")).alias("text"))
 
 
+def _in_rounds(nodes: DataFrame) -> DataFrame:
+    """conv_id, call_id, order_turn and level as by ``place``, by joins alone: each round places what all predecessors of are placed."""
+    edges = settle(nodes.select("conv_id", "call_id", F.explode("after").alias("dep")).join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]))
+    placed = settle(nodes.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.col("turn").alias("order_turn"), F.lit(1).alias("level")))
+    n = placed.count()
+    while n:
+        # calls all of whose predecessors have their place; what never gets one is on or behind a cycle
+        ready = edges.join(placed.select("conv_id", F.col("call_id").alias("dep"), "order_turn", "level"), ["conv_id", "dep"], "left").groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("known"), F.max("order_turn").alias("t"), F.max("level").alias("l")).where("n = known")
+        new = ready.join(placed.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(nodes.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"]).select("conv_id", "call_id", F.greatest("turn", "t").alias("order_turn"), (F.col("l") + 2).alias("level"))
+        more = settle(placed.unionByName(new))
+        before, n = n, more.count()
+        unsettle(placed)
+        placed = more
+        if n == before:
+            break
+    return placed
+
+
 def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     """The items of messages (conv_id, turn, role, text), linked and ordered.
 
@@ -181,10 +261,14 @@ def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     empty text item. A null conv_id or turn stays null and links with nothing.
     Repeated rows give repeated items (of repeated calls all but one are
     duplicates). What is JSON but has no canonical text (numbers that no double
-    holds, lone surrogates, nesting too deep to read) is broken. The rounds are
-    as many as the longest chain of calls. An empty table gives no rows.
+    holds, lone surrogates, nesting too deep to read) is broken. A conversation
+    with more than ``FOLD`` calls and links takes as many rounds as its longest
+    chain. A schema that ``check_schema`` refuses is a ValueError before
+    anything is read. An empty table gives no rows.
     """
     schemas = SCHEMAS if schemas is None else schemas
+    for name, schema in schemas.items():
+        check_schema(schema, name)
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,19 +285,19 @@ def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     # the first by place; of copies at one place, the one of the lowest hash, then of the lowest number
     lead = F.min(F.struct("turn", "item", F.xxhash64("json").alias("h"), "row", "after")).alias("lead")
     nodes = settle(calls.groupBy("conv_id", "call_id").agg(lead).select("conv_id", "call_id", F.col("lead.turn").alias("turn"), F.col("lead.row").alias("first"), "lead.after"))
-    edges = settle(nodes.select("conv_id", "call_id", F.explode("after").alias("dep")).join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]))
-    placed = nodes.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.col("turn").alias("order_turn"), F.lit(1).alias("level"))
-    placed = settle(placed)
-    waiting = edges.count()
-    while waiting:
-        # calls all of whose predecessors have their place; what never gets one is on or behind a cycle
-        ready = edges.join(placed.select("conv_id", F.col("call_id").alias("dep"), "order_turn", "level"), ["conv_id", "dep"], "left").groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("known"), F.max("order_turn").alias("t"), F.max("level").alias("l")).where("n = known")
-        new = ready.join(placed.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(nodes.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"]).select("conv_id", "call_id", F.greatest("turn", "t").alias("order_turn"), (F.col("l") + 2).alias("level"))
-        more = settle(placed.unionByName(new))
-        if more.count() == placed.count():
-            break
-        unsettle(placed)
-        placed = more
+    size = nodes.groupBy("conv_id").agg(F.sum(F.size("after") + 1).alias("size"))
+    large = settle(size.where(F.col("size") > FOLD).select("conv_id"))
+    some = not large.isEmpty()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(c, *x) for c, calls in zip(*(x.to_pylist() for x in batch.columns), strict=True) for x in place([(x["call_id"], x["turn"], x["after"]) for x in calls])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int32()))], names=["conv_id", "call_id", "order_turn", "level"])
+
+    short = nodes.join(large, "conv_id", "left_anti") if some else nodes
+    placed = short.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "turn", "after")).alias("calls")).mapInArrow(fold, "conv_id long, call_id string, order_turn long, level int")
+    if some:
+        placed = placed.unionByName(_in_rounds(nodes.join(large, "conv_id", "left_semi")))
     results = all_.where(linked & (F.col("kind") == "result") & (F.col("status") == "ok"))
     answered = results.groupBy("conv_id", "call_id").agg(F.count("*").alias("answers"))
     known = nodes.select("conv_id", "call_id", "first").join(placed, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")

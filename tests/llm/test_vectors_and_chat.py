@@ -6,10 +6,10 @@ import math
 import numpy as np
 import pytest
 
-from llm import maxscore
+from llm import maxscore, tool_calls
 from llm.maxscore import exact_top_k
 from llm.projections import Cuts, Tree, chi_square_cdf, chi_square_quantile, nearest, ordered
-from llm.tool_calls import canonical, link, validate
+from llm.tool_calls import canonical, check_schema, link, place, validate
 
 SCHEMA = "vec_id long, embedding array<float>, label int, shard string, score double"
 
@@ -127,7 +127,7 @@ def test_postings_prune_what_has_few_components(spark):
     m[::50] *= 2
     df = many(spark, enumerate(m))
     share = maxscore.work(df, shard=1024)
-    assert share["met"] < 1 / 3 and share["probed"] < 1 / 4
+    assert share["met"] < 1 / 3 and share["looked"] < 1 / 4
     d = np.floor(m * 256)
     s = d @ d.T
     np.fill_diagonal(s, -1)
@@ -135,6 +135,35 @@ def test_postings_prune_what_has_few_components(spark):
         assert x.sort_values("rank").score.tolist() == np.sort(s[i])[::-1][:5].tolist()
 
 
+def test_ranges_are_skipped_where_vectors_have_structure(spark):
+    r = np.random.default_rng(8)
+    centre = r.standard_normal((16, 32))
+    m = centre[r.integers(0, 16, 5000)] + 0.15 * r.standard_normal((5000, 32))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = many(spark, enumerate(m))
+    share = maxscore.work(df, shard=2500)
+    assert share["skipped"] > 1 / 2 and share["looked"] < 1 / 4
+    d = np.floor(m * 256)
+    s = d @ d.T
+    np.fill_diagonal(s, -(10**9))
+    for i, x in exact_top_k(df, shard=2500).toPandas().groupby("query_id"):
+        order = np.lexsort((np.arange(5000), -s[i]))[:5]
+        assert x.sort_values("rank")[["vec_id", "score"]].to_numpy().tolist() == [[j, s[i][j]] for j in order]
+
+
+def test_a_shard_that_a_large_component_enters_stays_exact(spark):
+    r = np.random.default_rng(9)
+    m = r.standard_normal((400, 6)) * 10.0 ** r.integers(0, 7, (400, 1))
+    m[7] = m[8] = m[9]
+    d = [[math.floor(256 * x) for x in v] for v in m]
+    got = exact_top_k(many(spark, enumerate(m)), every=40, shard=100).orderBy("query_id", "rank").collect()
+    want = []
+    for i in range(0, 400, 40):
+        best = sorted((-sum(a * b for a, b in zip(d[i], v, strict=True)), j) for j, v in enumerate(d) if j != i)[:5]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert [tuple(x) for x in got] == want
+
+
 def test_large_components_are_exact_or_an_error(spark):
     big = [(0, [1e6, 1.0]), (1, [1e6, 2.0]), (2, [1e6, 1.0]), (3, [-1e7, 0.0])]
     got = exact_top_k(many(spark, big)).orderBy("rank").collect()
@@ -215,9 +244,11 @@ def test_clashing_columns_and_long_texts(spark):
     assert [(r.kind, r.status, r.level) for r in sorted(got, key=lambda r: r.item)] == [("text", "ok", 0), ("call", "pending", 1)]
 
 
-def test_links_of_random_conversations_are_brute_force(spark):
+@pytest.mark.parametrize("fold", [50_000, 20, 0])
+def test_links_of_random_conversations_are_brute_force(spark, monkeypatch, fold):
     import random
 
+    monkeypatch.setattr(tool_calls, "FOLD", fold)
     r = random.Random(11)
     rows, calls, results = [], {}, set()
     for conv in range(12):
@@ -253,3 +284,31 @@ def test_validate():
     s = {"type": "object", "properties": {"n": {"type": "integer", "minimum": 1}, "k": {"type": ["string", "null"]}, "l": {"type": "array", "items": {"enum": [1, 2]}}}, "required": ["n"], "additionalProperties": False}
     assert validate({"n": 1, "k": None, "l": [1]}, s) is None
     assert [validate(x, s) for x in ({}, {"n": 0}, {"n": True}, {"n": 1, "z": 1}, {"n": 1, "l": [3]}, [])] == ["$.n: missing", "$.n: out of range", "$.n: not integer", "$.z: not known", "$.l[0]: not in enum", "$: not object"]
+    assert [validate(x, {"enum": [1, "a", None]}) for x in (1.0, "a", None)] == [None] * 3
+    assert validate(True, {"enum": [1]}) and validate(1, {"enum": [True]})
+    assert [validate(x, {"minLength": 2, "maxLength": 3}) for x in ("ab", "abc", 7)] == [None] * 3 and validate("a", {"minLength": 2}) and validate("abcd", {"maxLength": 3})
+
+
+@pytest.mark.parametrize("schema", [{"type": "text"}, {"pattern": "a"}, {"properties": {"x": {"anyOf": []}}}, {"items": [1]}, {"additionalProperties": {"type": ["string", "date"]}}, 7])
+def test_schemas_that_cannot_be_held_are_refused(spark, schema):
+    with pytest.raises(ValueError):
+        link(spark.createDataFrame([(1, 0, "user", "x")], CHAT), {"tool": schema})
+    for good in tool_calls.SCHEMAS.values():
+        check_schema(good | {"description": "x"})
+
+
+def test_long_chains_take_no_rounds(spark):
+    n = 1000
+    rows = [(1, k, "assistant", call(f"c{k}", after=[f"c{k - 1}"] if k else [])) for k in range(n)]
+    rows += [(2, n - k, "assistant", call(f"c{k}", after=[f"c{k - 1}"] if k else ["c9"])) for k in range(n)]
+    got = {(r.conv_id, r.call_id): (r.status, r.order_turn, r.level) for r in link(spark.createDataFrame(rows, CHAT)).collect()}
+    assert all(got[1, f"c{k}"] == ("pending", k, 2 * k + 1) and got[2, f"c{k}"][::2] == ("cycle", 0) for k in range(n))
+    back = place([(f"c{k}", n - k, [f"c{k - 1}"] if k else []) for k in range(n)][::-1])
+    assert back == [(f"c{k}", n, 2 * k + 1) for k in range(n)]
+
+
+def test_marks_inside_of_strings_and_marks_without_an_end(spark):
+    inner = call("a", args={"query": "x</tool_call>y<tool_call>"})
+    rows = [(1, 0, "assistant", "go " + inner + " on"), (1, 1, "tool", result("a") + "<tool_call>{no end"), (2, 0, "assistant", "<tool_result>" * 3 + call("b")), (3, 0, "assistant", '<tool_call>{"id": "x"} more</tool_call>')]
+    got = [(r.conv_id, r.turn, r.item, r.kind, r.status) for r in link(spark.createDataFrame(rows, CHAT)).orderBy("conv_id", "turn", "item").collect()]
+    assert got == [(1, 0, 0, "text", "ok"), (1, 0, 1, "call", "ok"), (1, 0, 2, "text", "ok"), (1, 1, 0, "result", "ok"), (1, 1, 1, "text", "ok"), (2, 0, 0, "text", "ok"), (2, 0, 1, "call", "pending"), (3, 0, 0, "call", "broken")]
