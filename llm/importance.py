@@ -4,10 +4,14 @@ Two generative models over hashed word unigrams and bigrams are counted: one of
 the target text (documents labelled good), one of the raw text (all documents).
 A document's log importance weight is ``TEMPER`` times the mean log ratio of the
 two over its n-grams (and ``PRIOR`` more of ratio 0, so that a few words can't
-weigh much). The mean, unlike the sum, doesn't grow with the length, so weights
-of like texts differ by about as much as the noise. Seeded Gumbel noise is added
-and the k highest are kept, which samples k documents without replacement in
-proportion to their weights.
+weigh much). The mean, unlike the sum, doesn't grow with the length.
+
+Two things follow from the weights. A threshold fitted on labelled documents
+accepts or rejects (``keep_sampled``, and ``accepted`` of ``sample``). Of what it
+accepts, ``sample`` draws a stated share: the log weights are brought to a
+standard deviation of 1, about that of the noise, at whatever size of table;
+seeded Gumbel noise is added and the k highest are kept, which samples k
+documents without replacement in proportion to the weights so tempered.
 
 Two passes read the text. Each sends only vectors of ``BUCKETS`` counts or one
 number a document. The k-th highest key is found by radix selection on counts,
@@ -37,6 +41,8 @@ MISSED = 0.0005
 #: Inverse temperature of the weights, and n-grams of ratio 0 that every document has besides its own.
 TEMPER = 100.0
 PRIOR = 30
+#: Share of the accepted documents that ``sample`` draws.
+SHARE = 0.5
 SLICES = 16
 SEED = 17
 
@@ -161,6 +167,26 @@ def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return weighed.withColumn("kept", F.lit(True) if lowest is None else F.col("gumbel_key") >= F.lit(lowest))
 
 
+def sample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = SEED, **options) -> DataFrame:
+    """doc_id, log_weight, accepted, gumbel_key, kept for every row of docs: those that the threshold accepts, and the draw of a share of them.
+
+    accepted and log_weight are as in ``decide``, with its options. The draw
+    takes the floor(share * accepted) highest of log_weight / deviation + noise,
+    deviation being that of the log weights of all accepted rows (1 where they
+    are all alike or there are fewer than two). What is rejected has a null key
+    and isn't kept. Rows that tie with the last one drawn are all kept. An empty
+    table gives no rows.
+    """
+    weighed, cut, _ = weigh(docs, labels, seed, **options)
+    found = weighed.withColumn("accepted", F.col("log_weight") >= F.lit(cut))
+    n, deviation = found.where("accepted").agg(F.count("*"), F.stddev_pop("log_weight")).first()
+    key = F.round(F.col("log_weight") / F.lit(round(deviation or 0.0, 6) or 1.0) + gumbel(F.col("doc_id"), seed), 6)
+    found = found.withColumn("gumbel_key", F.when(F.col("accepted"), key))
+    lowest = kth_highest(found.where("accepted"), "gumbel_key", int(share * n)) if n else None
+    kept = F.col("accepted") if lowest is None else F.col("accepted") & (F.col("gumbel_key") >= F.lit(lowest))
+    return found.select("doc_id", "log_weight", "accepted", "gumbel_key", kept.alias("kept"))
+
+
 def keep_sampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that ``decide`` samples, with their columns; weighed again rather than joined, so that no text is shuffled."""
     weighed, lowest, model = decide(docs, labels, **options)
@@ -184,26 +210,34 @@ def decide(docs: DataFrame, labels: DataFrame, seed: int = SEED, labelled: int =
     all kept, repeated rows among them, and so are rows with a null doc_id by
     their weight (their noise is that of null). An empty table gives no rows.
     """
+    weighed, cut, model = weigh(docs, labels, seed, labelled, missed, k is None)
+    if k is None:
+        k = weighed.where(F.col("log_weight") >= F.lit(cut)).count()
+    return weighed, kth_highest(weighed, "gumbel_key", k), model
+
+
+def weigh(docs: DataFrame, labels: DataFrame, seed: int = SEED, labelled: int = LABELLED, missed: float = MISSED, cut: bool = True) -> tuple[DataFrame, float, tuple]:
+    """The weights of all rows of docs, the weight that tells good from bad (-inf without labels of both kinds, or if ``cut`` isn't asked for), and the model; see ``decide``."""
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = {q: [r.doc_id for r in known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()] for q in (0, 1)}
     good, bad = (np.array(sorted(picked[q]), np.int64) for q in (1, 0))
     model = (fit(docs, good), good)
     weighed = settle(log_weights(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, seed).drop("text"))
-    if k is None:
-        shared = docs.sparkSession.sparkContext.broadcast((good, bad))
+    if not cut or not len(good) or not len(bad):
+        return weighed, float("-inf"), model
+    shared = docs.sparkSession.sparkContext.broadcast((good, bad))
 
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yes, no = shared.value
-            for batch in batches:
-                is_good = _among(batch.column(0), yes)
-                keep = pa.array(is_good | _among(batch.column(0), no))
-                yield pa.RecordBatch.from_arrays([pa.array(is_good).filter(keep), batch.column(1).filter(keep)], names=["good", "weight"])
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yes, no = shared.value
+        for batch in batches:
+            is_good = _among(batch.column(0), yes)
+            keep = pa.array(is_good | _among(batch.column(0), no))
+            yield pa.RecordBatch.from_arrays([pa.array(is_good).filter(keep), batch.column(1).filter(keep)], names=["good", "weight"])
 
-        sample = weighed.select("doc_id", "log_weight").mapInArrow(pick, "good boolean, weight double").groupBy("good", "weight").count().toPandas() if len(good) and len(bad) else None
-        cut = threshold(*[x for q in (True, False) for x in (sample[sample.good == q].weight.to_numpy(), sample[sample.good == q]["count"].to_numpy())], missed) if sample is not None and sample.good.nunique() == 2 else float("-inf")
-        k = weighed.where(F.col("log_weight") >= F.lit(cut)).count()
-    return weighed, kth_highest(weighed, "gumbel_key", k), model
+    counted = weighed.select("doc_id", "log_weight").mapInArrow(pick, "good boolean, weight double").groupBy("good", "weight").count().toPandas()
+    limit = threshold(*[x for q in (True, False) for x in (counted[counted.good == q].weight.to_numpy(), counted[counted.good == q]["count"].to_numpy())], missed) if counted.good.nunique() == 2 else float("-inf")
+    return weighed, limit, model
 
 
 def threshold(good: np.ndarray, n_good: np.ndarray, bad: np.ndarray, n_bad: np.ndarray, missed: float) -> float:

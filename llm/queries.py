@@ -58,9 +58,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from llm.importance import resample
+    from llm.importance import sample
 
-    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from llm.importance import kth_highest, keep_sampled, resample, threshold
+from llm.importance import SHARE, gumbel, keep_sampled, kth_highest, resample, sample, threshold
 from llm.jaccard_join import heavy_shingles, keep_one_of_each, ngram_jaccard_components, refined
 from llm.ppm import Trees, identify
 from llm.pseudonyms import pseudonymise
@@ -102,7 +102,7 @@ def test_large_family_and_long_lists(spark):
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     learn = none.select("lang", "text", F.lit(1).cast("long").alias("pick"))
-    for df in (ngram_jaccard_components(none), keep_one_of_each(none), pseudonymise(none, KEY), resample(none, labels), keep_sampled(none, labels), identify(none, learn)):
+    for df in (ngram_jaccard_components(none), keep_one_of_each(none), pseudonymise(none, KEY), resample(none, labels), sample(none, labels), keep_sampled(none, labels), identify(none, learn)):
         assert df.count() == 0
 
 
@@ -312,6 +312,32 @@ def test_sampling_is_a_draw_by_weight(judged):
     assert share == sorted(share) and share[0] < 0.15 < share[3]
 
 
+def test_registered_draw_follows_the_weight(judged):
+    docs, labels = judged
+    docs = docs.dropDuplicates(["doc_id"])
+    got = [sample(docs, labels, seed=s).toPandas().set_index("doc_id").sort_index() for s in (1, 2, 3)]
+    one, kept = got[0], sum(g.kept.astype(int) for g in got)
+    assert all((g.accepted == one.accepted).all() and g.kept.sum() == int(SHARE * one.accepted.sum()) for g in got)
+    assert not one.kept[~one.accepted].any() and one.gumbel_key.isna().eq(~one.accepted).all()
+    good = one[one.accepted]
+    cut = good.log_weight.nlargest(int(SHARE * len(good))).min()
+    assert (good.kept & (good.log_weight < cut)).sum() > good.kept.sum() / 10  # no cut by weight
+    assert (got[0].kept & ~got[1].kept).sum() > good.kept.sum() / 10  # another seed, another draw
+    rank = good.log_weight.rank(pct=True)
+    share = [kept[good.index][rank.between(a, a + 0.25)].mean() / 3 for a in (0, 0.25, 0.5, 0.75)]
+    assert share == sorted(share) and share[0] < SHARE < share[3]
+
+
+def test_draw_is_that_of_plain_python(spark, judged):
+    docs, labels = judged
+    got = sample(docs, labels, share=0.3, seed=5).toPandas()
+    noise = docs.select("doc_id", gumbel(F.col("doc_id"), 5).alias("g")).distinct().toPandas().set_index("doc_id").g
+    yes = got[got.accepted]
+    key = (yes.log_weight / yes.log_weight.std(ddof=0) + noise[yes.doc_id].to_numpy()).round(5)
+    last = key.nlargest(int(0.3 * len(yes))).min()
+    assert (yes.kept[key > last].all()) and not yes.kept[key < last].any()
+
+
 def test_weights_are_those_of_plain_counting(spark):
     from llm import importance as im
 
@@ -332,7 +358,8 @@ def test_weights_are_those_of_plain_counting(spark):
 
 def test_quality_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (4, 7)], "doc_id long, quality int")
-    assert resample(docs, labels).count() == docs.count()
+    assert resample(docs, labels).count() == sample(docs, labels).count() == docs.count()
+    assert sample(docs, labels.where("quality = 0")).where("not accepted").count() == 0
     assert set(keep_sampled(docs, labels).columns) == set(docs.columns)
 
 
