@@ -10,8 +10,8 @@ highest posting bounds what a term can add.
 A shard's positions are cut into ranges, each with its own highest and lowest
 component of every dimension. A query takes the ranges by falling bound of what their best vector
 could score, and none once that is below its threshold, the k-th score so far;
-the threshold starts at what a first shard gave and rises with each range. In a
-range, the terms are split by their bounds: the essential ones are those
+the threshold starts at what a first shard gave and rises as it goes: one range
+comes first, then twice as many each time. In them, the terms are split by their bounds: the essential ones are those
 without which the other bounds sum to less than the threshold. Their lists are
 walked by falling bound and add up the scores (of an essential dimension also
 the list that disagrees, which lowers them). Once few vectors can still reach
@@ -35,7 +35,7 @@ from llm.common import settle, unsettle
 RANGE = 128
 LOOK = 16
 #: Vectors of a range are probed rather than met by lists once fewer than this share can reach the threshold.
-FEW = 0.5
+FEW = 0.9
 _POSTED = "width int, shard int, term int, position binary, value binary"
 _FOUND = "query_id long, vec_id long, score double, exact string, met long, looked long, ranges long, skipped long"
 _FLOAT = 1 << 53
@@ -98,11 +98,17 @@ class Shard:
         self.square = (self.columns**2).sum(axis=0)
         self.longest = np.sqrt(np.maximum.reduceat(self.square, self.starts[:-1]))
 
-    def walk(self, terms: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in range r and values that the terms post, term after term, and how many each posts."""
-        a, b = self.cut[terms, r], self.cut[terms, r + 1]
-        spans = [slice(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-        return np.concatenate([self.at[x] for x in spans]) - self.starts[r], np.concatenate([self.value[x] for x in spans]), b - a
+    def walk(self, terms: np.ndarray, runs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions in the runs of ranges and values that the terms post, term after term, and how many each posts."""
+        first, last = (self.cut[np.ix_(terms, [run[k] for run in runs])] for k in (0, 1))
+        spans = [slice(i, j) for i, j in zip(first.ravel().tolist(), last.ravel().tolist(), strict=True)]
+        return np.concatenate([self.at[x] for x in spans]), np.concatenate([self.value[x] for x in spans]), (last - first).sum(axis=1)
+
+
+def _runs(some: list[int]) -> list[tuple[int, int]]:
+    """Places [i, j) of a rising list between which each number is one above the last."""
+    cut = [0, *(i for i in range(1, len(some)) if some[i] != some[i - 1] + 1), len(some)]
+    return list(zip(cut[:-1], cut[1:], strict=True))
 
 
 def search(s: Shard, x: np.ndarray, own: int, k: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int, int]]:
@@ -116,41 +122,50 @@ def search(s: Shard, x: np.ndarray, own: int, k: int, held: np.ndarray) -> tuple
     best = np.sort(held)[::-1][:k]
     ids, score, met, looked, skipped = np.zeros(0, np.int64), np.zeros(0), 0, 0, 0
     ranges = np.argsort(-most, kind="stable").tolist()
-    for nth, r in enumerate(ranges):
+    nth, many = 0, 1
+    while nth < len(ranges):
         least = best[k - 1] if len(best) >= k else -np.inf
-        if most[r] < least:
-            skipped = len(ranges) - nth
+        some = sorted(r for r in ranges[nth : nth + many] if most[r] >= least)
+        skipped += min(many, len(ranges) - nth) - len(some)
+        nth, many = nth + many, 2 * many
+        if not some:
+            skipped += max(0, len(ranges) - nth)
             break
-        a, b = s.starts[r], s.starts[r + 1]
-        order = np.argsort(-bounds[r], kind="stable")
-        left = np.append(np.cumsum(bounds[r][order][::-1])[::-1], 0)  # of the dimensions from j on
-        raised = np.append(np.cumsum(np.maximum(bounds[r][order], 0)[::-1])[::-1], 0)  # by postings alone
+        runs = [(some[i], some[j - 1] + 1) for i, j in _runs(some)]
+        high = bounds[some].max(axis=0)
+        order = np.argsort(-high, kind="stable")
+        left = np.cumsum(bounds[some][:, order][:, ::-1], axis=1)[:, ::-1]  # of the dimensions from j on, in each range
+        left = np.hstack([left, np.zeros((len(some), 1))])
+        raised = np.append(np.cumsum(np.maximum(high[order], 0)[::-1])[::-1], 0)  # by postings alone
         norm = np.sqrt(np.append(np.cumsum(x[order][::-1] ** 2)[::-1], 0)) * (1 + 1e-9)
         # without a threshold above 0 every term is essential: a vector that none posts can be among the best
         essential = int(np.searchsorted(-raised, -least, side="right")) if least > 0 else len(order)
-        hit, seen = np.flatnonzero(s.ids[a:b] != own), np.zeros(b - a, bool)
-        so_far, rest, j = np.zeros(len(hit)), s.square[a + hit], 0
+        hit = np.concatenate([np.arange(s.starts[a], s.starts[b]) for a, b in runs])
+        among, seen = len(hit), np.zeros(s.n, bool)
+        hit = hit[s.ids[hit] != own]
+        row = np.searchsorted(some, hit // RANGE)
+        so_far, rest, j = np.zeros(len(hit)), s.square[hit], 0
         while len(hit) and j < len(order):
             step = order[j : j + LOOK]
-            if j < essential and len(hit) > FEW * (b - a):
+            if j < essential and len(hit) > FEW * among:
                 step = order[j : min(j + LOOK, essential)]
-                at, value, n = s.walk(np.concatenate([agree[step], agree[step] ^ 1]), r)
+                at, value, n = s.walk(np.concatenate([agree[step], agree[step] ^ 1]), runs)
                 seen[at[: n[: len(step)].sum()]] = True
-                so_far = so_far + np.bincount(at, value * np.repeat(np.tile(x[step], 2), n), b - a)[hit]
-                rest = rest - np.bincount(at, value * value, b - a)[hit]
+                so_far = so_far + np.bincount(at, value * np.repeat(np.tile(x[step], 2), n), s.n)[hit]
+                rest = rest - np.bincount(at, value * value, s.n)[hit]
                 looked += len(at)
             else:
-                part = s.columns[step[:, None], a + hit]
+                part = s.columns[step].take(hit, axis=1) if 8 * len(hit) > s.n else s.columns[step[:, None], hit]
                 so_far = so_far + x[step] @ part
-                rest = rest - (part * part).sum(axis=0)
+                rest = rest - np.einsum("ij,ij->j", part, part)
                 looked += part.size
             j += len(step)
             if least > -np.inf:
-                ok = so_far + np.minimum(left[j], norm[j] * np.sqrt(np.maximum(rest, 0)) * (1 + 1e-9) + 1e-6) >= least
-                hit, so_far, rest = hit[ok], so_far[ok], rest[ok]
+                ok = so_far + np.minimum(left[row, j], norm[j] * np.sqrt(np.maximum(rest, 0)) * (1 + 1e-9) + 1e-6) >= least
+                hit, row, so_far, rest = hit[ok], row[ok], so_far[ok], rest[ok]
         met += int(seen.sum())
         if len(hit):
-            ids, score = V.top(np.concatenate([ids, s.ids[a + hit]]), np.concatenate([score, so_far]), k)
+            ids, score = V.top(np.concatenate([ids, s.ids[hit]]), np.concatenate([score, so_far]), k)
             best = np.sort(np.concatenate([held, score]))[::-1][:k]
     if len(best) >= k:
         keep = score >= best[k - 1]
