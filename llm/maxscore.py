@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from llm import vectors as V
 from llm.common import settle, unsettle
 
+#: Vectors of a shard, about: each has its own start of the threshold, so few are better.
+SHARD = 16_384
 #: Positions of a range, and terms between two looks at the threshold.
 RANGE = 128
 LOOK = 16
@@ -243,7 +245,7 @@ def _done(found: DataFrame, used: list[DataFrame]) -> DataFrame:
     return found
 
 
-def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, shard: int = V.SHARD) -> DataFrame:
+def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query.
 
     vectors: vec_id, embedding. A component x counts as floor(scale * x). Rows
@@ -261,7 +263,7 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 25
     return V.best_of(found.select("query_id", "vec_id", exact.alias("score")), k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
-def work(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, shard: int = V.SHARD) -> dict[str, float]:
+def work(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, shard: int = SHARD) -> dict[str, float]:
     """Of all pairs of a query and a candidate: the share that essential postings met, and the share of components looked at; of all pairs of a query and a range, the share skipped."""
     rows = V.usable(vectors, zero=True)
     n, asked, width = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.avg(F.size("v"))).first()
