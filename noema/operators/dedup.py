@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noema.operators import blocks, cosine_join
+from noema.operators import cosine_join, substrings
 
 
 def exact(docs: DataFrame, text: str) -> DataFrame:
@@ -47,24 +47,60 @@ def _simple(c: F.Column) -> F.Column:
     return F.substring(F.regexp_replace(F.lower(c), r"[，,。；;：:\s]+", ""), 1, 200)
 
 
+def _characters(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n, chars: a simple text's length and the set of its characters. Null and empty texts have none and go."""
+    simple = _simple(F.col(text))
+    return rows.select(key, F.length(simple).alias("n"), F.array_sort(F.array_distinct(F.split(simple, ""))).alias("chars")).where("n > 0")
+
+
+def triple_candidates(facts: DataFrame, triples: DataFrame, least: float) -> DataFrame:
+    """a, n_a, b, n_b, k: sets of characters that may share over ``least`` of the longer text's length, each pair once, with the smallest k of b's triples.
+
+    Texts of one set and length count as one. Two of them share more than ``least`` of either's own length, so a text with fewer characters than that
+    shares it with none, and of the others the rarest characters, all but as many as that, hold one of the other's rarest ones.
+    """
+    needed = F.floor(F.lit(least) * F.col("n") - F.lit(1e-9)).cast("int") + 1
+    able = lambda rows: rows.where(F.size("chars") >= needed)
+    of_a = able(_characters(facts, "id", "fact")).select("chars", "n").distinct()
+    of_b = able(_characters(triples, "k", "triple")).groupBy("chars", "n").agg(F.min("k").alias("k"))
+    seen = of_a.select(F.explode("chars").alias("c")).unionAll(of_b.select(F.explode("chars").alias("c"))).groupBy("c").agg(F.count("*").alias("df"))
+
+    def rarest(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn("c", F.explode("chars")).join(seen, "c").groupBy(*rows.columns).agg(F.array_sort(F.collect_list(F.struct("df", "c")))["c"].alias("order"))
+        return placed.withColumn("first", F.slice("order", F.lit(1), F.size("chars") - needed + 1))
+
+    a = rarest(of_a).select(F.col("chars").alias("a"), F.col("n").alias("n_a"), F.col("first").alias("first_a"), F.explode("first").alias("c"))
+    b = rarest(of_b).select(F.col("chars").alias("b"), F.col("n").alias("n_b"), "k", F.col("first").alias("first_b"), F.explode("first").alias("c"))
+    longest = F.greatest("n_a", "n_b") * F.lit(least)
+    fits = (F.size("a") > longest - 1e-9) & (F.size("b") > longest - 1e-9)
+    # both are in one order: the first that they share is one character
+    return a.join(b, "c").where(fits & (F.element_at(F.array_intersect("first_a", "first_b"), 1) == F.col("c"))).select("a", "n_a", "b", "n_b", "k")
+
+
 def nearest_triple(facts: DataFrame, triples: DataFrame, least: float = 0.6, merge: float = 0.85) -> DataFrame:
     """For each fact (id, fact) the triple (k, triple) whose characters it shares most, relative to the longer text, if that is over ``least``; merged from ``merge`` on. The smallest k of equals."""
-    a, b = F.split(_simple(F.col("fact")), ""), F.split(_simple(F.col("triple")), "")
-    score = F.size(F.array_intersect(a, b)) / F.greatest(F.length(_simple(F.col("fact"))), F.length(_simple(F.col("triple"))))
-    # a triple shares over half of its length only with facts that have one of its characters, which all have: few triples are asked for, as the limit of 50 of a service was
-    pairs = facts.join(blocks.small(triples)).withColumn("score", F.round(score, 9)).where(F.col("score") > least)
-    best = pairs.groupBy("id").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("k"), F.max("score").alias("score"))
-    return best.withColumn("merged", F.col("score") >= merge)
+    score = F.round(F.size(F.array_intersect("a", "b")) / F.greatest("n_a", "n_b"), 9)
+    pairs = triple_candidates(facts, triples, least).withColumn("score", score).where(F.col("score") > least)
+    best = pairs.groupBy(F.col("a").alias("chars"), F.col("n_a").alias("n")).agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("k"), F.max("score").alias("score"))
+    return _characters(facts, "id", "fact").join(best, ["chars", "n"]).select("id", "k", "score", (F.col("score") >= merge).alias("merged"))
 
 
 def normalised(names: DataFrame, known: DataFrame, force: bool = False) -> DataFrame:
-    """names (id, name) against entities (name, canonical, aliases): merged with the canonical name that equals it or one of whose aliases does, else similar_found where a name has its first 30 characters, else unique. With ``force`` the first similar one is taken."""
+    """names (id, name) against entities (name, canonical, aliases): merged with the canonical name that equals it or one of whose aliases does, else similar_found where a name has its first 30 characters, else unique. With ``force`` the first similar one is taken.
+
+    Names that hold those characters come from an index for substrings, aliases by equality. An empty name is in every name; a null one is unique.
+    """
     k = known.select(F.lower("name").alias("_low"), F.coalesce("canonical", "name").alias("_canonical"), F.coalesce("aliases", F.array().cast("array<string>")).alias("_aliases"))
-    low = F.lower("name")
-    similar = F.col("_low").contains(F.substring(low, 1, 30)) | F.array_contains("_aliases", F.substring(low, 1, 30))
-    same = (F.lower("_canonical") == low) | F.exists("_aliases", lambda x: F.lower(x) == low)
     # equal names are looked up once
-    hits = names.select("name").distinct().join(blocks.small(k), similar).groupBy("name").agg(F.min(F.when(same, F.col("_canonical"))).alias("best"), F.min("_canonical").alias("first"))
+    asked = names.where("name <> ''").select("name", F.substring(F.lower("name"), 1, 30).alias("_asked")).distinct()
+    texts = k.where("_low is not null").select(F.col("_low").alias("id"), F.col("_low").alias("text")).distinct()
+    patterns = asked.select(F.col("_asked").alias("k"), F.col("_asked").alias("pattern")).distinct()
+    named = substrings.holding(substrings.index(texts), texts, patterns).select(F.col("k").alias("_asked"), F.col("id").alias("_low")).join(k, "_low")
+    called = k.withColumn("_asked", F.explode(F.array_distinct("_aliases")))
+    same = lambda low: (F.lower("_canonical") == low) | F.exists("_aliases", lambda x: F.lower(x) == low)
+    found = lambda low: (F.min(F.when(same(low), F.col("_canonical"))).alias("best"), F.min("_canonical").alias("first"))
+    hits = asked.join(named.unionByName(called), "_asked").groupBy("name").agg(*found(F.lower("name")))
+    hits = hits.unionByName(k.agg(*found(F.lit(""))).select(F.lit("").alias("name"), "best", "first"))
     best = F.coalesce("best", "first") if force else F.col("best")
     merged = best.isNotNull() & (best != F.col("name"))
     out = names.join(hits, "name", "left")
