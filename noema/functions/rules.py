@@ -62,6 +62,7 @@ CATEGORY_WORDS = {
     "组织信息": ["公司", "企业", "机构", "部门", "团队", "组织"],
     "方法流程": ["步骤", "方法", "流程", "指南", "实践", "策略"],
 }
+SOURCE_BONUS = {"PDF文档": 0.1, "Word文档": 0.05, "PPT演示": 0.03, "网页": -0.05, "图片": -0.1}
 EXTRACTED_QUALITY = {"pdf": 0.85, "word": 0.75, "ppt": 0.65, "image": 0.55, "web": 0.45, "table": 0.70, "code": 0.75, "text": 0.50, "video": 0.65, "audio": 0.60}
 EXTRACTED_SURE = ["研究表", "数据显", "证明", "官方", "权威"]
 EXTRACTED_UNSURE = ["我认为", "我觉得", "可能", "也许", "据说"]

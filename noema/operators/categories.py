@@ -78,6 +78,12 @@ def kmeans(points: DataFrame, min_size: int, seed: int = 42) -> DataFrame:
     return model.transform(vec).select("id", F.col("prediction").alias("cluster"))
 
 
+def search(cats: DataFrame, text: str, most: int = 20) -> DataFrame:
+    """The first ``most``, by place, of cats (place, name, description) with the text in their name or description, letters' case aside. A null one holds nothing."""
+    held = F.lower("name").contains(text.lower()) | F.lower("description").contains(text.lower())
+    return cats.where(held).orderBy("place").limit(most)
+
+
 def compare_sources(facts: DataFrame) -> DataFrame:
     """For each two sources (source_a < source_b) the pairs of facts that agree and that conflict.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noema.operators import cosine_join, substrings
@@ -24,6 +24,19 @@ def similar_pairs(asked: DataFrame, vectors: DataFrame, threshold: float) -> Dat
     return cosine_join.Plan(asked, vectors, threshold).pairs()
 
 
+def equal_pairs(facts: DataFrame, most: int = 20) -> DataFrame:
+    """The first ``most`` pairs (first, second, fact, first_version, second_version) of facts (id, fact, version) that are equal, by ids.
+
+    The first pairs of a fact are those of its smallest ids, so no more than
+    ``most`` + 1 rows of a fact meet, however many are alike.
+    """
+    nth = F.row_number().over(Window.partitionBy("hash").orderBy("id"))
+    few = facts.where("id is not null and fact is not null").select("id", "version", F.sha2("fact", 256).alias("hash")).withColumn("nth", nth).where(F.col("nth") <= most + 1).drop("nth")
+    a, b = (few.select("hash", F.col("id").alias(x), F.col("version").alias(f"{x}_version")) for x in ("first", "second"))
+    pairs = a.join(b, "hash").where("first < second").orderBy("first", "second").limit(most)
+    return pairs.join(facts.select(F.col("id").alias("first"), "fact"), "first").select("first", "second", "fact", "first_version", "second_version")
+
+
 def decide(hash_match: F.Column, sim: F.Column, mode: str, high: float = 0.95, warn: float = 0.85) -> F.Column:
     """skip, warn or proceed, by mode strict, loose or manual."""
     strict = F.when(hash_match | (sim >= high), "skip").when(sim >= warn, "warn").otherwise("proceed")

@@ -61,6 +61,14 @@ def quality(hits: DataFrame, threshold: float = 0.5) -> DataFrame:
     return hits.agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), F.max("score").alias("max_score"), F.coalesce(F.avg("score") < threshold, F.lit(True)).alias("below"), (F.countDistinct("source") >= 2).alias("multi_source"))
 
 
+def conflicts(hits: DataFrame, most: int = 3) -> DataFrame:
+    """Of hits (place, fact) those whose first 30 characters, marks and spaces aside, an earlier hit has: place, fact and earlier, up to 50 characters of each; the first ``most``."""
+    start = F.regexp_replace(F.substring("fact", 1, 30), r"[，,。；;：:\s]+", "")
+    first = F.first("fact").over(Window.partitionBy("start").orderBy("place"))
+    again = hits.withColumn("start", start).withColumn("earlier", first).withColumn("nth", F.row_number().over(Window.partitionBy("start").orderBy("place"))).where("nth > 1")
+    return again.orderBy("place").limit(most).select("place", F.substring("fact", 1, 50).alias("fact"), F.substring("earlier", 1, 50).alias("earlier"))
+
+
 def keywords(docs: DataFrame, col: Column, n: int) -> DataFrame:
     """The n most frequent words, ties by word."""
     return docs.select(F.explode(col).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(n)

@@ -153,6 +153,14 @@ def scene_chunks(segments: DataFrame, scenes: DataFrame, of: str) -> DataFrame:
     return g.select(of, "scene", "n", label.alias("label"), F.concat(F.lit("=== 场景 "), F.col("scene").cast("string"), F.lit(" "), label, F.lit(" ===\n\n[语音转写]\n\n"), said).alias("content"))
 
 
+def qa_chunks(pairs: DataFrame, segments: DataFrame, of: str) -> DataFrame:
+    """For each recording (of) one chunk of its questions and answers (of, at, question, answer), numbered after the chunks of its segments (of, chunks). Recordings without pairs have none."""
+    said = F.concat(F.lit("Q: "), F.coalesce("question", F.lit("")), F.lit("\nA: "), F.coalesce("answer", F.lit("")), F.lit("\n"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", said.alias("said")))), lambda x: x["said"]), "\n")
+    whole = pairs.groupBy(of).agg(F.count("*").alias("pairs"), F.concat(F.lit("=== 问答对提取 ===\n"), lines).alias("content"))
+    return whole.join(segments, of, "left").select(of, F.coalesce("chunks", F.lit(0)).alias("chunk_index"), "pairs", "content")
+
+
 def segment_chunks(segments: DataFrame, of: str) -> DataFrame:
     """One chunk for each segment (of, start, stop, text) that says something: its times and its text."""
     code = lambda x: F.format_string("%02d:%02d", F.floor(x / 60), F.floor(x) % 60)

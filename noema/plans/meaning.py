@@ -67,10 +67,14 @@ def fun_intent_flags(s, d):
 _CODE = "contains(t, 'function') OR contains(t, 'class') OR contains(t, 'code') OR contains(t, 'algorithm') OR contains(t, 'method') OR contains(t, 'module')"
 
 
-@query(f"SELECT conv_id, turn, {_CODE} AS is_code_related, contains(text, 'vs') AS is_comparison, CASE WHEN {_CODE} THEN 'code' ELSE 'general' END AS content_type FROM (SELECT *, lower(text) AS t FROM conversations WHERE role = 'user')")
+_HAS = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {_HAS('text', rules.FUZZY_WORDS)} THEN 'fuzzy_reference' ELSE 'fact_query' END AS type, {_CODE} AS is_code_related, {_HAS('text', rules.TIMELINE_WORDS)} AS is_timeline_related, {_HAS('text', rules.COMPARISON_WORDS)} AS is_comparison, {_HAS('text', rules.GRAPH_WORDS)} AS needs_graph_exploration, CASE WHEN {_HAS('text', rules.IMAGE_WORDS)} THEN 'image_chart' WHEN {_HAS('text', rules.MEDIA_WORDS)} THEN 'audiovisual' WHEN {_CODE} THEN 'code' ELSE 'general' END AS content_type FROM (SELECT conv_id, turn, q AS text, lower(q) AS t FROM (SELECT *, concat(text, CASE turn % 5 WHEN 0 THEN ' 上次的图' WHEN 1 THEN ' 发展历程' WHEN 2 THEN ' 视频的关系' ELSE '' END) AS q FROM conversations WHERE role = 'user'))")
 def fun_message_intents(s, d):
-    i = rules.intent(F.col("text"))
-    return read(s, d, "conversations").where("role = 'user'").withColumn("i", i).select("conv_id", "turn", "i.is_code_related", "i.is_comparison", "i.content_type")
+    """Users' messages, most with a few words behind them that decide a field."""
+    more = F.when(F.col("turn") % 5 == 0, " 上次的图").when(F.col("turn") % 5 == 1, " 发展历程").when(F.col("turn") % 5 == 2, " 视频的关系").otherwise("")
+    return read(s, d, "conversations").where("role = 'user'").withColumn("i", rules.intent(F.concat("text", more))).select("conv_id", "turn", "i.*")
 
 
 @query(f"WITH {KP}, g AS (SELECT id, CASE category WHEN 'method' THEN '方法流程' WHEN 'fact' THEN '事件记录' ELSE '概念理论' END AS grp FROM kp) SELECT grp, count(*) AS n FROM g GROUP BY grp HAVING count(*) >= 3")

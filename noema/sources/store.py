@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -154,3 +155,11 @@ def drop(df: DataFrame | None) -> None:
     """Deletes what ``cut`` wrote."""
     if df is not None and getattr(df, "_cut_path", None):
         remove(df.sparkSession, df._cut_path)
+
+
+def delete_batch(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (id, ...) without the asked ids, and for each asked id whether it counts as deleted (``outcome``) and was there (``known``). An unknown id counts as deleted; a null one fails."""
+    left = rows.join(asked.where("id is not null").select("id").distinct(), "id", "left_anti")
+    there = rows.select("id").distinct().withColumn("known", F.lit(True))
+    told = asked.join(there, "id", "left").withColumn("outcome", F.when(F.col("id").isNull(), "failed").otherwise("deleted"))
+    return left, told.withColumn("known", F.coalesce("known", F.lit(False)))
