@@ -5,7 +5,9 @@ the weighted median of the dimension along which it is widest (relative to the
 whole table), until each leaf has the target bytes. A node for an uneven number
 of leaves is split at the matching quantile. All nodes of a level are split at
 once: their medians come from histograms of byte weights that are refined where
-the median falls, so no node's rows are ever sorted or gathered.
+the median falls, so no node's rows are ever sorted or gathered. Where single
+texts are large beside a shard, a few of them then move from the heaviest leaves
+to the lightest.
 
 A unit is all rows of one text, so copies stay together; a text whose copies
 weigh more than ``1 / LOOSE`` of a leaf is a hot group, and each of its rows
@@ -29,6 +31,10 @@ LANE = 50_000
 LANES = 64
 SENT = 500_000
 
+#: What a shard's bytes may be off before units move between shards, and how often they do.
+EVEN = 1 / 100
+ROUNDS = 12
+
 DIMENSIONS = ("d_size", "d_source", "d_lang", "d_id")
 _TOP = 1 << 31
 
@@ -63,7 +69,56 @@ def _cuts(units: DataFrame, nodes: dict[int, tuple], total: float, leaves: int)
     return cut
 
 
-def kd_shards(docs: DataFrame, shards: int = 40, lanes: int | None = None) -> DataFrame:
+def _moves(units: DataFrame, shards: int, leaf: float, even: float) -> dict[int, int]:
+    """Which units (unit, weight, shard) go to which other shard, where few large ones leave shards uneven.
+
+    The heaviest shard is paired with the lightest, the next with the next, and
+    from round to round with the one after. Of each pair a unit of the heavier shard moves, or changes places with one of
+    the lighter: those whose difference is nearest to half of what parts the
+    shards, so that neither ends above where the heavier one was. Only units of a
+    quarter of ``even`` and more are looked at, of which a shard holds a bounded
+    number, and ``shards`` * ``ROUNDS`` at most move. Even shards need no round.
+    """
+    load = dict.fromkeys(range(shards), 0.0) | {r.shard: r.weight for r in units.groupBy("shard").agg(F.sum("weight").alias("weight")).collect()}
+    large = units.where(F.col("weight") >= even * leaf / 4)
+    moved: dict[int, int] = {}
+    for turn in range(ROUNDS):
+        order = sorted(load, key=lambda k: (load[k], k))
+        light = order[: shards // 2]
+        light = light[turn % max(1, len(light)) :] + light[: turn % max(1, len(light))]
+        pairs = {high: low for low, high in zip(light, reversed(order), strict=False) if max(load[high] - leaf, leaf - load[low]) > even * leaf}
+        if not pairs:
+            break
+        half = {high: (load[high] - load[low]) / 2 for high, low in pairs.items()}
+        of = F.create_map(*[x for high, low in pairs.items() for k in (high, low) for x in (F.lit(k), F.lit(high))])
+        now = F.coalesce(_held(moved)[F.col("unit")], "shard") if moved else F.col("shard")
+        met = large.withColumn("at", now).withColumn("pair", of[F.col("at")]).where("pair is not null").withColumn("gives", F.col("at") == F.col("pair"))
+        # where nothing comes back
+        alone = units.sparkSession.range(1).select(F.lit(None).cast("long").alias("unit"), F.lit(0.0).alias("weight"), F.explode(F.array(*map(F.lit, pairs))).alias("pair"), F.lit(False).alias("gives"))
+        met = met.select("unit", "weight", "pair", "gives").unionByName(alone).withColumn("key", F.when(F.col("gives"), F.col("weight")).otherwise(F.col("weight") + _held(half)[F.col("pair")]))
+        w = Window.partitionBy("pair").orderBy("key", "gives", "unit")
+        taken = F.when(~F.col("gives"), F.struct("key", "unit", "weight"))
+        below = F.last(taken, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        above = F.first(taken, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        near = met.withColumn("below", below).withColumn("above", above).withColumn("back", F.explode(F.array("below", "above"))).where("gives and back is not null")
+        near = near.withColumn("off", F.abs(F.col("key") - F.col("back.key"))).where(F.col("off") < _held(half)[F.col("pair")])
+        found = near.groupBy("pair").agg(F.min(F.struct("off", "unit", "weight", "back")).alias("best")).collect()
+        for r in found:
+            high, low, best = r.pair, pairs[r.pair], r.best
+            moved[best.unit] = low
+            if best.back.unit is not None:
+                moved[best.back.unit] = high
+            load[high] -= best.weight - best.back.weight
+            load[low] += best.weight - best.back.weight
+    return moved
+
+
+def _held(values: dict) -> F.Column:
+    """A dictionary as a column."""
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k).cast("long"), F.lit(v))])
+
+
+def kd_shards(docs: DataFrame, shards: int = 40, lanes: int | None = None, even: float | None = EVEN) -> DataFrame:
     """Every row of docs (doc_id, text, lang, source) with its shard.
 
     Returns doc_id, size (UTF-8 bytes of the text, 0 for null, and 16),
@@ -72,7 +127,9 @@ def kd_shards(docs: DataFrame, shards: int = 40, lanes: int | None = None) -> Da
     stand before all values of their dimension. Where all rows are one value
     along every dimension, a hash of the text (of the row's number for hot groups)
     parts them, so repeated rows of any ids, or of none, are spread once their
-    text is hot. An empty table has no rows.
+    text is hot. Where texts are so large beside a shard that its bytes are off
+    by more than ``even`` (None: they stay as the tree cut them), a few units move
+    from heavy shards to light ones. An empty table has no rows.
     """
     rows = settle(
         docs.select(
@@ -134,7 +191,11 @@ def kd_shards(docs: DataFrame, shards: int = 40, lanes: int | None = None) -> Da
         unsettle(units)
         units, leaves = after, new
     shard = F.create_map(*[x for n, (at, _) in leaves.items() for x in (F.lit(n), F.lit(at))])[F.col("node")]
-    placed = settle(rows.join(units.select("unit", shard.alias("shard")), "unit").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("row"), F.lit(lanes)).cast("int").alias("lane")))
+    units = units.select("unit", "weight", shard.alias("shard"))
+    moved = _moves(units, shards, total / shards, even) if even is not None else {}
+    if moved:
+        units = units.withColumn("shard", F.coalesce(_held(moved)[F.col("unit")], "shard"))
+    placed = settle(rows.join(units.select("unit", "shard"), "unit").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("row"), F.lit(lanes)).cast("int").alias("lane")))
     ahead = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     start = placed.groupBy("shard", "lane").count().withColumn("start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
     inside = F.row_number().over(Window.partitionBy("shard", "lane").orderBy("doc_id", "text_crc32"))

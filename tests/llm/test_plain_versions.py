@@ -201,10 +201,33 @@ def test_shards_are_those_of_a_tree_by_sorting(spark, shards):
         first = min(of, key=lambda x: (x.doc_id is not None, x.doc_id or 0))
         units.append((unit, sum(x["size"] for x in of), (first["size"], first.source, first.lang, 0 if first.doc_id is None else first.doc_id - low + 1), first.part))
     want = plain_shards(units, shards)
-    got = kd_shards(df, shards=shards).collect()
+    got = kd_shards(df, shards=shards, even=None).collect()
     assert Counter((x.doc_id, x["size"], x.shard) for x in got) == Counter((x.doc_id, x["size"], want[x.unit]) for x in known)
 
 
+def test_few_units_move_until_shards_are_even(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tree, moved = ({(r.doc_id, r.text_crc32): r for r in kd_shards(docs, shards=40, even=x).collect()} for x in (None, 1 / 100))
+
+    def off(got):
+        load = Counter()
+        for r in got.values():
+            load[r.shard] += r["size"]
+        mean = sum(load.values()) / 40
+        return len(load), max(abs(x - mean) for x in load.values()) / mean
+
+    assert off(tree)[0] == off(moved)[0] == 40 and off(moved)[1] < 0.02 < off(tree)[1]
+    assert sum(tree[k].shard != r.shard for k, r in moved.items()) < len(tree) / 4
+    texts = defaultdict(set)
+    for r in moved.values():
+        texts[r.text_crc32].add(r.shard)
+    assert all(len(x) == 1 for x in texts.values())  # copies stay together
+    slots = defaultdict(list)
+    for r in moved.values():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 # operator 7
 
 class PlainTree:
