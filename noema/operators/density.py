@@ -8,6 +8,10 @@ points, since an edge that is the dearest of a cycle among some points is so amo
 all. Borůvka rounds find it: each component takes its cheapest edge, components
 join, inner edges go.
 
+Of more copies of a vector than the core distance looks at, all at distance 0
+of each other, only the one of the smallest id takes part, with their number as
+its weight; the others share its cluster.
+
 The tree's edges, cheapest first, tell how points merge. They are taken in
 bands of distance, half of what is left at a time; within a band the parts that
 its edges connect are merged each on its own, in a task for each. What goes on to
@@ -42,25 +46,34 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(np.sqrt(np.maximum(d, 0)), PLACES)
 
 
+def collapsed(points: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """head and m, the copies that it stands for, of points (id, v); and the heads themselves (id, v, m). Up to ``k`` copies stay as they are, each its own head."""
+    many = points.groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("copies")).where(F.col("copies") > k)
+    told = cut(points.join(blocks.small(cut(many)), "v", "left").select("id", "v", F.coalesce("low", "id").alias("head"), F.coalesce("copies", F.lit(1)).cast("long").alias("m")))
+    return told.select("id", "head"), cut(told.where("id = head").select("id", "v", "m"))
+
+
 def core_distances(points: DataFrame, k: int) -> DataFrame:
-    """id, v, core: the distance to the k-th nearest other point, or the farthest where there are fewer."""
+    """id, v, m, core of points (id, v, m): the distance to the k-th nearest other point, or the farthest where there are fewer; of more than ``k`` copies, 0."""
 
     def nearest(g: pd.DataFrame, second: np.ndarray) -> pd.DataFrame:
-        v, ids = np.stack(g["v"].to_list()), g["id"].to_numpy()
+        v, ids, m = np.stack(g["v"].to_list()), g["id"].to_numpy(), np.minimum(g["m"].to_numpy(), k)
         a, b = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(g)),) * 2
         d = _distances(v[a], v[b])
         if not second.any():
             np.fill_diagonal(d, np.inf)
         some = []
-        for own, rows in ((a, d), (b, d.T)) if second.any() else ((a, d),):
-            low = np.sort(np.partition(rows, min(k, rows.shape[1]) - 1, axis=1)[:, :k], axis=1) if rows.shape[1] else rows
-            at = np.isfinite(low)
-            some.append(pd.DataFrame({"id": np.repeat(ids[own], low.shape[1])[at.ravel()], "d": low[at]}))
+        for own, met, rows in ((a, b, d), (b, a, d.T)) if second.any() else ((a, a, d),):
+            near = np.argpartition(rows, min(k, rows.shape[1]) - 1, axis=1)[:, :k] if rows.shape[1] else np.zeros(rows.shape, np.int64)
+            low = np.take_along_axis(rows, near, axis=1)
+            times = np.where(np.isfinite(low), m[met][near], 0).ravel()
+            some.append(pd.DataFrame({"id": np.repeat(np.repeat(ids[own], low.shape[1]), times), "d": np.repeat(low.ravel(), times)}))
         return pd.concat(some)
 
-    dealt = points.select("id", "v", F.xxhash64("id").alias("h"))
+    dealt = points.select("id", "v", "m", F.xxhash64("id").alias("h"))
     low = blocks.within(dealt, nearest, "id long, d double").groupBy("id").agg(F.array_sort(F.collect_list("d")).alias("d"))
-    return points.join(low, "id", "left").select("id", "v", F.coalesce(F.get("d", F.least(F.size("d"), F.lit(k)) - 1), F.lit(0.0)).alias("core"))
+    kth = F.coalesce(F.get("d", F.least(F.size("d"), F.lit(k)) - 1), F.lit(0.0))
+    return points.join(low, "id", "left").select("id", "v", "m", F.when(F.col("m") > k, 0.0).otherwise(kth).alias("core"))
 
 
 def _spanning(ids: np.ndarray, w: np.ndarray) -> list[tuple[int, int, float]]:
@@ -148,13 +161,14 @@ def merge(states: list[dict], edges: list[tuple[int, int, float]], least: int) -
         new = {"node": x["node"], "size": x["size"] + y["size"], "points": [], "cluster": None, "total": 0.0, "kids": None}
         big = [s for s in (x, y) if s["cluster"]]
         small = [p for s in (x, y) if not s["cluster"] for p in s["points"]]
+        few = sum(s["size"] for s in (x, y) if not s["cluster"])
         if len(big) == 2:
             new["cluster"] = f"{a}-{b}"
             done = [_close(s, new["cluster"], d) for s in big]
             rows += [r for r, _ in done]
             new |= {"total": new["size"] / d, "kids": sum(best for _, best in done)}
         elif len(big) == 1:
-            new |= {"cluster": big[0]["cluster"], "total": big[0]["total"] + len(small) / d, "kids": big[0]["kids"]}
+            new |= {"cluster": big[0]["cluster"], "total": big[0]["total"] + few / d, "kids": big[0]["kids"]}
         elif new["size"] >= least:
             new |= {"cluster": f"{a}-{b}", "total": new["size"] / d}
         else:
@@ -167,7 +181,7 @@ def merge(states: list[dict], edges: list[tuple[int, int, float]], least: int) -
 
 
 def condensed(tree: DataFrame, points: DataFrame, least: int, band: int = BAND) -> tuple[DataFrame, DataFrame]:
-    """point, cluster: the cluster out of which each point falls; and cluster, parent, birth, own: the condensed tree, ``own`` where a cluster is more stable than those below it."""
+    """Of points (id, m) point, cluster: the cluster out of which each point falls; and cluster, parent, birth, own: the condensed tree, ``own`` where a cluster is more stable than those below it."""
     names = [c.split()[0] for c in _OUT.split(", ")]
 
     def task(g: pd.DataFrame) -> pd.DataFrame:
@@ -177,9 +191,11 @@ def condensed(tree: DataFrame, points: DataFrame, least: int, band: int = BAND)
         out = [(*r, *[None] * 6) for r in rows] + [("s", None, None, None, None, None, last["node"], last["size"], last["points"], last["cluster"], last["total"], last["kids"])]
         return pd.DataFrame(out, columns=names)
 
-    state = points.select(F.col("id").alias("node"), F.lit(1).cast("long").alias("size"), F.array("id").alias("points"), F.lit(None).cast("string").alias("cluster"), F.lit(0.0).alias("total"), F.lit(None).cast("double").alias("kids"))
+    # enough copies are a cluster of their own from the start
+    own = F.col("m") >= least
+    state = points.select(F.col("id").alias("node"), F.col("m").alias("size"), F.when(own, F.array().cast("array<long>")).otherwise(F.array("id")).alias("points"), F.when(own, F.concat_ws("-", "id", "id")).alias("cluster"), F.when(own, F.col("m") / F.lit(LEAST)).otherwise(0.0).alias("total"), F.lit(None).cast("double").alias("kids"))
     left = cut(tree.select("w", F.col("a").alias("low"), F.col("b").alias("high"), "a", "b"))
-    done: DataFrame | None = None
+    done = points.where(own).select(F.lit("p").alias("kind"), F.col("id").alias("point"), F.concat_ws("-", "id", "id").alias("cluster"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("double").alias("birth"), F.lit(None).cast("boolean").alias("own"))
     n = left.count()
     while n:
         if n > band:
@@ -193,7 +209,7 @@ def condensed(tree: DataFrame, points: DataFrame, least: int, band: int = BAND)
         nodes = state.join(groups, "node").select("g", *[F.lit(None).cast(t).alias(c) for c, t in (("a", "long"), ("b", "long"), ("w", "double"), ("low", "long"), ("high", "long"))], *[c.split()[0] for c in _STATE.split(", ")])
         out = cut(empty(inner).unionByName(nodes).groupBy("g").applyInPandas(task, _OUT))
         rows = out.where("kind <> 's'").select("kind", "point", "cluster", "parent", "birth", "own")
-        done = rows if done is None else done.unionByName(rows)
+        done = done.unionByName(rows)
         merged = out.where("kind = 's'").select("node", "size", "points", F.col("at").alias("cluster"), "total", "kids")
         state = cut(state.join(groups, "node", "left_anti").unionByName(merged))
         if n <= band:
@@ -207,7 +223,7 @@ def condensed(tree: DataFrame, points: DataFrame, least: int, band: int = BAND)
         left = cut(later.select("w", "low", "high", "a", "b"))
         n = left.count()
     root = state.where("cluster is not null").select(F.lit("c").alias("kind"), F.lit(None).cast("long").alias("point"), "cluster", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("double").alias("birth"), F.lit(False).alias("own"))
-    done = root if done is None else done.unionByName(root)
+    done = done.unionByName(root)
     return cut(done.where("kind = 'p'").select("point", "cluster")), cut(done.where("kind = 'c'").select("cluster", "parent", "birth", "own"))
 
 
@@ -233,8 +249,9 @@ def clusters(points: DataFrame, least: int = 5, samples: int = 3, epsilon: float
     n = some.count()
     if n < max(least, 2):
         return some.select("id", F.lit(-1).alias("cluster"))
-    tree = spanning_tree(block_edges(cut(core_distances(some, samples))), n)
-    fell, kinds = condensed(tree, some.select("id"), least, band)
+    members, heads = collapsed(some, samples)
+    tree = spanning_tree(block_edges(cut(core_distances(heads, samples))), heads.count())
+    fell, kinds = condensed(tree, heads.select("id", "m"), least, band)
     roots = kinds.where("parent is null").select(F.col("cluster").alias("parent"), F.lit(True).alias("top"))
     kinds = cut(kinds.join(F.broadcast(roots), "parent", "left").withColumn("top", F.coalesce("top", F.lit(False))))
     chosen = climb(kinds, F.col("own") & F.col("parent").isNotNull(), first=False).where("found is not null").select("found").distinct()
@@ -242,7 +259,8 @@ def clusters(points: DataFrame, least: int = 5, samples: int = 3, epsilon: float
     apart = climb(kinds, F.col("parent").isNotNull() & (F.col("top") | (F.col("birth") >= epsilon)), first=True).select(F.col("cluster").alias("found"), F.col("found").alias("target"))
     targets = chosen.join(apart, "found").select(F.col("target").alias("cluster"), F.lit(True).alias("mark")).distinct()
     labels = climb(kinds.join(targets, "cluster", "left"), F.col("mark").isNotNull(), first=False).where("found is not null").select("cluster", "found")
-    of = cut(some.select("id").join(fell.select(F.col("point").alias("id"), "cluster"), "id", "left").join(labels, "cluster", "left").select("id", "found"))
+    headed = fell.join(labels, "cluster").select(F.col("point").alias("head"), "found")
+    of = cut(members.join(blocks.small(cut(headed)), "head", "left").select("id", "found"))
     # one row for each cluster
     order = of.where("found is not null").groupBy("found").agg(F.min("id").alias("low")).orderBy("low").select(F.collect_list("found").alias("names"))
     return of.join(F.broadcast(order)).select("id", F.when(F.col("found").isNull(), -1).otherwise(F.array_position("names", F.col("found")).cast("int") - 1).alias("cluster"))

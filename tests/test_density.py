@@ -175,3 +175,30 @@ def test_components(spark):
         up[max(a, b)] = min(a, b)
     got = {r_.node: r_.component for r_ in components(spark.createDataFrame(links, "x long, y long")).collect()}
     assert got == {x: find(x) for ab in links for x in ab}
+
+
+def test_copies_meet_as_one(spark, monkeypatch):
+    """5,000 rows of 12 vectors beside single ones: the blocks meet the vectors, not the rows; clusters are those of the whole table."""
+    rows = []
+    met = density.core_distances
+    monkeypatch.setattr(density, "core_distances", lambda points, k: rows.append(points.count()) or met(points, k))
+    x = [[1.0 * (g == k) for k in range(4)] + [0.01 * j] for g in range(4) for j in range(3)]
+    some = [(k, x[k % 12]) for k in range(5000)] + [(10_000 + k, [0.1 * k, 1.0, -1.0, 0.3, 2.0]) for k in range(3)]
+    got = labels(density.clusters(spark.createDataFrame(some, "id long, v array<double>")))
+    assert rows == [15]
+    assert all(got[k] == k % 12 // 3 for k in range(5000))
+    # all rows alike are the whole, which is no cluster
+    same = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(50)], "id long, v array<double>")
+    assert set(labels(density.clusters(same)).values()) == {-1}
+
+
+@pytest.mark.parametrize(("seed", "samples", "least"), [(1, 3, 5), (2, 2, 6), (3, 4, 3)])
+def test_copies_as_the_plain_version(spark, seed, samples, least):
+    ids, x = blobs(seed, 150)
+    r = np.random.default_rng(seed)
+    x = np.vstack([x, *[np.repeat(x[j : j + 1], int(r.integers(1, 12)), axis=0) for j in range(0, 100, 5)]])
+    ids = [int(k) for k in r.permutation(len(x))]
+    # one length for all copies, so that the plain version sees them at 0
+    x = np.round(x / np.linalg.norm(x, axis=1, keepdims=True), 6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<double>")
+    assert len(set(labels(density.clusters(df, least, samples, 0.0)).items()) ^ set(plain(ids, x, least, samples, 0.0).items())) == 0
