@@ -74,3 +74,11 @@ def test_chunks_cover_each_text(spark):
         by.setdefault(r.id, []).append((r.start, r.start + len(r.chunk)))
     assert {k: v[-1][1] for k, v in by.items()} == {k: len(t) for k, t in texts.items() if t}
     assert all(a[1] - b[0] == 100 for v in by.values() for a, b in zip(v, v[1:], strict=False)) and len(by[5]) == 1 and len(by[6]) == 2
+
+
+def test_references_of_pages_that_are_cut_off():
+    from noema.sources.parsers import page_text
+
+    html = "<title>a &quot;b &amp;c&amp</title><p>x &quot;y&copy; &lt &middot;&amp;</p>"
+    assert page_text(html, known={"copy": "©", "middot": "·", "quot": '"'}) == '页面标题: a &quot;b &c&amp\n\na "b &c&amp\nx "y© &lt ·&'
+    assert page_text(html) == '页面标题: a "b &c&\n\na "b &c&\nx "y© < ·&'
