@@ -60,3 +60,16 @@ def test_a_replayed_batch_counts_once(spark):
     assert registry.merge(held, batch((9, "y")), 2)
     got = held.load().select(F.length("hash"), "version", "first_id", "batch", F.size("vector")).collect()
     assert sorted(map(tuple, got)) == [(64, 2, 3, 2, 64), (64, 3, 2, 1, 64)]
+
+
+def test_a_batch_of_writes_that_comes_again_or_late_changes_nothing(spark):
+    table = store.Table(spark, f"{store.folder(spark)}/items-{uuid.uuid4().hex}", KEY, memory_state.SCHEMA)
+    batch = lambda *rows: spark.createDataFrame([(n, 1, "t", key, float(n), START + timedelta(days=day)) for n, key, day in rows], OPS)
+    first = batch((1, 7, 0), (2, None, 0), (3, 7, 1), (4, None, 1))
+    assert memory_state.merge(table, first, 0, 2)
+    assert not memory_state.merge(table, first, 0, 2)
+    assert not memory_state.merge(table, batch((5, 7, 0)), 1, 2)  # too late
+    got = {r.memory_key: (r.value, round(r.weight, 6)) for r in table.load().collect()}
+    assert got == {7: (3.0, 1.1), None: (4.0, 1.1)}
+    assert memory_state.merge(table, batch((6, 8, 400)), 2, 2)
+    assert [r.memory_key for r in table.load().collect()] == [8]
