@@ -11,6 +11,9 @@ from noema.functions.scores import cosine
 from noema.operators.blocks import SMALL, against, small, within
 from noema.sources.store import cut
 
+#: Rows by which a block is compared with another at once.
+TILE = 1024
+
 
 def _cosines(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
     """Every point of a block with every centroid of another."""
@@ -103,23 +106,34 @@ def compare_sources(facts: DataFrame) -> DataFrame:
         size = g["chars"].map(len).to_numpy()
         member = np.zeros((len(g), len(np.unique(flat))), np.float32)
         member[np.repeat(np.arange(len(g)), size), np.unique(flat, return_inverse=True)[1]] = 1
-        a, b = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(g)),) * 2
-        both = (member[a] @ member[b].T).astype(np.float64)
-        union = size[a][:, None] + size[b][None] - both
-        sim = np.where(union > 0, both / np.maximum(union, 1), 0)
-        conf, n = g["confidence"].to_numpy(), g["n"].to_numpy()
-        ca, cb = conf[a][:, None], conf[b][None]
-        # within one block every pair is met twice; the side of the smaller source counts
-        apart = source[a][:, None] < source[b][None] if not second.any() else source[a][:, None] != source[b][None]
-        weight = n[a][:, None] * n[b][None] * apart
-        low, high = np.minimum(source[a][:, None], source[b][None]), np.maximum(source[a][:, None], source[b][None])
-        pair, k = (low * len(name) + high).ravel(), len(name) ** 2
-        found = [np.bincount(pair, (weight * x).ravel(), k) for x in (np.ones_like(sim), (sim > 0.5) & (ca > 0.7) & (cb > 0.7), (sim > 0.15) & (sim <= 0.4) & (np.abs(ca - cb) > 0.2))]
-        at = np.flatnonzero(found[0])
-        return pd.DataFrame({"source_a": name[at // len(name)], "source_b": name[at % len(name)], "agreeing": found[1][at].astype(np.int64), "conflicting": found[2][at].astype(np.int64)})
+        weight = np.zeros((len(g), len(name)))
+        weight[np.arange(len(g)), source] = g["n"]
+        conf = g["confidence"].to_numpy(float)
+        # tiles of like confidences are mostly all apart or not at all
+        order = np.argsort(conf, kind="stable")
+        a, b = (order[~second[order]], order[second[order]]) if second.any() else (order, order)
+        found = np.zeros((2, len(name), len(name)))
+        for x in (a[k : k + TILE] for k in range(0, len(a), TILE)):
+            for y in (b[k : k + TILE] for k in range(0, len(b), TILE)):
+                cx, cy = conf[x], conf[y]
+                sure = cx[-1] > 0.7 and cy[-1] > 0.7
+                open_, all_ = max(cy[-1] - cx[0], cx[-1] - cy[0]) > 0.2, max(cy[0] - cx[-1], cx[0] - cy[-1]) > 0.2
+                if not (sure or open_):
+                    continue
+                # whole numbers, exact in floats: similarity is both / (total - both), so over 0.5 it is 3 both > total
+                both, total = member[x] @ member[y].T, (size[x][:, None] + size[y][None]).astype(np.float32)
+                if sure:
+                    found[0] += (weight[x] * (cx > 0.7)[:, None]).T @ ((3 * both > total) @ (weight[y] * (cy > 0.7)[:, None]))
+                if open_:
+                    held = (23 * both > 3 * total) & (7 * both <= 2 * total)
+                    found[1] += weight[x].T @ ((held if all_ else held & (np.abs(cx[:, None] - cy[None]) > 0.2)) @ weight[y])
+        # within one block every pair is met from both ends
+        found = found + found.transpose(0, 2, 1) if second.any() else found
+        p, q = np.triu_indices(len(name), 1)
+        return pd.DataFrame({"source_a": name[p], "source_b": name[q], "agreeing": found[0][p, q].astype(np.int64), "conflicting": found[1][p, q].astype(np.int64)})
 
     dealt = sets.withColumn("h", F.xxhash64("source", "confidence", "chars"))
-    return within(dealt, count, "source_a string, source_b string, agreeing long, conflicting long").groupBy("source_a", "source_b").agg(F.sum("agreeing").alias("agreeing"), F.sum("conflicting").alias("conflicting"))
+    return within(dealt, count, "source_a string, source_b string, agreeing long, conflicting long", 8).groupBy("source_a", "source_b").agg(F.sum("agreeing").alias("agreeing"), F.sum("conflicting").alias("conflicting"))
 
 
 def merge_triggers(centroids: DataFrame, least: float, idle_days: int) -> DataFrame:

@@ -202,3 +202,10 @@ def test_copies_as_the_plain_version(spark, seed, samples, least):
     x = np.round(x / np.linalg.norm(x, axis=1, keepdims=True), 6)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<double>")
     assert len(set(labels(density.clusters(df, least, samples, 0.0)).items()) ^ set(plain(ids, x, least, samples, 0.0).items())) == 0
+
+
+def test_large_blocks_send_rows_to_fewer_tasks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 10)
+    rows = spark.range(400).selectExpr("id", "xxhash64(id) AS h")
+    seen = lambda times: blocks.within(rows, lambda g, _: g[["id"]], "id long", times).count()
+    assert seen(1) == 400 * 40 and seen(8) == 400 * 8
