@@ -82,3 +82,10 @@ def test_references_of_pages_that_are_cut_off():
     html = "<title>a &quot;b &amp;c&amp</title><p>x &quot;y&copy; &lt &middot;&amp;</p>"
     assert page_text(html, known={"copy": "©", "middot": "·", "quot": '"'}) == '页面标题: a &quot;b &c&amp\n\na "b &c&amp\nx "y© &lt ·&'
     assert page_text(html) == '页面标题: a "b &c&\n\na "b &c&\nx "y© < ·&'
+
+
+def test_a_hash_vector_takes_one_hash_of_its_text(spark):
+    from noema.functions import scores
+
+    plan = spark.createDataFrame([("x",)], "t string").select(scores.hash_vector(F.col("t"), 64))._jdf.queryExecution().analyzed().toString()
+    assert plan.split("\n")[0].count("sha2(t") == 1
