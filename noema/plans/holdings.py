@@ -109,12 +109,18 @@ def code_files(s, d) -> DataFrame:
 def code_graph(s, d) -> DataFrame:
     """Its edges, kept; calls only of functions that some file defines."""
 
+    found = []
+
     def make() -> DataFrame:
-        e = code.code_edges(code_files(s, d)).distinct()
+        e = store.cut(code.code_edges(code_files(s, d)).distinct())  # read three times, parsed once
+        found.append(e)
         known = e.where("kind = 'DEFINES_FUNCTION'").select("dst").distinct()
         return e.where("kind <> 'CALLS'").unionByName(e.where("kind = 'CALLS'").join(known, "dst", "left_semi").select(e.columns)).repartition("src").sortWithinPartitions("kind", "src")
 
-    return store.kept(s, "code-3", [f"{d}/part.parquet"], make)
+    held = store.kept(s, "code-3", [f"{d}/part.parquet"], make)
+    for e in found:
+        store.drop(e)
+    return held
 
 
 _CODE = """p AS (SELECT p_partkey AS k, CAST(floor(p_partkey / 50) AS BIGINT) AS q FROM part), fl AS (SELECT DISTINCT q FROM p),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from noema.operators import code_graph
-from noema.sources import parsers
+from noema.sources import code, parsers
 
 
 def _tasks(df) -> int:
@@ -13,6 +13,9 @@ def _tasks(df) -> int:
 def test_files_of_few_bytes_are_parsed_by_all_tasks(spark):
     files = spark.range(0, 400, 1, 1).select(F.concat("id", F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.concat(F.lit("def f"), "id", F.lit("(x):\n    return g(x)\n")).alias("code"))
     assert _tasks(parsers.code_functions(files)) > 1
+    found = code.code_edges(files)
+    assert _tasks(found) > 1
+    assert found.count() == 800 and found.where("kind = 'CALLS' and dst = 'g'").count() == 400
 
 
 def test_functions_are_parsed_once_for_all_edges(spark):
