@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from noema.operators import code_graph
+from noema.plans import holdings
 from noema.sources import code, parsers
 
 
@@ -24,3 +25,7 @@ def test_functions_are_parsed_once_for_all_edges(spark):
     assert "MapInPandas" not in edges._jdf.queryExecution().toString()
     assert sorted(map(tuple, edges.collect())) == [("a", "b", "CALLS"), ("a.py", "a", "CONTAINS"), ("b", "a", "CALLS"), ("b.py", "b", "CONTAINS")]
 
+
+def test_files_made_of_a_small_table_are_parsed_by_all_tasks(spark):
+    made = holdings._made_files(spark, "/root/testdata/sf0.01").where("path like 'p/%'")
+    assert _tasks(made) > 1
