@@ -9,10 +9,18 @@ from noema.functions.scores import cosine
 from noema.functions.text import tokens
 
 
-def postings(docs: DataFrame, text: str) -> DataFrame:
-    """id, term, tf, length of each distinct term of each text."""
-    t = docs.select("id", tokens(F.col(text)).alias("t")).select("id", "t", F.size("t").alias("length"))
-    return t.select("id", "length", F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, text: str, whole: bool = False) -> DataFrame:
+    """id, term, tf, length of each distinct term of each text; with ``whole`` also a row without a term for the text itself.
+
+    A text's terms are sorted and counted in its own row, so nothing is shuffled.
+    """
+    t = docs.select("id", F.sort_array(tokens(F.col(text))).alias("t")).select("id", "t", F.size("t").alias("length"))
+    new = F.filter(F.transform("t", lambda x, k: F.when((k == 0) | (x != F.get("t", k - 1)), k)), lambda k: k.isNotNull())
+    counted = lambda k, n: F.struct(F.get("t", k).alias("term"), (F.coalesce(F.get("new", n + 1), F.col("length")) - k).cast("long").alias("tf"))
+    terms = F.transform("new", counted)
+    if whole:
+        terms = F.concat(terms, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf"))))
+    return t.withColumn("new", new).select("id", "length", F.explode(terms).alias("x")).select("id", "x.term", "x.tf", "length")
 
 
 def corpus_stats(docs: DataFrame, text: str) -> DataFrame:

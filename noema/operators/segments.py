@@ -21,14 +21,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noema.functions.text import tokens
 from noema.operators import retrieval
-from noema.operators.blocks import SMALL
 from noema.sources import store
 
 FAN = 4
 #: Parts over which a term's postings are dealt, so that a common word isn't one task.
 SPREAD = 16
+#: Tombstones that are still sent to all tasks; their ids and numbers are some 40 MB. With more of them the postings are shuffled.
+TOMBSTONES = 1_000_000
 
 
 class Index:
@@ -77,7 +77,7 @@ class Index:
         if not gone:
             return rows
         named = reduce(DataFrame.unionByName, gone).groupBy(F.col("id").alias("gone")).agg(F.max("until").alias("until"))
-        if sum(t["ids"] for t in manifest["tombstones"]) <= SMALL:
+        if sum(t["ids"] for t in manifest["tombstones"]) <= TOMBSTONES:
             named = F.broadcast(named)
         return rows.join(named, (F.col("id") == F.col("gone")) & (F.col("until") > F.col("seg")), "left_anti")
 
@@ -128,10 +128,10 @@ class Index:
         """Facts (id, text) become a segment; null texts have no terms. Only these texts are read."""
         before = self.version()
         manifest = self.manifest(before)
-        t = facts.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t")).select("id", "t", F.size("t").alias("length"))
-        # the null term stands for the fact itself
-        every = t.select("id", "length", F.explode(F.concat("t", F.array(F.lit(None).cast("string")))).alias("term"))
-        new = self._write(every.groupBy("id", "length", "term").agg(F.count("*").alias("tf")), before + 1)
+        rows = retrieval.postings(facts.select("id", F.coalesce("text", F.lit("")).alias("text")), "text", whole=True)
+        if not facts.groupBy("id").count().where("count > 1").isEmpty():  # rows of one id and length are one fact
+            rows = rows.groupBy("id", "length", "term").agg(F.sum("tf").alias("tf"))
+        new = self._write(rows, before + 1)
         if manifest["segments"]:
             manifest = self._bury(manifest, self.spark.read.parquet(new["path"]).where("term is null"), before + 1)
         self._publish({"segments": [*manifest["segments"], new], "tombstones": manifest["tombstones"]}, before)

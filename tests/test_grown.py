@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from noema.operators import code_graph
+from noema.operators import code_graph, retrieval, segments
 from noema.plans import holdings
 from noema.sources import code, parsers
 
@@ -29,3 +29,30 @@ def test_functions_are_parsed_once_for_all_edges(spark):
 def test_files_made_of_a_small_table_are_parsed_by_all_tasks(spark):
     made = holdings._made_files(spark, "/root/testdata/sf0.01").where("path like 'p/%'")
     assert _tasks(made) > 1
+
+
+def test_a_text_is_counted_without_a_shuffle(spark):
+    texts = [(1, "B b a 中中 c"), (2, ""), (3, None), (4, "one"), (5, "a-a-a")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    got = retrieval.postings(docs, "text", whole=True)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(1, "a", 1, 7), (1, "b", 2, 7), (1, "c", 1, 7), (1, "中", 2, 7), (1, "中中", 1, 7), (4, "one", 1, 1), (5, "a", 3, 3)}
+    rows = [tuple(r) for r in got.collect()]
+    assert {r for r in rows if r[1]} == {w for w in want if w[1]} and len(rows) == len(set(rows))
+    assert {(r[0], r[3]) for r in rows if r[1] is None} >= {(1, 7), (2, 0), (4, 1), (5, 3)}
+
+
+def test_rows_of_one_fact_are_counted_together(spark, tmp_path):
+    index = segments.Index(spark, f"file://{tmp_path}/i")
+    index.add(spark.createDataFrame([(1, "a b a"), (1, "a b a"), (2, "b"), (3, None)], "id long, text string"))
+    assert sorted(map(tuple, index.postings().collect())) == [(1, "a", 4, 3), (1, "b", 2, 3), (2, "b", 1, 1)]
+    assert sorted(map(tuple, index.lengths().collect())) == [(1, 3), (2, 1), (3, 0)]
+
+
+def test_a_fifth_of_many_facts_goes_without_shuffling_postings(spark, tmp_path):
+    index = segments.Index(spark, f"file://{tmp_path}/i")
+    index.add(spark.range(120_000).select("id", F.concat(F.lit("w"), F.col("id") % 10).alias("text")))
+    index.remove(spark.range(0, 120_000, 5).select("id"))
+    left = index.postings()
+    assert "BroadcastHashJoin" in left._jdf.queryExecution().executedPlan().toString()
+    assert left.count() == 96_000 and index.totals() == (96_000, 1.0)
