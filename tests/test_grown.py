@@ -1,8 +1,9 @@
 """What large tables need: costly rows of few bytes go to all tasks, and what is read often is parsed once."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from noema.operators import code_graph, retrieval, segments
+from noema.operators import code_graph, cosine_join, retrieval, segments
 from noema.plans import holdings
 from noema.sources import code, parsers
 
@@ -56,3 +57,17 @@ def test_a_fifth_of_many_facts_goes_without_shuffling_postings(spark, tmp_path):
     left = index.postings()
     assert "BroadcastHashJoin" in left._jdf.queryExecution().executedPlan().toString()
     assert left.count() == 96_000 and index.totals() == (96_000, 1.0)
+
+
+def test_vectors_without_structure_go_to_few_tasks(spark):
+    x = np.random.default_rng(5).normal(size=(3000, 32))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    plan = cosine_join.Plan(rows.where("id % 20 = 0"), rows, 0.3)
+    assert plan.share == 1 and len(plan.pivots) > 10
+    # two blocks of the others, one of the asked, however many cells there are
+    assert [(g[2], g[3]) for g in plan.groups] == [(1, 2)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(unit[::20] @ unit.T, 4)
+    want = {(int(i) * 20, int(j)) for i, j in zip(*np.nonzero(sim >= 0.3), strict=True) if i * 20 != j}
+    got = [(r.a, r.b) for r in plan.pairs().collect()]
+    assert len(got) == len(want) and set(got) == want
