@@ -293,14 +293,14 @@ def src_segment_chunks(s, d):
 @query("SELECT concat('c', c_custkey) AS node, concat('c', c_custkey // 4 * 4) AS community FROM customer WHERE c_custkey // 4 * 4 + 3 <= (SELECT max(c_custkey) FROM customer)")
 def gra_louvain_cliques(s, d):
     """Customers in groups of four that all know each other: communities are the groups."""
-    from noema.operators.communities import louvain
+    from noema.operators.communities import louvain, met
 
     c = read(s, d, "customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 4).alias("g"))
     full = c.groupBy("g").agg(F.count("*").alias("n")).where("n = 4").select("g")
-    a, b = c.join(full, "g", "left_semi").select("g", F.col("k").alias("a")), c.select("g", F.col("k").alias("b"))
-    found = louvain(a.join(b, "g").where("a < b").select(F.concat(F.lit("c"), "a").alias("src"), F.concat(F.lit("c"), "b").alias("dst")))
+    a, b = met(c, full, "g").select("g", F.col("k").alias("a")), c.select("g", F.col("k").alias("b"))
+    found = louvain(met(a, b, "g").where("a < b").select(F.concat(F.lit("c"), "a").alias("src"), F.concat(F.lit("c"), "b").alias("dst")))
     low = found.groupBy("community").agg(F.min(F.substring("node", 2, 20).cast("long")).alias("low"))
-    return found.join(low, "community").select("node", F.concat(F.lit("c"), "low").alias("community"))
+    return met(found, low, "community").select("node", F.concat(F.lit("c"), "low").alias("community"))
 
 
 @query()

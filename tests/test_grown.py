@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from noema.operators import code_graph, cosine_join, retrieval, segments
+from noema.operators import code_graph, communities, cosine_join, retrieval, segments
 from noema.plans import holdings
 from noema.sources import code, parsers
 
@@ -71,3 +71,14 @@ def test_vectors_without_structure_go_to_few_tasks(spark):
     want = {(int(i) * 20, int(j)) for i, j in zip(*np.nonzero(sim >= 0.3), strict=True) if i * 20 != j}
     got = [(r.a, r.b) for r in plan.pairs().collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_no_table_of_a_graph_is_broadcast(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("c", "d")], "src string, dst string")
+    found = communities.louvain(e)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    division = spark.createDataFrame([(x, x) for x in "abcde"], "node string, c string")
+    links = communities.weighted(e)
+    moved = communities._moved(links, division, links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), 10.0, 0)
+    assert "Broadcast" not in moved._jdf.queryExecution().executedPlan().toString()
