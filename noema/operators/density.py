@@ -1,12 +1,17 @@
 """Clusters by density: core distances, a minimum spanning tree, the condensed tree and its most stable clusters.
 
 The distance of two points is their euclidean one, or the core distance of either
-(to its k-th nearest neighbour) if that is larger. No table of all pairs is made:
-blocks of points meet two by two, and each pair of blocks leaves the spanning tree
-of its own points. The edges of all those trees hold the spanning tree of all
-points, since an edge that is the dearest of a cycle among some points is so among
-all. Borůvka rounds find it: each component takes its cheapest edge, components
-join, inner edges go.
+(to its k-th nearest neighbour) if that is larger. No table of all pairs is made
+and no vector is shuffled to others: blocks of points, kept as rows of one table,
+meet two by two in a product of that table with itself, whose tasks read the blocks
+from it. What leaves a task are the nearest few of each of its points.
+
+Borůvka rounds find the spanning tree on those lists: each component takes its
+cheapest edge, components join, inner edges go. An edge that isn't listed is at
+least as dear as the last of its point's list, so a component's cheapest listed edge
+is its cheapest one as long as it is cheaper than the last of all its points' lists.
+When no component can tell any more, the points of all but the largest look again
+for their nearest few, now outside their components.
 
 Of more copies of a vector than the core distance looks at, all at distance 0
 of each other, only the one of the smallest id takes part, with their number as
@@ -20,17 +25,22 @@ the next band is one small row for each part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noema.operators import blocks
 from noema.operators.components import components
-from noema.sources.store import cut
+from noema.sources.store import cut, drop
 
-#: Places to which distances are rounded, so that every pair of blocks sees the same; nearer than the last place counts as this far.
+#: Places to which distances are rounded; nearer than the last place counts as this far.
 PLACES, LEAST = 9, 1e-9
+#: Nearest ones that are listed for a point, at least; by how much a distance from a product of matrices may be off; rows of a block that are compared, and pairs that are measured, at a time.
+LISTED, SLACK, ROWS, PAIRS = 16, 1e-7, 512, 16_384
 #: Edges of the last band.
 BAND = 100_000
 
@@ -41,11 +51,6 @@ def unit(points: DataFrame) -> DataFrame:
     return points.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).select("id", F.when(length > 0, F.transform("v", lambda x: x / length)).otherwise(F.col("v")).alias("v"))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
-    return np.round(np.sqrt(np.maximum(d, 0)), PLACES)
-
-
 def collapsed(points: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """head and m, the copies that it stands for, of points (id, v); and the heads themselves (id, v, m). Up to ``k`` copies stay as they are, each its own head."""
     many = points.groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("copies")).where(F.col("copies") > k)
@@ -53,82 +58,168 @@ def collapsed(points: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return told.select("id", "head"), cut(told.where("id = head").select("id", "v", "m"))
 
 
+_BLOCK = {"ids": "int64", "m": "int64", "core": "float64", "c": "int64", "v": "float64"}
+_NEAR = "id long, near array<struct<w: double, b: long, c: long, m: long>>"
+
+
+def packed(points: DataFrame) -> DataFrame:
+    """A row for each block of points (id, m, core, c, v): ``block``, its smallest id, and a column of bytes for each of theirs."""
+    size = 2 * blocks.BLOCK
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # of one task: about as many points as a block has
+        rows = pa.Table.from_batches(held) if held else pa.table({"id": []})
+        for start in range(0, rows.num_rows, size):
+            part = rows.slice(start, size).combine_chunks()
+            v = part["v"].combine_chunks()
+            if len(set(v.value_lengths().to_pylist())) > 1:
+                raise ValueError("vectors of different lengths")
+            told = {"ids": part["id"], "m": part["m"], "core": part["core"], "c": part["c"], "v": v.flatten()}
+            block = int(np.min(told["ids"].to_numpy()))
+            yield pa.RecordBatch.from_pydict({"block": [block]} | {name: [np.ascontiguousarray(told[name].to_numpy(), dtype).tobytes()] for name, dtype in _BLOCK.items()})
+
+    rows = points.select(F.col("id").cast("long").alias("id"), F.col("m").cast("long").alias("m"), F.col("core").cast("double").alias("core"), F.col("c").cast("long").alias("c"), "v")
+    return cut(rows.repartition(max(1, -(-points.count() // size)), "id").mapInArrow(pack, "block long, " + ", ".join(f"{name} binary" for name in _BLOCK)))
+
+
+class _Lists:
+    """The nearest ``k`` of a block's points (by distance, then id) among those met so far that are of other components."""
+
+    def __init__(self, x: dict[str, np.ndarray], k: int):
+        self.x, self.k, n = x, k, len(x["ids"])
+        self.w, self.b, self.c, self.m = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max), np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
+
+    def meet(self, y: dict[str, np.ndarray]) -> None:
+        x, twice, yy, cores = self.x, -2 * y["v"], (y["v"] ** 2).sum(1), y["core"] ** 2
+        shared = np.isin(x["c"], y["c"])
+        for start in range(0, len(x["ids"]), ROWS):
+            at = slice(start, start + ROWS)
+            v, core = x["v"][at], x["core"][at]
+            sq = v @ twice.T
+            sq += (v**2).sum(1)[:, None]
+            sq += yy
+            if cores.any():
+                np.maximum(sq, cores, out=sq)
+            own = np.flatnonzero(shared[at])
+            if len(own):
+                sq[own] = np.where(x["c"][at][own, None] == y["c"], np.inf, sq[own])
+            # no vector is farther than 2 from another
+            near = sq <= (np.minimum(self.w[at, -1], 3.0) + SLACK)[:, None] ** 2
+            many = np.flatnonzero(np.count_nonzero(near, axis=1) > 4 * self.k)
+            if len(many):
+                last = np.partition(sq[many], self.k - 1, axis=1)[:, self.k - 1]
+                near[many] &= sq[many] <= (np.maximum(np.sqrt(np.clip(last, 0, 9)), core[many]) + SLACK)[:, None] ** 2
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+            w = np.empty(len(i))
+            for s in (slice(k, k + PAIRS) for k in range(0, len(i), PAIRS)):
+                # the same for both ends and in every block
+                apart = v[i[s]] - y["v"][j[s]]
+                w[s] = np.maximum(np.round(np.sqrt(np.einsum("ij,ij->i", apart, apart)), PLACES), np.maximum(core[i[s]], y["core"][j[s]]))
+            if len(i):
+                self._fold(at, i, w, y["ids"][j], y["c"][j], y["m"][j])
+
+    def _fold(self, at: slice, i: np.ndarray, *new: np.ndarray) -> None:
+        held = (self.w[at], self.b[at], self.c[at], self.m[at])
+        n = len(held[0])
+        row, *all_ = np.concatenate([np.repeat(np.arange(n), self.k), i]), *(np.concatenate([h.ravel(), x]) for h, x in zip(held, new, strict=True))
+        order = np.lexsort((all_[1], all_[0], row))
+        first = order[np.searchsorted(row[order], np.arange(n))[:, None] + np.arange(self.k)]
+        self.w[at], self.b[at], self.c[at], self.m[at] = (x[first] for x in all_)
+
+    def rows(self) -> pa.RecordBatch:
+        there = np.isfinite(self.w)
+        ends = np.concatenate([[0], np.cumsum(there.sum(1))]).astype(np.int32)
+        near = pa.StructArray.from_arrays([pa.array(x[there]) for x in (self.w, self.b, self.c, self.m)], names=["w", "b", "c", "m"])
+        return pa.RecordBatch.from_pydict({"id": pa.array(self.x["ids"]), "near": pa.ListArray.from_arrays(pa.array(ends), near)})
+
+
+def nearest(asked: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """id, near of the asked: the ``k`` nearest of the others that are of another component (w, b: distance and id; c, m: component and copies), nearest first, then by id. Both as ``packed``."""
+
+    def opened(batch: pa.RecordBatch, r: int, side: str) -> dict[str, np.ndarray]:
+        x = {name: np.frombuffer(batch.column(side + name)[r].as_buffer(), dtype) for name, dtype in _BLOCK.items()}
+        return x | {"v": x["v"].reshape(len(x["ids"]), -1)}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: dict[int, _Lists] = {}
+        for batch in batches:
+            for r, block in enumerate(batch.column("x_block").to_pylist()):
+                if block not in lists:
+                    # its own bytes, as the batch goes
+                    lists[block] = _Lists({name: x.copy() for name, x in opened(batch, r, "x_").items()}, k)
+                lists[block].meet(opened(batch, r, "y_"))
+        for told in lists.values():
+            yield told.rows()
+
+    side = lambda df, s: df.select(*[F.col(c).alias(s + c) for c in ("block", *_BLOCK)])
+    # tasks read the blocks from where they are kept: nothing is broadcast or dealt out
+    pairs = side(asked, "x_").hint("shuffle_replicate_nl").crossJoin(side(others, "y_"))
+    return pairs.mapInArrow(meet, _NEAR).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
 def core_distances(points: DataFrame, k: int) -> DataFrame:
-    """id, v, m, core of points (id, v, m): the distance to the k-th nearest other point, or the farthest where there are fewer; of more than ``k`` copies, 0."""
-
-    def nearest(g: pd.DataFrame, second: np.ndarray) -> pd.DataFrame:
-        v, ids, m = np.stack(g["v"].to_list()), g["id"].to_numpy(), np.minimum(g["m"].to_numpy(), k)
-        a, b = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(g)),) * 2
-        d = _distances(v[a], v[b])
-        if not second.any():
-            np.fill_diagonal(d, np.inf)
-        some = []
-        for own, met, rows in ((a, b, d), (b, a, d.T)) if second.any() else ((a, a, d),):
-            near = np.argpartition(rows, min(k, rows.shape[1]) - 1, axis=1)[:, :k] if rows.shape[1] else np.zeros(rows.shape, np.int64)
-            low = np.take_along_axis(rows, near, axis=1)
-            times = np.where(np.isfinite(low), m[met][near], 0).ravel()
-            some.append(pd.DataFrame({"id": np.repeat(np.repeat(ids[own], low.shape[1]), times), "d": np.repeat(low.ravel(), times)}))
-        return pd.concat(some)
-
-    dealt = points.select("id", "v", "m", F.xxhash64("id").alias("h"))
-    low = blocks.within(dealt, nearest, "id long, d double").groupBy("id").agg(F.array_sort(F.collect_list("d")).alias("d"))
-    kth = F.coalesce(F.get("d", F.least(F.size("d"), F.lit(k)) - 1), F.lit(0.0))
-    return points.join(low, "id", "left").select("id", "v", "m", F.when(F.col("m") > k, 0.0).otherwise(kth).alias("core"))
-
-
-def _spanning(ids: np.ndarray, w: np.ndarray) -> list[tuple[int, int, float]]:
-    """Edges (low, high, weight) of the minimum spanning tree of a table of weights; of equal weights the smaller ids."""
-    n, out = len(ids), []
-    best, by, left = w[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
-    left[0] = False
-    for _ in range(n - 1):
-        rest = np.flatnonzero(left)
-        near = rest[best[rest] == best[rest].min()]
-        low, high = np.minimum(ids[near], ids[by[near]]), np.maximum(ids[near], ids[by[near]])
-        j = near[np.lexsort((high, low))[0]]
-        i = by[j]
-        out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), float(best[j])))
-        left[j] = False
-        # of equally near ones the edge with the smaller ids
-        closer = w[j] < best
-        tie = (w[j] == best) & left
-        if tie.any():
-            lo, hi = np.minimum(ids, ids[j]), np.maximum(ids, ids[j])
-            old_lo, old_hi = np.minimum(ids, ids[by]), np.maximum(ids, ids[by])
-            closer |= tie & ((lo < old_lo) | ((lo == old_lo) & (hi < old_hi)))
-        best, by = np.where(closer, w[j], best), np.where(closer, j, by)
-    return out
-
-
-def block_edges(cored: DataFrame) -> DataFrame:
-    """a, b, w: the spanning trees of every two blocks of the points (id, v, core)."""
-
-    def tree(g: pd.DataFrame, _: np.ndarray) -> pd.DataFrame:
-        v, core = np.stack(g["v"].to_list()), g["core"].to_numpy()
-        w = np.maximum(_distances(v, v), np.maximum(core[:, None], core[None]))
-        return pd.DataFrame(_spanning(g["id"].to_numpy(), w), columns=["a", "b", "w"])
-
-    return blocks.within(cored.select("*", F.xxhash64("id").alias("h")), tree, "a long, b long, w double").distinct()
-
-
-def spanning_tree(edges: DataFrame, n: int) -> DataFrame:
-    """a, b, w: the n - 1 edges of the minimum spanning tree of connected edges, by Borůvka rounds."""
-    left = cut(edges)
-    if left.count() == n - 1:
-        return left
-    at = None  # id, component
-    taken: DataFrame | None = None
-    left = cut(left.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")), left)
-    while not left.isEmpty():
-        edge = F.struct("w", "a", "b")
-        both = left.select(F.col("ca").alias("c"), edge.alias("e")).unionByName(left.select(F.col("cb").alias("c"), edge.alias("e")))
-        chosen = cut(both.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
-        taken = chosen if taken is None else taken.unionByName(chosen)
-        joined = components(chosen.join(left, ["a", "b", "w"]).select(F.col("ca").alias("x"), F.col("cb").alias("y"))).select(F.col("node").alias("old"), F.col("component").alias("new"))
-        moved = left.join(joined.select(F.col("old").alias("ca"), F.col("new").alias("na")), "ca", "left").join(joined.select(F.col("old").alias("cb"), F.col("new").alias("nb")), "cb", "left")
-        moved = moved.select("a", "b", "w", F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb")).where("ca <> cb")
-        left = cut(moved, left)
-    return cut(taken)
+    """id, v, m, core, near of points (id, v, m): the distance to the k-th nearest other point, or the farthest where there are fewer (of more than ``k`` copies, 0), and the list of the nearest."""
+    dealt = packed(points.select("id", "m", F.lit(0.0).alias("core"), F.col("id").alias("c"), "v"))
+    low = nearest(dealt, dealt, max(LISTED, k))
+    # a neighbour of more copies than k is the k-th wherever it stands
+    heavy = F.array_position(F.transform("near", lambda x: x.m > k), True)
+    place = F.least(F.size("near"), F.lit(k), F.when(heavy > 0, heavy.cast("int")))
+    kth = F.when(F.size("near") > 0, F.element_at("near", place).w).otherwise(0.0)
+    return points.join(low, "id", "left").select("id", "v", "m", F.when((F.col("m") > k) | F.col("near").isNull(), 0.0).otherwise(kth).alias("core"), "near")
+
+
+def _renamed(df: DataFrame, joined: DataFrame, *names: str) -> DataFrame:
+    """df with the components in the named columns replaced by those that they are in now."""
+    for name in names:
+        df = df.join(joined.select(F.col("node").alias(name), F.col("component").alias("_now")), name, "left").withColumn(name, F.coalesce("_now", name)).drop("_now")
+    return df
+
+
+def spanning_tree(points: DataFrame, k: int) -> DataFrame:
+    """a, b, w: the edges of the minimum spanning tree of points (id, v, m, core, near) with lists of the ``k`` nearest, by Borůvka rounds; of equal weights the smaller ids go first."""
+    far = F.when(F.size("near") >= k, F.element_at("near", -1).w - SLACK).otherwise(float("inf"))
+    ends = points.select(F.col("id").alias("i"), F.col("core").alias("own"), F.explode("near").alias("e")).select("i", "own", "e.w", "e.b").join(points.select(F.col("id").alias("b"), "core"), "b")
+    ends = ends.select(F.least("i", "b").alias("a"), F.greatest("i", "b").alias("b"), F.greatest("w", "own", "core").alias("w")).distinct()
+    left = cut(ends.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    #: what is cheaper than ``far`` is surely the cheapest of component c
+    reach = cut(points.select(F.col("id").alias("c"), F.coalesce(far, F.lit(float("inf"))).alias("far")))
+    at = cut(points.select("id", F.col("id").alias("c")))
+    taken = [points.sparkSession.createDataFrame([], "a long, b long, w double")]
+    sure = F.lit(False)
+    while True:
+        while True:
+            edge = F.struct("w", "a", "b", "ca", "cb").alias("e")
+            both = left.select(F.col("ca").alias("c"), edge).unionByName(left.select(F.col("cb").alias("c"), edge))
+            chosen = both.groupBy("c").agg(F.min("e").alias("e")).join(reach, "c").where((F.col("e.w") < F.col("far")) | sure)
+            chosen = cut(chosen.select("e.*").distinct())
+            if chosen.isEmpty():
+                break
+            sure = F.lit(False)
+            taken.append(chosen.select("a", "b", "w"))
+            joined = cut(components(chosen.select(F.col("ca").alias("x"), F.col("cb").alias("y"))))
+            left = cut(_renamed(left, joined, "ca", "cb").where("ca <> cb"), left)
+            reach = cut(_renamed(reach, joined, "c").groupBy("c").agg(F.min("far").alias("far")), reach)
+            at = cut(_renamed(at, joined, "c"), at)
+        largest = at.groupBy("c").count().orderBy(F.desc("count"), "c").limit(2).collect()
+        if len(largest) < 2:
+            break
+        now = cut(points.select("id", "v", "m", "core").join(at, "id"))
+        asked = now.where(F.col("c") != largest[0].c)
+        near = cut(asked.select("id", "c").join(nearest(packed(asked), packed(now), k), "id"))
+        drop(left)
+        found = near.select("id", F.col("c").alias("own"), F.explode("near").alias("e")).select(F.least("id", "e.b").alias("a"), F.greatest("id", "e.b").alias("b"), "e.w", F.when(F.col("id") < F.col("e.b"), F.col("own")).otherwise(F.col("e.c")).alias("ca"), F.when(F.col("id") < F.col("e.b"), F.col("e.c")).otherwise(F.col("own")).alias("cb"))
+        left = cut(found.distinct())
+        drop(reach)
+        # the largest didn't look; the others have just seen their cheapest
+        reach = cut(near.select("c", far.alias("far")).groupBy("c").agg(F.min("far").alias("far")).unionByName(points.sparkSession.createDataFrame([(largest[0].c, float("-inf"))], "c long, far double")))
+        sure = F.col("far") > float("-inf")
+        drop(now)
+        if left.isEmpty():
+            raise ValueError("points without a distance to others")
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return cut(out)
 
 
 _STATE = "node long, size long, points array<long>, cluster string, total double, kids double"
@@ -243,14 +334,14 @@ def clusters(points: DataFrame, least: int = 5, samples: int = 3, epsilon: float
     ``least``: points of a cluster; ``samples``: which neighbour gives the core
     distance; clusters that part below ``epsilon`` stay together. The whole is
     never a cluster. Fewer than ``least`` points are all noise. Vectors that are
-    null or hold nulls take no part.
+    null or hold nulls or what is not finite take no part.
     """
-    some = cut(unit(points.where("v is not null and not exists(v, x -> x is null or isnan(x))")))
+    some = cut(unit(points.where("v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")))
     n = some.count()
     if n < max(least, 2):
         return some.select("id", F.lit(-1).alias("cluster"))
     members, heads = collapsed(some, samples)
-    tree = spanning_tree(block_edges(cut(core_distances(heads, samples))), heads.count())
+    tree = spanning_tree(cut(core_distances(heads, samples)), max(LISTED, samples))
     fell, kinds = condensed(tree, heads.select("id", "m"), least, band)
     roots = kinds.where("parent is null").select(F.col("cluster").alias("parent"), F.lit(True).alias("top"))
     kinds = cut(kinds.join(F.broadcast(roots), "parent", "left").withColumn("top", F.coalesce("top", F.lit(False))))

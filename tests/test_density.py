@@ -209,3 +209,51 @@ def test_large_blocks_send_rows_to_fewer_tasks(spark, monkeypatch):
     rows = spark.range(400).selectExpr("id", "xxhash64(id) AS h")
     seen = lambda times: blocks.within(rows, lambda g, _: g[["id"]], "id long", times).count()
     assert seen(1) == 400 * 40 and seen(8) == 400 * 8
+
+
+def shuffled(spark):
+    """Bytes that this session's stages have shuffled, by stage."""
+    sc, gate = spark.sparkContext, spark.sparkContext._gateway
+    some = sc._jsc.sc().statusStore().stageList(None, False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (some.apply(k) for k in range(some.size()))}
+
+
+def test_more_blocks_do_not_shuffle_the_vectors_more_often(spark, monkeypatch):
+    """400 vectors of 512 bytes in 40 blocks and more: dealt to every pair of blocks they were 16 MB."""
+    monkeypatch.setattr(blocks, "BLOCK", 5)
+    x = np.random.default_rng(1).normal(size=(400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "id long, v array<double>, m long")
+    before = shuffled(spark)
+    core = {r.id: r.core for r in density.core_distances(points, 3).select("id", "core").collect()}
+    assert sum(n for s, n in shuffled(spark).items() if s not in before) < 4_000_000
+    d = np.sort(np.sqrt(np.maximum(2 - 2 * x @ x.T, 0)), axis=1)
+    assert np.abs(d[:, 3] - [core[k] for k in range(400)]).max() < 1e-8
+
+
+@pytest.mark.parametrize("kind", ["tight", "even"])
+def test_short_lists_are_looked_up_again(spark, monkeypatch, kind):
+    """Lists of three tell little of clusters of 20 points, or of points all equally far: the tree is that of all distances, of equal ones the smaller ids."""
+    monkeypatch.setattr(blocks, "BLOCK", 15)
+    monkeypatch.setattr(density, "LISTED", 3)
+    passes = []
+    met = density.nearest
+    monkeypatch.setattr(density, "nearest", lambda *a: passes.append(1) or met(*a))
+    r = np.random.default_rng(2)
+    x = np.repeat(r.normal(size=(5, 6)), 20, axis=0) + r.normal(size=(100, 6)) * 0.01 if kind == "tight" else np.eye(40)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = [int(k) for k in r.permutation(len(x)) * 3]
+    points = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, x, strict=True)], "id long, v array<double>, m long")
+    got = {(e.a, e.b, e.w) for e in density.spanning_tree(density.cut(density.core_distances(points, 3)), 3).collect()}
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    core = np.sort(d, axis=1)[:, 3]
+    order = sorted((max(d[i, j], core[i], core[j]), ids[i], ids[j]) for i in range(len(x)) for j in range(len(x)) if ids[i] < ids[j])
+    up = {i: i for i in ids}
+    find = lambda k: k if up[k] == k else find(up[k])
+    want = set()
+    for w, a, b in order:
+        if find(a) != find(b):
+            up[find(b)] = find(a)
+            want.add((a, b, w))
+    assert got == want
+    assert len(passes) > 1
