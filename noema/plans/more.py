@@ -13,11 +13,11 @@ from noema.sources.tables import edges, knowledge, memory_ops, read
 
 # comparisons and similarity
 
-@query(f"""WITH {KP}, t AS (SELECT source, confidence, list_distinct(string_split(substring(fact, 1, 60), '')) AS c FROM kp),
+@query(f"""WITH {KP}, t AS MATERIALIZED (SELECT source, confidence, list_distinct(string_split(fact, '')) AS c FROM kp),
 p AS (SELECT a.source AS source_a, b.source AS source_b, a.confidence AS ca, b.confidence AS cb, len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))) AS sim FROM t a JOIN t b ON a.source < b.source)
 SELECT source_a, source_b, count(*) FILTER (sim > 0.5 AND ca > 0.7 AND cb > 0.7) AS agreeing, count(*) FILTER (sim > 0.15 AND sim <= 0.4 AND abs(ca - cb) > 0.2) AS conflicting FROM p GROUP BY ALL""")
 def ctg_source_comparison(s, d):
-    return categories.compare_sources(knowledge(s, d).select("source", "confidence", F.substring("fact", 1, 60).alias("fact")))
+    return categories.compare_sources(knowledge(s, d).select("source", "confidence", "fact"))
 
 
 @query(f"WITH {_COS}, hits AS (SELECT id, label, score FROM vs WHERE score > 0.2 ORDER BY 1 - score, id LIMIT 15) SELECT id, round(score, 6) AS similarity FROM hits")
