@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from noema.functions.scores import cosine
 from noema.operators.blocks import SMALL, against, small, within
+from noema.operators.letters import compared, letters
 from noema.sources.store import cut
 
-#: Rows by which a block is compared with another at once.
-TILE = 1024
+#: Rows of a set of characters that are kept together.
+PART = 128
 
 
 def _cosines(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -90,50 +91,24 @@ def search(cats: DataFrame, text: str, most: int = 20) -> DataFrame:
 def compare_sources(facts: DataFrame) -> DataFrame:
     """For each two sources (source_a < source_b) the pairs of facts that agree and that conflict.
 
-    facts: source, fact, confidence; without a source or fact a row takes no
-    part. Facts of over 0.5 character-set similarity, both over 0.7 sure, agree;
-    of over 0.15 to 0.4, with confidences over 0.2 apart, they conflict. Rows of
-    one source, character set and confidence count as one with a weight; all
-    others meet in blocks, of which only counts come back. The work grows with
-    the square of the distinct rows, as every pair counts.
+    facts: source, fact, confidence; without one of these a row agrees and
+    conflicts with none. Facts of over 0.5 character-set similarity, both over
+    0.7 sure, agree; of over 0.15 to 0.4, with confidences over 0.2 apart, they
+    conflict. Rows of one source, character set and confidence count as one with
+    a weight, and a set is compared once for all its rows; sets meet in blocks,
+    of which only counts come back. The work grows with the square of the
+    distinct sets, as every pair counts.
     """
-    chars = F.array_join(F.array_sort(F.array_distinct(F.split("fact", ""))), "")
-    sets = facts.where("source is not null and fact is not null and confidence is not null").groupBy("source", "confidence", chars.alias("chars")).agg(F.count("*").alias("n"))
-
-    def count(g: pd.DataFrame, second: np.ndarray) -> pd.DataFrame:
-        source, name = pd.factorize(g["source"], sort=True)
-        flat = np.array([ord(c) for t in g["chars"] for c in t], np.int64)
-        size = g["chars"].map(len).to_numpy()
-        member = np.zeros((len(g), len(np.unique(flat))), np.float32)
-        member[np.repeat(np.arange(len(g)), size), np.unique(flat, return_inverse=True)[1]] = 1
-        weight = np.zeros((len(g), len(name)))
-        weight[np.arange(len(g)), source] = g["n"]
-        conf = g["confidence"].to_numpy(float)
-        # tiles of like confidences are mostly all apart or not at all
-        order = np.argsort(conf, kind="stable")
-        a, b = (order[~second[order]], order[second[order]]) if second.any() else (order, order)
-        found = np.zeros((2, len(name), len(name)))
-        for x in (a[k : k + TILE] for k in range(0, len(a), TILE)):
-            for y in (b[k : k + TILE] for k in range(0, len(b), TILE)):
-                cx, cy = conf[x], conf[y]
-                sure = cx[-1] > 0.7 and cy[-1] > 0.7
-                open_, all_ = max(cy[-1] - cx[0], cx[-1] - cy[0]) > 0.2, max(cy[0] - cx[-1], cx[0] - cy[-1]) > 0.2
-                if not (sure or open_):
-                    continue
-                # whole numbers, exact in floats: similarity is both / (total - both), so over 0.5 it is 3 both > total
-                both, total = member[x] @ member[y].T, (size[x][:, None] + size[y][None]).astype(np.float32)
-                if sure:
-                    found[0] += (weight[x] * (cx > 0.7)[:, None]).T @ ((3 * both > total) @ (weight[y] * (cy > 0.7)[:, None]))
-                if open_:
-                    held = (23 * both > 3 * total) & (7 * both <= 2 * total)
-                    found[1] += weight[x].T @ ((held if all_ else held & (np.abs(cx[:, None] - cy[None]) > 0.2)) @ weight[y])
-        # within one block every pair is met from both ends
-        found = found + found.transpose(0, 2, 1) if second.any() else found
-        p, q = np.triu_indices(len(name), 1)
-        return pd.DataFrame({"source_a": name[p], "source_b": name[q], "agreeing": found[0][p, q].astype(np.int64), "conflicting": found[1][p, q].astype(np.int64)})
-
-    dealt = sets.withColumn("h", F.xxhash64("source", "confidence", "chars"))
-    return within(dealt, count, "source_a string, source_b string, agreeing long, conflicting long", 8).groupBy("source_a", "source_b").agg(F.sum("agreeing").alias("agreeing"), F.sum("conflicting").alias("conflicting"))
+    sets = facts.where("source is not null and fact is not null and confidence is not null").select("source", F.col("confidence").cast("double"), letters(F.col("fact")).alias("chars"))
+    rows = sets.groupBy("source", "confidence", "chars").agg(F.count("*").alias("n"))
+    # a set of very many rows goes in parts
+    part = F.floor((F.row_number().over(Window.partitionBy("chars").orderBy("confidence", "source")) - 1) / PART)
+    held = rows.withColumn("part", part).groupBy("chars", "part").agg(F.collect_list(F.struct("source", "confidence", "n")).alias("held"))
+    dealt = cut(held.select("chars", *(F.col(f"held.{c}").alias(c) for c in ("source", "confidence", "n")), F.xxhash64("chars", "part").alias("h")))
+    found = within(dealt, compared, "source_a string, source_b string, agreeing long, conflicting long", 16).groupBy("source_a", "source_b").agg(F.sum("agreeing").alias("agreeing"), F.sum("conflicting").alias("conflicting"))
+    names = facts.where("source is not null").select(F.col("source").alias("source_a")).distinct()
+    pairs = names.join(small(names.select(F.col("source_a").alias("source_b"))), F.col("source_a") < F.col("source_b"))
+    return pairs.join(found, ["source_a", "source_b"], "left").fillna(0, ["agreeing", "conflicting"])
 
 
 def merge_triggers(centroids: DataFrame, least: float, idle_days: int) -> DataFrame:
