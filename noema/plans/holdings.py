@@ -119,7 +119,7 @@ def code_graph(s, d) -> DataFrame:
         known = e.where("kind = 'DEFINES_FUNCTION'").select("dst").distinct()
         return e.where("kind <> 'CALLS'").unionByName(e.where("kind = 'CALLS'").join(known, "dst", "left_semi").select(e.columns)).repartition("src").sortWithinPartitions("kind", "src")
 
-    held = store.kept(s, "code-3", [f"{d}/part.parquet"], make)
+    held = store.kept(s, "code-4", [f"{d}/part.parquet"], make)
     for e in found:
         store.drop(e)
     return held

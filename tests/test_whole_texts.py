@@ -2,6 +2,7 @@
 
 from noema.plans import more  # noqa: F401
 from noema.plans.queries import QUERIES
+from noema.sources import code
 
 
 def test_sources_are_compared_by_whole_texts(spark, tmp_path):
@@ -20,3 +21,12 @@ def test_sources_are_compared_by_whole_texts(spark, tmp_path):
                     n[1] += 0.15 < sim <= 0.4 and abs(sure[i] - sure[j]) > 0.2
     got = {(r.source_a, r.source_b): [r.agreeing, r.conflicting] for r in QUERIES["ctg_source_comparison"](spark, str(tmp_path)).collect()}
     assert got == want and sum(n[1] for n in want.values()) > 0
+
+
+def test_every_call_and_import_is_an_edge(spark):
+    text = "".join(f"import m{k}\n" for k in range(45)) + "def f():\n" + "".join(f"    g{k}()\n" for k in range(35))
+    files = spark.createDataFrame([("a.py", "python", text)], "path string, language string, code string")
+    found = [tuple(r) for r in code.code_edges(files).collect()]
+    assert {r[1] for r in found if r[2] == "IMPORTS"} == {f"m{k}" for k in range(45)}
+    assert {r[1] for r in found if r[:1] == ("f",) and r[2] == "CALLS"} == {f"g{k}" for k in range(35)}
+    assert len(found) == 45 + 35 + 1
