@@ -1,8 +1,9 @@
 """What lies beyond a text's beginning, a table's first rows or a function's first calls counts too."""
 
+from noema.operators import code_graph
 from noema.plans import more  # noqa: F401
 from noema.plans.queries import QUERIES
-from noema.sources import code
+from noema.sources import code, parsers
 
 
 def test_sources_are_compared_by_whole_texts(spark, tmp_path):
@@ -30,3 +31,12 @@ def test_every_call_and_import_is_an_edge(spark):
     assert {r[1] for r in found if r[2] == "IMPORTS"} == {f"m{k}" for k in range(45)}
     assert {r[1] for r in found if r[:1] == ("f",) and r[2] == "CALLS"} == {f"g{k}" for k in range(35)}
     assert len(found) == 45 + 35 + 1
+
+
+def test_every_called_function_is_in_the_graph_of_files(spark):
+    text = "def f():\n" + "".join(f"    g{k}()\n" for k in range(35)) + "    unknown()\n"
+    files = spark.createDataFrame([("a.py", text), ("b.py", "".join(f"def g{k}():\n    pass\n" for k in range(35)))], "path string, code string")
+    functions = parsers.code_functions(files)
+    assert [len(r.calls) for r in functions.where("name = 'f'").collect()] == [36]
+    found = [tuple(r) for r in code_graph.code_edges(functions).collect()]
+    assert {r[1] for r in found if r[::2] == ("f", "CALLS")} == {f"g{k}" for k in range(35)} and len(found) == 36 + 35
