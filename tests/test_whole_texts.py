@@ -1,9 +1,13 @@
 """What lies beyond a text's beginning, a table's first rows or a function's first calls counts too."""
 
+import io
+
+import pandas as pd
+
 from noema.operators import code_graph
 from noema.plans import more  # noqa: F401
 from noema.plans.queries import QUERIES
-from noema.sources import code, parsers
+from noema.sources import code, ingest, parsers
 
 
 def test_sources_are_compared_by_whole_texts(spark, tmp_path):
@@ -40,3 +44,16 @@ def test_every_called_function_is_in_the_graph_of_files(spark):
     assert [len(r.calls) for r in functions.where("name = 'f'").collect()] == [36]
     found = [tuple(r) for r in code_graph.code_edges(functions).collect()]
     assert {r[1] for r in found if r[::2] == ("f", "CALLS")} == {f"g{k}" for k in range(35)} and len(found) == 36 + 35
+
+
+def test_every_row_of_a_table_is_in_its_text():
+    rows = [(k, f"name{k}" if k != 7 else "wide" * 2000) for k in range(350)]
+    for n in (0, 1, 100, 101, 350):
+        content = "x,y\n" + "".join(f"{a},{b}\n" for a, b in rows[:n])
+        ((kind, text, sure),) = ingest.parsed("p/t.csv", "table", content.encode())
+        assert (kind, sure) == ("table", 1.0) and text.startswith(f"{n} rows, 2 columns\n")
+        if n <= 100:
+            assert text.split("\n", 2)[2] == pd.read_csv(io.BytesIO(content.encode())).to_string()
+        if n:
+            assert [tuple(x.split()) for x in text.split("\n")[3:]] == [(str(a), str(a), b) for a, b in rows[:n]]
+    assert len(text) < 101 * 8100 + 250 * 20
